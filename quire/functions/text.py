@@ -142,8 +142,8 @@ def split_lemma(c) -> Column:
     """Statement -> struct(name, body).  Name is ``\\S+`` (``foo[simp]:`` gives
     ``foo[simp]``); unnamed statements give name NULL; non-lemmas give NULLs."""
     s = _col(c)
-    named = r"(?s)lemma (\S+)?\s*(\[\S*\])?:(.*)"
-    plain = r"(?s)lemma\s*(.*)"
+    named = r"(?sU)lemma (\S+)?\s*(\[\S*\])?:(.*)"
+    plain = r"(?sU)lemma\s*(.*)"
     name = F.when(s.rlike(named), F.nullif(F.regexp_extract(s, named, 1), F.lit("")))
     body = (
         F.when(s.rlike(named), _unquote_body(F.regexp_extract(s, named, 3)))
@@ -156,8 +156,8 @@ def parse_generated(c) -> Column:
     """As X4 but the text must carry the ``{EOS}`` mark (else both NULL); the
     body ends at the last mark."""
     s = _col(c)
-    named = r"(?s)lemma (\S+)?\s*(\[\S*\])?:(.*)(\{EOS\})"
-    plain = r"(?s)lemma\s*(.*)(\{EOS\})"
+    named = r"(?sU)lemma (\S+)?\s*(\[\S*\])?:(.*)(\{EOS\})"
+    plain = r"(?sU)lemma\s*(.*)(\{EOS\})"
     has = s.contains(GEN_EOS_MARK)
     name = F.when(has & s.rlike(named), F.nullif(F.regexp_extract(s, named, 1), F.lit("")))
     body = (

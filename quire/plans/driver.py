@@ -75,3 +75,29 @@ def part_predictions(spark: SparkSession, sf_dir: str, task: str = "template") -
         .agg(F.array_sort(F.collect_list(F.struct("slot", "text"))).alias("c"))
         .select("row_id", "strategy", F.col("c.text").alias("candidates"))
     )
+
+
+# --- theory text and statements from `documents` ------------------------------
+
+def document_theories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """theories(theory_file, block, text): every document becomes a block of theory
+    text for the theory named by its ``source``; each of its lines becomes one
+    command (lemma / unnamed theorem / definition / fun / text)."""
+    d = table(spark, sf_dir, "documents")
+    lines = F.split(F.col("text"), "\n")
+    cmds = F.transform(lines, _cmd)
+    return d.select(F.col("source").alias("theory_file"), F.col("doc_id").alias("block"),
+                    F.array_join(cmds, "\n").alias("text"))
+
+
+def _cmd(line, i):
+    w = F.regexp_extract(line, r"^([^ ]*)", 1)
+    rest = F.substring(line, F.length(w) + 2, F.lit(2147483647))
+    m = i % 5
+    return (
+        F.when(m == 0, F.concat(F.lit("lemma "), w, F.lit(': "'), rest, F.lit('"')))
+        .when(m == 1, F.concat(F.lit('theorem "'), line, F.lit('"')))
+        .when(m == 2, F.concat(F.lit("definition "), w, F.lit(' where "'), rest, F.lit('"')))
+        .when(m == 3, F.concat(F.lit("fun "), w, F.lit(' :: "'), rest, F.lit('"')))
+        .otherwise(F.concat(F.lit("text \\<open>"), line, F.lit("\\<close>")))
+    )

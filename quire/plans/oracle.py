@@ -85,3 +85,84 @@ def part_predictions_cte(task: str = "template", name: str = "pred") -> str:
         f"FROM part a JOIN (VALUES {vals}) o(strategy, slot, off) ON TRUE "
         f"JOIN part b ON b.p_partkey = a.p_partkey + o.off GROUP BY a.p_partkey, o.strategy)"
     )
+
+
+# --- regex classes matching Java's (?U) \s, \S and \w in RE2 syntax ----------
+RE_S = "[\\t\\n\\x0B\\f\\r\\x{85}\\pZ]"
+RE_NS = "[^\\t\\n\\x0B\\f\\r\\x{85}\\pZ]"
+RE_WCHARS = "\\pL\\p{Nl}\\p{Nd}\\pM\\p{Pc}"
+RE_NAME = "([" + RE_WCHARS + "'']+)"  # '' is a quote inside a SQL literal
+THM_CMD = "(lemma|theorem)"
+DEF_CMD = ("(definition|fun|primrec|primcorec|datatype|codatatype|function|typedecl|typedef|"
+           "type_synonym|record|inductive|coinductive|abbreviation|class|inductive_set|consts)")
+
+
+def ustrip(x: str) -> str:
+    return f"regexp_replace({x}, '^{RE_S}+|{RE_S}+$', '', 'g')"
+
+
+def usplit_ws(x: str) -> str:
+    return f"list_filter(string_split_regex({ustrip(x)}, '{RE_S}+'), lambda t: t <> '')"
+
+
+def theorem_name(x: str) -> str:
+    quoted = f"(?s){THM_CMD}{RE_S}*\"(.*)\""
+    named = f"(?s){THM_CMD}{RE_S}+(\\(.*\\){RE_S}+)?{RE_NAME}{RE_S}*(\\[.*\\])?:(.*)"
+    return (f"CASE WHEN regexp_matches({x}, '{quoted}') THEN NULL "
+            f"WHEN regexp_matches({x}, '{named}') THEN regexp_extract({x}, '{named}', 3) END")
+
+
+def definition_name(x: str) -> str:
+    head = f"(?s){DEF_CMD}{RE_S}+(\\(.*\\){RE_S}+)?{RE_NAME}{RE_S}*(\\[.*\\])?"
+    tries = [f"nullif(regexp_extract({x}, '{head}{end}', 3), '')" for end in (":", "where", "=", "::")]
+    tries.append(f"nullif(regexp_extract({x}, '(?s)datatype{RE_S}+''a{RE_S}+{RE_NAME}', 1), '')")
+    tries.append(f"regexp_replace({usplit_ws(x)}[2], '^\"+|\"+$', '', 'g')")
+    return "coalesce(" + ", ".join(tries) + ")"
+
+
+def unquote_body(b: str) -> str:
+    s = ustrip(b)
+    return f"CASE WHEN regexp_matches({s}, '^\"[^\\n]*\"') THEN substr({s}, 2, length({s}) - 2) ELSE {s} END"
+
+
+def split_lemma(x: str) -> tuple[str, str]:
+    named = f"(?s)lemma ({RE_NS}+)?{RE_S}*(\\[{RE_NS}*\\])?:(.*)"
+    plain = f"(?s)lemma{RE_S}*(.*)"
+    name = f"CASE WHEN regexp_matches({x}, '{named}') THEN nullif(regexp_extract({x}, '{named}', 1), '') END"
+    body = (f"CASE WHEN regexp_matches({x}, '{named}') THEN {unquote_body(f'regexp_extract({x}, {chr(39)}{named}{chr(39)}, 3)')} "
+            f"WHEN regexp_matches({x}, '{plain}') THEN {unquote_body(f'regexp_extract({x}, {chr(39)}{plain}{chr(39)}, 1)')} END")
+    return name, body
+
+
+def parse_generated(x: str) -> tuple[str, str]:
+    named = f"(?s)lemma ({RE_NS}+)?{RE_S}*(\\[{RE_NS}*\\])?:(.*)(\\{{EOS\\}})"
+    plain = f"(?s)lemma{RE_S}*(.*)(\\{{EOS\\}})"
+    has = f"contains({x}, '{{EOS}}')"
+    name = f"CASE WHEN {has} AND regexp_matches({x}, '{named}') THEN nullif(regexp_extract({x}, '{named}', 1), '') END"
+    body = (f"CASE WHEN NOT {has} THEN NULL "
+            f"WHEN regexp_matches({x}, '{named}') THEN {unquote_body(f'regexp_extract({x}, {chr(39)}{named}{chr(39)}, 3)')} "
+            f"WHEN regexp_matches({x}, '{plain}') THEN {unquote_body(f'regexp_extract({x}, {chr(39)}{plain}{chr(39)}, 1)')} END")
+    return name, body
+
+
+def statements_cte(name: str = "st") -> str:
+    """The statements X1 cuts from the theory text built out of `documents`."""
+    w = "regexp_extract(s.line, '^([^ ]*)', 1)"
+    rest = f"substr(s.line, length({w}) + 2)"
+    cmd = (f"CASE s.i % 5 WHEN 0 THEN 'lemma ' || {w} || ': \"' || {rest} || '\"' "
+           f"WHEN 1 THEN 'theorem \"' || s.line || '\"' "
+           f"WHEN 2 THEN 'definition ' || {w} || ' where \"' || {rest} || '\"' "
+           f"WHEN 3 THEN 'fun ' || {w} || ' :: \"' || {rest} || '\"' "
+           f"ELSE 'text \\<open>' || s.line || '\\<close>' END")
+    kind = "CASE s.i % 5 WHEN 0 THEN 'lemma' WHEN 1 THEN 'theorem' WHEN 2 THEN 'definition' WHEN 3 THEN 'fun' ELSE 'text' END"
+    return (
+        f"{name} AS (SELECT d.source AS theory_file, d.doc_id AS block, CAST(s.i AS INTEGER) AS pos, {kind} AS kind, "
+        f"{cmd} || CASE WHEN s.i < s.n - 1 THEN chr(10) ELSE '' END AS stmt "
+        f"FROM documents d, unnest(list_transform(string_split(d.text, chr(10)), "
+        f"lambda l, k: {{'line': l, 'i': k - 1, 'n': len(string_split(d.text, chr(10)))}})) AS u(s))"
+    )
+
+
+def last_block_cte(src: str = "st", name: str = "lb") -> str:
+    return (f"{name} AS (SELECT {src}.* FROM {src} JOIN (SELECT theory_file, max(block) AS block FROM {src} "
+            f"GROUP BY theory_file) m USING (theory_file, block))")
