@@ -101,3 +101,72 @@ def _cmd(line, i):
         .when(m == 3, F.concat(F.lit("fun "), w, F.lit(' :: "'), rest, F.lit('"')))
         .otherwise(F.concat(F.lit("text \\<open>"), line, F.lit("\\<close>")))
     )
+
+
+# --- lemmas, symbols and definitions from `orders`, `lineitem`, `part` ---------
+# A lemma is an order; its file is its customer; its symbols are the parts of its
+# line items written in the four dotted forms a symbol lookup meets (one dot, two
+# dots, a `_class` segment, no dot); definitions are parts, filed by part key.
+
+def _part_theory(partkey):
+    return F.concat(F.lit("Thy"), (partkey % 1000).cast("string"))
+
+
+def _symbol(partkey, line):
+    thy, base = _part_theory(partkey), F.concat(F.lit("p"), partkey.cast("string"))
+    m = line % 4
+    return (F.when(m == 0, F.concat(thy, F.lit("."), base))
+            .when(m == 1, F.concat(thy, F.lit("."), base, F.lit(".simps")))
+            .when(m == 2, F.concat(thy, F.lit("."), base, F.lit("_class.x")))
+            .otherwise(base))
+
+
+def _lemma_name(orderkey):
+    suffix = F.when(orderkey % 7 == 0, F.lit(".simps")).when(orderkey % 5 == 0, F.lit("(2)")).otherwise(F.lit(""))
+    return F.concat(F.lit("o"), orderkey.cast("string"), suffix)
+
+
+def order_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """templates(theory_file, lemma_name, lemma_object, symbols, template) per order."""
+    o = table(spark, sf_dir, "orders")
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", _symbol(F.col("l_partkey"), F.col("l_linenumber")).alias("symbol"))
+    syms = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "symbol"))).alias("s"))
+    t = o.join(syms, o.o_orderkey == syms.l_orderkey, "left")
+    theory = F.concat(F.lit("Thy"), F.col("o_custkey").cast("string"))
+    return t.select(
+        theory.alias("theory_file"),
+        F.concat(theory, F.lit("."), _lemma_name(F.col("o_orderkey"))).alias("lemma_name"),
+        F.concat(F.lit("?"), F.col("o_orderpriority"), F.lit(" = "), F.col("o_orderstatus")).alias("lemma_object"),
+        F.array_distinct(F.coalesce(F.col("s.symbol"), F.array().cast("array<string>"))).alias("symbols"),
+        F.concat(F.lit("?H1 ("), F.col("o_orderpriority"), F.lit(")\n= ?H2")).alias("template"),
+    )
+
+
+def order_theorems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """theorems(theory_file, lemma_name, stmt): the source statements of finished orders."""
+    o = table(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F")
+    name = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
+    return o.select(F.concat(F.lit("Thy"), F.col("o_custkey").cast("string")).alias("theory_file"),
+                    name.alias("lemma_name"),
+                    F.concat(F.lit("lemma "), name, F.lit(': "'), F.col("o_orderpriority"), F.lit('"')).alias("stmt"))
+
+
+def part_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """definitions(def_key, theory_file, pos, def_name, def_stmt) per part."""
+    from quire.functions.text import qualified_def_key
+
+    p = table(spark, sf_dir, "part")
+    thy = _part_theory(F.col("p_partkey"))
+    name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    return p.select(qualified_def_key(thy, name).alias("def_key"), thy.alias("theory_file"),
+                    F.col("p_partkey").alias("pos"), name.alias("def_name"),
+                    F.concat(F.lit("definition "), name, F.lit(' where "'), F.col("p_name"), F.lit('"')).alias("def_stmt"))
+
+
+def part_symbol_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol_types(symbol, type, arity): every part symbol (one-dot form) with its type
+    and an arity of ``p_size mod 3``."""
+    p = table(spark, sf_dir, "part")
+    sym = F.concat(_part_theory(F.col("p_partkey")), F.lit(".p"), F.col("p_partkey").cast("string"))
+    return p.select(sym.alias("symbol"), F.col("p_type").alias("type"), (F.col("p_size") % 3).alias("arity"))

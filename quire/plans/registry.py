@@ -36,6 +36,7 @@ def register(name: str, sql: str | None = None):
 def _load_all() -> None:
     # Importing the modules runs their @register decorators.
     from quire.plans import (  # noqa: F401
+        q_assemble,
         q_corpus,
         q_scoring,
     )
