@@ -38,6 +38,7 @@ def _load_all() -> None:
     from quire.plans import (  # noqa: F401
         q_assemble,
         q_corpus,
+        q_mixing,
         q_scoring,
     )
 
