@@ -170,3 +170,39 @@ def part_symbol_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     sym = F.concat(_part_theory(F.col("p_partkey")), F.lit(".p"), F.col("p_partkey").cast("string"))
     return p.select(sym.alias("symbol"), F.col("p_type").alias("type"), (F.col("p_size") % 3).alias("arity"))
+
+
+# --- prompt inputs: per order, the names / types / definitions of its parts ----
+
+def order_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """examples(row_id, symbols, types, defs, template, lemma_object, output_key) per
+    order: its parts' names, types and one-line definitions in line order; every
+    third order has one type fewer than symbols (zip stops at the shorter list);
+    even orders ask for the template as output, odd ones for the statement."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+    j = li.join(p, li.l_partkey == p.p_partkey)
+    items = j.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(
+        "l_linenumber", "l_partkey", "p_name", "p_type",
+        F.concat(F.lit("definition "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" = "), F.col("p_brand")).alias("d"),
+    ))).alias("it"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    t = o.join(items, o.o_orderkey == items.l_orderkey)
+    types = F.col("it.p_type")
+    return t.select(
+        F.col("o_orderkey").alias("row_id"),
+        F.col("it.p_name").alias("symbols"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.slice(types, 1, F.size(types) - 1)).otherwise(types).alias("types"),
+        F.col("it.d").alias("defs"),
+        F.concat(F.lit("?H1 ("), F.col("o_orderpriority"), F.lit(")")).alias("template"),
+        F.concat(F.col("o_orderstatus"), F.lit(" "), F.col("o_orderpriority")).alias("lemma_object"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit("template")).otherwise(F.lit("lemma_object")).alias("output_key"),
+    )
+
+
+def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, prompt, reply): every user turn with the assistant turn after it."""
+    c = table(spark, sf_dir, "conversations")
+    u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
+    a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    return u.join(a, ["conv_id", "turn"])

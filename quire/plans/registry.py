@@ -39,6 +39,7 @@ def _load_all() -> None:
         q_assemble,
         q_corpus,
         q_mixing,
+        q_prompts,
         q_scoring,
     )
 
