@@ -206,3 +206,55 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("prompt"))
     a = c.where(F.col("role") == "assistant").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
     return u.join(a, ["conv_id", "turn"])
+
+
+# --- terms from `part`, fillers from `nation` / `region` -------------------------
+# Every part gives one small statement ``c1 x = c2 ...`` over two constants named
+# after the words of its name; the part key picks the shape (under a binder, under
+# Trueprop, as a meta-equality) and the part size the arity of the second constant.
+
+def part_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.functions.terms import tok
+
+    p = table(spark, sf_dir, "part")
+    w1 = F.substring_index("p_name", " ", 1)
+    w2 = F.substring_index("p_name", " ", -1)
+    ar = F.col("p_size") % 3
+    m = F.col("p_partkey") % 4
+    app = tok("app", None, None)
+    t2 = F.when(ar == 0, F.lit("nat")).when(ar == 1, F.lit("nat => nat")).otherwise(F.lit("nat => nat => nat"))
+    c1 = tok("const", F.concat(F.lit("Part."), w1), "nat => nat")
+    c2 = tok("const", F.concat(F.lit("Part."), w2), t2)
+    x = F.when(m == 0, tok("bound", "0", "nat")).otherwise(tok("var", "x", "nat"))
+    y = tok("var", "y", "nat")
+    eq = tok("const", F.when(m == 2, F.lit("Pure.eq")).otherwise(F.lit("HOL.eq")), "nat => nat => bool")
+    rhs = (F.when(F.col("p_partkey") % 8 == 3, F.array(tok("const", "HOL.undefined", "nat")))
+           .when(ar == 0, F.array(c2)).when(ar == 1, F.array(app, c2, x)).otherwise(F.array(app, app, c2, x, y)))
+    body = F.concat(F.array(app, app, eq, app, c1, x), rhs)
+    trueprop = tok("const", "HOL.Trueprop", "bool => prop")
+    prefix = (F.when(m == 0, F.array(app, trueprop, app, tok("const", "HOL.All", "(nat => bool) => bool"), tok("abs", "x", "nat")))
+              .when(m == 2, F.array().cast(f"array<{_TOKEN}>")).otherwise(F.array(app, trueprop)))
+    name = F.concat(F.col("p_brand"), F.lit("."), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"),
+                    F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 13 == 0, F.lit("_def")).otherwise(F.lit("")))
+    return p.select(F.col("p_partkey").alias("term_id"), name.alias("name"), F.concat(prefix, body).alias("tokens"))
+
+
+_TOKEN = "struct<kind:string,name:string,type:string>"
+
+
+def nation_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbols(symbol, type, arity, sym_pos): nations as fillers, arity = key mod 3."""
+    n = table(spark, sf_dir, "nation")
+    ar = F.col("n_nationkey") % 3
+    typ = F.when(ar == 0, F.lit("nat")).when(ar == 1, F.lit("nat => nat")).otherwise(F.lit("nat => nat => nat"))
+    return n.select(F.concat(F.lit("Nation."), F.replace("n_name", F.lit(" "), F.lit("_"))).alias("symbol"), typ.alias("type"),
+                    ar.cast("int").alias("arity"), F.col("n_nationkey").cast("long").alias("sym_pos"))
+
+
+def region_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbols(symbol, type, arity, sym_pos): regions as fillers, arity = key mod 3."""
+    r = table(spark, sf_dir, "region")
+    ar = F.col("r_regionkey") % 3
+    typ = F.when(ar == 0, F.lit("nat")).when(ar == 1, F.lit("nat => nat")).otherwise(F.lit("nat => nat => nat"))
+    return r.select(F.concat(F.lit("Region."), F.replace("r_name", F.lit(" "), F.lit("_"))).alias("symbol"), typ.alias("type"),
+                    ar.cast("int").alias("arity"), F.col("r_regionkey").cast("long").alias("sym_pos"))

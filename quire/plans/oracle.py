@@ -166,3 +166,100 @@ def statements_cte(name: str = "st") -> str:
 def last_block_cte(src: str = "st", name: str = "lb") -> str:
     return (f"{name} AS (SELECT {src}.* FROM {src} JOIN (SELECT theory_file, max(block) AS block FROM {src} "
             f"GROUP BY theory_file) m USING (theory_file, block))")
+
+
+# --- terms (token lists of structs) -------------------------------------------
+
+def tk(kind: str, name: str = "NULL", typ: str = "NULL") -> str:
+    return f"{{'kind': '{kind}', 'name': CAST({name} AS VARCHAR), 'type': CAST({typ} AS VARCHAR)}}"
+
+
+KEEP = ["HOL.", "Pure.", "Set.Ball", "Set.Bex", "Orderings.ord_class.less", "Orderings.ord_class.less_eq",
+        "Orderings.ord_class.greater", "Orderings.ord_class.greater_eq", "Set.member", "Product_Type.Pair"]
+
+
+def keep_const(n: str) -> str:
+    return "(" + " OR ".join(f"starts_with({n}, '{p}')" for p in KEEP) + ")"
+
+
+def part_terms_cte(name: str = "pt") -> str:
+    app = tk("app")
+    c1 = tk("const", "'Part.' || w1", "'nat => nat'")
+    t2 = "CASE ar WHEN 0 THEN 'nat' WHEN 1 THEN 'nat => nat' ELSE 'nat => nat => nat' END"
+    c2 = tk("const", "'Part.' || w2", t2)
+    x = f"CASE WHEN m = 0 THEN {tk('bound', chr(39) + '0' + chr(39), chr(39) + 'nat' + chr(39))} ELSE {tk('var', chr(39) + 'x' + chr(39), chr(39) + 'nat' + chr(39))} END"
+    y = tk("var", "'y'", "'nat'")
+    eq = tk("const", "CASE WHEN m = 2 THEN 'Pure.eq' ELSE 'HOL.eq' END", "'nat => nat => bool'")
+    rhs = (f"CASE WHEN p_partkey % 8 = 3 THEN [{tk('const', chr(39) + 'HOL.undefined' + chr(39), chr(39) + 'nat' + chr(39))}] "
+           f"WHEN ar = 0 THEN [{c2}] WHEN ar = 1 THEN [{app}, {c2}, {x}] ELSE [{app}, {app}, {c2}, {x}, {y}] END")
+    body = f"[{app}, {app}, {eq}, {app}, {c1}, {x}] || {rhs}"
+    tp = tk("const", "'HOL.Trueprop'", "'bool => prop'")
+    prefix = (f"CASE WHEN m = 0 THEN [{app}, {tp}, {app}, {tk('const', chr(39) + 'HOL.All' + chr(39), chr(39) + '(nat => bool) => bool' + chr(39))}, "
+              f"{tk('abs', chr(39) + 'x' + chr(39), chr(39) + 'nat' + chr(39))}] WHEN m = 2 THEN [] ELSE [{app}, {tp}] END")
+    nm = ("p_brand || '.' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) || "
+          "CASE WHEN p_partkey % 13 = 0 THEN '_def' ELSE '' END")
+    return (f"{name} AS (SELECT p_partkey AS term_id, {nm} AS name, ({prefix}) || ({body}) AS tokens FROM "
+            f"(SELECT *, split_part(p_name, ' ', 1) AS w1, regexp_extract(p_name, '[^ ]*$') AS w2, "
+            f"p_size % 3 AS ar, p_partkey % 4 AS m FROM part))")
+
+
+def _rank(keys: str, k: str) -> str:
+    return (f"len(list_filter(list_slice({keys}, 1, list_position({keys}, {k})), "
+            f"lambda y, j: y IS NOT NULL AND list_position({keys}, y) = j))")
+
+
+def _nabs(ts: str, i: str) -> str:
+    return f"len(list_filter(list_slice({ts}, 1, {i} - 1), lambda q: q.kind = 'abs'))"
+
+
+def abstract(ts: str, poly: bool = False) -> str:
+    hole = f"(t.kind = 'const' AND NOT {keep_const('t.name')})"
+    hkey = "t.name" if poly else "concat_ws('::', t.name, t.type)"
+    hk = f"list_transform(ts, lambda t: CASE WHEN {hole} THEN {hkey} END)"
+    vk = "list_transform(ts, lambda t: CASE WHEN t.kind = 'var' THEN concat_ws('::', t.name, t.type) END)"
+    body = (f"list_transform(ts, lambda t, i: CASE "
+            f"WHEN {hole} THEN {tk('var', chr(39) + '?H' + chr(39) + ' || CAST(' + _rank('hk', 'hk[i]') + ' AS VARCHAR)', 't.type')} "
+            f"WHEN t.kind = 'var' THEN {tk('free', chr(39) + 'x_' + chr(39) + ' || CAST(' + _rank('vk', 'vk[i]') + ' AS VARCHAR)', 't.type')} "
+            f"WHEN t.kind = 'abs' THEN {tk('abs', chr(39) + 'y_' + chr(39) + ' || CAST(' + _nabs('ts', 'i') + ' AS VARCHAR)', 't.type')} "
+            f"ELSE t END)")
+    return let(ts, "ts", let(hk, "hk", let(vk, "vk", body)))
+
+
+def canon(ts: str, kind: str = "var", typed: bool = True) -> str:
+    k = f"list_transform(ts, lambda t: CASE WHEN t.kind = '{kind}' THEN concat_ws('::', t.name, t.type) END)"
+    body = (f"list_transform(ts, lambda t, i: CASE "
+            f"WHEN t.kind = '{kind}' THEN {tk('free', chr(39) + 'x_' + chr(39) + ' || CAST(' + _rank('ck', 'ck[i]') + ' AS VARCHAR)', 't.type')} "
+            f"WHEN t.kind = 'abs' THEN {tk('abs', chr(39) + 'y_' + chr(39) + ' || CAST(' + _nabs('ts', 'i') + ' AS VARCHAR)', 't.type')} "
+            f"ELSE t END)")
+    out = let(ts, "ts", let(k, "ck", body))
+    if not typed:
+        out = f"list_transform({out}, lambda t: {{'kind': t.kind, 'name': t.name, 'type': CAST(NULL AS VARCHAR)}})"
+    return out
+
+
+def render(ts: str) -> str:
+    return (f"array_to_string(list_transform({ts}, lambda t: CASE t.kind WHEN 'app' THEN '$' "
+            f"WHEN 'abs' THEN '%' || t.name || '.' WHEN 'bound' THEN 'B' || t.name ELSE t.name END), ' ')")
+
+
+def types_of(ts: str) -> str:
+    return f"array_to_string(list_transform({ts}, lambda t: coalesce(t.type, '-')), ',')"
+
+
+def strip_trueprop(ts: str) -> str:
+    return (f"CASE WHEN len({ts}) >= 2 AND {ts}[1].kind = 'app' AND {ts}[2].kind = 'const' AND {ts}[2].name = 'HOL.Trueprop' "
+            f"THEN list_slice({ts}, 3, len({ts})) ELSE {ts} END")
+
+
+def arity(typ: str) -> str:
+    t = f"regexp_replace({typ}, '\\([^()]*\\)', 'T', 'g')"
+    return f"CAST((length({t}) - length(replace({t}, '=>', ''))) / 2 AS INTEGER)"
+
+
+def holes(tpl: str) -> str:
+    """Distinct (hole, type) by first occurrence as a list of structs with arity."""
+    hs = f"list_filter({tpl}, lambda t: t.kind = 'var' AND starts_with(t.name, '?H'))"
+    pairs = "list_transform(hs, lambda t: {'hole': t.name, 'type': t.type})"
+    firsts = "list_filter(pr, lambda p, j: list_position(pr, p) = j)"
+    body = f"list_transform({firsts}, lambda p: {{'hole': p.hole, 'type': p.type, 'arity': {arity('p.type')}}})"
+    return let(hs, "hs", let(pairs, "pr", body))

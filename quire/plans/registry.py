@@ -40,6 +40,7 @@ def _load_all() -> None:
         q_corpus,
         q_mixing,
         q_prompts,
+        q_templates,
         q_scoring,
     )
 
