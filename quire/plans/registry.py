@@ -37,6 +37,7 @@ def _load_all() -> None:
     # Importing the modules runs their @register decorators.
     from quire.plans import (  # noqa: F401
         q_assemble,
+        q_batch,
         q_corpus,
         q_mixing,
         q_prompts,
