@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import statements as ST
+from quire.session import cut_lineage
 
 
 def _dots(c: Column) -> Column:
@@ -106,12 +107,18 @@ def symbol_types(lemmas: DataFrame, types: DataFrame, id_cols: list[str], symbol
     return per.select(*id_cols, F.col("t.type").alias("types"))
 
 
-def assemble_lemmas(templates: DataFrame, theorems: DataFrame, definitions: DataFrame) -> DataFrame:
+def assemble_lemmas(templates: DataFrame, theorems: DataFrame, definitions: DataFrame,
+                    materialize: bool = True) -> DataFrame:
     """P6 + X7/J3 + A2/J4 + J1/J2 + J5 + O6 + X16 -> the ``lemmas`` table.
 
-    ``defs`` is local definitions followed by used ones.
+    ``defs`` is local definitions followed by used ones.  The template table feeds
+    three branches (symbol lookup, file symbol sets, the lemma rows); with
+    ``materialize`` it is checkpointed once in the shared folder instead of being
+    recomputed per branch.
     """
     t = ST.drop_generated(templates, "lemma_name").withColumn("used_symbols", F.col("symbols"))
+    if materialize:
+        t = cut_lineage(t)
     ids = ["theory_file", "lemma_name"]
     used = dependent_definitions(t, definitions, ids)
     loc = local_symbols(t, local_symbol_sets(t))
