@@ -23,7 +23,7 @@ def corpus_scan(spark: SparkSession, root: str, suffix: str = ".thy") -> DataFra
     without the suffix.  Files are read whole (``wholetext``), one task per file
     split, in parallel."""
     df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}")
-          .option("wholetext", "true").text(root))
+          .text(root, wholetext=True))
     path = F.col("_metadata.file_path")
     marker = "/" + root.split("://", 1)[-1].strip("/") + "/"
     pos = F.locate(marker, path)
@@ -83,7 +83,7 @@ def predictions_list_file_load(spark: SparkSession, path: str, strategy: str) ->
     """S6 (raw form): a file holding one JSON list of candidate lists, aligned by
     position.  Each file is parsed whole and exploded with its position as
     ``row_id``; the list order is the row order."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     lists = F.from_json("value", "array<array<string>>")
     return raw.select(F.posexplode(lists).alias("row_id", "candidates")).select(
         F.col("row_id").cast("long").alias("row_id"), F.lit(strategy).alias("strategy"), "candidates")
