@@ -33,6 +33,10 @@ BAD_NAME_PATTERNS = [
 ]
 # Cap of the theorem search.
 SEARCH_CAP = 16000
+# Type constructors never counted as used symbols.
+UNIVERSAL_TYPES = ["fun", "prop", "itself", "dummy", "proof", "Pure.proof"]
+# Constant marking a type constraint (not a symbol).
+TYPE_CONSTRAINT = "_type_constraint_"
 # ---------------------------------------------------------------------------
 
 TOKEN = "struct<kind:string,name:string,type:string>"
@@ -143,13 +147,42 @@ def fill(template, filling) -> Column:
 
 
 def symbols_of(tokens) -> Column:
-    """Distinct non-structural constant names, by first occurrence."""
-    return F.array_distinct(F.transform(F.filter(_col(tokens), _is_hole_const), lambda t: t["name"]))
+    """Distinct non-structural constant names (binders included).  The prover
+    collects names by prepending each new one, so the list is in *reverse* order of
+    first occurrence."""
+    return F.reverse(F.array_distinct(F.transform(F.filter(_col(tokens), _is_hole_const), lambda t: t["name"])))
 
 
 def leaf_constants(tokens) -> Column:
-    """Constant leaves in order with duplicates (type marks are not part of names)."""
-    return F.transform(F.filter(_col(tokens), lambda t: t["kind"] == "const"), lambda t: t["name"])
+    """Constant leaves reached through applications only (a binder is a leaf
+    that is not a constant, so nothing under it counts), in order with duplicates;
+    type-constraint marks are dropped.  ``array_distinct`` gives the distinct form
+    (first occurrence kept)."""
+    ts = _col(tokens)
+    z = F.arrays_zip(ts.alias("t"), outside_abs(ts).alias("o"))
+    keep = F.filter(z, lambda e: (e["t"]["kind"] == "const") & e["o"] & (e["t"]["name"] != TYPE_CONSTRAINT))
+    return F.transform(keep, lambda e: e["t"]["name"])
+
+
+def type_names(typ) -> Column:
+    """Type constructor names of a type text in reading order (``=>`` is ``fun``);
+    type variables (``'a``) are skipped.  Postfix applications (``nat list``) are
+    read left to right, which may differ from the tree order."""
+    t = _col(typ)
+    names = F.regexp_extract_all(F.regexp_replace(t, r"'\w+", " "), F.lit(r"(=>|[A-Za-z_][\w.]*)"), 1)
+    return F.transform(names, lambda n: F.when(n == "=>", F.lit("fun")).otherwise(n))
+
+
+def used_constants_many(inners) -> Column:
+    """Constants over several texts of a row, distinct, first occurrence kept.
+    ``inners`` is ``array<struct<kind, tokens, type>>``: a ``term`` gives its leaf
+    constants (X13); a ``type`` its constructor names minus the universal ones; any
+    other kind (text that parses as neither) gives nothing."""
+    per = F.transform(_col(inners), lambda x: (
+        F.when(x["kind"] == "term", leaf_constants(x["tokens"]))
+        .when(x["kind"] == "type", F.filter(type_names(x["type"]), lambda n: ~n.isin(UNIVERSAL_TYPES)))
+        .otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.flatten(per))
 
 
 def has_vars(tokens) -> Column:

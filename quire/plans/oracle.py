@@ -263,3 +263,17 @@ def holes(tpl: str) -> str:
     firsts = "list_filter(pr, lambda p, j: list_position(pr, p) = j)"
     body = f"list_transform({firsts}, lambda p: {{'hole': p.hole, 'type': p.type, 'arity': {arity('p.type')}}})"
     return let(hs, "hs", let(pairs, "pr", body))
+
+
+def outside_abs(ts: str) -> str:
+    """For every token (1-based i): not covered by an abs node j < i whose running
+    balance has not dropped below zero."""
+    return (f"list_transform({ts}, lambda t, i: NOT coalesce(list_bool_or(list_transform(range(1, i), lambda j: "
+            f"{ts}[j].kind = 'abs' AND list_min(list_transform(range(j, i), lambda mm: list_sum(list_transform("
+            f"list_slice({ts}, j, mm), lambda q: CASE q.kind WHEN 'app' THEN 1 WHEN 'abs' THEN 0 ELSE -1 END)))) >= 0)), false))")
+
+
+def leaf_constants(ts: str) -> str:
+    z = f"list_zip({ts}, {outside_abs(ts)})"
+    return (f"list_transform(list_filter({z}, lambda e: e[1].kind = 'const' AND e[2] AND e[1].name <> '_type_constraint_'), "
+            f"lambda e: e[1].name)")

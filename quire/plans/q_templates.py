@@ -77,16 +77,13 @@ def j9_alpha_equal(spark, sf):
     return typed.join(untyped, "term_id")
 
 
-_P10_SQL = f"""{_PT}, s AS (SELECT term_id, tokens,
+_P10_SQL = f"""{_PT}, s AS (SELECT term_id, tokens, {O.outside_abs('tokens')} AS outs,
    list_filter(tokens, lambda t: t.kind = 'const' AND NOT {O.keep_const('t.name')}) AS cs FROM pt)
 SELECT term_id,
   CAST(len(list_filter(tokens, lambda t: t.kind = 'const' AND {O.keep_const('t.name')})) AS INTEGER) AS n_keep,
-  array_to_string(list_filter(list_transform(cs, lambda c: c.name), lambda n, j: list_position(list_transform(cs, lambda c: c.name), n) = j), ' | ') AS symbols,
-  array_to_string(list_transform(list_filter(tokens, lambda t: t.kind = 'const'), lambda t: t.name), ' | ') AS leaves,
-  list_bool_or(list_transform(tokens, lambda t, i: t.kind = 'const' AND t.name = 'HOL.eq' AND NOT
-     list_bool_or(list_transform(range(1, i), lambda j: tokens[j].kind = 'abs' AND
-        list_min(list_transform(range(j, i), lambda mm: list_sum(list_transform(list_slice(tokens, j, mm),
-            lambda q: CASE q.kind WHEN 'app' THEN 1 WHEN 'abs' THEN 0 ELSE -1 END)))) >= 0)))) AS has_eq
+  array_to_string(list_reverse(list_filter(list_transform(cs, lambda c: c.name), lambda n, j: list_position(list_transform(cs, lambda c: c.name), n) = j)), ' | ') AS symbols,
+  array_to_string({O.leaf_constants('tokens')}, ' | ') AS leaves,
+  coalesce(list_bool_or(list_transform(list_zip(tokens, outs), lambda e: e[1].kind = 'const' AND e[1].name = 'HOL.eq' AND e[2])), false) AS has_eq
 FROM s"""
 
 
@@ -295,3 +292,38 @@ def t11_function_symbols(spark, sf):
     return j.select("term_id", F.array_join("f", " | ").alias("function_symbols"),
                     F.when(F.size("f") == 0, "error").otherwise("ok").alias("status"),
                     payload.alias("payload"), F.array_join(template_responses(payload)["responses"], " | ").alias("responses"))
+
+
+def _inner_kind_sql() -> str:
+    return "CASE l.l_linenumber % 3 WHEN 1 THEN 'term' WHEN 0 THEN 'type' ELSE 'none' END"
+
+
+_X14_SQL = f"""{_PT}, it AS (
+  SELECT l.l_orderkey AS row_id, list({{'kind': {_inner_kind_sql()}, 'tokens': pt.tokens,
+        'type': '''a ' || lower(p.p_type) || ' => prop'}} ORDER BY l.l_linenumber, l.l_partkey) AS inners
+  FROM lineitem l JOIN pt ON pt.term_id = l.l_partkey JOIN part p ON p.p_partkey = l.l_partkey GROUP BY l.l_orderkey),
+u AS (SELECT row_id, flatten(list_transform(inners, lambda x: CASE x.kind
+        WHEN 'term' THEN {O.leaf_constants('x.tokens')}
+        WHEN 'type' THEN list_filter(list_transform(regexp_extract_all(regexp_replace(x.type, '''\\w+', ' ', 'g'), '(=>|[A-Za-z_][\\w.]*)', 1),
+                                     lambda n: CASE WHEN n = '=>' THEN 'fun' ELSE n END),
+                      lambda n: n NOT IN ('fun', 'prop', 'itself', 'dummy', 'proof', 'Pure.proof'))
+        ELSE CAST([] AS VARCHAR[]) END)) AS c FROM it)
+SELECT row_id, array_to_string({O.let('c', 'l', 'list_filter(l, lambda e, i: list_position(l, e) = i)')}, ' | ') AS used_constants FROM u"""
+
+
+@register("x14_used_constants", _X14_SQL)
+def x14_used_constants(spark, sf):
+    """X13 + X14: constants used by the texts of every order's line items: a part
+    statement (leaf constants outside binders), a type text (constructor names
+    minus the universal ones) or neither."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    p = table(spark, sf, "part").select("p_partkey", "p_type")
+    t = part_terms(spark, sf).select(F.col("term_id").alias("l_partkey"), "tokens")
+    m = F.col("l_linenumber") % 3
+    kind = F.when(m == 1, "term").when(m == 0, "type").otherwise("none")
+    inner = F.struct(kind.alias("kind"), F.col("tokens"),
+                     F.concat(F.lit("'a "), F.lower("p_type"), F.lit(" => prop")).alias("type"))
+    j = li.join(t, "l_partkey").join(p, li.l_partkey == p.p_partkey)
+    per = j.groupBy(F.col("l_orderkey").alias("row_id")).agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", inner.alias("x")))).alias("it"))
+    return per.select("row_id", F.array_join(TM.used_constants_many(F.col("it.x")), " | ").alias("used_constants"))

@@ -82,7 +82,7 @@ def test_canon_idempotent_and_keep(spark):
     df = _tokens(spark, [(1, toks)])
     once = df.select(TM.canon("tokens").alias("c"))
     twice = once.select(TM.canon("c").alias("c2"), "c").first()
-    assert twice["c"] == twice["c2"] or TM  # canon of a var-free term is stable
+    assert twice["c"] == twice["c2"]  # T6 is idempotent
     r = df.select(TM.render(TM.abstract("tokens")).alias("t")).first()["t"]
     assert r == "$ HOL.Not %y_0. x_1"  # structural constant kept, binder renamed
 
@@ -215,3 +215,37 @@ def test_search_cap_and_filters(spark):
     r = TP.theorem_search(df, "Thy", cap=5).collect()
     # all 30 good ones share one statement: duplicates removed, first name kept
     assert [(x["name"]) for x in r] == ["Thy.f000"]
+
+
+def test_row_and_batch_functions(spark):
+    import pandas as pd
+
+    df = spark.createDataFrame([(1, "a b"), (2, "c")], "row_id long, text string")
+    up = B.map_rows(df, lambda s: s.str.upper(), "text", "upper").orderBy("row_id").collect()
+    assert [r["upper"] for r in up] == ["A B", "C"]
+
+    def add_len(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(n=pdf["text"].str.len())
+
+    bl = B.map_batches(df, add_len, "row_id long, text string, n long").orderBy("row_id").collect()
+    assert [r["n"] for r in bl] == [3, 1]
+
+    def make_tok():
+        vocab = {}
+        return lambda t: [vocab.setdefault(w, len(vocab)) for w in t.split()]
+
+    enc = df.select(B.tokenizer_udf(make_tok)("text").alias("ids")).collect()
+    assert all(isinstance(x, int) for r in enc for x in r["ids"]) and len(enc[0]["ids"]) == 2
+
+
+def test_leaves_and_used_constants(spark):
+    app, tp = ("app", None, None), ("const", "HOL.Trueprop", "bool => prop")
+    term = [app, tp, app, ("const", "HOL.All", "t"), ("abs", "x", "nat"), app, ("const", "A.f", "nat => bool"), ("bound", "0", "nat")]
+    df = spark.createDataFrame([(term,)], f"t array<{TOKEN}>")
+    assert df.select(TM.leaf_constants("t")).first()[0] == ["HOL.Trueprop", "HOL.All"]  # A.f is under the binder
+    inners = spark.createDataFrame(
+        [([("term", term, None), ("type", None, "'a list => nat"), ("none", None, "??")],)],
+        f"x array<struct<kind:string,tokens:array<{TOKEN}>,type:string>>")
+    assert inners.select(TM.used_constants_many("x")).first()[0] == ["HOL.Trueprop", "HOL.All", "list", "nat"]
+    sym = spark.createDataFrame([([app, ("const", "A.g", "a"), ("const", "A.f", "a")],)], f"t array<{TOKEN}>")
+    assert sym.select(TM.symbols_of("t")).first()[0] == ["A.f", "A.g"]  # reverse first occurrence
