@@ -249,3 +249,17 @@ def test_leaves_and_used_constants(spark):
     assert inners.select(TM.used_constants_many("x")).first()[0] == ["HOL.Trueprop", "HOL.All", "list", "nat"]
     sym = spark.createDataFrame([([app, ("const", "A.g", "a"), ("const", "A.f", "a")],)], f"t array<{TOKEN}>")
     assert sym.select(TM.symbols_of("t")).first()[0] == ["A.f", "A.g"]  # reverse first occurrence
+
+
+def test_rows_basics(spark):
+    from quire.operators import rows as R
+
+    df = spark.createDataFrame([(i, f"t{i}", None if i % 2 else "v") for i in range(10)], "row_id long, a string, b string")
+    assert R.head(df, 3).count() == 3
+    assert R.skip_prefix(df, 4, when_config="hol-full").count() == 6
+    assert R.skip_prefix(df, 4, when_config="hol").count() == 10
+    assert R.not_null(df, "b").count() == 5
+    other = spark.createDataFrame([(1, "x")], "row_id long, c string")
+    out = R.ordered_projection(R.add_aligned_column(df, other, "c"), ["c", "row_id"])
+    assert out.columns[:2] == ["c", "row_id"] and out.where("c = 'x'").count() == 1
+    assert R.drop_columns(R.map_columns(df, {"d": F.upper("a")}), "a").columns == ["row_id", "b", "d"]
