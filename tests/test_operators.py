@@ -263,3 +263,14 @@ def test_rows_basics(spark):
     out = R.ordered_projection(R.add_aligned_column(df, other, "c"), ["c", "row_id"])
     assert out.columns[:2] == ["c", "row_id"] and out.where("c = 'x'").count() == 1
     assert R.drop_columns(R.map_columns(df, {"d": F.upper("a")}), "a").columns == ["row_id", "b", "d"]
+
+
+def test_fill_salted_path_same_result(spark):
+    """The sort-merge (salted) path for large filler lists gives the same fillings."""
+    tpl = TP.make_templates(_two_hole_template(spark))
+    a = TP.fill_rounds(tpl, _five_symbols(spark)).select(TP.F.to_json("filling").alias("f")).collect()
+    b = TP.fill_rounds(tpl, _five_symbols(spark), max_broadcast_symbols=0, salt=4).select(
+        TP.F.to_json("filling").alias("f")).collect()
+    assert sorted(r["f"] for r in a) == sorted(r["f"] for r in b) and len(a) == 25
+    c = TP.fill_rounds(tpl, _five_symbols(spark), distinct_symbols=True, multi=True, max_broadcast_symbols=0)
+    assert c.count() == 20
