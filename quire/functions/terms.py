@@ -78,6 +78,15 @@ def _first_rank(keys: Column, key: Column) -> Column:
     return F.array_position(F.array_distinct(F.filter(keys, lambda k: k.isNotNull())), key)
 
 
+def _distinct_keys(keys: Column) -> Column:
+    return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it in ``body`` (a one-element transform)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _binder_no(tokens: Column, i: Column) -> Column:
     """Preorder number of the binder at index ``i``: number of ``abs`` tokens before it."""
     return F.size(F.filter(F.slice(tokens, 1, i), lambda x: x["kind"] == "abs"))
@@ -90,12 +99,12 @@ def abstract(tokens, poly: bool = False) -> Column:
     ts = _col(tokens)
     hkey = lambda t: F.when(_is_hole_const(t), t["name"] if poly else F.concat_ws("::", t["name"], t["type"]))
     vkey = lambda t: F.when(t["kind"] == "var", F.concat_ws("::", t["name"], t["type"]))
-    hkeys, vkeys = F.transform(ts, hkey), F.transform(ts, vkey)
-    return F.transform(ts, lambda t, i: (
-        F.when(_is_hole_const(t), tok("var", F.concat(F.lit("?H"), _first_rank(hkeys, hkey(t)).cast("string")), t["type"]))
-        .when(t["kind"] == "var", tok("free", F.concat(F.lit("x_"), _first_rank(vkeys, vkey(t)).cast("string")), t["type"]))
+    both = F.struct(_distinct_keys(F.transform(ts, hkey)).alias("h"), _distinct_keys(F.transform(ts, vkey)).alias("v"))
+    return _let(both, lambda d: F.transform(ts, lambda t, i: (
+        F.when(_is_hole_const(t), tok("var", F.concat(F.lit("?H"), F.array_position(d["h"], hkey(t)).cast("string")), t["type"]))
+        .when(t["kind"] == "var", tok("free", F.concat(F.lit("x_"), F.array_position(d["v"], vkey(t)).cast("string")), t["type"]))
         .when(t["kind"] == "abs", tok("abs", F.concat(F.lit("y_"), _binder_no(ts, i).cast("string")), t["type"]))
-        .otherwise(t)))
+        .otherwise(t))))
 
 
 def canon(tokens, kind: str = "var", typed: bool = True) -> Column:
@@ -104,11 +113,10 @@ def canon(tokens, kind: str = "var", typed: bool = True) -> Column:
     (the untyped comparison)."""
     ts = _col(tokens)
     key = lambda t: F.when(t["kind"] == kind, F.concat_ws("::", t["name"], t["type"]))
-    keys = F.transform(ts, key)
-    out = F.transform(ts, lambda t, i: (
-        F.when(t["kind"] == kind, tok("free", F.concat(F.lit("x_"), _first_rank(keys, key(t)).cast("string")), t["type"]))
+    out = _let(_distinct_keys(F.transform(ts, key)), lambda d: F.transform(ts, lambda t, i: (
+        F.when(t["kind"] == kind, tok("free", F.concat(F.lit("x_"), F.array_position(d, key(t)).cast("string")), t["type"]))
         .when(t["kind"] == "abs", tok("abs", F.concat(F.lit("y_"), _binder_no(ts, i).cast("string")), t["type"]))
-        .otherwise(t)))
+        .otherwise(t))))
     if not typed:
         out = F.transform(out, lambda t: tok(t["kind"], t["name"], F.lit(None).cast("string")))
     return out

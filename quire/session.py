@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,10 +46,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "tbl") -> DataFrame:
+    """Cut lineage with a table written to the shared checkpoint folder.
+
+    The plan is computed once and written as Parquet under ``spark.checkpoint.dir``,
+    then read back: downstream stages (and task retries after an executor loss)
+    read the files instead of recomputing the plan.  ``DataFrame.checkpoint()``
+    would compute an uncached plan twice (once to count, once to write).
+    """
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
