@@ -132,6 +132,22 @@ def render(tokens) -> Column:
         .otherwise(t["name"]))), " ")
 
 
+def render_filled(rendered_template, filling, max_holes: int) -> Column:
+    """T3 of T8 without building the filled tokens: substitute every hole word
+    ``?Hk`` (k <= ``max_holes``) of a rendered template by its filling.  Equal to
+    ``render(fill(template, filling))``: a rendered hole is its name and a filled
+    hole renders as the symbol.  Plain (codegen) string replaces on a space-padded
+    text, done twice so that adjacent occurrences are both replaced."""
+    m = _col(filling)
+    x = F.concat(F.lit(" "), _col(rendered_template), F.lit(" "))
+    for k in range(1, max_holes + 1):
+        hole = f"?H{k}"
+        sym = F.coalesce(F.try_element_at(m, F.lit(hole)), F.lit(hole))
+        for _ in range(2):
+            x = F.replace(x, F.lit(f" {hole} "), F.concat(F.lit(" "), sym, F.lit(" ")))
+    return F.substring(x, F.lit(2), F.length(x) - 2)
+
+
 def holes(template) -> Column:
     """T4: distinct holes of a template with their type and arity, by first occurrence."""
     hs = F.filter(_col(template), lambda t: (t["kind"] == "var") & t["name"].startswith("?H"))

@@ -78,9 +78,15 @@ def _symbol_side(symbols: DataFrame, multi: bool, per_term: bool) -> DataFrame:
                      F.explode(_feasibility_class(F.col("arity"), multi, "symbol")).alias("fclass"))
 
 
+def materialize(templates: DataFrame) -> DataFrame:
+    """Write the template table once to the shared checkpoint folder and read it
+    back (every join round and output step reads it instead of recomputing it)."""
+    return cut_lineage(templates, "templates")
+
+
 def fill_rounds(templates: DataFrame, symbols: DataFrame, multi: bool = False, distinct_symbols: bool = False,
                 per_term: bool = False, max_broadcast_symbols: int = 100_000, salt: int = 16,
-                checkpoint_every: int = 4) -> DataFrame:
+                checkpoint_every: int = 4, carry: list[str] | None = None) -> DataFrame:
     """J13 (one feasible symbol per hole, all combinations, symbols may repeat) or
     J14 (``distinct_symbols``: distinct list positions across holes), one join per
     hole index, the template carried along.
@@ -91,13 +97,15 @@ def fill_rounds(templates: DataFrame, symbols: DataFrame, multi: bool = False, d
     map-side hash join with no shuffle; a larger one is sort-merge joined with the
     template side salted; per-term fillers (``term_id`` column) join on
     (term, class).  A template with no holes has one empty filling; a hole with no
-    feasible filler leaves its template without fillings.
+    feasible filler leaves its template without fillings.  ``carry`` names extra
+    per-template columns to keep on every filling.
     """
+    carry = list(carry or [])
     sy = _symbol_side(symbols, multi, per_term)
     small = (not per_term) and sy.count() <= max_broadcast_symbols  # checked bound before broadcasting
     if not per_term and not small:
         sy = sy.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
-    base = templates.select("term_id", "template", "holes", F.size("holes").alias("n_holes"))
+    base = templates.select("term_id", "template", "holes", *carry, F.size("holes").alias("n_holes"))
     max_h = base.agg(F.max("n_holes")).first()[0] or 0
     active = base.select("*", F.create_map().cast("map<string,string>").alias("filling"),
                          F.array().cast("array<long>").alias("used"))
@@ -115,13 +123,13 @@ def fill_rounds(templates: DataFrame, symbols: DataFrame, multi: bool = False, d
             step = cur.join(sy, ["fclass", "salt"])
         if distinct_symbols:
             step = step.where(~F.array_contains("used", F.col("sym_pos")))
-        active = step.select("term_id", "template", "holes", "n_holes",
+        active = step.select("term_id", "template", "holes", *carry, "n_holes",
                              F.map_concat("filling", F.create_map("hole", "symbol")).alias("filling"),
                              F.array_append("used", F.col("sym_pos")).alias("used"))
         if checkpoint_every and k % checkpoint_every == 0 and k < max_h:
             active = cut_lineage(active)
         done = done.unionByName(active.where(F.col("n_holes") == k))
-    return done.select("term_id", "template", "filling")
+    return done.select("term_id", "template", *carry, "filling")
 
 
 def fillings(templates: DataFrame, symbols: DataFrame, distinct_symbols: bool = False, multi: bool = False,
@@ -142,7 +150,7 @@ def candidates(templates: DataFrame, symbols: DataFrame, multi: bool = False, po
     executor recomputes nothing upstream of it.
     """
     if materialize:
-        templates = cut_lineage(templates.select("term_id", "template", "holes"))
+        templates = cut_lineage(templates.select("term_id", "template", "holes"), "templates")
     fl = fill_rounds(templates, symbols, multi=multi or poly, distinct_symbols=poly, per_term=per_term)
     return fl.select("term_id", "filling", TM.fill("template", "filling").alias("candidate"))
 

@@ -173,8 +173,14 @@ def _t9(spark, sf):
 
 @register("t9_candidates", _T9_SQL)
 def t9_candidates(spark, sf):
-    """T9 = P9 + J11 + J13 + T8: templates filled with nation symbols of equal arity."""
-    return _t9(spark, sf).select("term_id", _filling_text("filling").alias("filling"), TM.render("candidate").alias("candidate"))
+    """T9 = P9 + J11 + J13 + T8: templates filled with nation symbols of equal arity.
+    Each template is rendered once; its fillings substitute the hole words."""
+    tpl = TP.make_templates(_terms(spark, sf)).withColumn("rendered", TM.render("template"))
+    tpl = TP.materialize(tpl)
+    max_h = tpl.agg(F.max(F.size("holes"))).first()[0] or 0
+    fl = TP.fill_rounds(tpl, nation_symbols(spark, sf), carry=["rendered"])
+    out = fl.withColumn("candidate", TM.render_filled("rendered", "filling", max_h))
+    return out.select("term_id", _filling_text("filling").alias("filling"), "candidate")
 
 
 _J12_SQL = f"""{_PT}, {_tpl_cte()}, {_NATION}, {_fillings_sql('sy', _MULTI1, _MULTI2)}

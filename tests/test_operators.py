@@ -274,3 +274,18 @@ def test_fill_salted_path_same_result(spark):
     assert sorted(r["f"] for r in a) == sorted(r["f"] for r in b) and len(a) == 25
     c = TP.fill_rounds(tpl, _five_symbols(spark), distinct_symbols=True, multi=True, max_broadcast_symbols=0)
     assert c.count() == 20
+
+
+def test_render_filled_equals_render_of_fill(spark):
+    app = ("app", None, None)
+    toks = [app, app, ("const", "A.f", "a"), ("const", "A.g", "b"), ("const", "A.g", "b")]
+    toks += []
+    df = _tokens(spark, [(1, toks)])
+    t = df.select(TM.abstract("tokens").alias("template"))
+    fills = spark.createDataFrame([({"?H1": "S.x", "?H2": "S.y"},), ({"?H1": "S.z"},)], "filling map<string,string>")
+    j = t.crossJoin(fills)  # two fillings of one template (test fixture only)
+    rows = j.select(TM.render(TM.fill("template", "filling")).alias("a"),
+                    TM.render_filled(TM.render("template"), "filling", 10).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows) and rows[0]["a"] == "$ $ S.x S.y S.y"
+    h10 = spark.createDataFrame([("$ ?H1 ?H10 ?H1", {"?H1": "a", "?H10": "b"})], "r string, f map<string,string>")
+    assert h10.select(TM.render_filled("r", "f", 10)).first()[0] == "$ a b a"
