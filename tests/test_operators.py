@@ -279,11 +279,9 @@ def test_fill_salted_path_same_result(spark):
 def test_render_filled_equals_render_of_fill(spark):
     app = ("app", None, None)
     toks = [app, app, ("const", "A.f", "a"), ("const", "A.g", "b"), ("const", "A.g", "b")]
-    toks += []
-    df = _tokens(spark, [(1, toks)])
-    t = df.select(TM.abstract("tokens").alias("template"))
-    fills = spark.createDataFrame([({"?H1": "S.x", "?H2": "S.y"},), ({"?H1": "S.z"},)], "filling map<string,string>")
-    j = t.crossJoin(fills)  # two fillings of one template (test fixture only)
+    rows_in = [(toks, {"?H1": "S.x", "?H2": "S.y"}), (toks, {"?H1": "S.z"})]
+    df = spark.createDataFrame(rows_in, f"tokens array<{TOKEN}>, filling map<string,string>")
+    j = df.select(TM.abstract("tokens").alias("template"), "filling")
     rows = j.select(TM.render(TM.fill("template", "filling")).alias("a"),
                     TM.render_filled(TM.render("template"), "filling", 10).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in rows) and rows[0]["a"] == "$ $ S.x S.y S.y"
