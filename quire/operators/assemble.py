@@ -48,10 +48,11 @@ def definition_keys(symbol) -> tuple[Column, Column]:
 
 
 def dependent_definitions(lemmas: DataFrame, definitions: DataFrame, id_cols: list[str],
-                          symbols_col: str = "used_symbols") -> DataFrame:
+                          symbols_col: str = "used_symbols", all_rows: bool = True) -> DataFrame:
     """J1 + J2: definitions used by each lemma, in symbol order, duplicates kept,
     missing or empty ones skipped.  Returns ``id_cols + [used_defs]`` for every
-    lemma (an empty array when none is found)."""
+    lemma (an empty array when none is found); ``all_rows=False`` returns only the
+    lemmas with at least one hit (the caller's own left join fills the rest)."""
     ex = lemmas.select(*id_cols, F.posexplode(symbols_col).alias("spos", "symbol"))
     k1, k2 = definition_keys(F.col("symbol"))
     keys = F.filter(F.array(F.struct(F.lit(1).alias("prio"), k1.alias("key")),
@@ -66,6 +67,8 @@ def dependent_definitions(lemmas: DataFrame, definitions: DataFrame, id_cols: li
     # a key found with an empty definition stops the lookup, then is skipped
     texts = F.filter(F.transform(best, lambda e: e["def_stmt"]), lambda d: d.isNotNull() & (d != ""))
     found = per.select(*id_cols, texts.alias("used_defs"))
+    if not all_rows:
+        return found
     return (lemmas.select(*id_cols).join(found, id_cols, "left")
             .withColumn("used_defs", F.coalesce("used_defs", F.array().cast("array<string>"))))
 
@@ -120,14 +123,17 @@ def assemble_lemmas(templates: DataFrame, theorems: DataFrame, definitions: Data
     if materialize:
         t = cut_lineage(t)
     ids = ["theory_file", "lemma_name"]
-    used = dependent_definitions(t, definitions, ids)
-    loc = local_symbols(t, local_symbol_sets(t))
-    ldefs = local_definitions(definitions)
+    empty = F.array().cast("array<string>")
+    used = dependent_definitions(t, definitions, ids, all_rows=False)
+    # both per-file tables are joined first, so the lemma rows meet files once
+    per_file = local_symbol_sets(t).join(local_definitions(definitions), "theory_file", "full")
     out = (
-        theorem_command(loc, theorems)
+        theorem_command(t, theorems)
         .join(used, ids, "left")
-        .join(ldefs, "theory_file", "left")
-        .withColumn("local_defs", F.coalesce("local_defs", F.array().cast("array<string>")))
+        .join(per_file, "theory_file", "left")
+        .withColumn("used_defs", F.coalesce("used_defs", empty))
+        .withColumn("local_symbols", F.coalesce(F.array_except("file_symbols", "used_symbols"), empty))
+        .withColumn("local_defs", F.coalesce("local_defs", empty))
         .withColumn("defs", F.concat("local_defs", "used_defs"))
         .withColumn("template", T.one_line("template"))
     )
