@@ -148,3 +148,27 @@ def o4_array_ops(spark, sf):
         F.array_join(F.array_union(F.slice(s, 1, 2), F.slice(s, -2, 2)), " | ").alias("union_ends"),
         F.array_join(F.flatten(F.array(s, types)), " | ").alias("flattened"),
     )
+
+
+_S9_SQL = """SELECT p_partkey, concat_ws('-', split_part('hub/lemmas-' || replace(p_brand, '#', ''), '/', -1),
+    'cfg' || CAST(p_size % 3 AS VARCHAR), split_part('org/' || lower(p_type), '/', -1),
+    nullif(CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'v' || CAST(p_partkey % 5 AS VARCHAR) END, '')) AS run_id
+FROM part"""
+
+
+@register("s9_run_ids", _S9_SQL)
+def s9_run_ids(spark, sf):
+    """Run ids ``{dataset}-{config}-{model}[-{label}]`` (last path segment of each
+    name; an empty label is left out) for model/dataset/config/label columns made
+    from every part."""
+    from quire.functions.text import run_id
+
+    p = table(spark, sf, "part")
+    cols = p.select(
+        "p_partkey",
+        F.concat(F.lit("org/"), F.lower("p_type")).alias("model"),
+        F.concat(F.lit("hub/lemmas-"), F.replace("p_brand", F.lit("#"), F.lit(""))).alias("dataset"),
+        F.concat(F.lit("cfg"), (F.col("p_size") % 3).cast("string")).alias("config"),
+        F.when(F.col("p_partkey") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("v"), (F.col("p_partkey") % 5).cast("string"))).alias("label"),
+    )
+    return cols.select("p_partkey", run_id("model", "dataset", "config", "label").alias("run_id"))
