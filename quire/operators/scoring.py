@@ -133,9 +133,12 @@ def compare_two(examples: DataFrame, predictions: DataFrame, a: str, b: str, ref
     has an exact match (NULL counts as false).
     """
     ref = F.col(reference_col)
-    pa = predictions.where(F.col("strategy") == a).select("row_id", F.col("candidates").alias("ca"))
-    pb = predictions.where(F.col("strategy") == b).select("row_id", F.col("candidates").alias("cb"))
-    j = examples.select("row_id", reference_col).join(pa, "row_id", "left").join(pb, "row_id", "left")
+    # one pass over the predictions: both strategies of a row side by side (one
+    # partially aggregated group-by on row_id), then one join with the examples
+    pick = lambda s: F.first(F.when(F.col("strategy") == s, F.col("candidates")), ignorenulls=True)
+    both = (predictions.where(F.col("strategy").isin(a, b))
+            .groupBy("row_id").agg(pick(a).alias("ca"), pick(b).alias("cb")))
+    j = examples.select("row_id", reference_col).join(both, "row_id", "left")
     lev_a, lev_b = D.distances("ca", ref), D.distances("cb", ref)
     ham_a, ham_b = D.distances("ca", ref, D.hamming), D.distances("cb", ref, D.hamming)
     jac_a, jac_b = D.distances("ca", ref, D.jaccard), D.distances("cb", ref, D.jaccard)
