@@ -139,20 +139,23 @@ def compare_two(examples: DataFrame, predictions: DataFrame, a: str, b: str, ref
     both = (predictions.where(F.col("strategy").isin(a, b))
             .groupBy("row_id").agg(pick(a).alias("ca"), pick(b).alias("cb")))
     j = examples.select("row_id", reference_col).join(both, "row_id", "left")
-    lev_a, lev_b = D.distances("ca", ref), D.distances("cb", ref)
-    ham_a, ham_b = D.distances("ca", ref, D.hamming), D.distances("cb", ref, D.hamming)
-    jac_a, jac_b = D.distances("ca", ref, D.jaccard), D.distances("cb", ref, D.jaccard)
-    succ_a = F.exists(lev_a, lambda d: d == 0)
-    succ_b = F.exists(lev_b, lambda d: d == 0)
-    return j.select(
+    # each distance list is computed once as a column and then reused
+    d = j.select(
+        "row_id",
+        D.distances("ca", ref).alias("lev_a"), D.distances("cb", ref).alias("lev_b"),
+        D.distances("ca", ref, D.hamming).alias("ham_a"), D.distances("cb", ref, D.hamming).alias("ham_b"),
+        D.distances("ca", ref, D.jaccard).alias("jac_a"), D.distances("cb", ref, D.jaccard).alias("jac_b"),
+    )
+    lev_a, lev_b = F.col("lev_a"), F.col("lev_b")
+    return d.select(
         "row_id",
         lev_a.alias(f"{_n(a)}_levenshtein_list"),
         lev_b.alias(f"{_n(b)}_levenshtein_list"),
         F.least(F.array_min(lev_a), F.array_min(lev_b)).alias("min_levenshtein"),
-        F.least(F.array_min(ham_a), F.array_min(ham_b)).alias("min_hamming"),
-        F.greatest(F.array_max(jac_a), F.array_max(jac_b)).alias("max_jaccard"),
+        F.least(F.array_min("ham_a"), F.array_min("ham_b")).alias("min_hamming"),
+        F.greatest(F.array_max("jac_a"), F.array_max("jac_b")).alias("max_jaccard"),
         F.least(lev_a, lev_b).alias("min_levenshtein_list"),
-        any_of_two(succ_a, succ_b).alias("any_success"),
+        any_of_two(F.array_contains(lev_a, 0), F.array_contains(lev_b, 0)).alias("any_success"),
     )
 
 
