@@ -85,7 +85,7 @@ def j6_assemble_lemmas(spark, sf):
                     "template")
 
 
-_J2_SQL = _BASE + "SELECT theory_file, lemma_name, array_to_string(used_defs, ' | ') AS used_defs, len(used_defs) AS n_defs FROM lem"
+_J2_SQL = _BASE + "SELECT theory_file, lemma_name, array_to_string(used_defs, ' | ') AS used_defs, CAST(len(used_defs) AS INTEGER) AS n_defs FROM lem"
 
 
 @register("j2_dependent_definitions", _J2_SQL)
@@ -106,7 +106,7 @@ def a2_local_symbol_sets(spark, sf):
     return A.local_symbol_sets(t).select("theory_file", _j("file_symbols").alias("file_symbols"))
 
 
-_J5_SQL = _BASE + "SELECT theory_file, array_to_string(local_defs, ' | ') AS local_defs, len(local_defs) AS n_defs FROM ld"
+_J5_SQL = _BASE + "SELECT theory_file, array_to_string(local_defs, ' | ') AS local_defs, CAST(len(local_defs) AS INTEGER) AS n_defs FROM ld"
 
 
 @register("j5_local_definitions", _J5_SQL)

@@ -80,7 +80,7 @@ _A9_SQL = """WITH r AS (SELECT 'run' || CAST(user_id % 2 AS VARCHAR) AS run, val
 l AS (SELECT run, 'passes_generation' AS stage, passes_generation AS passed FROM r
       UNION ALL SELECT run, 'passes_syntax', passes_syntax FROM r
       UNION ALL SELECT run, 'passes_counterexample', passes_counterexample FROM r)
-SELECT run, stage, count_if(passed) AS n_pass, count_if(NOT passed) AS n_fail FROM l GROUP BY run, stage"""
+SELECT run, stage, CAST(count_if(passed) AS BIGINT) AS n_pass, CAST(count_if(NOT passed) AS BIGINT) AS n_fail FROM l GROUP BY run, stage"""
 
 
 @register("a9_stage_comparison", _A9_SQL)

@@ -96,7 +96,7 @@ def p6_drop_generated(spark, sf):
 _A10_SQL = f"""WITH {O.statements_cte()},
 runs AS (SELECT theory_file, block, count(CASE WHEN kind IN ('theorem', 'lemma') AND ({O.theorem_name('stmt')}) IS NOT NULL THEN 1 END) AS n
          FROM st GROUP BY theory_file, block)
-SELECT count_if(n > 0) AS n_with_data, count(*) AS n_all, count_if(n > 0) / count(*) AS ratio FROM runs"""
+SELECT CAST(count_if(n > 0) AS BIGINT) AS n_with_data, count(*) AS n_all, count_if(n > 0) / count(*) AS ratio FROM runs"""
 
 
 @register("a10_coverage", _A10_SQL)

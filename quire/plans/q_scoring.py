@@ -58,7 +58,7 @@ def e9_lemma_eval(spark, sf):
 
 
 _A6_SQL = f"""WITH e8 AS ({_E8_SQL})
-SELECT strategy, count_if(success) AS n_success, count(*) AS n_rows,
+SELECT strategy, CAST(count_if(success) AS BIGINT) AS n_success, count(*) AS n_rows,
        count_if(success) * 100.0::DOUBLE / count(*) AS pct_success
 FROM e8 GROUP BY strategy"""
 
@@ -84,7 +84,7 @@ def a7_row_results(spark, sf):
 
 
 _A7_SQL = f"""WITH e8 AS ({_E8_SQL}), r AS (SELECT row_id, bool_or(success) AS any_success FROM e8 GROUP BY row_id)
-SELECT count_if(any_success) AS n_any_success, count(*) AS n_rows,
+SELECT CAST(count_if(any_success) AS BIGINT) AS n_any_success, count(*) AS n_rows,
        count_if(any_success) * 100.0::DOUBLE / count(*) AS pct_any_success FROM r"""
 
 
@@ -139,7 +139,7 @@ def e10_best_of_two(spark, sf):
 
 
 _E3_SQL = f"""WITH {O.part_predictions_cte('template', 'pred')}
-SELECT row_id, strategy, s.slot AS slot,
+SELECT row_id, strategy, CAST(s.slot AS INTEGER) AS slot,
        {O.clean_term("split_part(s.c || chr(10) || 'tail', chr(10), 1)")} AS cleaned,
        CAST(length(split_part(s.c, '###end', 1)) AS INTEGER) AS n_chars
 FROM pred, unnest(list_transform(candidates, lambda c, i: {{'c': c, 'slot': i}})) AS u(s)"""

@@ -279,7 +279,7 @@ def a8_outcome_tally(spark, sf):
 _T11_SQL = f"""{_PT}, {_OWN_SQL}, fs AS (SELECT term_id, list(symbol ORDER BY sym_pos) FILTER (WHERE arity > 0) AS f FROM own GROUP BY term_id),
 j AS (SELECT pt.term_id, coalesce(fs.f, []) AS f FROM pt LEFT JOIN fs USING (term_id))
 SELECT term_id, array_to_string(f, ' | ') AS function_symbols, CASE WHEN len(f) = 0 THEN 'error' ELSE 'ok' END AS status,
-       to_json({{'function_names': f}}) AS payload,
+       CAST(to_json({{'function_names': f}}) AS VARCHAR) AS payload,
        array_to_string(list_transform(f, lambda n: 'Template for ' || n), ' | ') AS responses FROM j"""
 
 

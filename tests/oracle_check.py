@@ -43,6 +43,9 @@ def rows_of(cols, rows):
     return sorted(out, key=repr), [cols[i] for i in order]
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
     df = fn(spark, sf_dir)
@@ -51,6 +54,10 @@ def compare(spark, con, name, fn, sql, sf_dir):
     t1 = time.time()
     if sql is None:
         return f"ROWS  {name}: spark={len(srows)} ({t1 - t0:.1f}s, no oracle)"
+    dtypes = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    bad_types = [(c, t, dtypes.get(c)) for c, t in df.dtypes if SPARK_TO_DUCK.get(t, t) != dtypes.get(c)]
+    if bad_types:
+        return f"FAIL  {name}: column types differ (spark, duck): {bad_types}"
     res = con.execute(sql)
     dcols = [d[0] for d in res.description]
     drows = res.fetchall()
