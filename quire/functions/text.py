@@ -31,6 +31,32 @@ DEFINITION_KINDS = [
     "typedecl", "typedef", "type_synonym", "record", "inductive", "coinductive",
     "abbreviation", "class", "inductive_set", "consts",
 ]
+# Statement patterns, tried in this order; {cmd} is the command alternation.
+# Theorem names (X2): a quoted statement has no name; otherwise group 3.
+THEOREM_PATTERNS = [
+    r'{cmd}\s*"(.*)"',
+    r"{cmd}\s+(\(.*\)\s+)?([\w']+)\s*(\[.*\])?:(.*)",
+]
+# Definition names (X3): group 3 of the first four, group 1 of the last.
+DEFINITION_PATTERNS = [
+    r"{cmd}\s+(\(.*\)\s+)?([\w']+)\s*(\[.*\])?:",
+    r"{cmd}\s+(\(.*\)\s+)?([\w']+)\s*(\[.*\])?where",
+    r"{cmd}\s+(\(.*\)\s+)?([\w']+)\s*(\[.*\])?=",
+    r"{cmd}\s+(\(.*\)\s+)?([\w']+)\s*(\[.*\])?::",
+    r"datatype\s+'a\s+([\w']+)",
+]
+# Split of a statement into name and body (X4): named form, then plain form.
+LEMMA_PATTERNS = [
+    r"lemma (\S+)?\s*(\[\S*\])?:(.*)",
+    r"lemma\s*(.*)",
+]
+# Same for generated text that must end with the generation mark.
+GENERATED_PATTERNS = [
+    r"lemma (\S+)?\s*(\[\S*\])?:(.*)(\{EOS\})",
+    r"lemma\s*(.*)(\{EOS\})",
+]
+# A body in quotes: starts with a quote and has another on its first line.
+QUOTED_BODY = '^"[^\n]*"'
 # ---------------------------------------------------------------------------
 
 _WS = r"(?U)\s+"
@@ -93,9 +119,13 @@ def normalize_vars(c) -> Column:
 
 # --- statement names -------------------------------------------------------
 
-_THM_CMD = "(lemma|theorem)"
+_FLAGS = "(?sU)"  # DOTALL, and Unicode \w / \s as in Python 3 str patterns
+_THM_CMD = "(" + "|".join(THEOREM_KINDS[::-1]) + ")"
 _DEF_CMD = "(" + "|".join(DEFINITION_KINDS) + ")"
-_NAME = r"([\w']+)"
+
+
+def _pat(p: str, cmd: str = "") -> str:
+    return _FLAGS + p.replace("{cmd}", cmd)
 
 
 def theorem_name(c) -> Column:
@@ -106,8 +136,7 @@ def theorem_name(c) -> Column:
     ``lemma (in c) foo: "f (x) y: z"`` gives ``y``.
     """
     s = _col(c)
-    quoted = rf'(?sU){_THM_CMD}\s*"(.*)"'
-    named = rf"(?sU){_THM_CMD}\s+(\(.*\)\s+)?{_NAME}\s*(\[.*\])?:(.*)"
+    quoted, named = (_pat(p, _THM_CMD) for p in THEOREM_PATTERNS)
     return (
         F.when(s.rlike(quoted), F.lit(None).cast("string"))
         .when(s.rlike(named), F.regexp_extract(s, named, 3))
@@ -123,9 +152,9 @@ def definition_name(c) -> Column:
     ``definition foo :: nat`` hits ``:`` first.  A one-word input gives NULL.
     """
     s = _col(c)
-    head = rf"(?sU){_DEF_CMD}\s+(\(.*\)\s+)?{_NAME}\s*(\[.*\])?"
-    tries = [F.nullif(F.regexp_extract(s, head + end, 3), F.lit("")) for end in (":", "where", "=", "::")]
-    tries.append(F.nullif(F.regexp_extract(s, r"(?sU)datatype\s+'a\s+([\w']+)", 1), F.lit("")))
+    *heads, datatype = (_pat(p, _DEF_CMD) for p in DEFINITION_PATTERNS)
+    tries = [F.nullif(F.regexp_extract(s, p, 3), F.lit("")) for p in heads]
+    tries.append(F.nullif(F.regexp_extract(s, datatype, 1), F.lit("")))
     second = F.try_element_at(py_split_ws(s), F.lit(2))
     fallback = F.regexp_replace(second, r'^"+|"+\z', "")
     return F.coalesce(*tries, fallback)
@@ -135,37 +164,32 @@ def _unquote_body(body: Column) -> Column:
     """Strip, then drop first and last character when the body starts with a quote
     and has another quote on its first line (the test is not anchored at the end)."""
     b = py_strip(body)
-    return F.when(b.rlike('^"[^\n]*"'), F.substring(b, F.lit(2), F.length(b) - 2)).otherwise(b)
+    return F.when(b.rlike(QUOTED_BODY), F.substring(b, F.lit(2), F.length(b) - 2)).otherwise(b)
 
 
-def split_lemma(c) -> Column:
-    """Statement -> struct(name, body).  Name is ``\\S+`` (``foo[simp]:`` gives
-    ``foo[simp]``); unnamed statements give name NULL; non-lemmas give NULLs."""
-    s = _col(c)
-    named = r"(?sU)lemma (\S+)?\s*(\[\S*\])?:(.*)"
-    plain = r"(?sU)lemma\s*(.*)"
-    name = F.when(s.rlike(named), F.nullif(F.regexp_extract(s, named, 1), F.lit("")))
+def _name_and_body(s: Column, patterns: list[str], need: Column | None = None) -> Column:
+    named, plain = (_pat(p) for p in patterns)
+    ok = need if need is not None else F.lit(True)
+    name = F.when(ok & s.rlike(named), F.nullif(F.regexp_extract(s, named, 1), F.lit("")))
     body = (
-        F.when(s.rlike(named), _unquote_body(F.regexp_extract(s, named, 3)))
+        F.when(~ok, F.lit(None).cast("string"))
+        .when(s.rlike(named), _unquote_body(F.regexp_extract(s, named, 3)))
         .when(s.rlike(plain), _unquote_body(F.regexp_extract(s, plain, 1)))
     )
     return F.struct(name.alias("name"), body.alias("body"))
 
 
+def split_lemma(c) -> Column:
+    """Statement -> struct(name, body).  Name is ``\\S+`` (``foo[simp]:`` gives
+    ``foo[simp]``); unnamed statements give name NULL; non-lemmas give NULLs."""
+    return _name_and_body(_col(c), LEMMA_PATTERNS)
+
+
 def parse_generated(c) -> Column:
     """As X4 but the text must carry the ``{EOS}`` mark (else both NULL); the
     body ends at the last mark."""
     s = _col(c)
-    named = r"(?sU)lemma (\S+)?\s*(\[\S*\])?:(.*)(\{EOS\})"
-    plain = r"(?sU)lemma\s*(.*)(\{EOS\})"
-    has = s.contains(GEN_EOS_MARK)
-    name = F.when(has & s.rlike(named), F.nullif(F.regexp_extract(s, named, 1), F.lit("")))
-    body = (
-        F.when(~has, F.lit(None).cast("string"))
-        .when(s.rlike(named), _unquote_body(F.regexp_extract(s, named, 3)))
-        .when(s.rlike(plain), _unquote_body(F.regexp_extract(s, plain, 1)))
-    )
-    return F.struct(name.alias("name"), body.alias("body"))
+    return _name_and_body(s, GENERATED_PATTERNS, s.contains(GEN_EOS_MARK))
 
 
 # --- keys, paths and names ---------------------------------------------------
