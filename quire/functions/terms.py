@@ -73,11 +73,6 @@ def _is_hole_const(t: Column) -> Column:
     return (t["kind"] == "const") & ~keep_constant(t["name"])
 
 
-def _first_rank(keys: Column, key: Column) -> Column:
-    """1-based rank of ``key`` among the distinct non-NULL ``keys`` by first occurrence."""
-    return F.array_position(F.array_distinct(F.filter(keys, lambda k: k.isNotNull())), key)
-
-
 def _distinct_keys(keys: Column) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
 

@@ -50,26 +50,19 @@ def _feasibility_class(arity: Column, multi: bool, side: str) -> Column:
 
 
 def feasible_options(templates: DataFrame, symbols: DataFrame, multi: bool = False, per_term: bool = False,
-                     max_broadcast_symbols: int = 100_000, salt: int = 16) -> DataFrame:
-    """Every (term, hole index, hole) with each feasible symbol.
-
-    Symbols are filtered with P9 first (structural constants never fill a hole) and
-    numbered by their list position ``sym_pos`` (J14 needs distinct positions).
-    ``per_term`` symbols carry a ``term_id`` (each template has its own list).
-    """
+                     max_broadcast_symbols: int = 100_000) -> DataFrame:
+    """J11/J12 as a table: every (term, hole index, hole) with each feasible filler
+    (structural constants removed, P9).  ``fill_rounds`` applies the same test as
+    its join condition; this lists the options themselves."""
     hs = templates.select("term_id", F.posexplode("holes").alias("hole_idx", "h")).select(
-        "term_id", (F.col("hole_idx") + 1).alias("hole_idx"), F.col("h.hole").alias("hole"), F.col("h.arity").alias("arity"))
-    hs = hs.select("*", F.explode(_feasibility_class(F.col("arity"), multi, "hole")).alias("fclass"))
-    sy = symbols.where(~TM.keep_constant("symbol"))
-    sy = sy.select(*(["term_id"] if per_term else []), "symbol", "sym_pos",
-                   F.explode(_feasibility_class(F.col("arity"), multi, "symbol")).alias("fclass"))
+        "term_id", (F.col("hole_idx") + 1).alias("hole_idx"), F.col("h.hole").alias("hole"),
+        _feasibility_class(F.col("h.arity"), multi, "hole")[0].alias("fclass"))
+    sy = _symbol_side(symbols, multi, per_term)
     if per_term:
         return hs.join(sy, ["term_id", "fclass"]).drop("fclass")
     if sy.count() <= max_broadcast_symbols:  # checked bound before broadcasting
         return hs.join(F.broadcast(sy), "fclass").drop("fclass")
-    hs = hs.withColumn("salt", (F.xxhash64("term_id", "hole_idx") % salt + salt) % salt)
-    sy = sy.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
-    return hs.join(sy, ["fclass", "salt"]).drop("fclass", "salt")
+    return hs.join(sy, "fclass").drop("fclass")
 
 
 def _symbol_side(symbols: DataFrame, multi: bool, per_term: bool) -> DataFrame:

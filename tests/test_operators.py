@@ -287,3 +287,15 @@ def test_render_filled_equals_render_of_fill(spark):
     assert all(r["a"] == r["b"] for r in rows) and rows[0]["a"] == "$ $ S.x S.y S.y"
     h10 = spark.createDataFrame([("$ ?H1 ?H10 ?H1", {"?H1": "a", "?H10": "b"})], "r string, f map<string,string>")
     assert h10.select(TM.render_filled("r", "f", 10)).first()[0] == "$ a b a"
+
+
+def test_feasible_options_and_strategy_table(spark):
+    from quire.operators import scoring as S
+
+    tpl = TP.make_templates(_two_hole_template(spark))
+    sy = spark.createDataFrame([("L.f", "nat => nat", 1, 0), ("L.c", "nat", 0, 1), ("HOL.eq", "a => a => bool", 2, 2)],
+                               "symbol string, type string, arity int, sym_pos long")
+    exact = TP.feasible_options(tpl, sy).select("hole_idx", "symbol").collect()
+    assert sorted((r[0], r[1]) for r in exact) == [(1, "L.f"), (2, "L.f")]
+    st = S.strategy_table(spark).collect()
+    assert len(st) == 12 and st[0]["strategy"] == "greedy" and st[0]["k"] == 1 and st[2]["temperature"] == 0.1
