@@ -40,28 +40,63 @@ def stub_predictor(k: int = 2) -> Callable[[list[str]], list[list[str]]]:
     return predict
 
 
+class RowTimeout(Exception):
+    """A row ran past its time limit."""
+
+
+def _call_with_limit(fn, arg, seconds: float | None):
+    """Run ``fn(arg)``; with ``seconds``, raise RowTimeout when it runs longer (a
+    real-time alarm in the Python worker, which runs the function in its main
+    thread)."""
+    if not seconds:
+        return fn(arg)
+    import signal
+
+    def on_alarm(signum, frame):
+        raise RowTimeout(f"no result within {seconds}s")
+
+    old = signal.signal(signal.SIGALRM, on_alarm)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        return fn(arg)
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, old)
+
+
 def predict(df: DataFrame, make_predictor: Callable[[], Callable[[list[str]], list[list[str]]]],
-            prompt_col: str = "prompt", id_col: str = "row_id", partitions: int | None = None) -> DataFrame:
+            prompt_col: str = "prompt", id_col: str = "row_id", partitions: int | None = None,
+            row_timeout: float | None = None) -> DataFrame:
     """U3 + U6: k candidates per prompt over partitions.
 
     ``make_predictor`` is called once per task (load the model there).  A batch is
     predicted at once; when a batch fails, its rows are retried one by one so only
     the failing rows get ``status='error'`` (with the message) and empty candidates.
+    With ``row_timeout`` (seconds) rows are predicted one at a time and a row past
+    the limit gets ``status='timeout'`` (the original allowed 60 s per row).
     """
 
+    def one(model, p):
+        try:
+            return _call_with_limit(model, [p], row_timeout)[0], "ok", None
+        except RowTimeout as e:
+            return [], "timeout", str(e)
+        except Exception as e:  # noqa: BLE001 - a row's failure is data
+            return [], "error", f"{type(e).__name__}: {e}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make_predictor()
         for pdf in batches:
             prompts = pdf[prompt_col].fillna("").astype(str).tolist()
-            try:
-                cands, status, err = model(prompts), ["ok"] * len(prompts), [None] * len(prompts)
-            except Exception:  # fall back to rows to isolate the bad ones
-                cands, status, err = [], [], []
-                for p in prompts:
-                    try:
-                        cands.append(model([p])[0]), status.append("ok"), err.append(None)
-                    except Exception as e:  # noqa: BLE001 - a row's failure is data
-                        cands.append([]), status.append("error"), err.append(f"{type(e).__name__}: {e}")
+            rows = None
+            if not row_timeout:
+                try:
+                    rows = [(c, "ok", None) for c in model(prompts)]
+                except Exception:  # fall back to rows to isolate the bad ones
+                    rows = None
+            if rows is None:
+                rows = [one(model, p) for p in prompts]
+            cands, status, err = (list(x) for x in zip(*rows)) if rows else ([], [], [])
             yield pd.DataFrame({"row_id": pdf[id_col].astype("int64"), "candidates": cands, "status": status, "error": err})
 
     src = df.select(F.col(id_col), F.col(prompt_col))
@@ -97,10 +132,6 @@ def tokenizer_udf(make_tokenizer: Callable[[], Callable[[str], list[int]]]):
     return encode
 
 
-def _md5(c: Column) -> Column:
-    return F.md5(c)
-
-
 def fingerprint(*cols: str, df: DataFrame | None = None, ignore: tuple[str, ...] = ()) -> Column:
     """H1: md5 of ``{name: value}`` as the original computes it: md5 of the
     concatenated md5s of every key and value; NULL -> md5("unknown"); booleans as

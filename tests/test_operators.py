@@ -299,3 +299,18 @@ def test_feasible_options_and_strategy_table(spark):
     assert sorted((r[0], r[1]) for r in exact) == [(1, "L.f"), (2, "L.f")]
     st = S.strategy_table(spark).collect()
     assert len(st) == 12 and st[0]["strategy"] == "greedy" and st[0]["k"] == 1 and st[2]["temperature"] == 0.1
+
+
+def test_predictor_row_timeout(spark):
+    import time as _t
+
+    def make():
+        def slow(prompts):
+            if prompts[0] == "slow":
+                _t.sleep(5)
+            return [["ok " + p] for p in prompts]
+        return slow
+
+    df = spark.createDataFrame([(1, "fast"), (2, "slow"), (3, "also fast")], "row_id long, prompt string")
+    out = {r["row_id"]: r["status"] for r in B.predict(df, make, row_timeout=1.0).collect()}
+    assert out == {1: "ok", 2: "timeout", 3: "ok"}
