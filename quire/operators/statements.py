@@ -107,3 +107,10 @@ def coverage(runs: DataFrame, has_data=None, data_col: str = "data") -> DataFram
     has = has_data if has_data is not None else F.coalesce(F.size(data_col), F.lit(0)) > 0
     return runs.agg(F.count_if(has).alias("n_with_data"), F.count(F.lit(1)).alias("n_all"),
                     (F.count_if(has) / F.count(F.lit(1))).alias("ratio"))
+
+
+def run_extraction(theories: DataFrame, extraction_fn, data_col: str = "data") -> tuple[DataFrame, DataFrame]:
+    """U4: apply a pluggable extraction job to the theories (``df.transform``) and
+    report coverage (A10) of its results: runs whose ``data`` is non-empty."""
+    results = theories.transform(extraction_fn)
+    return results, coverage(results, data_col=data_col)

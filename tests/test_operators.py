@@ -314,3 +314,16 @@ def test_predictor_row_timeout(spark):
     df = spark.createDataFrame([(1, "fast"), (2, "slow"), (3, "also fast")], "row_id long, prompt string")
     out = {r["row_id"]: r["status"] for r in B.predict(df, make, row_timeout=1.0).collect()}
     assert out == {1: "ok", 2: "timeout", 3: "ok"}
+
+
+def test_run_extraction(spark):
+    th = spark.createDataFrame([("A", 'lemma a: "x"\n'), ("B", "text nothing")], "theory_file string, text string")
+
+    def extract(df):
+        st = ST.split_statements(df)
+        names = ST.kind_filter(st, ["lemma"]).groupBy("theory_file").agg(F.collect_list("stmt").alias("data"))
+        return df.select("theory_file").join(names, "theory_file", "left")
+
+    results, cov = ST.run_extraction(th, extract)
+    r = cov.first()
+    assert (r["n_with_data"], r["n_all"], r["ratio"]) == (1, 2, 0.5)

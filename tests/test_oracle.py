@@ -22,8 +22,17 @@ def test_every_query_has_oracle_or_is_listed():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    line = compare(spark, con, name, E.queries()[name], E.oracle_sql().get(name), SF)
+    built = {}
+
+    def fn(s, sf):
+        built["df"] = E.queries()[name](s, sf)
+        return built["df"]
+
+    line = compare(spark, con, name, fn, E.oracle_sql().get(name), SF)
     assert line.startswith("OK"), line
+    # plan shape: no Cartesian product and no nested-loop join
+    plan = built["df"]._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, plan
 
 
 def test_entry_smoke(spark):
