@@ -59,7 +59,9 @@ GENERATED_PATTERNS = [
 QUOTED_BODY = '^"[^\n]*"'
 # ---------------------------------------------------------------------------
 
-_WS = r"(?U)\s+"
+# Python's str whitespace: Java's Unicode \s plus the separators \x1c-\x1f
+_WS_CLASS = r"[\s\x1c-\x1f]"
+_WS = r"(?U)" + _WS_CLASS + "+"
 
 
 def _col(c) -> Column:
@@ -68,7 +70,7 @@ def _col(c) -> Column:
 
 def py_strip(c) -> Column:
     """Python ``str.strip()``: remove leading and trailing (Unicode) whitespace."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(_col(c), r"(?U)^" + _WS_CLASS + r"+|" + _WS_CLASS + r"+\z", "")
 
 
 def py_split_ws(c) -> Column:

@@ -14,7 +14,7 @@ def let(value_sql: str, name: str, body_sql: str) -> str:
 
 
 def strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{RE_S}+|{RE_S}+$', '', 'g')"
 
 
 def clean_term(x: str) -> str:
@@ -23,11 +23,11 @@ def clean_term(x: str) -> str:
     s = f"replace({s}, '( ?', '(?')"
     s = strip(s)
     s = f"replace({s}, '\\\\', '\\')"
-    return rf"regexp_replace({s}, '\s+', ' ', 'g')"
+    return f"regexp_replace({s}, '{RE_S}+', ' ', 'g')"
 
 
 def split_ws(x: str) -> str:
-    return rf"list_filter(string_split_regex({strip(x)}, '\s+'), lambda t: t <> '')"
+    return f"list_filter(string_split_regex({strip(x)}, '{RE_S}+'), lambda t: t <> '')"
 
 
 def normalize_vars(x: str) -> str:
@@ -88,8 +88,8 @@ def part_predictions_cte(task: str = "template", name: str = "pred") -> str:
 
 
 # --- regex classes matching Java's (?U) \s, \S and \w in RE2 syntax ----------
-RE_S = "[\\t\\n\\x0B\\f\\r\\x{85}\\pZ]"
-RE_NS = "[^\\t\\n\\x0B\\f\\r\\x{85}\\pZ]"
+RE_S = "[\\t\\n\\x0B\\f\\r\\x1c-\\x1f\\x{85}\\pZ]"
+RE_NS = "[^\\t\\n\\x0B\\f\\r\\x1c-\\x1f\\x{85}\\pZ]"
 RE_WCHARS = "\\pL\\p{Nl}\\p{Nd}\\pM\\p{Pc}"
 RE_NAME = "([" + RE_WCHARS + "'']+)"  # '' is a quote inside a SQL literal
 THM_CMD = "(lemma|theorem)"

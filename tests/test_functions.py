@@ -83,3 +83,9 @@ def test_distances(spark):
 def test_run_id(spark):
     df = spark.createDataFrame([("org/model", "org/data", "cfg", ""), ("m", "d", "c", "x")], "m string, d string, c string, l string")
     assert [r[0] for r in df.select(T.run_id("m", "d", "c", "l")).collect()] == ["data-cfg-model", "d-c-m-x"]
+
+
+def test_python_whitespace_semantics(spark):
+    # Python treats \x1c-\x1f and U+00A0 as whitespace in strip/split/\s
+    assert one(spark, T.clean_term, "\x1c a  b \x1f") == "a b"
+    assert one(spark, T.normalize_vars, "f\x1e?a") == "f ?x1"
