@@ -50,7 +50,7 @@ def _feasibility_class(arity: Column, multi: bool, side: str) -> Column:
 
 
 def feasible_options(templates: DataFrame, symbols: DataFrame, multi: bool = False, per_term: bool = False,
-                     max_broadcast_symbols: int = 100_000) -> DataFrame:
+                     max_broadcast_symbols: int = 100_000, salt: int = 16) -> DataFrame:
     """J11/J12 as a table: every (term, hole index, hole) with each feasible filler
     (structural constants removed, P9).  ``fill_rounds`` applies the same test as
     its join condition; this lists the options themselves."""
@@ -62,7 +62,10 @@ def feasible_options(templates: DataFrame, symbols: DataFrame, multi: bool = Fal
         return hs.join(sy, ["term_id", "fclass"]).drop("fclass")
     if sy.count() <= max_broadcast_symbols:  # checked bound before broadcasting
         return hs.join(F.broadcast(sy), "fclass").drop("fclass")
-    return hs.join(sy, "fclass").drop("fclass")
+    # a class key has a handful of values: salt the hole side, copy the fillers
+    hs = hs.withColumn("salt", (F.xxhash64("term_id", "hole_idx") % salt + salt) % salt)
+    sy = sy.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
+    return hs.join(sy, ["fclass", "salt"]).drop("fclass", "salt")
 
 
 def _symbol_side(symbols: DataFrame, multi: bool, per_term: bool) -> DataFrame:

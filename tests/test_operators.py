@@ -327,3 +327,10 @@ def test_run_extraction(spark):
     results, cov = ST.run_extraction(th, extract)
     r = cov.first()
     assert (r["n_with_data"], r["n_all"], r["ratio"]) == (1, 2, 0.5)
+
+
+def test_feasible_options_salted_path(spark):
+    tpl = TP.make_templates(_two_hole_template(spark))
+    a = TP.feasible_options(tpl, _five_symbols(spark)).count()
+    b = TP.feasible_options(tpl, _five_symbols(spark), max_broadcast_symbols=0, salt=3).count()
+    assert a == b == 10
