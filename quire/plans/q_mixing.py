@@ -91,3 +91,14 @@ def a12_dataset_sizes(spark, sf):
     for p in parts[1:]:
         allsets = allsets.unionByName(p)
     return M.dataset_sizes(allsets).select("source", "split", "n_rows")
+
+
+_W1_SQL = """SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) - 1 AS row_id FROM documents"""
+
+
+@register("w1_dense_index", _W1_SQL)
+def w1_dense_index(spark, sf):
+    """A dense 0-based row id in (source, doc_id) order, from one range-partitioned
+    sort and a per-partition offset table (no single-partition window)."""
+    d = table(spark, sf, "documents").select("doc_id", "source")
+    return M.dense_index(d, ["source", "doc_id"], "row_id").select("doc_id", "source", "row_id")

@@ -333,3 +333,21 @@ def x14_used_constants(spark, sf):
     per = j.groupBy(F.col("l_orderkey").alias("row_id")).agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", inner.alias("x")))).alias("it"))
     return per.select("row_id", F.array_join(TM.used_constants_many(F.col("it.x")), " | ").alias("used_constants"))
+
+
+_J11_SQL = f"""{_PT}, {_tpl_cte()}, {_NATION},
+h AS (SELECT term_id, u.e.hole AS hole, u.e.arity AS arity, u.e.i AS hole_idx FROM hl,
+      unnest(list_transform(hs, lambda x, i: {{'hole': x.hole, 'arity': x.arity, 'i': i}})) AS u(e))
+SELECT h.term_id, CAST(h.hole_idx AS INTEGER) AS hole_idx, h.hole, count(sy.symbol) AS n_options,
+       array_to_string(list_sort(list(sy.symbol)), ' | ') AS options
+FROM h JOIN sy ON sy.arity = h.arity GROUP BY h.term_id, h.hole_idx, h.hole"""
+
+
+@register("j11_feasible_options", _J11_SQL)
+def j11_feasible_options(spark, sf):
+    """The fillers of every hole of every template that pass the exact test
+    (equal argument counts, or both non-functions)."""
+    tpl = TP.make_templates(_terms(spark, sf))
+    o = TP.feasible_options(tpl, nation_symbols(spark, sf))
+    return o.groupBy("term_id", "hole_idx", "hole").agg(
+        F.count("symbol").alias("n_options"), F.array_join(F.sort_array(F.collect_list("symbol")), " | ").alias("options"))
