@@ -172,3 +172,23 @@ def s9_run_ids(spark, sf):
         F.when(F.col("p_partkey") % 2 == 0, F.lit("")).otherwise(F.concat(F.lit("v"), (F.col("p_partkey") % 5).cast("string"))).alias("label"),
     )
     return cols.select("p_partkey", run_id("model", "dataset", "config", "label").alias("run_id"))
+
+
+def _n_chars(s):
+    return s.fillna("").str.len().astype("int64")
+
+
+def _add_words(pdf):
+    return pdf.assign(n_words=pdf["text"].fillna("").str.split().str.len().astype("int64")).drop(columns=["text"])
+
+
+_U1_SQL = f"""SELECT doc_id, length(text) AS n_chars, CAST(len({O.usplit_ws('text')}) AS BIGINT) AS n_words FROM documents"""
+
+
+@register("u1_user_functions", _U1_SQL)
+def u1_user_functions(spark, sf):
+    """U1 (a vectorised user function per row: a pandas UDF) and U2 (a user function
+    per Arrow batch: mapInPandas) over every document's whole text."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    with_chars = B.map_rows(d, _n_chars, "text", "n_chars", "long")
+    return B.map_batches(with_chars, _add_words, "doc_id long, n_chars long, n_words long")
