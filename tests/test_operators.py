@@ -334,3 +334,16 @@ def test_feasible_options_salted_path(spark):
     a = TP.feasible_options(tpl, _five_symbols(spark)).count()
     b = TP.feasible_options(tpl, _five_symbols(spark), max_broadcast_symbols=0, salt=3).count()
     assert a == b == 10
+
+
+def test_scale_invariance_definition_order(spark):
+    """J2 keeps symbol order through the explode / join / regroup shuffles."""
+    defs = spark.createDataFrame([(f"T.f{i}", f"def {i}") for i in range(40)], "def_key string, def_stmt string")
+    lem = spark.createDataFrame(
+        [("T", f"l{j}", [f"T.f{(j * 7 + k) % 40}" + (".simps" if k % 2 else "") for k in range(12)]) for j in range(30)],
+        "theory_file string, lemma_name string, used_symbols array<string>")
+    ids = ["theory_file", "lemma_name"]
+    one = sorted(A.dependent_definitions(lem.coalesce(1), defs.coalesce(1), ids).collect())
+    many = sorted(A.dependent_definitions(lem.repartition(16), defs.repartition(16), ids).collect())
+    assert one == many
+    assert one[0]["used_defs"] == [f"def {(0 * 7 + k) % 40}" for k in range(12)]
