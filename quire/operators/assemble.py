@@ -55,18 +55,18 @@ def dependent_definitions(lemmas: DataFrame, definitions: DataFrame, id_cols: li
     lemmas with at least one hit (the caller's own left join fills the rest)."""
     ex = lemmas.select(*id_cols, F.posexplode(symbols_col).alias("spos", "symbol"))
     k1, k2 = definition_keys(F.col("symbol"))
-    keys = F.filter(F.array(F.struct(F.lit(1).alias("prio"), k1.alias("key")),
-                            F.struct(F.lit(2).alias("prio"), k2.alias("key"))), lambda e: e["key"].isNotNull())
-    probes = ex.select(*id_cols, "spos", F.explode(keys).alias("k")).select(*id_cols, "spos", "k.prio", F.col("k.key").alias("def_key"))
+    keys = F.array(F.struct(F.lit(1).alias("prio"), k1.alias("key")), F.struct(F.lit(2).alias("prio"), k2.alias("key")))
+    probes = (ex.select(*id_cols, "spos", F.explode(keys).alias("k"))
+              .select(*id_cols, "spos", "k.prio", F.col("k.key").alias("def_key")).where(F.col("def_key").isNotNull()))
     hits = probes.join(definitions.select("def_key", "def_stmt"), "def_key")
-    per = hits.groupBy(*id_cols).agg(F.collect_list(F.struct("spos", "prio", "def_stmt")).alias("h"))
-    best = F.filter(
-        F.array_sort("h"),
-        lambda e: (e["prio"] == 1) | ~F.exists("h", lambda x: (x["spos"] == e["spos"]) & (x["prio"] == 1)),
-    )
-    # a key found with an empty definition stops the lookup, then is skipped
-    texts = F.filter(F.transform(best, lambda e: e["def_stmt"]), lambda d: d.isNotNull() & (d != ""))
-    found = per.select(*id_cols, texts.alias("used_defs"))
+    # one shuffle by lemma; both aggregations below reuse that partitioning:
+    # per symbol the first key that exists wins (an empty definition still stops
+    # the lookup and is skipped after), then the lemma's list in symbol order
+    best = (hits.repartition(*id_cols)
+            .groupBy(*id_cols, "spos").agg(F.min_by("def_stmt", "prio").alias("def_stmt"))
+            .where(F.col("def_stmt").isNotNull() & (F.col("def_stmt") != "")))
+    per = best.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("spos", "def_stmt"))).alias("h"))
+    found = per.select(*id_cols, F.col("h.def_stmt").alias("used_defs"))
     if not all_rows:
         return found
     return (lemmas.select(*id_cols).join(found, id_cols, "left")
