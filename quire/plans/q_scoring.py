@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions import distance as D
 from quire.functions import text as T
 from quire.operators import scoring as S
 from quire.plans import oracle as O
