@@ -143,6 +143,15 @@ def render_filled(rendered_template, filling, max_holes: int) -> Column:
     return F.substring(x, F.lit(2), F.length(x) - 2)
 
 
+def filling_text(filling, max_holes: int) -> Column:
+    """A filling as ``?H1=sym,?H2=sym`` in sorted key order (as ``array_sort`` of its
+    entries would give), from plain map lookups for holes 1..``max_holes``."""
+    m = _col(filling)
+    keys = sorted(f"?H{k}" for k in range(1, max_holes + 1))
+    parts = [F.when(F.map_contains_key(m, F.lit(h)), F.concat(F.lit(h + "="), F.element_at(m, F.lit(h)))) for h in keys]
+    return F.concat_ws(",", *parts) if parts else F.lit("")
+
+
 def holes(template) -> Column:
     """T4: distinct holes of a template with their type and arity, by first occurrence."""
     hs = F.filter(_col(template), lambda t: (t["kind"] == "var") & t["name"].startswith("?H"))

@@ -180,7 +180,7 @@ def t9_candidates(spark, sf):
     max_h = tpl.agg(F.max(F.size("holes"))).first()[0] or 0
     fl = TP.fill_rounds(tpl, nation_symbols(spark, sf), carry=["rendered"])
     out = fl.withColumn("candidate", TM.render_filled("rendered", "filling", max_h))
-    return out.select("term_id", _filling_text("filling").alias("filling"), "candidate")
+    return out.select("term_id", TM.filling_text("filling", max_h).alias("filling"), "candidate")
 
 
 _J12_SQL = f"""{_PT}, {_tpl_cte()}, {_NATION}, {_fillings_sql('sy', _MULTI1, _MULTI2)}

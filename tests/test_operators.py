@@ -347,3 +347,10 @@ def test_scale_invariance_definition_order(spark):
     many = sorted(A.dependent_definitions(lem.repartition(16), defs.repartition(16), ids).collect())
     assert one == many
     assert one[0]["used_defs"] == [f"def {(0 * 7 + k) % 40}" for k in range(12)]
+
+
+def test_filling_text_matches_sorted_entries(spark):
+    df = spark.createDataFrame([({"?H1": "a", "?H10": "b", "?H2": "c"},), ({},)], "f map<string,string>")
+    sorted_entries = F.array_join(F.transform(F.array_sort(F.map_entries("f")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    rows = df.select(TM.filling_text("f", 10).alias("a"), sorted_entries.alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in rows) and rows[0]["a"] == "?H1=a,?H10=b,?H2=c"
