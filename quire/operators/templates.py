@@ -105,27 +105,31 @@ def fill_rounds(templates: DataFrame, symbols: DataFrame, multi: bool = False, d
     max_h = base.agg(F.max("n_holes")).first()[0] or 0
     active = base.select("*", F.create_map().cast("map<string,string>").alias("filling"),
                          F.array().cast("array<long>").alias("used"))
-    done = active.where(F.col("n_holes") == 0)
     for k in range(1, max_h + 1):
-        hole = F.col("holes")[k - 1]
-        cur = active.where(F.col("n_holes") >= k).withColumn("hole", hole["hole"]).withColumn(
-            "fclass", _feasibility_class(hole["arity"], multi, "hole")[0])
+        # templates with fewer holes get a NULL class: the left join passes them
+        # through unchanged, so every round reads the previous one exactly once
+        hole = F.try_element_at("holes", F.lit(k))  # NULL past the last hole
+        has_k = F.col("n_holes") >= k
+        cur = active.withColumn("hole", F.when(has_k, hole["hole"])).withColumn(
+            "fclass", F.when(has_k, _feasibility_class(hole["arity"], multi, "hole")[0]))
         if per_term:
-            step = cur.join(sy, ["term_id", "fclass"])
+            step = cur.join(sy, ["term_id", "fclass"], "left")
         elif small:
-            step = cur.join(F.broadcast(sy), "fclass")
+            step = cur.join(F.broadcast(sy), "fclass", "left")
         else:
             cur = cur.withColumn("salt", (F.xxhash64("term_id", F.col("filling").cast("string")) % salt + salt) % salt)
-            step = cur.join(sy, ["fclass", "salt"])
+            step = cur.join(sy, ["fclass", "salt"], "left")
+        filled = F.col("symbol").isNotNull()
+        step = step.where(~has_k | filled)  # a hole without a feasible filler drops its template
         if distinct_symbols:
-            step = step.where(~F.array_contains("used", F.col("sym_pos")))
-        active = step.select("term_id", "template", "holes", *carry, "n_holes",
-                             F.map_concat("filling", F.create_map("hole", "symbol")).alias("filling"),
-                             F.array_append("used", F.col("sym_pos")).alias("used"))
+            step = step.where(~filled | ~F.array_contains("used", F.col("sym_pos")))
+        active = step.select(
+            "term_id", "template", "holes", *carry, "n_holes",
+            F.when(filled, F.map_concat("filling", F.create_map("hole", "symbol"))).otherwise(F.col("filling")).alias("filling"),
+            F.when(filled, F.array_append("used", F.col("sym_pos"))).otherwise(F.col("used")).alias("used"))
         if checkpoint_every and k % checkpoint_every == 0 and k < max_h:
-            active = cut_lineage(active)
-        done = done.unionByName(active.where(F.col("n_holes") == k))
-    return done.select("term_id", "template", *carry, "filling")
+            active = cut_lineage(active, "fillings")
+    return active.select("term_id", "template", *carry, "filling")
 
 
 def fillings(templates: DataFrame, symbols: DataFrame, distinct_symbols: bool = False, multi: bool = False,
