@@ -157,11 +157,6 @@ def _tpl_cte(poly: bool = False) -> str:
             f"hl AS (SELECT term_id, template, {O.holes('template')} AS hs FROM tpl)")
 
 
-def _filling_text(c):
-    entries = F.array_sort(F.map_entries(c))
-    return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
-
-
 _T9_SQL = f"""{_PT}, {_tpl_cte()}, {_NATION}, {_fillings_sql('sy', _EXACT1, _EXACT2)}
 SELECT term_id, coalesce('?H1=' || s1, '') || coalesce(',?H2=' || s2, '') AS filling, {O.render(_fill_sql('template'))} AS candidate FROM f"""
 
@@ -203,9 +198,10 @@ SELECT term_id, coalesce('?H1=' || s1, '') || coalesce(',?H2=' || s2, '') AS fil
 @register("j14_fill_permutations", _J14_SQL)
 def j14_fill_permutations(spark, sf):
     """J14 (poly): distinct region symbols over the holes, multi feasibility per position."""
-    tpl = TP.make_templates(_terms(spark, sf), poly=True)
-    c = TP.candidates(tpl, region_symbols(spark, sf), poly=True)
-    return c.select("term_id", _filling_text("filling").alias("filling"), TM.render("candidate").alias("candidate"))
+    tpl = TP.materialize(TP.make_templates(_terms(spark, sf), poly=True))
+    max_h = tpl.agg(F.max(F.size("holes"))).first()[0] or 0
+    c = TP.candidates(tpl, region_symbols(spark, sf), poly=True, materialize=False)
+    return c.select("term_id", TM.filling_text("filling", max_h).alias("filling"), TM.render("candidate").alias("candidate"))
 
 
 _T10_SQL = f"""{_PT}, {_tpl_cte()}, {_NATION}, {_fillings_sql('sy', _EXACT1, _EXACT2)},
