@@ -192,3 +192,32 @@ def u1_user_functions(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     with_chars = B.map_rows(d, _n_chars, "text", "n_chars", "long")
     return B.map_batches(with_chars, _add_words, "doc_id long, n_chars long, n_words long")
+
+
+VOCAB = 50000
+
+
+def _md5_tokenizer():
+    """Whitespace tokens to ids: the first 32 bits of the token's md5, modulo the
+    vocabulary size (deterministic on every worker, no vocabulary file)."""
+    import hashlib
+
+    return lambda text: [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % VOCAB for t in text.split()]
+
+
+_U7_SQL = f"""SELECT conv_id, turn, CAST(len(ids) AS INTEGER) AS n_ids, array_to_string(list_slice(ids, 1, 8), ' ') AS first_ids,
+  CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS id_sum
+FROM (SELECT conv_id, turn, list_transform({O.usplit_ws('text')},
+        lambda t: CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % {VOCAB} AS INTEGER)) AS ids
+      FROM conversations WHERE role = 'user')"""
+
+
+@register("u7_tokenize", _U7_SQL)
+def u7_tokenize(spark, sf):
+    """A pluggable tokenizer built once per worker, run as a pandas UDF over every
+    user turn's whole text."""
+    c = table(spark, sf, "conversations").where(F.col("role") == "user")
+    ids = c.select("conv_id", "turn", B.tokenizer_udf(_md5_tokenizer)("text").alias("ids"))
+    return ids.select("conv_id", "turn", F.size("ids").alias("n_ids"),
+                      F.array_join(F.slice("ids", 1, 8), " ").alias("first_ids"),
+                      F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
