@@ -354,3 +354,17 @@ def test_filling_text_matches_sorted_entries(spark):
     sorted_entries = F.array_join(F.transform(F.array_sort(F.map_entries("f")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     rows = df.select(TM.filling_text("f", 10).alias("a"), sorted_entries.alias("b")).collect()
     assert all(r["a"] == r["b"] for r in rows) and rows[0]["a"] == "?H1=a,?H10=b,?H2=c"
+
+
+def test_split_statements_edges(spark):
+    text = ("(* header *)\n"
+            "lemmas foo = bar\n"
+            "  lemma baz: \"x\"\n"
+            "inductive_set S where \"a : S\"\n"
+            "inductive P where \"P 0\"\n"
+            "lemmaX is not a command\n")
+    th = spark.createDataFrame([("T", text)], "theory_file string, text string")
+    rows = ST.split_statements(th).orderBy("pos").collect()
+    assert [(r["pos"], r["kind"]) for r in rows] == [(0, None), (1, "lemmas"), (2, "lemma"), (3, "inductive_set"), (4, "inductive")]
+    assert rows[4]["stmt"].endswith("lemmaX is not a command\n")  # not a command: stays in the previous span
+    assert "".join(r["stmt"] for r in rows) == text  # spans cover the whole text
