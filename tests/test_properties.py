@@ -81,3 +81,27 @@ def test_fill_counts_are_products(spark):
             assert TP.candidates(tpl, sy).count() == n ** holes
             want = math.perm(n, holes) if n >= holes else 0
             assert TP.candidates(tpl, sy, poly=True).count() == want
+
+
+def _longest_first_loop(la, lb, max_len):
+    """Remove one token at a time from the longer sequence (the second on ties)."""
+    while la + lb > max_len:
+        if la > lb:
+            la -= 1
+        else:
+            lb -= 1
+    return la, lb
+
+
+def test_longest_first_closed_form(spark):
+    from quire.functions import prompts as P
+
+    cases = [(la, lb, m) for la in range(0, 13) for lb in range(0, 13) for m in (0, 1, 5, 8, 13, 30)]
+    df = spark.createDataFrame(cases, "la int, lb int, m int")
+    got = {}
+    for m in (0, 1, 5, 8, 13, 30):
+        fa, fb = P.longest_first_sizes(F.col("la"), F.col("lb"), m)
+        for r in df.where(F.col("m") == m).select("la", "lb", fa.alias("fa"), fb.alias("fb")).collect():
+            got[(r["la"], r["lb"], m)] = (r["fa"], r["fb"])
+    bad = [(c, got[c], _longest_first_loop(*c)) for c in cases if got[c] != _longest_first_loop(*c)]
+    assert not bad, bad[:5]
