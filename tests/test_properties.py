@@ -105,3 +105,37 @@ def test_longest_first_closed_form(spark):
             got[(r["la"], r["lb"], m)] = (r["fa"], r["fb"])
     bad = [(c, got[c], _longest_first_loop(*c)) for c in cases if got[c] != _longest_first_loop(*c)]
     assert not bad, bad[:5]
+
+
+def _lookup_rule(symbol, defs):
+    """J1 as stated: one dot -> exact key; two dots -> without the last segment,
+    else (ending in _class) without those 6 characters; other dot counts -> none."""
+    n = symbol.count(".")
+    if n == 1:
+        return defs.get(symbol)
+    if n == 2:
+        head = symbol.rsplit(".", 1)[0]
+        if head in defs:
+            return defs[head]
+        if head.endswith("_class") and head[:-6] in defs:
+            return defs[head[:-6]]
+    return None
+
+
+def test_definition_lookup_rule(spark):
+    from quire.operators import assemble as A
+
+    rnd = random.Random(13)
+    defs = {f"T{i}.f{j}": ("" if (i + j) % 9 == 0 else f"def {i}.{j}") for i in range(4) for j in range(6)}
+    forms = [lambda i, j: f"T{i}.f{j}", lambda i, j: f"T{i}.f{j}.simps", lambda i, j: f"T{i}.f{j}_class.x",
+             lambda i, j: f"f{j}", lambda i, j: f"T{i}.f{j}.a.b", lambda i, j: f"T{i}.g{j}"]
+    lemmas = []
+    for n in range(60):
+        syms = [rnd.choice(forms)(rnd.randrange(5), rnd.randrange(7)) for _ in range(rnd.randint(0, 8))]
+        lemmas.append(("T", f"l{n}", syms))
+    ldf = spark.createDataFrame(lemmas, "theory_file string, lemma_name string, used_symbols array<string>")
+    ddf = spark.createDataFrame(list(defs.items()), "def_key string, def_stmt string")
+    got = {r["lemma_name"]: r["used_defs"] for r in A.dependent_definitions(ldf, ddf, ["theory_file", "lemma_name"]).collect()}
+    for _, name, syms in lemmas:
+        want = [d for d in (_lookup_rule(s, defs) for s in syms) if d]
+        assert got[name] == want, (name, syms, got[name], want)
