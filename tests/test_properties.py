@@ -139,3 +139,28 @@ def test_definition_lookup_rule(spark):
     for _, name, syms in lemmas:
         want = [d for d in (_lookup_rule(s, defs) for s in syms) if d]
         assert got[name] == want, (name, syms, got[name], want)
+
+
+def test_distances_equal_stated_rules(spark):
+    from collections import Counter
+    from itertools import zip_longest
+
+    def ham(a, b):
+        return sum(x != y for x, y in zip_longest(a, b))
+
+    def jac(a, b):
+        if a == b:
+            return 1.0
+        if not a or not b:
+            return 0.0
+        ca, cb = Counter(a), Counter(b)
+        return sum((ca & cb).values()) / sum((ca | cb).values())
+
+    rnd = random.Random(21)
+    pairs = [("".join(rnd.choice("abc ?x") for _ in range(rnd.randint(0, 9))),
+              "".join(rnd.choice("abc ?x") for _ in range(rnd.randint(0, 9)))) for _ in range(250)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    rows = df.select("a", "b", D.hamming("a", "b").alias("h"), D.jaccard("a", "b").alias("j")).collect()
+    for r in rows:
+        assert r["h"] == ham(r["a"], r["b"]), (r["a"], r["b"])
+        assert abs(r["j"] - jac(r["a"], r["b"])) < 1e-12, (r["a"], r["b"])
