@@ -47,7 +47,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(pick(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+    return warc.round_trip(pick(table(spark, sf_dir, "pages"), "page_id", "url", "html"), at_rest=True)
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

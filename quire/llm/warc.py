@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.llm.common import stored
 from quire.session import checkpoint_dir, cut_lineage
 
 #: Fixed values of the formats.
@@ -74,7 +75,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def plan_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to) of a table (page_id, url, html)."""
+    """(page_id, url, payload, digest, refers_to) of a table (page_id, url, html) at rest, whose rows
+    get the same numbers whenever they are read."""
     p = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("row", F.monotonically_increasing_id())
     p = p.withColumn("digest", F.sha2("payload", 256)).withColumn("large", F.length("payload") >= least)
     known = F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "row")
@@ -227,17 +229,18 @@ def read_records(parts: DataFrame) -> DataFrame:
     return parts.select("path", "bytes", "start", "end").mapInArrow(run, schema)
 
 
-def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, range_bytes: int = RANGE_BYTES, at_rest: bool = False) -> DataFrame:
     """Writes a table (page_id, url, html) as archives in the shared folder and reads them back:
     (page_id, record_type, payload_bytes, payload_digest, refers_to).
 
     Digest and size of a response are taken from the payload that was read; a revisit's are those
-    of the response that it refers to, which must state the same digest.
+    of the response that it refers to, which must state the same digest.  Rows that don't come
+    straight from files (``at_rest``) are written first, so that their numbers can't change.
     """
     spark: SparkSession = pages.sparkSession
     folder = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
-    manifest = write_archives(plan_records(pages), folder, archive_bytes)
+    manifest = write_archives(plan_records(pages if at_rest else stored(pages, "warc-pages")), folder, archive_bytes)
     read = cut_lineage(read_records(ranges(manifest, range_bytes)).select("page_id", "record_type", "digest", "refers_to", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")), "warc-read")
     responses = read.where("record_type = 'response'")
     targets = responses.select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("digest"), "payload_bytes", "payload_digest").dropDuplicates(["refers_to", "digest"])
