@@ -31,8 +31,6 @@ BAD_NAME_PATTERNS = [
     "*nitpick*", "*Nitpick*", "*full_exhaustive*", "*_def*", "Enum.finite*",
     "*Quickcheck*", "ATP*", "*Nunchaku*", "*Code*", "*BNF*", "*SMT*",
 ]
-# Cap of the theorem search.
-SEARCH_CAP = 16000
 # Type constructors never counted as used symbols.
 UNIVERSAL_TYPES = ["fun", "prop", "itself", "dummy", "proof", "Pure.proof"]
 # Constant marking a type constraint (not a symbol).
@@ -64,9 +62,14 @@ def keep_constant(name) -> Column:
 
 
 def type_arity(typ) -> Column:
-    """Number of top-level argument types of ``a => b => c`` (0 for non-functions)."""
-    t = F.regexp_replace(_col(typ), r"\([^()]*\)", "T")
-    return ((F.length(t) - F.length(F.replace(t, F.lit("=>"), F.lit("")))) / 2).cast("int")
+    """Number of top-level argument types of ``a => b => c`` (0 for non-functions): the arrows
+    outside all brackets."""
+    marks = F.regexp_extract_all(_col(typ), F.lit(r"(\(|\)|=>)"), 1)
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"))
+    step = lambda a, m: F.struct(
+        (a["depth"] + F.when(m == "(", 1).when(m == ")", -1).otherwise(0)).alias("depth"),
+        (a["n"] + F.when((m == "=>") & (a["depth"] == 0), 1).otherwise(0)).alias("n"))
+    return F.aggregate(marks, start, step, lambda a: a["n"])
 
 
 def _is_hole_const(t: Column) -> Column:
@@ -152,11 +155,25 @@ def filling_text(filling, max_holes: int) -> Column:
     return F.concat_ws(",", *parts) if parts else F.lit("")
 
 
+def _hole_vars(template) -> Column:
+    return F.filter(_col(template), lambda t: (t["kind"] == "var") & t["name"].startswith("?H"))
+
+
 def holes(template) -> Column:
-    """T4: distinct holes of a template with their type and arity, by first occurrence."""
-    hs = F.filter(_col(template), lambda t: (t["kind"] == "var") & t["name"].startswith("?H"))
-    return F.transform(F.array_distinct(F.transform(hs, lambda t: F.struct(t["name"].alias("hole"), t["type"].alias("type")))),
-                       lambda h: F.struct(h["hole"].alias("hole"), h["type"].alias("type"), type_arity(h["type"]).alias("arity")))
+    """T4: distinct holes of a template, by first occurrence, with the type and arity met there.
+
+    A hole is its name: with one hole per (name, type) it has one type; with one hole per name
+    (poly) the types of its occurrences may differ, see ``well_typed``."""
+    return _let(_hole_vars(template), lambda hs: F.transform(
+        F.filter(hs, lambda t, i: F.array_position(F.transform(hs, lambda h: h["name"]), t["name"]) == i + 1),
+        lambda t: F.struct(t["name"].alias("hole"), t["type"].alias("type"), type_arity(t["type"]).alias("arity"))))
+
+
+def well_typed(template) -> Column:
+    """Does every hole have one type wherever it occurs?  A template in which one doesn't is not
+    accepted by the type check."""
+    return _let(_hole_vars(template), lambda hs: F.size(F.array_distinct(F.transform(hs, lambda t: t["name"])))
+                == F.size(F.array_distinct(F.transform(hs, lambda t: F.struct(t["name"], t["type"])))))
 
 
 def unvarify(template) -> Column:

@@ -9,8 +9,8 @@ Scale notes
 * ``hash_split`` is a per-row expression (no shuffle); sizes are approximately
   80/10/10.  ``exact_split`` gives exact sizes with one range-partitioned sort and a
   per-partition offset table (one row per partition), never a global window.
-* ``project_counts`` is a partially aggregated ``groupBy``; only the top ``n`` rows
-  (a bound set by the caller) are broadcast to the semi join.
+* ``project_counts`` is a partially aggregated ``groupBy``; the top ``n`` rows meet the
+  rows in a semi join whose strategy Spark chooses.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.session import cut_lineage
 
 SPLITS = ("train", "test", "valid")
 
@@ -46,32 +47,41 @@ def hash_split(df: DataFrame, id_col: str, seed: str = "", test_size: float = 0.
     return df.withColumn("split", split)
 
 
+def _numbered(df: DataFrame, order_cols: list[str], partitions: int | None) -> tuple[DataFrame, DataFrame]:
+    """The rows with partition ``_pid`` and place ``_local`` of one range-partitioned sort, and the
+    partitions' offsets (``_pid``, ``_n``, ``_off``).  The sort is written once: rows and offsets
+    come from the same files, whatever a second sort would have sampled."""
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    tagged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
+    tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_local", F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_mid")
+    written = cut_lineage(tagged, "dense_index")
+    counts = written.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    return written, counts.withColumn("_off", F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n"))
+
+
 def dense_index(df: DataFrame, order_cols: list[str], name: str = "idx", partitions: int | None = None) -> DataFrame:
     """A dense 0-based index in the order of ``order_cols`` (must be a total order).
 
-    One range-partitioned sort; the per-partition row counts (one row per partition)
-    give each partition's offset, which is broadcast back.  No global window.
+    One range-partitioned sort, written once; the per-partition row counts (one row per
+    partition) give each partition's offset.  No global window over the rows.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    sorted_df = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
-    tagged = sorted_df.withColumn("_mid", F.monotonically_increasing_id())
-    tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_local", F.col("_mid").bitwiseAND((1 << 33) - 1))
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    out = tagged.join(F.broadcast(offs), "_pid").withColumn(name, F.col("_off") + F.col("_local"))
-    return out.drop("_mid", "_pid", "_local", "_off")
+    rows, offsets = _numbered(df, order_cols, partitions)
+    return rows.join(offsets.drop("_n"), "_pid").withColumn(name, F.col("_off") + F.col("_local")).drop("_pid", "_local", "_off")
 
 
-def exact_split(df: DataFrame, id_col: str, seed: str = "", test_size: float = 0.1, valid_size: float = 0.1) -> DataFrame:
+def exact_split(df: DataFrame, id_col: str, seed: str = "", test_size: float = 0.1, valid_size: float = 0.1,
+                partitions: int | None = None) -> DataFrame:
     """W3 (exact sizes): shuffle by the seeded hash, then the first ceil(held * n) rows
-    are held out, and the first ceil(test/(test+valid) * held) of those are test."""
-    n = df.count()
+    are held out, and the first ceil(test/(test+valid) * held) of those are test.
+    ``n`` comes from the counts of the written sort."""
+    rows, offsets = _numbered(df.withColumn("_h", hash_bucket(id_col, seed)), ["_h", id_col], partitions)
+    n = offsets.agg(F.sum("_n")).first()[0] or 0
     held = test_size + valid_size
     n_held = math.ceil(round(held * n, 9))  # round away float noise before ceil
     n_test = math.ceil(round(test_size / held * n_held, 9))
-    ranked = dense_index(df.withColumn("_h", hash_bucket(id_col, seed)), ["_h", id_col], "_i")
-    split = F.when(F.col("_i") < n_test, "test").when(F.col("_i") < n_held, "valid").otherwise("train")
-    return ranked.withColumn("split", split).drop("_h", "_i")
+    i = F.col("_off") + F.col("_local")
+    split = F.when(i < n_test, "test").when(i < n_held, "valid").otherwise("train")
+    return rows.join(offsets.drop("_n"), "_pid").withColumn("split", split).drop("_h", "_pid", "_local", "_off")
 
 
 def project_counts(df: DataFrame, n: int | None, file_col: str = "theory_file", order_col: str = "row_id",
@@ -91,14 +101,14 @@ def top_projects(df: DataFrame, n: int | None, file_col: str = "theory_file", or
         return df
     top = project_counts(df, n, file_col, order_col).select("project")
     return (df.withColumn("project", T.project_path(file_col))
-            .join(F.broadcast(top), "project", "left_semi").drop("project"))
+            .join(top, "project", "left_semi").drop("project"))
 
 
 def union_by_split(first: DataFrame, second: DataFrame) -> DataFrame:
     """O3: bag union of two datasets split by split; only splits of ``first`` are kept
     (the original walks the first dataset's splits); missing columns become NULL."""
     splits = first.select("split").distinct()
-    return first.unionByName(second.join(F.broadcast(splits), "split", "left_semi"), allowMissingColumns=True)
+    return first.unionByName(second.join(splits, "split", "left_semi"), allowMissingColumns=True)
 
 
 def dataset_sizes(df: DataFrame) -> DataFrame:

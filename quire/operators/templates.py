@@ -8,9 +8,7 @@ candidates (term_id long, filling map<string,string>, candidate array<token>)
 Filling is a join per hole index, not a product followed by a filter: at every
 hole the feasibility test is the join condition (an equi-join on arity, or on a
 feasibility class for the multi test), so infeasible partial fillings never
-exist.  A global symbol list is broadcast only after its row count is checked
-against ``max_broadcast_symbols``; larger lists are joined by sort-merge with the
-template side salted, so one arity class is never a single hot key.  The number of
+exist.  Spark chooses each round's join by the filler list's size.  The number of
 join rounds is the largest hole count (a scalar the driver reads); lineage is cut
 in the shared checkpoint folder every few rounds.
 """
@@ -23,9 +21,6 @@ from pyspark.sql import functions as F
 from quire.functions import terms as TM
 from quire.session import cut_lineage
 
-STATUSES = ["true", "false", "empty", "timeout", "error", "failed"]
-
-
 def make_templates(terms: DataFrame, poly: bool = False, printed: bool = True) -> DataFrame:
     """T1/T2 + T4: a template per term with its holes.  ``printed`` drops an outer
     Trueprop, as printing and re-reading the template does."""
@@ -49,8 +44,7 @@ def _feasibility_class(arity: Column, multi: bool, side: str) -> Column:
     return F.when(arity > 0, F.array(F.lit("f"), F.lit("any"))).otherwise(F.array(F.lit("any")))
 
 
-def feasible_options(templates: DataFrame, symbols: DataFrame, multi: bool = False, per_term: bool = False,
-                     max_broadcast_symbols: int = 100_000, salt: int = 16) -> DataFrame:
+def feasible_options(templates: DataFrame, symbols: DataFrame, multi: bool = False, per_term: bool = False) -> DataFrame:
     """J11/J12 as a table: every (term, hole index, hole) with each feasible filler
     (structural constants removed, P9).  ``fill_rounds`` applies the same test as
     its join condition; this lists the options themselves."""
@@ -58,14 +52,7 @@ def feasible_options(templates: DataFrame, symbols: DataFrame, multi: bool = Fal
         "term_id", (F.col("hole_idx") + 1).alias("hole_idx"), F.col("h.hole").alias("hole"),
         _feasibility_class(F.col("h.arity"), multi, "hole")[0].alias("fclass"))
     sy = _symbol_side(symbols, multi, per_term)
-    if per_term:
-        return hs.join(sy, ["term_id", "fclass"]).drop("fclass")
-    if sy.count() <= max_broadcast_symbols:  # checked bound before broadcasting
-        return hs.join(F.broadcast(sy), "fclass").drop("fclass")
-    # a class key has a handful of values: salt the hole side, copy the fillers
-    hs = hs.withColumn("salt", (F.xxhash64("term_id", "hole_idx") % salt + salt) % salt)
-    sy = sy.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
-    return hs.join(sy, ["fclass", "salt"]).drop("fclass", "salt")
+    return hs.join(sy, [*(["term_id"] if per_term else []), "fclass"]).drop("fclass")
 
 
 def _symbol_side(symbols: DataFrame, multi: bool, per_term: bool) -> DataFrame:
@@ -81,50 +68,49 @@ def materialize(templates: DataFrame) -> DataFrame:
 
 
 def fill_rounds(templates: DataFrame, symbols: DataFrame, multi: bool = False, distinct_symbols: bool = False,
-                per_term: bool = False, max_broadcast_symbols: int = 100_000, salt: int = 16,
-                checkpoint_every: int = 4, carry: list[str] | None = None) -> DataFrame:
+                per_term: bool = False, checkpoint_every: int = 4, carry: list[str] | None = None) -> DataFrame:
     """J13 (one feasible symbol per hole, all combinations, symbols may repeat) or
     J14 (``distinct_symbols``: distinct list positions across holes), one join per
     hole index, the template carried along.
 
     Round k joins every partial filling with the fillers feasible for its k-th hole
-    (J11 exact arity, or J12's classes when ``multi``).  A global filler list whose
-    row count is under ``max_broadcast_symbols`` is broadcast, so a round is a
-    map-side hash join with no shuffle; a larger one is sort-merge joined with the
-    template side salted; per-term fillers (``term_id`` column) join on
-    (term, class).  A template with no holes has one empty filling; a hole with no
-    feasible filler leaves its template without fillings.  ``carry`` names extra
-    per-template columns to keep on every filling.
+    (J11 exact arity, or J12's classes when ``multi``).  Under J14 a template that
+    isn't well typed skips feasibility: its holes take every symbol.  A template with no holes has
+    one empty filling; a hole with no feasible filler leaves its template without
+    fillings.  ``carry`` names extra per-template columns to keep on every filling.
+
+    Spark chooses each join: a filler list under the broadcast threshold makes a
+    round map-side, a larger one is shuffled by class, whose large partitions AQE
+    splits.
     """
     carry = list(carry or [])
     sy = _symbol_side(symbols, multi, per_term)
-    small = (not per_term) and sy.count() <= max_broadcast_symbols  # checked bound before broadcasting
-    if not per_term and not small:
-        sy = sy.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
+    if distinct_symbols:
+        everything = symbols.where(~TM.keep_constant("symbol")).select(
+            *(["term_id"] if per_term else []), "symbol", F.col("sym_pos").cast("long").alias("sym_pos"), F.lit("free").alias("fclass"))
+        sy = sy.unionByName(everything)
     base = templates.select("term_id", "template", "holes", *carry, F.size("holes").alias("n_holes"))
     max_h = base.agg(F.max("n_holes")).first()[0] or 0
     active = base.select("*", F.create_map().cast("map<string,string>").alias("filling"),
                          F.array().cast("array<long>").alias("used"))
+    if distinct_symbols:
+        active = active.withColumn("skip", ~TM.well_typed("template"))
     for k in range(1, max_h + 1):
         # templates with fewer holes get a NULL class: the left join passes them
         # through unchanged, so every round reads the previous one exactly once
         hole = F.try_element_at("holes", F.lit(k))  # NULL past the last hole
         has_k = F.col("n_holes") >= k
-        cur = active.withColumn("hole", F.when(has_k, hole["hole"])).withColumn(
-            "fclass", F.when(has_k, _feasibility_class(hole["arity"], multi, "hole")[0]))
-        if per_term:
-            step = cur.join(sy, ["term_id", "fclass"], "left")
-        elif small:
-            step = cur.join(F.broadcast(sy), "fclass", "left")
-        else:
-            cur = cur.withColumn("salt", (F.xxhash64("term_id", F.col("filling").cast("string")) % salt + salt) % salt)
-            step = cur.join(sy, ["fclass", "salt"], "left")
+        fclass = _feasibility_class(hole["arity"], multi, "hole")[0]
+        if distinct_symbols:
+            fclass = F.when(F.col("skip"), "free").otherwise(fclass)
+        cur = active.withColumn("hole", F.when(has_k, hole["hole"])).withColumn("fclass", F.when(has_k, fclass))
+        step = cur.join(sy, [*(["term_id"] if per_term else []), "fclass"], "left")
         filled = F.col("symbol").isNotNull()
         step = step.where(~has_k | filled)  # a hole without a feasible filler drops its template
         if distinct_symbols:
             step = step.where(~filled | ~F.array_contains("used", F.col("sym_pos")))
         active = step.select(
-            "term_id", "template", "holes", *carry, "n_holes",
+            "term_id", "template", "holes", *carry, "n_holes", *(["skip"] if distinct_symbols else []),
             F.when(filled, F.map_concat("filling", F.create_map("hole", "symbol"))).otherwise(F.col("filling")).alias("filling"),
             F.when(filled, F.array_append("used", F.col("sym_pos"))).otherwise(F.col("used")).alias("used"))
         if checkpoint_every and k % checkpoint_every == 0 and k < max_h:
@@ -183,36 +169,52 @@ def outcome_tally(outcomes: DataFrame) -> DataFrame:
     return outcomes.groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-def alpha_equal(left: DataFrame, right: DataFrame, on: str = "term_id", typed: bool = True) -> DataFrame:
-    """Are two terms equal up to variable names (typed or untyped)?  Rows are
-    paired by key; equality is on the canonical arrays (usable as a join key)."""
-    l = left.select(on, TM.canon("tokens", "var", typed=typed).alias("cl"))
-    r = right.select(on, TM.canon("tokens", "var", typed=typed).alias("cr"))
-    return l.join(r, on).select(on, (F.col("cl") == F.col("cr")).alias("same"))
+def alpha_equal(left: DataFrame, right: DataFrame, on: str = "term_id") -> DataFrame:
+    """Are two terms equal up to variable names, typed and untyped?  Rows are
+    paired by key once; equality is on the canonical arrays (usable as a join key)."""
+    canons = [TM.canon("tokens", "var", typed=typed).alias(n) for n, typed in (("typed", True), ("untyped", False))]
+    pairs = left.select(on, *canons).alias("l").join(right.select(on, *canons).alias("r"), on)
+    return pairs.select(on, *[(F.col(f"l.{n}") == F.col(f"r.{n}")).alias(f"same_{n}") for n in ("typed", "untyped")])
 
 
-def _theorem_shaped(ts: Column) -> Column:
-    has = lambda n: F.exists(ts, lambda t: (t["kind"] == "const") & (t["name"] == n))
-    return has("HOL.Trueprop") & ~has("Pure.eq") & ~has("HOL.undefined")
+def _equals_undefined(ts: Column) -> Column:
+    """Is there a ``Trueprop (_ = undefined)`` anywhere?  In preorder the constant ends the equation,
+    so it is the last token of a ``Trueprop`` whose argument begins with ``app app HOL.eq``."""
+    return F.exists(_equations(ts), lambda e: e["undefined"])
 
 
-def _is_equation(ts: Column) -> Column:
-    # Trueprop (lhs = rhs) at the top: app, Trueprop, app, app, HOL.eq
-    return ((F.size(ts) >= 5) & (ts[1]["name"] == "HOL.Trueprop") & (ts[2]["kind"] == "app")
-            & (ts[3]["kind"] == "app") & (ts[4]["kind"] == "const") & (ts[4]["name"] == "HOL.eq"))
+def _equations(ts: Column) -> Column:
+    """(place, undefined) of every ``Trueprop (_ = _)`` of a term, under premises and binders too."""
+    at = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (
+        (F.get(ts, i)["name"] == "HOL.Trueprop") & (F.get(ts, i)["kind"] == "const") & (F.get(ts, i + 1)["kind"] == "app")
+        & (F.get(ts, i + 2)["kind"] == "app") & (F.get(ts, i + 3)["kind"] == "const") & (F.get(ts, i + 3)["name"] == "HOL.eq")))
+    # the right side begins where the left side's subtree ends
+    return F.transform(at, lambda i: F.struct(i.alias("place"), F.coalesce(
+        (F.get(ts, _after(ts, i + 4))["kind"] == "const") & (F.get(ts, _after(ts, i + 4))["name"] == "HOL.undefined"), F.lit(False)).alias("undefined")))
 
 
-def theorem_search(terms: DataFrame, namefilter: str, equations: bool = False, cap: int = TM.SEARCH_CAP) -> DataFrame:
-    """P7 (P8 when ``equations``): theorem-shaped terms (a Trueprop, no meta-equality,
-    no ``undefined``), name containing ``namefilter`` (and, for P7, starting with it),
-    no left-out name pattern, at least one schematic variable; duplicates of a
-    statement removed; at most ``cap`` results in name order (the search's cap)."""
+def _after(ts: Column, i: Column) -> Column:
+    """The place behind the subtree at ``i``: where its open children run out."""
+    done = F.aggregate(F.slice(ts, i + 1, F.size(ts)), F.struct(F.lit(1).alias("open"), F.lit(0).alias("n")), lambda a, t: (
+        F.when(a["open"] == 0, a).otherwise(F.struct(
+            (a["open"] + F.when(t["kind"] == "app", 1).when(t["kind"] == "abs", 0).otherwise(-1)).alias("open"), (a["n"] + 1).alias("n")))),
+        lambda a: a["n"])
+    return i + done
+
+
+def theorem_search(terms: DataFrame, namefilter: str, equations: bool = False, cap: int | None = None) -> DataFrame:
+    """P7 (P8 when ``equations``): terms with a Trueprop, no meta-equality and no
+    ``_ = undefined``, name containing ``namefilter`` (and, for P7, starting with it),
+    no left-out name pattern, at least one schematic variable; P8 also asks for an
+    equation, under premises too.  Duplicates of a statement are removed.  O2: ``cap``
+    keeps that many results in name order; by default all stay."""
     ts = F.col("tokens")
-    cond = _theorem_shaped(ts) & F.col("name").contains(namefilter) & ~TM.bad_name("name") & TM.has_vars(ts)
+    has = lambda n: F.exists(ts, lambda t: (t["kind"] == "const") & (t["name"] == n))
+    cond = has("HOL.Trueprop") & ~has("Pure.eq") & ~_equals_undefined(ts) & F.col("name").contains(namefilter) & ~TM.bad_name("name") & TM.has_vars(ts)
     if equations:
-        cond = cond & _is_equation(ts)
+        cond = cond & (F.size(_equations(ts)) > 0)
     else:
         cond = cond & F.col("name").startswith(namefilter)
     hits = terms.where(cond).withColumn("lemma_object", TM.render(ts))
     first = hits.groupBy("lemma_object").agg(F.min("name").alias("name"))
-    return first.orderBy("name", "lemma_object").limit(cap)
+    return first if cap is None else first.orderBy("name", "lemma_object").limit(cap)

@@ -211,7 +211,9 @@ def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- terms from `part`, fillers from `nation` / `region` -------------------------
 # Every part gives one small statement ``c1 x = c2 ...`` over two constants named
 # after the words of its name; the part key picks the shape (under a binder, under
-# Trueprop, as a meta-equality) and the part size the arity of the second constant.
+# Trueprop, under a premise, as a meta-equality; ``undefined`` as a side or as an
+# argument; one constant at two types) and the part size the arity of the second
+# constant, which for some takes a function.
 
 def part_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.functions.terms import tok
@@ -220,20 +222,24 @@ def part_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     w1 = F.substring_index("p_name", " ", 1)
     w2 = F.substring_index("p_name", " ", -1)
     ar = F.col("p_size") % 3
-    m = F.col("p_partkey") % 4
+    m, k = F.col("p_partkey") % 4, F.col("p_partkey") % 16
     app = tok("app", None, None)
-    t2 = F.when(ar == 0, F.lit("nat")).when(ar == 1, F.lit("nat => nat")).otherwise(F.lit("nat => nat => nat"))
+    t2 = (F.when((ar == 1) & (k == 9), F.lit("((nat => nat) => nat) => nat"))
+          .when(ar == 0, F.lit("nat")).when(ar == 1, F.lit("nat => nat")).otherwise(F.lit("nat => nat => nat")))
     c1 = tok("const", F.concat(F.lit("Part."), w1), "nat => nat")
-    c2 = tok("const", F.concat(F.lit("Part."), w2), t2)
+    c2 = tok("const", F.concat(F.lit("Part."), F.when(k == 5, w1).otherwise(w2)), t2)
     x = F.when(m == 0, tok("bound", "0", "nat")).otherwise(tok("var", "x", "nat"))
     y = tok("var", "y", "nat")
     eq = tok("const", F.when(m == 2, F.lit("Pure.eq")).otherwise(F.lit("HOL.eq")), "nat => nat => bool")
     rhs = (F.when(F.col("p_partkey") % 8 == 3, F.array(tok("const", "HOL.undefined", "nat")))
            .when(ar == 0, F.array(c2)).when(ar == 1, F.array(app, c2, x)).otherwise(F.array(app, app, c2, x, y)))
-    body = F.concat(F.array(app, app, eq, app, c1, x), rhs)
+    undefined = tok("const", "HOL.undefined", "nat")
+    body = F.concat(F.array(app, app, eq, app, c1, F.when(k == 13, undefined).otherwise(x)), rhs)
     trueprop = tok("const", "HOL.Trueprop", "bool => prop")
     prefix = (F.when(m == 0, F.array(app, trueprop, app, tok("const", "HOL.All", "(nat => bool) => bool"), tok("abs", "x", "nat")))
-              .when(m == 2, F.array().cast(f"array<{_TOKEN}>")).otherwise(F.array(app, trueprop)))
+              .when(m == 2, F.array().cast(f"array<{_TOKEN}>"))
+              .when(k == 7, F.array(app, app, tok("const", "Pure.imp", "prop => prop => prop"), app, trueprop, tok("var", "p", "bool"), app, trueprop))
+              .otherwise(F.array(app, trueprop)))
     name = F.concat(F.col("p_brand"), F.lit("."), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_"),
                     F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 13 == 0, F.lit("_def")).otherwise(F.lit("")))
     return p.select(F.col("p_partkey").alias("term_id"), name.alias("name"), F.concat(prefix, body).alias("tokens"))

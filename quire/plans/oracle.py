@@ -7,6 +7,9 @@ syntax, lambdas as DuckDB list lambdas).
 
 from __future__ import annotations
 
+from quire.functions import terms as TM
+from quire.functions import text as T
+
 
 def let(value_sql: str, name: str, body_sql: str) -> str:
     """Bind ``name`` to a value inside an expression (one-element list trick)."""
@@ -92,9 +95,8 @@ RE_S = "[\\t\\n\\x0B\\f\\r\\x1c-\\x1f\\x{85}\\pZ]"
 RE_NS = "[^\\t\\n\\x0B\\f\\r\\x1c-\\x1f\\x{85}\\pZ]"
 RE_WCHARS = "\\pL\\p{Nl}\\p{Nd}\\pM\\p{Pc}"
 RE_NAME = "([" + RE_WCHARS + "'']+)"  # '' is a quote inside a SQL literal
-THM_CMD = "(lemma|theorem)"
-DEF_CMD = ("(definition|fun|primrec|primcorec|datatype|codatatype|function|typedecl|typedef|"
-           "type_synonym|record|inductive|coinductive|abbreviation|class|inductive_set|consts)")
+THM_CMD = "(" + "|".join(T.THEOREM_KINDS) + ")"
+DEF_CMD = "(" + "|".join(T.DEFINITION_KINDS) + ")"
 
 
 def ustrip(x: str) -> str:
@@ -174,33 +176,33 @@ def tk(kind: str, name: str = "NULL", typ: str = "NULL") -> str:
     return f"{{'kind': '{kind}', 'name': CAST({name} AS VARCHAR), 'type': CAST({typ} AS VARCHAR)}}"
 
 
-KEEP = ["HOL.", "Pure.", "Set.Ball", "Set.Bex", "Orderings.ord_class.less", "Orderings.ord_class.less_eq",
-        "Orderings.ord_class.greater", "Orderings.ord_class.greater_eq", "Set.member", "Product_Type.Pair"]
-
-
 def keep_const(n: str) -> str:
-    return "(" + " OR ".join(f"starts_with({n}, '{p}')" for p in KEEP) + ")"
+    return "(" + " OR ".join(f"starts_with({n}, '{p}')" for p in TM.KEEP_PREFIXES) + ")"
 
 
 def part_terms_cte(name: str = "pt") -> str:
     app = tk("app")
     c1 = tk("const", "'Part.' || w1", "'nat => nat'")
     t2 = "CASE ar WHEN 0 THEN 'nat' WHEN 1 THEN 'nat => nat' ELSE 'nat => nat => nat' END"
-    c2 = tk("const", "'Part.' || w2", t2)
+    t2 = t2.replace("CASE ar ", "CASE WHEN ar = 1 AND k = 9 THEN '((nat => nat) => nat) => nat' ELSE CASE ar ") + " END"
+    c2 = tk("const", "'Part.' || CASE WHEN k = 5 THEN w1 ELSE w2 END", t2)
     x = f"CASE WHEN m = 0 THEN {tk('bound', chr(39) + '0' + chr(39), chr(39) + 'nat' + chr(39))} ELSE {tk('var', chr(39) + 'x' + chr(39), chr(39) + 'nat' + chr(39))} END"
     y = tk("var", "'y'", "'nat'")
     eq = tk("const", "CASE WHEN m = 2 THEN 'Pure.eq' ELSE 'HOL.eq' END", "'nat => nat => bool'")
     rhs = (f"CASE WHEN p_partkey % 8 = 3 THEN [{tk('const', chr(39) + 'HOL.undefined' + chr(39), chr(39) + 'nat' + chr(39))}] "
            f"WHEN ar = 0 THEN [{c2}] WHEN ar = 1 THEN [{app}, {c2}, {x}] ELSE [{app}, {app}, {c2}, {x}, {y}] END")
-    body = f"[{app}, {app}, {eq}, {app}, {c1}, {x}] || {rhs}"
+    undef = tk("const", "'HOL.undefined'", "'nat'")
+    body = f"[{app}, {app}, {eq}, {app}, {c1}, CASE WHEN k = 13 THEN {undef} ELSE {x} END] || {rhs}"
     tp = tk("const", "'HOL.Trueprop'", "'bool => prop'")
     prefix = (f"CASE WHEN m = 0 THEN [{app}, {tp}, {app}, {tk('const', chr(39) + 'HOL.All' + chr(39), chr(39) + '(nat => bool) => bool' + chr(39))}, "
-              f"{tk('abs', chr(39) + 'x' + chr(39), chr(39) + 'nat' + chr(39))}] WHEN m = 2 THEN [] ELSE [{app}, {tp}] END")
+              f"{tk('abs', chr(39) + 'x' + chr(39), chr(39) + 'nat' + chr(39))}] WHEN m = 2 THEN [] WHEN k = 7 THEN [{app}, {app}, "
+              f"{tk('const', chr(39) + 'Pure.imp' + chr(39), chr(39) + 'prop => prop => prop' + chr(39))}, {app}, {tp}, "
+              f"{tk('var', chr(39) + 'p' + chr(39), chr(39) + 'bool' + chr(39))}, {app}, {tp}] ELSE [{app}, {tp}] END")
     nm = ("p_brand || '.' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) || "
           "CASE WHEN p_partkey % 13 = 0 THEN '_def' ELSE '' END")
     return (f"{name} AS (SELECT p_partkey AS term_id, {nm} AS name, ({prefix}) || ({body}) AS tokens FROM "
             f"(SELECT *, split_part(p_name, ' ', 1) AS w1, regexp_extract(p_name, '[^ ]*$') AS w2, "
-            f"p_size % 3 AS ar, p_partkey % 4 AS m FROM part))")
+            f"p_size % 3 AS ar, p_partkey % 4 AS m, p_partkey % 16 AS k FROM part))")
 
 
 def _rank(keys: str, k: str) -> str:
@@ -252,17 +254,25 @@ def strip_trueprop(ts: str) -> str:
 
 
 def arity(typ: str) -> str:
-    t = f"regexp_replace({typ}, '\\([^()]*\\)', 'T', 'g')"
+    """Arrows left after bracketed parts are taken out, innermost first (the stand-ins nest at most twice)."""
+    t = typ
+    for _ in range(3):
+        t = f"regexp_replace({t}, '\\([^()]*\\)', 'T', 'g')"
     return f"CAST((length({t}) - length(replace({t}, '=>', ''))) / 2 AS INTEGER)"
 
 
 def holes(tpl: str) -> str:
-    """Distinct (hole, type) by first occurrence as a list of structs with arity."""
+    """Distinct holes by first occurrence, with the type and arity met there."""
+    hs = f"list_filter({tpl}, lambda t: t.kind = 'var' AND starts_with(t.name, '?H'))"
+    names = "list_transform(hs, lambda t: t.name)"
+    firsts = "list_filter(hs, lambda p, j: list_position(nm, p.name) = j)"
+    body = f"list_transform({firsts}, lambda p: {{'hole': p.name, 'type': p.type, 'arity': {arity('p.type')}}})"
+    return let(hs, "hs", let(names, "nm", body))
+
+
+def well_typed(tpl: str) -> str:
     hs = f"list_filter({tpl}, lambda t: t.kind = 'var' AND starts_with(t.name, '?H'))"
-    pairs = "list_transform(hs, lambda t: {'hole': t.name, 'type': t.type})"
-    firsts = "list_filter(pr, lambda p, j: list_position(pr, p) = j)"
-    body = f"list_transform({firsts}, lambda p: {{'hole': p.hole, 'type': p.type, 'arity': {arity('p.type')}}})"
-    return let(hs, "hs", let(pairs, "pr", body))
+    return f"len(list_distinct(list_transform({hs}, lambda t: t.name))) = len(list_distinct(list_transform({hs}, lambda t: t.name || ' ' || t.type)))"
 
 
 def outside_abs(ts: str) -> str:

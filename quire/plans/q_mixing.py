@@ -16,7 +16,7 @@ _BASE_SQL = """WITH base AS (
          CASE WHEN b < 8000 THEN 'train' WHEN b < 9000 THEN 'test' ELSE 'valid' END AS split
   FROM (SELECT *, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 10000 AS b FROM documents)),
 ds1 AS (SELECT 'd1' AS source, base.*, l.quality FROM base LEFT JOIN labels l ON l.doc_id = base.row_id WHERE lang = 'en'),
-ds2 AS (SELECT 'd2' AS source, base.* FROM base WHERE lang <> 'en'),
+ds2 AS (SELECT 'd2' AS source, base.* FROM base WHERE lang IS DISTINCT FROM 'en'),
 cnt AS (SELECT regexp_replace(theory_file, '/[^/]*$', '') AS project, count(*) AS n_rows, min(row_id) AS first_row
         FROM ds2 WHERE split = 'train' GROUP BY 1 ORDER BY n_rows DESC, first_row ASC LIMIT TOP_N),
 top2 AS (SELECT * FROM ds2 WHERE regexp_replace(theory_file, '/[^/]*$', '') IN (SELECT project FROM cnt)),
@@ -25,22 +25,25 @@ un AS (SELECT source, row_id, theory_file, lang, split, quality FROM ds1
 """.replace("TOP_N", str(TOP_N))
 
 
-def _datasets(spark, sf):
+def _base(spark, sf):
     d = table(spark, sf, "documents")
     base = d.select(F.col("doc_id").alias("row_id"),
                     F.concat("source", F.lit("/T"), F.col("doc_id").cast("string")).alias("theory_file"), "lang")
-    base = M.hash_split(base, "row_id")
+    return M.hash_split(base, "row_id")
+
+
+def _datasets(spark, sf):
+    base = _base(spark, sf)
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("row_id"), "quality")
     ds1 = base.where(F.col("lang") == "en").join(labels, "row_id", "left").withColumn("source", F.lit("d1"))
-    ds2 = base.where(F.col("lang") != "en").withColumn("source", F.lit("d2"))
+    ds2 = base.where(~F.col("lang").eqNullSafe("en")).withColumn("source", F.lit("d2"))
     return ds1, ds2
 
 
 @register("w3_hash_split", _BASE_SQL + "SELECT row_id, lang, split FROM base")
 def w3_hash_split(spark, sf):
     """W3 default: 80/10/10 by an md5 threshold per row (no shuffle)."""
-    ds1, ds2 = _datasets(spark, sf)
-    return ds1.select("row_id", "lang", "split").unionByName(ds2.select("row_id", "lang", "split"))
+    return _base(spark, sf).select("row_id", "lang", "split")
 
 
 _EXACT_SQL = """WITH h AS (SELECT doc_id AS row_id, ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT AS hb FROM documents),
@@ -92,12 +95,12 @@ def a12_dataset_sizes(spark, sf):
     return M.dataset_sizes(allsets).select("source", "split", "n_rows")
 
 
-_W1_SQL = """SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) - 1 AS row_id FROM documents"""
+_W1_SQL = """SELECT doc_id, source, n_chars, text, row_number() OVER (ORDER BY source, doc_id) - 1 AS row_id FROM documents"""
 
 
 @register("w1_dense_index", _W1_SQL)
 def w1_dense_index(spark, sf):
     """A dense 0-based row id in (source, doc_id) order, from one range-partitioned
     sort and a per-partition offset table (no single-partition window)."""
-    d = table(spark, sf, "documents").select("doc_id", "source")
-    return M.dense_index(d, ["source", "doc_id"], "row_id").select("doc_id", "source", "row_id")
+    d = table(spark, sf, "documents").select("doc_id", "source", "n_chars", "text")
+    return M.dense_index(d, ["source", "doc_id"], "row_id").select("doc_id", "source", "n_chars", "text", "row_id")

@@ -10,6 +10,7 @@ from quire.operators import templates as TP
 from quire.plans import oracle as O
 from quire.plans.driver import nation_symbols, part_terms, region_symbols, table
 from quire.plans.registry import register
+from quire.session import cut_lineage
 
 _PT = f"WITH {O.part_terms_cte()}"
 
@@ -72,9 +73,7 @@ def j9_alpha_equal(spark, sf):
     """Is every statement equal to the next part's up to variable names (typed, untyped)?"""
     t = _terms(spark, sf)
     nxt = t.select((F.col("term_id") - 1).alias("term_id"), "tokens")
-    typed = TP.alpha_equal(t, nxt, typed=True).withColumnRenamed("same", "same_typed")
-    untyped = TP.alpha_equal(t, nxt, typed=False).withColumnRenamed("same", "same_untyped")
-    return typed.join(untyped, "term_id")
+    return TP.alpha_equal(t, nxt)
 
 
 _P10_SQL = f"""{_PT}, s AS (SELECT term_id, tokens, {O.outside_abs('tokens')} AS outs,
@@ -98,33 +97,42 @@ def p10_has_equality(spark, sf):
 
 _SEARCH_COND = f"""list_contains(list_transform(tokens, lambda t: t.kind = 'const' AND t.name = 'HOL.Trueprop'), true)
    AND NOT list_contains(list_transform(tokens, lambda t: t.kind = 'const' AND t.name = 'Pure.eq'), true)
-   AND NOT list_contains(list_transform(tokens, lambda t: t.kind = 'const' AND t.name = 'HOL.undefined'), true)
+   AND tokens[len(tokens)].name IS DISTINCT FROM 'HOL.undefined'
    AND NOT ({' OR '.join(f"contains(name, '{p.replace('*', '')}')" for p in TM.BAD_NAME_PATTERNS)})
    AND list_contains(list_transform(tokens, lambda t: t.kind = 'var'), true)"""
 
 _P7_SQL = f"""{_PT}, h AS (SELECT name, {O.render('tokens')} AS lemma_object FROM pt
   WHERE {_SEARCH_COND} AND contains(name, 'Brand#1') AND starts_with(name, 'Brand#1'))
-SELECT lemma_object, min(name) AS name FROM h GROUP BY lemma_object ORDER BY name, lemma_object LIMIT 16000"""
+SELECT lemma_object, min(name) AS name FROM h GROUP BY lemma_object"""
 
 
 @register("p7_theorem_search", _P7_SQL)
 def p7_theorem_search(spark, sf):
-    """P7 + O2: theorem search by name prefix (capped at 16000 in name order)."""
+    """Theorem search by name prefix, all results."""
     return TP.theorem_search(_terms(spark, sf), "Brand#1").select("lemma_object", "name")
 
 
 _P8_SQL = f"""{_PT}, h AS (SELECT name, {O.render('tokens')} AS lemma_object FROM pt
-  WHERE {_SEARCH_COND} AND contains(name, 'widget') AND len(tokens) >= 5 AND tokens[2].name = 'HOL.Trueprop'
-    AND tokens[3].kind = 'app' AND tokens[4].kind = 'app' AND tokens[5].kind = 'const' AND tokens[5].name = 'HOL.eq')
-SELECT lemma_object, min(name) AS name FROM h GROUP BY lemma_object ORDER BY name, lemma_object LIMIT 16000"""
+  WHERE {_SEARCH_COND} AND contains(name, 'widget') AND list_contains(list_transform(range(1, len(tokens) + 1), lambda i:
+    coalesce(tokens[i].name = 'HOL.Trueprop' AND tokens[i + 1].kind = 'app' AND tokens[i + 2].kind = 'app' AND tokens[i + 3].name = 'HOL.eq', false)), true))
+SELECT lemma_object, min(name) AS name FROM h GROUP BY lemma_object"""
 
 
 @register("p8_equation_search", _P8_SQL)
 def p8_equation_search(spark, sf):
-    """Equation search (name contains the filter, no prefix test)."""
+    """Equation search (name contains the filter, no prefix test), under premises too."""
     return TP.theorem_search(_terms(spark, sf), "widget", equations=True).select("lemma_object", "name")
 
 
+_O2_SQL = _P7_SQL + " ORDER BY name, lemma_object LIMIT 50"
+
+
+@register("o2_capped_search", _O2_SQL)
+def o2_capped_search(spark, sf):
+    """O2: the first 50 results of the search in name order (the cap is the feature)."""
+    return TP.theorem_search(_terms(spark, sf), "Brand#1", cap=50).select("lemma_object", "name")
+
+
 def _fill_sql(tpl: str) -> str:
     return (f"list_transform({tpl}, lambda t: CASE WHEN t.kind = 'var' AND t.name = '?H1' AND s1 IS NOT NULL "
             f"THEN {{'kind': 'const', 'name': s1, 'type': t.type}} WHEN t.kind = 'var' AND t.name = '?H2' AND s2 IS NOT NULL "
@@ -147,6 +155,7 @@ _EXACT1 = "a.arity = {h}.arity"
 _EXACT2 = "b.arity = {h}.arity"
 _MULTI1 = "({h}.arity = 0 OR a.arity > 0)"
 _MULTI2 = "({h}.arity = 0 OR b.arity > 0)"
+_POLY1, _POLY2 = f"(NOT ok OR {_MULTI1})", f"(NOT ok OR {_MULTI2})"
 
 _NATION = "sy AS (SELECT 'Nation.' || replace(n_name, ' ', '_') AS symbol, n_nationkey % 3 AS arity, n_nationkey AS sym_pos FROM nation)"
 _REGION = "sy AS (SELECT 'Region.' || replace(r_name, ' ', '_') AS symbol, r_regionkey % 3 AS arity, r_regionkey AS sym_pos FROM region)"
@@ -154,7 +163,7 @@ _REGION = "sy AS (SELECT 'Region.' || replace(r_name, ' ', '_') AS symbol, r_reg
 
 def _tpl_cte(poly: bool = False) -> str:
     return (f"tpl AS (SELECT term_id, {O.strip_trueprop(O.abstract('tokens', poly=poly))} AS template FROM pt), "
-            f"hl AS (SELECT term_id, template, {O.holes('template')} AS hs FROM tpl)")
+            f"hl AS (SELECT term_id, template, {O.holes('template')} AS hs, {O.well_typed('template')} AS ok FROM tpl)")
 
 
 _T9_SQL = f"""{_PT}, {_tpl_cte()}, {_NATION}, {_fillings_sql('sy', _EXACT1, _EXACT2)}
@@ -191,7 +200,7 @@ def j12_feasible_multi(spark, sf):
     return c.groupBy("term_id").agg(F.count(F.lit(1)).alias("n_candidates"))
 
 
-_J14_SQL = f"""{_PT}, {_tpl_cte(poly=True)}, {_REGION}, {_fillings_sql('sy', _MULTI1, _MULTI2, distinct=True)}
+_J14_SQL = f"""{_PT}, {_tpl_cte(poly=True)}, {_REGION}, {_fillings_sql('sy', _POLY1, _POLY2, distinct=True)}
 SELECT term_id, coalesce('?H1=' || s1, '') || coalesce(',?H2=' || s2, '') AS filling, {O.render(_fill_sql('template'))} AS candidate FROM f"""
 
 
@@ -215,12 +224,11 @@ SELECT term_id, count(*) AS n_conjectures FROM c WHERE canonical NOT IN (SELECT
 def t10_conjectures(spark, sf):
     """Candidates not refuted.  The tester is not built; its results are stood in
     for by the candidates that use a nation of region 0, as canonical forms."""
-    c = _t9(spark, sf)
+    c = cut_lineage(_t9(spark, sf), "candidates")  # filled once for both sides
     bad = table(spark, sf, "nation").where(F.col("n_regionkey") == 0).select(
         F.concat(F.lit("Nation."), F.replace("n_name", F.lit(" "), F.lit("_"))).alias("symbol"))
     used = c.select("term_id", "candidate", F.explode(F.map_values("filling")).alias("symbol"))
-    # the nation table is a fixed-size dimension (25 rows), so its slice is broadcast
-    refuted = (used.join(F.broadcast(bad), "symbol", "left_semi")
+    refuted = (used.join(bad, "symbol", "left_semi")
                .select(TM.canon("candidate", "free", typed=False).alias("canonical")))
     return TP.conjectures(c, refuted).groupBy("term_id").agg(F.count(F.lit(1)).alias("n_conjectures"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -32,34 +31,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this must be set (a shared file system); it is read from the
     session.  Only a local-mode session without it (tests) gets a fresh folder
-    under the system temp directory.
+    under the system temp directory, remembered for the application.
     """
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or _LOCAL.get(sc.applicationId)
     if not path:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        path = tempfile.mkdtemp(prefix="quire-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        path = _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="quire-ckpt-")
+    sc.setCheckpointDir(path)
     return path
 
 
+#: Folders of local sessions without a checkpoint folder, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def cut_lineage(df: DataFrame, name: str = "tbl") -> DataFrame:
     """Cut lineage with a table written to the shared checkpoint folder.
 
     The plan is computed once and written as Parquet under ``spark.checkpoint.dir``,
     then read back: downstream stages (and task retries after an executor loss)
     read the files instead of recomputing the plan.  ``DataFrame.checkpoint()``
-    would compute an uncached plan twice (once to count, once to write).
+    would compute an uncached plan twice (once to count, once to write).  The table
+    is deleted when the application ends.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    delete_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written intermediate tables."""
-    return os.path.join(checkpoint_dir(spark), name)
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of this application when its JVM ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

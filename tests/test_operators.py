@@ -265,15 +265,59 @@ def test_rows_basics(spark):
     assert R.drop_columns(R.map_columns(df, {"d": F.upper("a")}), "a").columns == ["row_id", "b", "d"]
 
 
-def test_fill_salted_path_same_result(spark):
-    """The sort-merge (salted) path for large filler lists gives the same fillings."""
+def test_fill_without_broadcast_same_result(spark):
+    """A filler list too large to broadcast gives the same fillings."""
     tpl = TP.make_templates(_two_hole_template(spark))
     a = TP.fill_rounds(tpl, _five_symbols(spark)).select(TP.F.to_json("filling").alias("f")).collect()
-    b = TP.fill_rounds(tpl, _five_symbols(spark), max_broadcast_symbols=0, salt=4).select(
-        TP.F.to_json("filling").alias("f")).collect()
-    assert sorted(r["f"] for r in a) == sorted(r["f"] for r in b) and len(a) == 25
-    c = TP.fill_rounds(tpl, _five_symbols(spark), distinct_symbols=True, multi=True, max_broadcast_symbols=0)
-    assert c.count() == 20
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = TP.fill_rounds(tpl, _five_symbols(spark)).select(TP.F.to_json("filling").alias("f")).collect()
+        assert sorted(r["f"] for r in a) == sorted(r["f"] for r in b) and len(a) == 25
+        assert TP.fill_rounds(tpl, _five_symbols(spark), distinct_symbols=True, multi=True).count() == 20
+        assert TP.feasible_options(tpl, _five_symbols(spark)).count() == 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_poly_template_that_is_not_well_typed_skips_feasibility(spark):
+    """One constant at two types is one hole; the type check fails, so every symbol is tried."""
+    app = ("app", None, None)
+    toks = [app, app, ("const", "HOL.eq", "nat => nat => bool"), app, ("const", "Part.f", "nat => nat"), ("var", "x", "nat"), app, ("const", "Part.f", "int => int"), ("const", "Part.c", "nat")]
+    terms = spark.createDataFrame([(1, "n", toks)], f"term_id long, name string, tokens array<{TOKEN}>")
+    tpl = TP.make_templates(terms, poly=True)
+    assert [h["hole"] for h in tpl.first()["holes"]] == ["?H1", "?H2"]
+    assert len(TP.make_templates(terms).first()["holes"]) == 3
+    sy = spark.createDataFrame([("L.f", "nat => nat", 1, 0), ("L.c", "nat", 0, 1), ("L.d", "nat", 0, 2)], "symbol string, type string, arity int, sym_pos long")
+    got = TP.candidates(tpl, sy, poly=True).select("filling").collect()
+    assert sorted(tuple(sorted(r["filling"].items())) for r in got) == sorted(
+        (("?H1", a), ("?H2", b)) for a in ("L.f", "L.c", "L.d") for b in ("L.f", "L.c", "L.d") if a != b)
+
+
+def test_arity_counts_outer_arrows_only(spark):
+    types = ["nat", "nat => nat", "((nat => nat) => nat) => nat", "(a => b) => (c => (d => e)) => f", "(nat => nat) list => nat => bool", "((a))"]
+    got = spark.createDataFrame([(t,) for t in types], "t string").coalesce(1).select(TM.type_arity("t")).collect()
+    assert [r[0] for r in got] == [0, 1, 1, 2, 2, 0]
+
+
+def test_search_patterns(spark):
+    app, tp, eq = ("app", None, None), ("const", "HOL.Trueprop", "t"), ("const", "HOL.eq", "t")
+    x, u, f = ("var", "x", "nat"), ("const", "HOL.undefined", "nat"), ("const", "A.f", "nat => nat")
+    imp = [app, app, ("const", "Pure.imp", "t"), app, tp, ("var", "p", "bool"), app, tp]
+    cases = {
+        "T.plain": [app, tp, app, app, eq, x, x],
+        "T.is_undefined": [app, tp, app, app, eq, app, f, x, u],
+        "T.f_undefined": [app, tp, app, app, eq, app, f, u, x],
+        "T.under_premise": imp + [app, app, eq, x, app, f, x],
+        "T.premise_undefined": imp + [app, app, eq, x, u],
+        "T.no_equation": [app, tp, ("var", "q", "bool")],
+        "T.rhs_contains_undefined": [app, tp, app, app, eq, x, app, f, u],
+        "T.no_vars": [app, tp, app, app, eq, f, f],
+    }
+    terms = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(cases.items())], f"term_id long, name string, tokens array<{TOKEN}>")
+    assert {r["name"] for r in TP.theorem_search(terms, "T.").collect()} == {"T.plain", "T.f_undefined", "T.under_premise", "T.no_equation", "T.rhs_contains_undefined"}
+    assert {r["name"] for r in TP.theorem_search(terms, ".", equations=True).collect()} == {"T.plain", "T.f_undefined", "T.under_premise", "T.rhs_contains_undefined"}
+    assert len(TP.theorem_search(terms, "T.", cap=2).collect()) == 2
 
 
 def test_render_filled_equals_render_of_fill(spark):
@@ -329,13 +373,6 @@ def test_run_extraction(spark):
     assert (r["n_with_data"], r["n_all"], r["ratio"]) == (1, 2, 0.5)
 
 
-def test_feasible_options_salted_path(spark):
-    tpl = TP.make_templates(_two_hole_template(spark))
-    a = TP.feasible_options(tpl, _five_symbols(spark)).count()
-    b = TP.feasible_options(tpl, _five_symbols(spark), max_broadcast_symbols=0, salt=3).count()
-    assert a == b == 10
-
-
 def test_scale_invariance_definition_order(spark):
     """J2 keeps symbol order through the explode / join / regroup shuffles."""
     defs = spark.createDataFrame([(f"T.f{i}", f"def {i}") for i in range(40)], "def_key string, def_stmt string")
@@ -368,3 +405,15 @@ def test_split_statements_edges(spark):
     assert [(r["pos"], r["kind"]) for r in rows] == [(0, None), (1, "lemmas"), (2, "lemma"), (3, "inductive_set"), (4, "inductive")]
     assert rows[4]["stmt"].endswith("lemmaX is not a command\n")  # not a command: stays in the previous span
     assert "".join(r["stmt"] for r in rows) == text  # spans cover the whole text
+
+
+def test_dense_index_and_exact_split_on_a_million_rows(spark):
+    """More partitions than input splits, a payload, and every id once."""
+    from quire.operators import mixing as M
+
+    n = 1_000_000
+    df = spark.range(0, n, 1, 16).select((F.col("id") * 7919 % n).alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    r = M.dense_index(df, ["id"], "i", partitions=50).agg(F.countDistinct("i").alias("d"), F.min("i").alias("a"), F.max("i").alias("b"), F.count_if(F.col("i") != F.col("id")).alias("wrong")).first()
+    assert tuple(r) == (n, 0, n - 1, 0)
+    sizes = {r["split"]: r["count"] for r in M.exact_split(df, "id", partitions=50).groupBy("split").count().collect()}
+    assert sizes == {"train": 800_000, "test": 100_000, "valid": 100_000}
