@@ -40,9 +40,9 @@ def _count_char(s: Column, ch: Column) -> Column:
 def jaccard(a, b) -> Column:
     """Multiset character similarity."""
     sa, sb = _col(a), _col(b)
-    alphabet = F.array_distinct(F.concat(chars(sa), chars(sb)))
-    inter = F.aggregate(alphabet, F.lit(0), lambda acc, ch: acc + F.least(_count_char(sa, ch), _count_char(sb, ch)))
-    union = F.aggregate(alphabet, F.lit(0), lambda acc, ch: acc + F.greatest(_count_char(sa, ch), _count_char(sb, ch)))
+    # a character of both counts by its smaller count, and the union is what is left of the lengths
+    inter = F.aggregate(F.array_distinct(chars(sa)), F.lit(0), lambda acc, ch: acc + F.least(_count_char(sa, ch), _count_char(sb, ch)))
+    union = F.length(sa) + F.length(sb) - inter
     return F.when(union == 0, F.lit(1.0)).otherwise(inter.cast("double") / union.cast("double"))
 
 

@@ -8,12 +8,9 @@ lemmas       (theory_file, lemma_name, lemma_object, lemma_command, used_symbols
 
 Scale notes
 -----------
-* J1/J2 explode the (short) symbol list of every lemma, join the definitions on a
-  computed key, and regroup per lemma.  The join is an equi-join: Spark broadcasts
-  the definitions when their size is under ``spark.sql.autoBroadcastJoinThreshold``
-  (a checked bound) and otherwise sort-merges; popular symbols (hot keys) are split
-  by AQE's skew-join handling.  Both lookup keys go through *one* join (exploded
-  with a priority) instead of two.
+* J1/J2 look up every distinct symbol once (both keys through *one* join, with a
+  priority), then join the found texts to the lemmas' symbols and regroup per lemma.
+  Popular symbols (hot keys) are split by AQE's skew-join handling.
 * A2 is ``collect_set`` per file, partially aggregated in every map task, so a
   file holding a third of all lemmas sends only its distinct symbols.
 * Order matters (definitions in symbol order, local definitions in file order):
@@ -47,25 +44,30 @@ def definition_keys(symbol) -> tuple[Column, Column]:
     return key1, key2
 
 
+def last_definitions(definitions: DataFrame) -> DataFrame:
+    """A3 on the lookup side of J1: one (def_key, def_stmt) per key, the last in theory and
+    file order."""
+    return definitions.groupBy("def_key").agg(F.max_by("def_stmt", F.struct("theory_file", "pos")).alias("def_stmt"))
+
+
 def dependent_definitions(lemmas: DataFrame, definitions: DataFrame, id_cols: list[str],
                           symbols_col: str = "used_symbols", all_rows: bool = True) -> DataFrame:
     """J1 + J2: definitions used by each lemma, in symbol order, duplicates kept,
-    missing or empty ones skipped.  Returns ``id_cols + [used_defs]`` for every
-    lemma (an empty array when none is found); ``all_rows=False`` returns only the
-    lemmas with at least one hit (the caller's own left join fills the rest)."""
+    missing or empty ones skipped.  Every distinct symbol is looked up once: the first of its
+    keys that exists wins (an empty definition still stops the lookup).  Returns
+    ``id_cols + [used_defs]`` for every lemma (an empty array when none is found);
+    ``all_rows=False`` returns only the lemmas with at least one hit (the caller's own
+    left join fills the rest)."""
     ex = lemmas.select(*id_cols, F.posexplode(symbols_col).alias("spos", "symbol"))
+    symbols = ex.select("symbol").distinct()
     k1, k2 = definition_keys(F.col("symbol"))
     keys = F.array(F.struct(F.lit(1).alias("prio"), k1.alias("key")), F.struct(F.lit(2).alias("prio"), k2.alias("key")))
-    probes = (ex.select(*id_cols, "spos", F.explode(keys).alias("k"))
-              .select(*id_cols, "spos", "k.prio", F.col("k.key").alias("def_key")).where(F.col("def_key").isNotNull()))
-    hits = probes.join(definitions.select("def_key", "def_stmt"), "def_key")
-    # one shuffle by lemma; both aggregations below reuse that partitioning:
-    # per symbol the first key that exists wins (an empty definition still stops
-    # the lookup and is skipped after), then the lemma's list in symbol order
-    best = (hits.repartition(*id_cols)
-            .groupBy(*id_cols, "spos").agg(F.min_by("def_stmt", "prio").alias("def_stmt"))
+    probes = (symbols.select("symbol", F.explode(keys).alias("k"))
+              .select("symbol", "k.prio", F.col("k.key").alias("def_key")).where(F.col("def_key").isNotNull()))
+    lookup = last_definitions(definitions) if "pos" in definitions.columns else definitions.select("def_key", "def_stmt")
+    best = (probes.join(lookup, "def_key").groupBy("symbol").agg(F.min_by("def_stmt", "prio").alias("def_stmt"))
             .where(F.col("def_stmt").isNotNull() & (F.col("def_stmt") != "")))
-    per = best.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("spos", "def_stmt"))).alias("h"))
+    per = ex.join(best, "symbol").groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("spos", "def_stmt"))).alias("h"))
     found = per.select(*id_cols, F.col("h.def_stmt").alias("used_defs"))
     if not all_rows:
         return found
@@ -79,14 +81,6 @@ def local_symbol_sets(lemmas: DataFrame, file_col: str = "theory_file", symbols_
             .groupBy(file_col).agg(F.sort_array(F.collect_set("s")).alias("file_symbols")))
 
 
-def local_symbols(lemmas: DataFrame, sets: DataFrame, file_col: str = "theory_file",
-                  symbols_col: str = "used_symbols") -> DataFrame:
-    """Symbols used elsewhere in the file but not in this lemma (sorted)."""
-    j = lemmas.join(sets, file_col, "left")
-    return j.withColumn("local_symbols", F.coalesce(F.array_except("file_symbols", symbols_col),
-                                                    F.array().cast("array<string>"))).drop("file_symbols")
-
-
 def local_definitions(definitions: DataFrame, file_col: str = "theory_file") -> DataFrame:
     """J5 (right side): all definition texts of a file in file order."""
     return definitions.groupBy(file_col).agg(
@@ -103,33 +97,35 @@ def theorem_command(lemmas: DataFrame, theorems: DataFrame) -> DataFrame:
 
 def symbol_types(lemmas: DataFrame, types: DataFrame, id_cols: list[str], symbols_col: str = "used_symbols") -> DataFrame:
     """Type of every symbol of a lemma, aligned with the symbol list (NULL when
-    unknown).  ``types`` is (symbol, type)."""
-    ex = lemmas.select(*id_cols, F.posexplode(symbols_col).alias("spos", "symbol"))
+    unknown; an empty list for a lemma without symbols).  ``types`` is (symbol, type)."""
+    ex = lemmas.select(*id_cols, F.posexplode_outer(symbols_col).alias("spos", "symbol"))
     j = ex.join(types.select("symbol", "type"), "symbol", "left")
-    per = j.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("spos", "type"))).alias("t"))
+    entry = F.when(F.col("spos").isNotNull(), F.struct("spos", "type"))
+    per = j.groupBy(*id_cols).agg(F.array_sort(F.collect_list(entry)).alias("t"))
     return per.select(*id_cols, F.col("t.type").alias("types"))
 
 
 def assemble_lemmas(templates: DataFrame, theorems: DataFrame, definitions: DataFrame,
-                    materialize: bool = True) -> DataFrame:
-    """P6 + X7/J3 + A2/J4 + J1/J2 + J5 + O6 + X16 -> the ``lemmas`` table.
-
-    ``defs`` is local definitions followed by used ones.  The template table feeds
-    three branches (symbol lookup, file symbol sets, the lemma rows); with
-    ``materialize`` it is checkpointed once in the shared folder instead of being
-    recomputed per branch.
+                    runs: DataFrame | None = None) -> DataFrame:
+    """P14 + A2 + P6 + X7/J3 + J4 + J1/J2 + J5 + O6 + X16 -> the ``lemmas`` table.
+
+    With ``runs`` (theory_file, one row per delivered result) only theories with exactly
+    one result are used.  The file symbol sets cover all lemmas of a file; generated
+    lemmas are skipped after that.  ``defs`` is local definitions followed by used ones.
+    The template table feeds three branches, so it is written once with a lemma id,
+    which keeps two facts of one name apart.
     """
-    t = ST.drop_generated(templates, "lemma_name").withColumn("used_symbols", F.col("symbols"))
-    if materialize:
-        t = cut_lineage(t)
-    ids = ["theory_file", "lemma_name"]
+    if runs is not None:
+        templates = templates.join(ST.single_result_guard(runs.select("theory_file")), "theory_file", "left_semi")
+    every = cut_lineage(templates.withColumn("used_symbols", F.col("symbols")).withColumn("lemma_id", F.monotonically_increasing_id()), "lemmas")
+    t = ST.drop_generated(every, "lemma_name")
     empty = F.array().cast("array<string>")
-    used = dependent_definitions(t, definitions, ids, all_rows=False)
+    used = dependent_definitions(t, definitions, ["lemma_id"], all_rows=False)
     # both per-file tables are joined first, so the lemma rows meet files once
-    per_file = local_symbol_sets(t).join(local_definitions(definitions), "theory_file", "full")
+    per_file = local_symbol_sets(every).join(local_definitions(definitions), "theory_file", "full")
     out = (
         theorem_command(t, theorems)
-        .join(used, ids, "left")
+        .join(used, "lemma_id", "left")
         .join(per_file, "theory_file", "left")
         .withColumn("used_defs", F.coalesce("used_defs", empty))
         .withColumn("local_symbols", F.coalesce(F.array_except("file_symbols", "used_symbols"), empty))

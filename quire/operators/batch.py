@@ -18,15 +18,14 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import py_split_ws
 
-PRED_SCHEMA = "row_id long, candidates array<string>, status string, error string"
 
 # The default predictor answers like the template service stub: "Template for <name>".
 STUB_PREFIX = "Template for "
 
 
-def stub_predictor(k: int = 2) -> Callable[[list[str]], list[list[str]]]:
-    """A model stand-in: for every prompt, ``Template for <w>`` for its first ``k``
-    words.  A prompt without words raises (to exercise the error path)."""
+def stub_predictor(k: int | None = None) -> Callable[[list[str]], list[list[str]]]:
+    """A model stand-in: for every prompt, ``Template for <w>`` for each of its words (the first
+    ``k``, if given).  A prompt without words raises (to exercise the error path)."""
 
     def predict(prompts: list[str]) -> list[list[str]]:
         out = []
@@ -65,20 +64,30 @@ def _call_with_limit(fn, arg, seconds: float | None):
 
 
 def predict(df: DataFrame, make_predictor: Callable[[], Callable[[list[str]], list[list[str]]]],
-            prompt_col: str = "prompt", id_col: str = "row_id", partitions: int | None = None,
+            prompt_col: str = "prompt", id_col: str | list[str] = "row_id",
             row_timeout: float | None = None) -> DataFrame:
-    """U3 + U6: k candidates per prompt over partitions.
+    """U3 + U6: k candidates per prompt over the input's own partitions:
+    (id columns, candidates, status, error).
 
     ``make_predictor`` is called once per task (load the model there).  A batch is
     predicted at once; when a batch fails, its rows are retried one by one so only
-    the failing rows get ``status='error'`` (with the message) and empty candidates.
+    the failing rows get ``status='error'`` (with the message) and empty candidates; so
+    does a model that returns another number of answers than it was asked for.
     With ``row_timeout`` (seconds) rows are predicted one at a time and a row past
     the limit gets ``status='timeout'`` (the original allowed 60 s per row).
     """
 
+    ids = [id_col] if isinstance(id_col, str) else list(id_col)
+
+    def answers(model, prompts):
+        got = model(prompts)
+        if len(got) != len(prompts):
+            raise ValueError(f"{len(got)} answers to {len(prompts)} prompts")
+        return got
+
     def one(model, p):
         try:
-            return _call_with_limit(model, [p], row_timeout)[0], "ok", None
+            return _call_with_limit(lambda x: answers(model, x), [p], row_timeout)[0], "ok", None
         except RowTimeout as e:
             return [], "timeout", str(e)
         except Exception as e:  # noqa: BLE001 - a row's failure is data
@@ -91,18 +100,17 @@ def predict(df: DataFrame, make_predictor: Callable[[], Callable[[list[str]], li
             rows = None
             if not row_timeout:
                 try:
-                    rows = [(c, "ok", None) for c in model(prompts)]
+                    rows = [(c, "ok", None) for c in answers(model, prompts)]
                 except Exception:  # fall back to rows to isolate the bad ones
                     rows = None
             if rows is None:
                 rows = [one(model, p) for p in prompts]
             cands, status, err = (list(x) for x in zip(*rows)) if rows else ([], [], [])
-            yield pd.DataFrame({"row_id": pdf[id_col].astype("int64"), "candidates": cands, "status": status, "error": err})
+            yield pdf[ids].assign(candidates=cands, status=status, error=err)
 
-    src = df.select(F.col(id_col), F.col(prompt_col))
-    if partitions:
-        src = src.repartition(partitions)
-    return src.mapInPandas(run, PRED_SCHEMA)
+    src = df.select(*ids, prompt_col)
+    schema = ", ".join(f"`{c}` {t}" for c, t in src.select(*ids).dtypes) + ", candidates array<string>, status string, error string"
+    return src.mapInPandas(run, schema)
 
 
 def map_rows(df: DataFrame, fn: Callable[[pd.Series], pd.Series], col: str, out: str, return_type: str = "string") -> DataFrame:

@@ -45,28 +45,44 @@ def strategy_array() -> "F.Column":
     return F.array(*[F.struct(F.lit(n).alias("strategy"), F.lit(k).alias("k")) for n, k in STRATEGIES])
 
 
-def align_predictions(examples: DataFrame, predictions: DataFrame, how: str = "inner") -> DataFrame:
-    """Pair every prediction row with its example by ``row_id``."""
-    return examples.join(predictions, "row_id", how)
-
-
-def template_eval(examples: DataFrame, predictions: DataFrame, reference_col: str = "template") -> DataFrame:
+def align_predictions(examples: DataFrame, predictions: DataFrame, strategies: list[str] | None = None) -> DataFrame:
+    """Pair every prediction row with its example by ``row_id``.  With ``strategies`` there
+    is a row for each example and strategy, with NULL candidates where none were predicted."""
+    if strategies is None:
+        return examples.join(predictions, "row_id")
+    wanted = examples.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in strategies])))
+    return wanted.join(predictions, ["row_id", "strategy"], "left")
+
+
+def alignment_report(examples: DataFrame, predictions: DataFrame, strategies: list[str]) -> DataFrame:
+    """J8's count check: per strategy the examples, those without predictions, and the predictions
+    that name no example."""
+    both = examples.select("row_id", F.lit(True).alias("ex")).withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in strategies])))
+    j = both.join(predictions.select("row_id", "strategy", F.lit(True).alias("pr")), ["row_id", "strategy"], "full")
+    return j.groupBy("strategy").agg(F.count("ex").alias("n_examples"), F.count_if(F.col("pr").isNull()).alias("n_missing"),
+                                     F.count_if(F.col("ex").isNull()).alias("n_extra"))
+
+
+def template_eval(examples: DataFrame, predictions: DataFrame, reference_col: str = "template",
+                  strategies: list[str] | None = None) -> DataFrame:
     """Clean both sides (E2), smallest edit distance over the k candidates (A5),
-    success when it is 0."""
-    joined = align_predictions(examples.select("row_id", reference_col), predictions)
+    success when it is 0.  A missing prediction (see ``align_predictions``) has no distance
+    and no success."""
+    joined = align_predictions(examples.select("row_id", reference_col), predictions, strategies)
     cleaned = F.transform("candidates", T.clean_term)
     ref = T.clean_term(reference_col)
     return (
         joined.select("row_id", "strategy", cleaned.alias("cleaned"), ref.alias("reference"))
         .withColumn("distance", D.best_distance("cleaned", "reference"))
-        .withColumn("success", F.col("distance") == 0)
+        .withColumn("success", F.coalesce(F.col("distance") == 0, F.lit(False)))
     )
 
 
-def lemma_eval(examples: DataFrame, predictions: DataFrame, reference_col: str = "lemma_object") -> DataFrame:
+def lemma_eval(examples: DataFrame, predictions: DataFrame, reference_col: str = "lemma_object",
+               strategies: list[str] | None = None) -> DataFrame:
     """E2 then E4 on both sides and E2 again, smallest edit distance, success at 0.
     ``cleaned`` keeps the un-normalised cleaned candidates."""
-    joined = align_predictions(examples.select("row_id", reference_col), predictions)
+    joined = align_predictions(examples.select("row_id", reference_col), predictions, strategies)
     cleaned = F.transform("candidates", T.clean_term)
     ref = T.clean_term(reference_col)
     scored = joined.select("row_id", "strategy", cleaned.alias("cleaned"), ref.alias("reference"))
@@ -74,25 +90,32 @@ def lemma_eval(examples: DataFrame, predictions: DataFrame, reference_col: str =
     dist = F.array_min(
         F.transform("cleaned", lambda p: F.levenshtein(T.clean_term(T.normalize_vars(p)), norm_ref))
     )
-    return scored.withColumn("distance", dist).withColumn("success", F.col("distance") == 0)
+    return scored.withColumn("distance", dist).withColumn("success", F.coalesce(F.col("distance") == 0, F.lit(False)))
+
 
+def evaluate(examples: DataFrame, predictions: DataFrame, train_config: str, eval_config: str = "",
+             strategies: list[str] | None = None, skip: int = 0) -> DataFrame | None:
+    """Scores over a list of strategies: E8 or E9 by the training config (``template`` first,
+    then ``lemma_object``; any other config gives no scores, None), after P13's skip of the
+    first ``skip`` examples for the evaluation configs that ask for it."""
+    from quire.operators import rows as R
 
-def evaluate(examples: DataFrame, predictions: DataFrame, train_config: str) -> DataFrame | None:
-    """Pick E8 or E9 by the training config: ``template`` first, then ``lemma_object``;
-    any other config gives no scores (None)."""
+    examples = R.skip_prefix(examples, skip, when_config=eval_config) if skip else examples
     if "template" in train_config:
-        return template_eval(examples, predictions)
+        return template_eval(examples, predictions, strategies=strategies)
     if "lemma_object" in train_config:
-        return lemma_eval(examples, predictions)
+        return lemma_eval(examples, predictions, strategies=strategies)
     return None
 
 
 def success_rate(scores: DataFrame) -> DataFrame:
-    """Correct rows and percentage per strategy."""
+    """Correct rows and percentage (one decimal) per strategy, of all rows that ``scores`` has
+    for it; rows without a prediction are there when the scores were made for a list of
+    strategies."""
     return scores.groupBy("strategy").agg(
         F.count_if("success").alias("n_success"),
         F.count(F.lit(1)).alias("n_rows"),
-        (F.count_if("success") * 100.0 / F.count(F.lit(1))).alias("pct_success"),
+        F.round(F.count_if("success") * 100.0 / F.count(F.lit(1)), 1).alias("pct_success"),
     )
 
 
@@ -113,7 +136,7 @@ def any_strategy_report(scores: DataFrame) -> DataFrame:
     return per_row.agg(
         F.count_if("any_success").alias("n_any_success"),
         F.count(F.lit(1)).alias("n_rows"),
-        (F.count_if("any_success") * 100.0 / F.count(F.lit(1))).alias("pct_any_success"),
+        F.round(F.count_if("any_success") * 100.0 / F.count(F.lit(1)), 1).alias("pct_any_success"),
     )
 
 
@@ -151,6 +174,7 @@ def compare_two(examples: DataFrame, predictions: DataFrame, a: str, b: str, ref
         "row_id",
         lev_a.alias(f"{_n(a)}_levenshtein_list"),
         lev_b.alias(f"{_n(b)}_levenshtein_list"),
+        *[F.col(f"{k}_{s}").alias(f"{_n(n)}_{d}_list") for k, d in (("ham", "hamming"), ("jac", "jaccard")) for s, n in (("a", a), ("b", b))],
         F.least(F.array_min(lev_a), F.array_min(lev_b)).alias("min_levenshtein"),
         F.least(F.array_min("ham_a"), F.array_min("ham_b")).alias("min_hamming"),
         F.greatest(F.array_max("jac_a"), F.array_max("jac_b")).alias("max_jaccard"),

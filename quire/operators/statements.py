@@ -26,6 +26,9 @@ OTHER_COMMANDS = [
     "context", "instantiation", "instance", "interpretation", "notation", "no_notation",
     "hide_const", "hide_fact", "setup", "ML", "ML_file", "method", "by", "apply", "done", "proof",
     "qed", "oops", "sorry", "using", "unfolding", "show", "have", "obtain", "next", "termination",
+    "then", "also", "finally", "thus", "hence", "fix", "assume", "case", "from", "with", "note", "let", "moreover",
+    "ultimately", "lift_definition", "sublocale", "partial_function", "global_interpretation", "named_theorems",
+    "bundle", "syntax", "translations", "subclass", "setup_lifting", "code_printing", "value", "export_code",
 ]
 
 COMMANDS = T.THEOREM_KINDS + T.DEFINITION_KINDS + OTHER_COMMANDS
@@ -57,14 +60,15 @@ def kind_filter(statements: DataFrame, kinds: list[str]) -> DataFrame:
     return statements.where(F.col("kind").isin(kinds))
 
 
-def last_block(statements: DataFrame, block_col: str = "block", key: str = "theory_file") -> DataFrame:
-    """P5 quirk: a theory delivered in several blocks keeps only its last block.
+def last_block(theories: DataFrame, block_col: str = "block", key: str = "theory_file") -> DataFrame:
+    """P5 quirk: a theory delivered in several blocks keeps only its last block.  Taken on the
+    theories, before their text is cut.
 
     ``max`` per theory is partially aggregated on the map side; the semi join is on
     (theory, block), which spreads a hot theory over its many blocks.
     """
-    last = statements.groupBy(key).agg(F.max(block_col).alias(block_col))
-    return statements.join(last, [key, block_col], "left_semi")
+    last = theories.groupBy(key).agg(F.max(block_col).alias(block_col))
+    return theories.join(last, [key, block_col], "left_semi")
 
 
 def theorems(statements: DataFrame) -> DataFrame:
@@ -97,8 +101,8 @@ def drop_generated(df: DataFrame, name_col: str = "lemma_name") -> DataFrame:
 
 def single_result_guard(results: DataFrame, key: str = "theory_file") -> DataFrame:
     """Use a theory only when it delivered exactly one result."""
-    ok = results.groupBy(key).count().where(F.col("count") == 1).select(key)
-    return results.join(ok, key, "left_semi")
+    one = results.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.any_value(F.struct(*results.columns)).alias("r"))
+    return one.where(F.col("n") == 1).select("r.*")
 
 
 def coverage(runs: DataFrame, has_data=None, data_col: str = "data") -> DataFrame:

@@ -6,8 +6,7 @@ row): ``part`` gives examples and candidate texts, ``documents`` gives theory te
 and statements, ``pages`` gives paths, ``orders``/``lineitem``/``part`` give lemmas
 with symbols and definitions, ``conversations`` gives prompts, ``events`` gives
 logs and stage results.  Every derivation is an expression, an explode of a
-fixed-size array, or an equi-join on a computed key, so it grows linearly with the
-tables and has no hot key.
+fixed-size array, or an equi-join on a computed key, so it grows with the tables.
 """
 
 from __future__ import annotations
@@ -61,16 +60,15 @@ def part_predictions(spark: SparkSession, sf_dir: str, task: str = "template") -
         F.struct(F.lit(s).alias("strategy"), F.lit(slot).alias("slot"), F.lit(o).cast("long").alias("off"))
         for s, slot, o in PREDICTION_OFFSETS
     ])
-    want = p.select("p_partkey", F.explode(offsets).alias("o")).select(
-        F.col("p_partkey").alias("row_id"), "o.strategy", "o.slot", (F.col("p_partkey") + F.col("o.off")).alias("nkey")
-    )
     if task == "template":
         text = F.concat(F.lit("  "), F.col("p_name"), F.lit("  ###end "), F.col("p_type"))
     else:
         text = F.concat(F.replace(_lemma_object(F.col("p_type"), F.col("p_name")), F.lit("?"), F.lit("?v")), F.lit("###end"))
-    have = p.select(F.col("p_partkey").alias("nkey"), text.alias("text"))
+    # every text goes straight to the parts that it is a candidate of
+    sent = p.select("p_partkey", text.alias("text"), F.explode(offsets).alias("o")).select(
+        (F.col("p_partkey") - F.col("o.off")).alias("row_id"), "o.strategy", "o.slot", "text")
     return (
-        want.join(have, "nkey")
+        sent.join(p.select(F.col("p_partkey").alias("row_id")), "row_id", "left_semi")
         .groupBy("row_id", "strategy")
         .agg(F.array_sort(F.collect_list(F.struct("slot", "text"))).alias("c"))
         .select("row_id", "strategy", F.col("c.text").alias("candidates"))
@@ -80,13 +78,14 @@ def part_predictions(spark: SparkSession, sf_dir: str, task: str = "template") -
 # --- theory text and statements from `documents` ------------------------------
 
 def document_theories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """theories(theory_file, block, text): every document becomes a block of theory
-    text for the theory named by its ``source``; each of its lines becomes one
-    command (lemma / unnamed theorem / definition / fun / text)."""
+    """theories(theory_file, session, block, text): every document becomes a theory (of the session
+    named by its ``source``); each of its lines becomes one command (lemma / unnamed theorem /
+    definition / fun / text)."""
     d = table(spark, sf_dir, "documents")
     lines = F.split(F.col("text"), "\n")
     cmds = F.transform(lines, _cmd)
-    return d.select(F.col("source").alias("theory_file"), F.col("doc_id").alias("block"),
+    theory = F.concat("source", F.lit("/T"), F.col("doc_id").cast("string"))
+    return d.select(theory.alias("theory_file"), F.col("source").alias("session"), F.col("doc_id").alias("block"),
                     F.array_join(cmds, "\n").alias("text"))
 
 
@@ -109,7 +108,7 @@ def _cmd(line, i):
 # dots, a `_class` segment, no dot); definitions are parts, filed by part key.
 
 def _part_theory(partkey):
-    return F.concat(F.lit("Thy"), (partkey % 1000).cast("string"))
+    return F.concat(F.lit("Thy"), F.floor(partkey / 4).cast("string"))
 
 
 def _symbol(partkey, line):
@@ -153,15 +152,26 @@ def order_theorems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def part_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """definitions(def_key, theory_file, pos, def_name, def_stmt) per part."""
+    """definitions(def_key, theory_file, pos, def_name, def_stmt) per part, four parts to a
+    theory; every tenth part is defined twice under one key."""
     from quire.functions.text import qualified_def_key
 
     p = table(spark, sf_dir, "part")
     thy = _part_theory(F.col("p_partkey"))
     name = F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    times = F.when(F.col("p_partkey") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    again = F.when(F.col("again") == 1, F.lit(" again")).otherwise(F.lit(""))
+    p = p.withColumn("again", F.explode(times))
     return p.select(qualified_def_key(thy, name).alias("def_key"), thy.alias("theory_file"),
-                    F.col("p_partkey").alias("pos"), name.alias("def_name"),
-                    F.concat(F.lit("definition "), name, F.lit(' where "'), F.col("p_name"), F.lit('"')).alias("def_stmt"))
+                    (F.col("p_partkey") * 2 + F.col("again")).alias("pos"), name.alias("def_name"),
+                    F.concat(F.lit("definition "), name, F.lit(' where "'), F.col("p_name"), again, F.lit('"')).alias("def_stmt"))
+
+
+def customer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """runs(theory_file): the results that theories delivered; every tenth customer's twice."""
+    c = table(spark, sf_dir, "customer")
+    times = F.when(F.col("c_custkey") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return c.select(F.concat(F.lit("Thy"), F.col("c_custkey").cast("string")).alias("theory_file"), F.explode(times).alias("again")).drop("again")
 
 
 def part_symbol_types(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,12 +197,12 @@ def order_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("definition "), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(" = "), F.col("p_brand")).alias("d"),
     ))).alias("it"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
-    t = o.join(items, o.o_orderkey == items.l_orderkey)
+    t = o.join(items, o.o_orderkey == items.l_orderkey, "left").withColumn("it", F.coalesce("it", F.array().cast(items.schema["it"].dataType)))
     types = F.col("it.p_type")
     return t.select(
         F.col("o_orderkey").alias("row_id"),
         F.col("it.p_name").alias("symbols"),
-        F.when(F.col("o_orderkey") % 3 == 0, F.slice(types, 1, F.size(types) - 1)).otherwise(types).alias("types"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.slice(types, 1, F.greatest(F.size(types) - 1, F.lit(0)))).otherwise(types).alias("types"),
         F.col("it.d").alias("defs"),
         F.concat(F.lit("?H1 ("), F.col("o_orderpriority"), F.lit(")")).alias("template"),
         F.concat(F.col("o_orderstatus"), F.lit(" "), F.col("o_orderpriority")).alias("lemma_object"),

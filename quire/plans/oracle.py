@@ -158,16 +158,16 @@ def statements_cte(name: str = "st") -> str:
            f"ELSE 'text \\<open>' || s.line || '\\<close>' END")
     kind = "CASE s.i % 5 WHEN 0 THEN 'lemma' WHEN 1 THEN 'theorem' WHEN 2 THEN 'definition' WHEN 3 THEN 'fun' ELSE 'text' END"
     return (
-        f"{name} AS (SELECT d.source AS theory_file, d.doc_id AS block, CAST(s.i AS INTEGER) AS pos, {kind} AS kind, "
+        f"{name} AS (SELECT d.source || '/T' || CAST(d.doc_id AS VARCHAR) AS theory_file, d.source AS session, d.doc_id AS block, CAST(s.i AS INTEGER) AS pos, {kind} AS kind, "
         f"{cmd} || CASE WHEN s.i < s.n - 1 THEN chr(10) ELSE '' END AS stmt "
         f"FROM documents d, unnest(list_transform(string_split(d.text, chr(10)), "
         f"lambda l, k: {{'line': l, 'i': k - 1, 'n': len(string_split(d.text, chr(10)))}})) AS u(s))"
     )
 
 
-def last_block_cte(src: str = "st", name: str = "lb") -> str:
-    return (f"{name} AS (SELECT {src}.* FROM {src} JOIN (SELECT theory_file, max(block) AS block FROM {src} "
-            f"GROUP BY theory_file) m USING (theory_file, block))")
+def last_block_cte(src: str = "st", name: str = "lb", key: str = "theory_file") -> str:
+    return (f"{name} AS (SELECT {src}.* FROM {src} JOIN (SELECT {key}, max(block) AS block FROM {src} "
+            f"GROUP BY {key}) m USING ({key}, block))")
 
 
 # --- terms (token lists of structs) -------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.operators import assemble as A
 from quire.operators import statements as ST
 from quire.plans import oracle as O
-from quire.plans.driver import order_templates, order_theorems, part_definitions, part_symbol_types
+from quire.plans.driver import customer_runs, order_templates, order_theorems, part_definitions, part_symbol_types
 from quire.plans.registry import register
 
 
@@ -22,7 +22,7 @@ _BASE = f"""WITH
 sy AS (SELECT l_orderkey, l_linenumber,
               CASE l_linenumber % 4 WHEN 0 THEN t || '.' || b WHEN 1 THEN t || '.' || b || '.simps'
                    WHEN 2 THEN t || '.' || b || '_class.x' ELSE b END AS symbol
-       FROM (SELECT l_orderkey, l_linenumber, 'Thy' || CAST(l_partkey % 1000 AS VARCHAR) AS t,
+       FROM (SELECT l_orderkey, l_linenumber, 'Thy' || CAST(l_partkey // 4 AS VARCHAR) AS t,
                     'p' || CAST(l_partkey AS VARCHAR) AS b FROM lineitem)),
 ss AS (SELECT l_orderkey, list(symbol ORDER BY l_linenumber, symbol) AS s FROM sy GROUP BY l_orderkey),
 tp AS (SELECT 'Thy' || CAST(o_custkey AS VARCHAR) AS theory_file,
@@ -31,12 +31,16 @@ tp AS (SELECT 'Thy' || CAST(o_custkey AS VARCHAR) AS theory_file,
               '?' || o_orderpriority || ' = ' || o_orderstatus AS lemma_object,
               {_DISTINCT_FIRST} AS symbols,
               '?H1 (' || o_orderpriority || ')' || chr(10) || '= ?H2' AS template
-       FROM orders LEFT JOIN ss ON ss.l_orderkey = o_orderkey),
+       FROM orders LEFT JOIN ss ON ss.l_orderkey = o_orderkey
+       WHERE o_custkey IN (SELECT c_custkey FROM customer GROUP BY c_custkey HAVING sum(CASE WHEN c_custkey % 10 = 0 THEN 2 ELSE 1 END) = 1)),
 tp2 AS (SELECT * FROM tp WHERE length(lemma_name) - length(replace(lemma_name, '.', '')) <= 1),
-df AS (SELECT 'Thy' || CAST(p_partkey % 1000 AS VARCHAR) || '.p' || CAST(p_partkey AS VARCHAR) AS def_key,
-              'Thy' || CAST(p_partkey % 1000 AS VARCHAR) AS theory_file, p_partkey AS pos,
+df AS (SELECT 'Thy' || CAST(p_partkey // 4 AS VARCHAR) || '.p' || CAST(p_partkey AS VARCHAR) AS def_key,
+              'Thy' || CAST(p_partkey // 4 AS VARCHAR) AS theory_file, p_partkey * 2 + again AS pos,
               'p' || CAST(p_partkey AS VARCHAR) AS def_name,
-              'definition p' || CAST(p_partkey AS VARCHAR) || ' where "' || p_name || '"' AS def_stmt FROM part),
+              'definition p' || CAST(p_partkey AS VARCHAR) || ' where "' || p_name || CASE again WHEN 1 THEN ' again' ELSE '' END || '"' AS def_stmt
+       FROM part, (VALUES (0), (1)) v(again) WHERE again = 0 OR p_partkey % 10 = 0),
+dl AS (SELECT def_key, arg_max(def_stmt, pos) AS def_stmt FROM df GROUP BY def_key),
+exa AS (SELECT theory_file, u.s AS symbol FROM tp, unnest(symbols) AS u(s)),
 ex AS (SELECT theory_file, lemma_name, u.e.x AS symbol, u.e.i AS spos FROM tp2,
        unnest(list_transform(symbols, lambda x, i: {{'x': x, 'i': i}})) AS u(e)),
 kk AS (SELECT theory_file, lemma_name, spos,
@@ -46,10 +50,10 @@ kk AS (SELECT theory_file, lemma_name, spos,
                     regexp_replace(symbol, '\\.[^.]*$', '') AS head FROM ex)),
 lk AS (SELECT kk.theory_file, kk.lemma_name, kk.spos,
               CASE WHEN d1.def_key IS NOT NULL THEN d1.def_stmt ELSE d2.def_stmt END AS def
-       FROM kk LEFT JOIN df d1 ON d1.def_key = kk.key1 LEFT JOIN df d2 ON d2.def_key = kk.key2),
+       FROM kk LEFT JOIN dl d1 ON d1.def_key = kk.key1 LEFT JOIN dl d2 ON d2.def_key = kk.key2),
 ud AS (SELECT theory_file, lemma_name, list(def ORDER BY spos) FILTER (WHERE def IS NOT NULL AND def <> '') AS used_defs
        FROM lk GROUP BY theory_file, lemma_name),
-fs AS (SELECT theory_file, list_sort(list(DISTINCT symbol)) AS file_symbols FROM ex GROUP BY theory_file),
+fs AS (SELECT theory_file, list_sort(list(DISTINCT symbol)) AS file_symbols FROM exa GROUP BY theory_file),
 ld AS (SELECT theory_file, list(def_stmt ORDER BY pos) AS local_defs FROM df GROUP BY theory_file),
 th AS (SELECT 'Thy' || CAST(o_custkey AS VARCHAR) AS theory_file, 'o' || CAST(o_orderkey AS VARCHAR) AS short_name,
               'lemma o' || CAST(o_orderkey AS VARCHAR) || ': "' || o_orderpriority || '"' AS lemma_command
@@ -73,7 +77,13 @@ _J6_SQL = _BASE + """SELECT theory_file, lemma_name, lemma_object, lemma_command
 
 
 def _lemmas(spark, sf):
-    return A.assemble_lemmas(order_templates(spark, sf), order_theorems(spark, sf), part_definitions(spark, sf))
+    return A.assemble_lemmas(order_templates(spark, sf), order_theorems(spark, sf), part_definitions(spark, sf), customer_runs(spark, sf))
+
+
+def _templates(spark, sf):
+    """The templates of theories with exactly one result."""
+    one = ST.single_result_guard(customer_runs(spark, sf))
+    return order_templates(spark, sf).join(one, "theory_file", "left_semi").withColumnRenamed("symbols", "used_symbols")
 
 
 @register("j6_assemble_lemmas", _J6_SQL)
@@ -91,7 +101,7 @@ _J2_SQL = _BASE + "SELECT theory_file, lemma_name, array_to_string(used_defs, '
 @register("j2_dependent_definitions", _J2_SQL)
 def j2_dependent_definitions(spark, sf):
     """J1 + J2: definitions of every lemma's symbols (one-dot, two-dot and _class keys)."""
-    t = ST.drop_generated(order_templates(spark, sf)).withColumnRenamed("symbols", "used_symbols")
+    t = ST.drop_generated(_templates(spark, sf))
     d = A.dependent_definitions(t, part_definitions(spark, sf), ["theory_file", "lemma_name"])
     return d.select("theory_file", "lemma_name", _j("used_defs").alias("used_defs"), F.size("used_defs").alias("n_defs"))
 
@@ -101,9 +111,8 @@ _A2_SQL = _BASE + "SELECT theory_file, array_to_string(file_symbols, ' | ') AS f
 
 @register("a2_local_symbol_sets", _A2_SQL)
 def a2_local_symbol_sets(spark, sf):
-    """A2: sorted union of symbols per file (O5 across rows)."""
-    t = ST.drop_generated(order_templates(spark, sf)).withColumnRenamed("symbols", "used_symbols")
-    return A.local_symbol_sets(t).select("theory_file", _j("file_symbols").alias("file_symbols"))
+    """P14 + A2: sorted union of the symbols of all lemmas of a file (O5 across rows)."""
+    return A.local_symbol_sets(_templates(spark, sf)).select("theory_file", _j("file_symbols").alias("file_symbols"))
 
 
 _J5_SQL = _BASE + "SELECT theory_file, array_to_string(local_defs, ' | ') AS local_defs, CAST(len(local_defs) AS INTEGER) AS n_defs FROM ld"
@@ -116,17 +125,18 @@ def j5_local_definitions(spark, sf):
     return ld.select("theory_file", _j("local_defs").alias("local_defs"), F.size("local_defs").alias("n_defs"))
 
 
-_X15_SQL = _BASE + """, ty AS (SELECT 'Thy' || CAST(p_partkey % 1000 AS VARCHAR) || '.p' || CAST(p_partkey AS VARCHAR) AS symbol,
+_X15_SQL = _BASE + """, ty AS (SELECT 'Thy' || CAST(p_partkey // 4 AS VARCHAR) || '.p' || CAST(p_partkey AS VARCHAR) AS symbol,
                            p_type AS type FROM part),
 et AS (SELECT ex.theory_file, ex.lemma_name, list(coalesce(ty.type, '?') ORDER BY ex.spos) AS types
        FROM ex LEFT JOIN ty ON ty.symbol = ex.symbol GROUP BY ex.theory_file, ex.lemma_name)
-SELECT theory_file, lemma_name, array_to_string(types, ' | ') AS types FROM et"""
+SELECT tp2.theory_file, tp2.lemma_name, coalesce(array_to_string(types, ' | '), '') AS types
+FROM tp2 LEFT JOIN et ON et.theory_file = tp2.theory_file AND et.lemma_name = tp2.lemma_name"""
 
 
 @register("x15_symbol_types", _X15_SQL)
 def x15_symbol_types(spark, sf):
     """Types aligned with every lemma's symbol list (unknown -> '?')."""
-    t = ST.drop_generated(order_templates(spark, sf)).withColumnRenamed("symbols", "used_symbols")
+    t = ST.drop_generated(_templates(spark, sf))
     ty = A.symbol_types(t, part_symbol_types(spark, sf), ["theory_file", "lemma_name"])
     return ty.select("theory_file", "lemma_name",
                      _j(F.transform("types", lambda x: F.coalesce(x, F.lit("?")))).alias("types"))

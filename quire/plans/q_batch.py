@@ -3,31 +3,39 @@ predictions, events and order examples."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quire.operators import batch as B
 from quire.plans import oracle as O
 from quire.plans.driver import order_examples, part_predictions, table
 from quire.plans.registry import register
+from quire.session import checkpoint_dir
+from quire.sources.io import append_results, table_or_empty
 
-_PROMPTS_SQL = f"""WITH pr AS (SELECT conv_id * 100000 + turn AS row_id, conv_id, turn, role, text FROM conversations WHERE role = 'user'),
-pd AS (SELECT row_id, conv_id, list_transform(list_slice({O.usplit_ws('text')}, 1, 2), lambda w: 'Template for ' || w) AS c,
+_PROMPTS_SQL = f"""WITH pr AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 17 = 0 AND turn = 0 THEN '' ELSE text END AS text FROM conversations),
+pd AS (SELECT conv_id, turn, list_transform({O.usplit_ws('text')}, lambda w: 'Template for ' || w) AS c,
               CASE WHEN len({O.usplit_ws('text')}) = 0 THEN 'error' ELSE 'ok' END AS status FROM pr)
 """
 
 
 def _prompts(spark, sf):
-    c = table(spark, sf, "conversations").where(F.col("role") == "user")
-    return c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("row_id"), "conv_id", "turn", "role",
-                    F.col("text").alias("prompt"))
+    """Every turn as a prompt; some first turns are blank, which the model refuses."""
+    c = table(spark, sf, "conversations")
+    blank = (F.col("conv_id") % 17 == 0) & (F.col("turn") == 0)
+    return c.select("conv_id", "turn", "role", F.when(blank, "").otherwise(F.col("text")).alias("prompt"))
+
 
+_KEY = ["conv_id", "turn"]
 
-@register("u3_predict", _PROMPTS_SQL + "SELECT row_id, array_to_string(c, ' | ') AS candidates, status FROM pd")
+
+@register("u3_predict", _PROMPTS_SQL + "SELECT conv_id, turn, array_to_string(c, ' | ') AS candidates, status FROM pd")
 def u3_predict(spark, sf):
     """U3 + U6: the stub predictor over partitions (mapInPandas, model made once per
-    task), keyed by row_id; a failing row becomes status 'error'."""
-    p = B.predict(_prompts(spark, sf), lambda: B.stub_predictor(2), partitions=8)
-    return p.select("row_id", F.array_join("candidates", " | ").alias("candidates"), "status")
+    task), keyed by conversation and turn; a failing row becomes status 'error'."""
+    p = B.predict(_prompts(spark, sf), B.stub_predictor, id_col=_KEY)
+    return p.select(*_KEY, F.array_join("candidates", " | ").alias("candidates"), "status")
 
 
 _H1_SQL = """SELECT conv_id, turn, md5(md5('conv_id') || md5(CAST(conv_id AS VARCHAR)) || md5('turn') || md5(CAST(turn AS VARCHAR))
@@ -42,23 +50,25 @@ def h1_fingerprint(spark, sf):
     return c.select("conv_id", "turn", B.fingerprint("conv_id", "turn", "role", "text", df=c).alias("fingerprint"))
 
 
-_J10_SQL = _PROMPTS_SQL + """SELECT row_id, array_to_string(c, ' | ') AS candidates,
+_J10_SQL = _PROMPTS_SQL + """SELECT conv_id, turn, array_to_string(c, ' | ') AS candidates,
   CASE WHEN conv_id % 2 = 0 THEN 'cache' ELSE 'run' END AS origin FROM pd WHERE status = 'ok'"""
 
 
 @register("j10_rerun_missing", _J10_SQL)
 def j10_rerun_missing(spark, sf):
-    """J10 + S7: results of even conversations stand in for a results cache; only the
-    rows without a good cached result are predicted, then both are united."""
+    """J10 + S7: results of even conversations are stored and read back as the results cache;
+    only the rows without a good cached result are predicted, then both are united."""
     todo = _prompts(spark, sf)
-    todo = todo.withColumn("fingerprint", B.fingerprint("row_id", "prompt", df=todo))
-    cached = B.predict(todo.where(F.col("conv_id") % 2 == 0), lambda: B.stub_predictor(2))
-    cached = cached.join(todo.select("row_id", "fingerprint"), "row_id")
+    todo = todo.withColumn("fingerprint", B.fingerprint(*_KEY, "prompt", df=todo))
+    path = f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    first = B.predict(todo.where(F.col("conv_id") % 2 == 0), B.stub_predictor, id_col=["fingerprint", *_KEY])
+    append_results(first, path)
+    cached = table_or_empty(spark, path, first.schema)
     missing = B.rerun_missing(todo, cached, ok=F.col("status") == "ok")
-    fresh = B.predict(missing, lambda: B.stub_predictor(2)).where(F.col("status") == "ok")
-    out = (cached.where(F.col("status") == "ok").select("row_id", "candidates", F.lit("cache").alias("origin"))
-           .unionByName(fresh.select("row_id", "candidates", F.lit("run").alias("origin"))))
-    return out.select("row_id", F.array_join("candidates", " | ").alias("candidates"), "origin")
+    fresh = B.predict(missing, B.stub_predictor, id_col=_KEY).where(F.col("status") == "ok")
+    out = (cached.where(F.col("status") == "ok").select(*_KEY, "candidates", F.lit("cache").alias("origin"))
+           .unionByName(fresh.select(*_KEY, "candidates", F.lit("run").alias("origin"))))
+    return out.select(*_KEY, F.array_join("candidates", " | ").alias("candidates"), "origin")
 
 
 _A11_SQL = f"""WITH {O.part_predictions_cte('template')}
@@ -123,14 +133,15 @@ def _keep_first(x: str) -> str:
 
 _ARR_SQL = """WITH it AS (
   SELECT l.l_orderkey, list(p.p_name ORDER BY l.l_linenumber, l.l_partkey) AS symbols, list(p.p_type ORDER BY l.l_linenumber, l.l_partkey) AS types
-  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey)
+  FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey),
+al AS (SELECT o_orderkey AS l_orderkey, coalesce(symbols, []) AS symbols, coalesce(types, []) AS types FROM orders LEFT JOIN it ON it.l_orderkey = o_orderkey)
 SELECT l_orderkey AS row_id,
   array_to_string(KF(symbols), ' | ') AS distinct_symbols,
   CASE WHEN list_position(symbols, symbols[len(symbols)]) > 0 THEN CAST(list_position(symbols, symbols[len(symbols)]) - 1 AS INTEGER) END AS last_index,
   array_to_string(KF(list_filter(symbols, lambda s: s <> symbols[1])), ' | ') AS except_first,
   array_to_string(KF(list_slice(symbols, 1, 2) || list_slice(symbols, -2, -1)), ' | ') AS union_ends,
   array_to_string(symbols || CASE WHEN l_orderkey % 3 = 0 THEN list_slice(types, 1, len(types) - 1) ELSE types END, ' | ') AS flattened
-FROM it"""
+FROM al"""
 
 
 @register("o4_array_ops", _ARR_SQL.replace("KF(symbols)", _keep_first("symbols"))
@@ -143,9 +154,9 @@ def o4_array_ops(spark, sf):
     return order_examples(spark, sf).select(
         "row_id",
         F.array_join(F.array_distinct(s), " | ").alias("distinct_symbols"),
-        B.index_of(s, F.element_at(s, -1)).cast("int").alias("last_index"),
+        B.index_of(s, F.try_element_at(s, F.lit(-1))).cast("int").alias("last_index"),
         F.array_join(F.array_except(s, F.slice(s, 1, 1)), " | ").alias("except_first"),
-        F.array_join(F.array_union(F.slice(s, 1, 2), F.slice(s, -2, 2)), " | ").alias("union_ends"),
+        F.array_join(F.array_union(F.slice(s, 1, 2), F.slice(s, F.greatest(F.size(s) - 1, F.lit(1)), 2)), " | ").alias("union_ends"),
         F.array_join(F.flatten(F.array(s, types)), " | ").alias("flattened"),
     )
 
@@ -174,24 +185,26 @@ def s9_run_ids(spark, sf):
     return cols.select("p_partkey", run_id("model", "dataset", "config", "label").alias("run_id"))
 
 
-def _n_chars(s):
-    return s.fillna("").str.len().astype("int64")
+def _nfc(s):
+    return s.fillna("").str.normalize("NFC")
 
 
-def _add_words(pdf):
-    return pdf.assign(n_words=pdf["text"].fillna("").str.split().str.len().astype("int64")).drop(columns=["text"])
+def _add_nfc_words(pdf):
+    words = pdf["text"].fillna("").str.normalize("NFC").str.split()
+    return pdf.assign(n_words=words.map(lambda w: len(set(w))).astype("int64")).drop(columns=["text"])
 
 
-_U1_SQL = f"""SELECT doc_id, length(text) AS n_chars, CAST(len({O.usplit_ws('text')}) AS BIGINT) AS n_words FROM documents"""
+_U1_SQL = f"""SELECT doc_id, nfc_normalize(text) AS nfc, CAST(len(list_distinct({O.usplit_ws('nfc_normalize(text)')})) AS BIGINT) AS n_words FROM documents"""
 
 
 @register("u1_user_functions", _U1_SQL)
 def u1_user_functions(spark, sf):
     """U1 (a vectorised user function per row: a pandas UDF) and U2 (a user function
-    per Arrow batch: mapInPandas) over every document's whole text."""
+    per Arrow batch: mapInPandas) over every document's whole text: Unicode composition, which
+    no built-in function does, and the distinct composed words."""
     d = table(spark, sf, "documents").select("doc_id", "text")
-    with_chars = B.map_rows(d, _n_chars, "text", "n_chars", "long")
-    return B.map_batches(with_chars, _add_words, "doc_id long, n_chars long, n_words long")
+    composed = B.map_rows(d, _nfc, "text", "nfc", "string")
+    return B.map_batches(composed, _add_nfc_words, "doc_id long, nfc string, n_words long")
 
 
 VOCAB = 50000
@@ -205,19 +218,14 @@ def _md5_tokenizer():
     return lambda text: [int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % VOCAB for t in text.split()]
 
 
-_U7_SQL = f"""SELECT conv_id, turn, CAST(len(ids) AS INTEGER) AS n_ids, array_to_string(list_slice(ids, 1, 8), ' ') AS first_ids,
-  CAST(coalesce(list_sum(ids), 0) AS BIGINT) AS id_sum
-FROM (SELECT conv_id, turn, list_transform({O.usplit_ws('text')},
-        lambda t: CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % {VOCAB} AS INTEGER)) AS ids
-      FROM conversations WHERE role = 'user')"""
+_U7_SQL = f"""SELECT conv_id, turn, array_to_string(list_transform({O.usplit_ws('text')},
+        lambda t: CAST(('0x' || substr(md5(t), 1, 8))::BIGINT % {VOCAB} AS INTEGER)), ' ') AS ids FROM conversations"""
 
 
 @register("u7_tokenize", _U7_SQL)
 def u7_tokenize(spark, sf):
     """A pluggable tokenizer built once per worker, run as a pandas UDF over every
-    user turn's whole text."""
-    c = table(spark, sf, "conversations").where(F.col("role") == "user")
+    turn's whole text; all ids."""
+    c = table(spark, sf, "conversations")
     ids = c.select("conv_id", "turn", B.tokenizer_udf(_md5_tokenizer)("text").alias("ids"))
-    return ids.select("conv_id", "turn", F.size("ids").alias("n_ids"),
-                      F.array_join(F.slice("ids", 1, 8), " ").alias("first_ids"),
-                      F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"))
+    return ids.select("conv_id", "turn", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))

@@ -33,15 +33,13 @@ SELECT theory_file, lemma_name, arg_max(stmt, pos) AS stmt, max(pos) AS pos FROM
 @register("x2_theorems", _X2_SQL)
 def x2_theorems(spark, sf):
     """P5 (kinds, last block per theory) + X2 (names) + A3 (last statement wins)."""
-    st = ST.last_block(_statements(spark, sf))
+    st = ST.split_statements(ST.last_block(document_theories(spark, sf)))
     return ST.theorems(st).select("theory_file", "lemma_name", "stmt", "pos")
 
 
 _X3_SQL = f"""WITH {O.statements_cte()}, {O.last_block_cte()},
 d AS (SELECT theory_file, pos, stmt, {O.definition_name('stmt')} AS def_name FROM lb
-      WHERE kind IN ('definition', 'fun', 'primrec', 'primcorec', 'datatype', 'codatatype', 'function', 'typedecl',
-                     'typedef', 'type_synonym', 'record', 'inductive', 'coinductive', 'abbreviation', 'class',
-                     'inductive_set', 'consts'))
+      WHERE kind IN ({', '.join(f"'{k}'" for k in T.DEFINITION_KINDS)}))
 SELECT CASE WHEN contains(theory_file, '/') THEN split_part(theory_file, '/', 2) ELSE theory_file END || '.' || def_name AS def_key,
        theory_file, pos, def_name, stmt AS def_stmt FROM d"""
 
@@ -49,10 +47,21 @@ SELECT CASE WHEN contains(theory_file, '/') THEN split_part(theory_file, '/', 2)
 @register("x3_definitions", _X3_SQL)
 def x3_definitions(spark, sf):
     """P5 (definition kinds, last block) + X3 (names) + X6 (qualified key)."""
-    st = ST.last_block(_statements(spark, sf))
+    st = ST.split_statements(ST.last_block(document_theories(spark, sf)))
     return ST.definitions(st).select("def_key", "theory_file", "pos", "def_name", "def_stmt")
 
 
+_P5_SQL = f"""WITH {O.statements_cte()}, {O.last_block_cte(key='session')} SELECT session, block, pos, kind, stmt FROM lb"""
+
+
+@register("p5_last_block", _P5_SQL)
+def p5_last_block(spark, sf):
+    """P5 quirk: a session's documents are blocks of one text, of which only the last stays; the
+    block is found on the ids, before any text is cut."""
+    t = ST.last_block(document_theories(spark, sf), key="session")
+    return ST.split_statements(t).select("session", "block", "pos", "kind", "stmt")
+
+
 _X4_NAME, _X4_BODY = O.split_lemma("stmt")
 _X5_NAME, _X5_BODY = O.parse_generated("gen")
 _X4_SQL = f"""WITH {O.statements_cte()},
@@ -87,7 +96,7 @@ FROM q WHERE length(qualified_name) - length(replace(qualified_name, '.', '')) <
 @register("p6_drop_generated", _P6_SQL)
 def p6_drop_generated(spark, sf):
     """P6 (at most one dot in the qualified name) + X7 (short name)."""
-    th = ST.theorems(ST.last_block(_statements(spark, sf))).where(F.col("lemma_name").isNotNull())
+    th = ST.theorems(ST.split_statements(ST.last_block(document_theories(spark, sf)))).where(F.col("lemma_name").isNotNull())
     q = th.select("theory_file", F.concat("theory_file", F.lit("."), "lemma_name").alias("qualified_name"))
     return ST.drop_generated(q, "qualified_name").select(
         "theory_file", "qualified_name", T.short_theorem_name("qualified_name").alias("short_name"))

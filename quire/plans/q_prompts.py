@@ -14,11 +14,11 @@ _EX_SQL = """WITH it AS (
   SELECT l.l_orderkey, list(p.p_name ORDER BY l.l_linenumber, l.l_partkey) AS symbols, list(p.p_type ORDER BY l.l_linenumber, l.l_partkey) AS ty,
          list('definition ' || replace(p.p_name, ' ', '_') || ' = ' || p.p_brand ORDER BY l.l_linenumber, l.l_partkey) AS defs
   FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY l.l_orderkey),
-ex AS (SELECT o.o_orderkey AS row_id, symbols,
-              CASE WHEN o.o_orderkey % 3 = 0 THEN list_slice(ty, 1, len(ty) - 1) ELSE ty END AS types, defs,
+ex AS (SELECT o.o_orderkey AS row_id, coalesce(symbols, []) AS symbols,
+              CASE WHEN o.o_orderkey % 3 = 0 THEN list_slice(coalesce(ty, []), 1, len(coalesce(ty, [])) - 1) ELSE coalesce(ty, []) END AS types, coalesce(defs, []) AS defs,
               '?H1 (' || o.o_orderpriority || ')' AS template, o.o_orderstatus || ' ' || o.o_orderpriority AS lemma_object,
               CASE WHEN o.o_orderkey % 2 = 0 THEN 'template' ELSE 'lemma_object' END AS output_key
-       FROM orders o JOIN it ON it.l_orderkey = o.o_orderkey),
+       FROM orders o LEFT JOIN it ON it.l_orderkey = o.o_orderkey),
 pr AS (SELECT row_id,
   '###symbols' || chr(10) || array_to_string(symbols, chr(10) || chr(10)) || chr(10) || '###defs' || chr(10) || array_to_string(defs, chr(10) || chr(10)) AS input_r1,
   '###symbols' || chr(10) || array_to_string(list_transform(list_zip(list_slice(symbols, 1, least(len(symbols), len(types))), list_slice(types, 1, least(len(symbols), len(types)))), lambda p: p[1] || ' :::: ' || p[2]), chr(10) || chr(10)) AS input_r2,
@@ -49,7 +49,7 @@ _W2_SQL = _EX_SQL + f"""
 b AS (SELECT row_id, len(toks) AS n, row_id // 16 AS batch, toks FROM tk),
 m AS (SELECT *, CAST(ceil(max(n) OVER (PARTITION BY batch) / 8) * 8 AS INTEGER) AS pad_len FROM b)
 SELECT row_id, CAST(batch AS BIGINT) AS batch, pad_len, CAST(pad_len - n AS INTEGER) AS n_pad,
-       CASE WHEN pad_len > n THEN '<pad>' ELSE toks[1] END AS first_token FROM m"""
+       array_to_string(list_transform(range(1, pad_len - n + 1), lambda i: '<pad>') || toks, ' ') AS padded FROM m"""
 
 
 @register("w2_batch_pad", _W2_SQL)
@@ -58,18 +58,18 @@ def w2_batch_pad(spark, sf):
     ex = _prompts(spark, sf).select("row_id", P.whitespace_tokens("input_r1").alias("ids"))
     b = P.batch_pad(ex, "ids", pad="<pad>")
     return b.select("row_id", F.col("batch").cast("long").alias("batch"), "pad_len",
-                    (F.col("pad_len") - F.size("ids")).alias("n_pad"), F.col("padded")[0].alias("first_token"))
+                    (F.col("pad_len") - F.size("ids")).alias("n_pad"), F.array_join("padded", " ").alias("padded"))
 
 
 _R6_SQL = f"""SELECT conv_id, turn, CAST(len({O.usplit_ws('text')}) AS INTEGER) AS n_tokens,
   array_to_string(list_slice({O.usplit_ws('text')}, 1, 824), ' ') || chr(10) || '###output' || chr(10) AS prompt
-FROM conversations WHERE role = 'user'"""
+FROM conversations"""
 
 
 @register("r6_truncate_prompts", _R6_SQL)
 def r6_truncate_prompts(spark, sf):
-    """Every user turn cut to its first 824 tokens, with the output mark appended."""
-    c = table(spark, sf, "conversations").where(F.col("role") == "user")
+    """Every turn cut to its first 824 tokens, with the output mark appended."""
+    c = table(spark, sf, "conversations")
     return c.select("conv_id", "turn", F.size(P.whitespace_tokens("text")).alias("n_tokens"),
                     P.prepare_prompt("text", 824).alias("prompt"))
 
@@ -99,23 +99,24 @@ def r7_tokenize_pair(spark, sf):
 
 _R8_SQL = _PAIRS_SQL + f"""
 , t AS (SELECT conv_id, turn, {O.usplit_ws("prompt || chr(10) || '###output' || chr(10) || reply")} AS toks FROM pr),
-m AS (SELECT conv_id, turn, toks, nullif(list_position(toks, '###output'), 0) AS mend FROM t)
+m AS (SELECT conv_id, turn, toks, list_max(list_filter(range(1, len(toks) + 1), lambda i: toks[i] = '###output')) AS mend FROM t)
 SELECT conv_id, turn, CAST(len(toks) AS INTEGER) AS n_tokens,
        CAST(CASE WHEN mend IS NULL THEN 0 ELSE len(toks) - mend END AS INTEGER) AS n_learn,
-       CASE WHEN mend IS NULL OR mend >= len(toks) THEN NULL ELSE toks[mend + 1] END AS first_learned FROM m"""
+       array_to_string(list_transform(toks, lambda x, i: CASE WHEN mend IS NULL OR i <= mend THEN '-' ELSE x END), ' ') AS labels FROM m"""
 
 
 @register("r8_completion_mask", _R8_SQL)
 def r8_completion_mask(spark, sf):
-    """Labels learn only from tokens after the output mark (masked -> NULL here)."""
+    """Labels learn only from tokens after the last output mark (masked -> NULL, shown as ``-``)."""
     pr = conversation_pairs(spark, sf)
     toks = P.whitespace_tokens(F.concat("prompt", F.lit(OUTPUT_MARK), "reply"))
     t = pr.select("conv_id", "turn", toks.alias("toks"))
-    mend = F.nullif(F.array_position("toks", "###output"), F.lit(0)).cast("int")
+    back = F.array_position(F.reverse("toks"), "###output")
+    mend = F.when(back > 0, F.size("toks") + 1 - back).cast("int")
     lab = t.select("conv_id", "turn", "toks", P.completion_mask("toks", mend, F.lit(None).cast("string")).alias("labels"))
     learned = F.filter("labels", lambda x: x.isNotNull())
     return lab.select("conv_id", "turn", F.size("toks").alias("n_tokens"), F.size(learned).alias("n_learn"),
-                      F.try_element_at(learned, F.lit(1)).alias("first_learned"))
+                      F.array_join("labels", " ", "-").alias("labels"))
 
 
 _R9_SQL = _PAIRS_SQL + f"""

@@ -14,17 +14,22 @@ _CTE = f"WITH {O.part_examples_cte()}, {O.part_predictions_cte('template')}"
 _CTE_LEMMA = f"WITH {O.part_examples_cte()}, {O.part_predictions_cte('lemma')}"
 
 
+# The strategies that the stand-in predictions have.
+USED = ["greedy", "beam-search"]
+_EVERY = "(SELECT * FROM ex, (VALUES ('greedy'), ('beam-search')) w(strategy)) ex"
+
+
 def _template_scores(spark, sf):
-    return S.template_eval(part_examples(spark, sf), part_predictions(spark, sf, "template"))
+    return S.evaluate(part_examples(spark, sf), part_predictions(spark, sf, "template"), "template", strategies=USED)
 
 
 _E8_SQL = f"""{_CTE}
-SELECT ex.row_id, pred.strategy,
+SELECT ex.row_id, ex.strategy,
        array_to_string(list_transform(pred.candidates, lambda c: {O.clean_term('c')}), ' | ') AS cleaned_text,
        {O.clean_term('ex.template')} AS reference,
        CAST(list_min(list_transform(pred.candidates, lambda c: levenshtein({O.clean_term('c')}, {O.clean_term('ex.template')}))) AS INTEGER) AS distance,
-       list_min(list_transform(pred.candidates, lambda c: levenshtein({O.clean_term('c')}, {O.clean_term('ex.template')}))) = 0 AS success
-FROM ex JOIN pred USING (row_id)"""
+       coalesce(list_min(list_transform(pred.candidates, lambda c: levenshtein({O.clean_term('c')}, {O.clean_term('ex.template')}))) = 0, false) AS success
+FROM {_EVERY} LEFT JOIN pred ON pred.row_id = ex.row_id AND pred.strategy = ex.strategy"""
 
 
 @register("e8_template_eval", _E8_SQL)
@@ -58,13 +63,13 @@ def e9_lemma_eval(spark, sf):
 
 _A6_SQL = f"""WITH e8 AS ({_E8_SQL})
 SELECT strategy, CAST(count_if(success) AS BIGINT) AS n_success, count(*) AS n_rows,
-       count_if(success) * 100.0::DOUBLE / count(*) AS pct_success
+       round(count_if(success) * 100.0::DOUBLE / count(*), 1) AS pct_success
 FROM e8 GROUP BY strategy"""
 
 
 @register("a6_success_rate", _A6_SQL)
 def a6_success_rate(spark, sf):
-    """Successes and percentage per strategy."""
+    """Successes and percentage per strategy, of all examples."""
     return S.success_rate(_template_scores(spark, sf))
 
 
@@ -84,7 +89,7 @@ def a7_row_results(spark, sf):
 
 _A7_SQL = f"""WITH e8 AS ({_E8_SQL}), r AS (SELECT row_id, bool_or(success) AS any_success FROM e8 GROUP BY row_id)
 SELECT CAST(count_if(any_success) AS BIGINT) AS n_any_success, count(*) AS n_rows,
-       count_if(any_success) * 100.0::DOUBLE / count(*) AS pct_any_success FROM r"""
+       round(count_if(any_success) * 100.0::DOUBLE / count(*), 1) AS pct_any_success FROM r"""
 
 
 @register("a7_any_strategy", _A7_SQL)
@@ -93,6 +98,32 @@ def a7_any_strategy(spark, sf):
     return S.any_strategy_report(_template_scores(spark, sf))
 
 
+_J8_SQL = f"""{_CTE}, w AS (SELECT row_id, strategy FROM {_EVERY}),
+kept AS (SELECT row_id, strategy FROM pred WHERE row_id % 7 <> 0), skipped AS (SELECT * FROM w WHERE row_id % 11 <> 0)
+SELECT coalesce(k.strategy, s.strategy) AS strategy, count(s.row_id) AS n_examples,
+       CAST(count_if(k.row_id IS NULL) AS BIGINT) AS n_missing, CAST(count_if(s.row_id IS NULL) AS BIGINT) AS n_extra
+FROM skipped s FULL JOIN kept k ON k.row_id = s.row_id AND k.strategy = s.strategy GROUP BY 1"""
+
+
+@register("j8_alignment", _J8_SQL)
+def j8_alignment(spark, sf):
+    """J8's count check, on examples and predictions that both lack rows."""
+    ex = part_examples(spark, sf).where(F.col("row_id") % 11 != 0)
+    preds = part_predictions(spark, sf, "template").where(F.col("row_id") % 7 != 0)
+    return S.alignment_report(ex, preds, USED)
+
+
+_P13_SQL = f"""WITH e8 AS ({_E8_SQL}) SELECT strategy, CAST(count_if(success) AS BIGINT) AS n_success, count(*) AS n_rows,
+  round(count_if(success) * 100.0::DOUBLE / count(*), 1) AS pct_success FROM e8 WHERE row_id >= 100 GROUP BY strategy"""
+
+
+@register("p13_evaluate_skipped", _P13_SQL)
+def p13_evaluate_skipped(spark, sf):
+    """P13 + E8 + A6: an evaluation whose config skips the first 100 examples (the feature)."""
+    scores = S.evaluate(part_examples(spark, sf), part_predictions(spark, sf, "template"), "template", "hol-full", USED, skip=100)
+    return S.success_rate(scores)
+
+
 def _cut(preds):
     return preds.withColumn("candidates", F.transform("candidates", lambda c: T.cut_eos(c)))
 
@@ -112,6 +143,9 @@ d AS (SELECT row_id,
 SELECT row_id,
        array_to_string(la, ',') AS greedy_levenshtein_list,
        array_to_string(lb, ',') AS beam_search_levenshtein_list,
+       array_to_string(ha, ',') AS greedy_hamming_list, array_to_string(hb, ',') AS beam_search_hamming_list,
+       array_to_string(list_transform(ja, lambda x: CAST(floor(x * 1000000) AS BIGINT)), ',') AS greedy_jaccard_ppm,
+       array_to_string(list_transform(jb, lambda x: CAST(floor(x * 1000000) AS BIGINT)), ',') AS beam_search_jaccard_ppm,
        least(list_min(la), list_min(lb)) AS min_levenshtein,
        CAST(least(list_min(ha), list_min(hb)) AS INTEGER) AS min_hamming,
        greatest(list_max(ja), list_max(jb)) AS max_jaccard,
@@ -131,6 +165,8 @@ def e10_best_of_two(spark, sf):
         "row_id",
         as_text("greedy_levenshtein_list").alias("greedy_levenshtein_list"),
         as_text("beam_search_levenshtein_list").alias("beam_search_levenshtein_list"),
+        as_text("greedy_hamming_list").alias("greedy_hamming_list"), as_text("beam_search_hamming_list").alias("beam_search_hamming_list"),
+        *[as_text(F.transform(f"{s}_jaccard_list", lambda x: F.floor(x * 1000000))).alias(f"{s}_jaccard_ppm") for s in ("greedy", "beam_search")],
         "min_levenshtein", "min_hamming", "max_jaccard",
         as_text("min_levenshtein_list").alias("min_levenshtein_list"),
         "any_success",

@@ -312,12 +312,13 @@ _X14_SQL = f"""{_PT}, it AS (
   SELECT l.l_orderkey AS row_id, list({{'kind': {_inner_kind_sql()}, 'tokens': pt.tokens,
         'type': '''a ' || lower(p.p_type) || ' => prop'}} ORDER BY l.l_linenumber, l.l_partkey) AS inners
   FROM lineitem l JOIN pt ON pt.term_id = l.l_partkey JOIN part p ON p.p_partkey = l.l_partkey GROUP BY l.l_orderkey),
+al AS (SELECT o_orderkey AS row_id, coalesce(inners, []) AS inners FROM orders LEFT JOIN it ON it.row_id = o_orderkey),
 u AS (SELECT row_id, flatten(list_transform(inners, lambda x: CASE x.kind
         WHEN 'term' THEN {O.leaf_constants('x.tokens')}
         WHEN 'type' THEN list_filter(list_transform(regexp_extract_all(regexp_replace(x.type, '''\\w+', ' ', 'g'), '(=>|[A-Za-z_][\\w.]*)', 1),
                                      lambda n: CASE WHEN n = '=>' THEN 'fun' ELSE n END),
                       lambda n: n NOT IN ('fun', 'prop', 'itself', 'dummy', 'proof', 'Pure.proof'))
-        ELSE CAST([] AS VARCHAR[]) END)) AS c FROM it)
+        ELSE CAST([] AS VARCHAR[]) END)) AS c FROM al)
 SELECT row_id, array_to_string({O.let('c', 'l', 'list_filter(l, lambda e, i: list_position(l, e) = i)')}, ' | ') AS used_constants FROM u"""
 
 
@@ -336,7 +337,9 @@ def x14_used_constants(spark, sf):
     j = li.join(t, "l_partkey").join(p, li.l_partkey == p.p_partkey)
     per = j.groupBy(F.col("l_orderkey").alias("row_id")).agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", inner.alias("x")))).alias("it"))
-    return per.select("row_id", F.array_join(TM.used_constants_many(F.col("it.x")), " | ").alias("used_constants"))
+    every = table(spark, sf, "orders").select(F.col("o_orderkey").alias("row_id")).join(per, "row_id", "left")
+    used = F.when(F.col("it").isNull(), F.array().cast("array<string>")).otherwise(TM.used_constants_many(F.col("it.x")))
+    return every.select("row_id", F.array_join(used, " | ").alias("used_constants"))
 
 
 _J11_SQL = f"""{_PT}, {_tpl_cte()}, {_NATION},

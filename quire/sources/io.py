@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,9 +47,10 @@ def dataset_load(spark: SparkSession, root: str, name: str, config: str, split:
 
 
 def dataset_save(df: DataFrame, root: str, name: str, config: str, mode: str = "overwrite") -> str:
-    """S3: write a dataset with a ``split`` column, one folder per split."""
+    """S3: write a dataset with a ``split`` column, one folder per split.  Overwriting replaces
+    the splits that ``df`` has and leaves the others."""
     path = dataset_path(root, name, config)
-    df.write.mode(mode).partitionBy("split").parquet(path)
+    df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("split").parquet(path)
     return path
 
 
@@ -75,26 +77,32 @@ def predictions_json_load(spark: SparkSession, path: str, clean: bool = True) ->
     """Read saved prediction lines with a fixed schema; clean every candidate."""
     from quire.functions.text import clean_term
 
-    df = spark.read.schema(PREDICTIONS_SCHEMA).json(path)
+    df = spark.read.schema(PREDICTIONS_SCHEMA).option("mode", "FAILFAST").json(path)
     return df.withColumn("candidates", F.transform("candidates", clean_term)) if clean else df
 
 
-def predictions_list_file_load(spark: SparkSession, path: str, strategy: str) -> DataFrame:
+def predictions_list_file_load(spark: SparkSession, path: str, strategy: str, clean: bool = True) -> DataFrame:
     """S6 (raw form): a file holding one JSON list of candidate lists, aligned by
     position.  Each file is parsed whole and exploded with its position as
-    ``row_id``; the list order is the row order."""
+    ``row_id``; the list order is the row order.  Candidates are cleaned (E2); a malformed
+    file fails."""
+    from quire.functions.text import clean_term
+
     raw = spark.read.text(path, wholetext=True)
-    lists = F.from_json("value", "array<array<string>>")
-    return raw.select(F.posexplode(lists).alias("row_id", "candidates")).select(
+    lists = F.from_json("value", "array<array<string>>", {"mode": "FAILFAST"})
+    out = raw.select(F.posexplode(lists).alias("row_id", "candidates")).select(
         F.col("row_id").cast("long").alias("row_id"), F.lit(strategy).alias("strategy"), "candidates")
+    return out.withColumn("candidates", F.transform("candidates", clean_term)) if clean else out
 
 
 def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """S7 (load): the results table at ``path``, or an empty one with ``schema``."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except Exception:  # an absent table is an empty one
-        return spark.createDataFrame([], schema)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)  # an absent table is an empty one
 
 
 def append_results(df: DataFrame, path: str) -> None:

@@ -34,12 +34,12 @@ def score_prediction_stream(spark: SparkSession, predictions_dir: str, examples:
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.json(predictions_dir)
+    if S.evaluate(examples, spark.createDataFrame([], PREDICTIONS_SCHEMA), train_config) is None:
+        raise ValueError(f"no evaluation for the training config {train_config!r}")
     ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "stream-" + os.path.basename(results_path.rstrip("/")))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         scores = S.evaluate(examples, batch, train_config)
-        if scores is None:
-            return
         (scores.withColumn("batch_id", F.lit(batch_id))
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch_id").parquet(results_path))
