@@ -6,16 +6,14 @@ again as the next one's input.  All but the last return the columns of ``documen
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontam, exact_dedup, quality, simhash
-from quire.llm.common import pick, table
+from quire.llm.common import pick, table, work_folder
 from quire.llm.queries import PATTERN, VOCABULARY, bpe_digests
-from quire.session import checkpoint_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -62,7 +60,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, from ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = f"{checkpoint_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        path = work_folder(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

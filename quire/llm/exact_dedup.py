@@ -18,7 +18,6 @@ exactly one row of each group stays; an empty table gives no rows; further colum
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
@@ -26,8 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import marked, unmarked
-from quire.session import checkpoint_dir
+from quire.llm.common import marked, unmarked, work_folder
 
 #: Input of one micro-batch, which bounds the keys that a batch changes.
 BATCH_BYTES = 256 << 30
@@ -115,7 +113,7 @@ def collisions(spark: SparkSession, table: Table, state: DataFrame, work: str) -
 
 def decisions(spark: SparkSession, table: Table, **source: str) -> DataFrame:
     """One row per row of the table: (file, row, doc_id, text_sha256, keep_id, group_size, kept)."""
-    work = f"{checkpoint_dir(spark)}/exact-dedup-{uuid.uuid4().hex}"
+    work = work_folder(spark, "exact-dedup")
     state = retained(spark, table, work, **source)
     state.write.parquet(f"{work}/state")
     state = spark.read.parquet(f"{work}/state")
@@ -142,7 +140,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **s
     """
     spark = docs.sparkSession
     hidden, at = marked(docs)
-    path = f"{checkpoint_dir(spark)}/exact-dedup-content-{uuid.uuid4().hex}"
+    path = work_folder(spark, "exact-dedup-content")
     hidden.write.option("compression", "zstd").parquet(path)
     d = decisions(spark, Table(path, at[doc_id], at[text]), **source)
     content = spark.read.schema(hidden.schema).parquet(path).withColumns({"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")})

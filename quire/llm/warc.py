@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored
-from quire.session import checkpoint_dir, cut_lineage
+from quire.llm.common import stored, work_folder
+from quire.session import cut_lineage
 
 #: Fixed values of the formats.
 MAGIC = b"\x1f\x8b\x08"
@@ -238,7 +238,7 @@ def round_trip(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, range_bytes
     straight from files (``at_rest``) are written first, so that their numbers can't change.
     """
     spark: SparkSession = pages.sparkSession
-    folder = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = work_folder(spark, "warc")
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     manifest = write_archives(plan_records(pages if at_rest else stored(pages, "warc-pages")), folder, archive_bytes)
     read = cut_lineage(read_records(ranges(manifest, range_bytes)).select("page_id", "record_type", "digest", "refers_to", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest")), "warc-read")
