@@ -202,6 +202,12 @@ def _after(ts: Column, i: Column) -> Column:
     return i + done
 
 
+def searchable(ts: Column) -> Column:
+    """P7's shape: a Trueprop, no meta-equality, no ``_ = undefined``, a schematic variable."""
+    has = lambda n: F.exists(ts, lambda t: (t["kind"] == "const") & (t["name"] == n))
+    return has("HOL.Trueprop") & ~has("Pure.eq") & ~_equals_undefined(ts) & TM.has_vars(ts)
+
+
 def theorem_search(terms: DataFrame, namefilter: str, equations: bool = False, cap: int | None = None) -> DataFrame:
     """P7 (P8 when ``equations``): terms with a Trueprop, no meta-equality and no
     ``_ = undefined``, name containing ``namefilter`` (and, for P7, starting with it),
@@ -209,8 +215,7 @@ def theorem_search(terms: DataFrame, namefilter: str, equations: bool = False, c
     equation, under premises too.  Duplicates of a statement are removed.  O2: ``cap``
     keeps that many results in name order; by default all stay."""
     ts = F.col("tokens")
-    has = lambda n: F.exists(ts, lambda t: (t["kind"] == "const") & (t["name"] == n))
-    cond = has("HOL.Trueprop") & ~has("Pure.eq") & ~_equals_undefined(ts) & F.col("name").contains(namefilter) & ~TM.bad_name("name") & TM.has_vars(ts)
+    cond = searchable(ts) & F.col("name").contains(namefilter) & ~TM.bad_name("name")
     if equations:
         cond = cond & (F.size(_equations(ts)) > 0)
     else:

@@ -39,8 +39,10 @@ def _load_all() -> None:
         q_assemble,
         q_batch,
         q_corpus,
+        q_extract,
         q_mixing,
         q_prompts,
+        q_sources,
         q_templates,
         q_scoring,
     )
