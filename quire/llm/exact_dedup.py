@@ -37,6 +37,8 @@ _STATE = {
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+    # many small stores: no space taken ahead for logs that stay short
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
