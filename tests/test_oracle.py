@@ -4,10 +4,11 @@
 import pytest
 
 import __spark_entry__ as E
+from quire.plans import registry
 from tests.oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(E.queries())
+NAMES = sorted(registry.queries())
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,7 @@ def con():
 
 
 def test_every_query_has_oracle_or_is_listed():
-    no_sql = set(E.queries()) - set(E.oracle_sql())
+    no_sql = set(registry.queries()) - set(registry.oracle_sql())
     assert no_sql == set(), f"queries without oracle SQL: {sorted(no_sql)}"
 
 

