@@ -118,6 +118,24 @@ def fill_rounds(templates: DataFrame, symbols: DataFrame, multi: bool = False, d
     return active.select("term_id", "template", *carry, "filling")
 
 
+def fill_shapes(templates: DataFrame, symbols: DataFrame, multi: bool = False) -> DataFrame:
+    """T9 as text (term_id, filling, candidate): every distinct template is filled once, and its
+    candidates are joined back to its terms.
+
+    The terms side is dealt over all cores before it is multiplied.
+    """
+    shape = F.to_json("holes").alias("hole_types")
+    t = cut_lineage(templates.select("term_id", "template", "holes", TM.render("template").alias("rendered"), shape), "templates")
+    shapes = t.groupBy("rendered", "hole_types").agg(F.any_value("template").alias("template"), F.any_value("holes").alias("holes"))
+    shapes = cut_lineage(shapes.withColumn("term_id", F.monotonically_increasing_id()), "shapes")
+    max_h = shapes.agg(F.max(F.size("holes"))).first()[0] or 0
+    filled = fill_rounds(shapes, symbols, multi=multi, carry=["rendered", "hole_types"]).select(
+        "rendered", "hole_types", TM.filling_text("filling", max_h).alias("filling"), TM.render_filled("rendered", "filling", max_h).alias("candidate"))
+    filled = cut_lineage(filled, "fillings")
+    terms = t.select("term_id", "rendered", "hole_types").repartition(t.sparkSession.sparkContext.defaultParallelism, "term_id")
+    return terms.join(filled, ["rendered", "hole_types"]).select("term_id", "filling", "candidate")
+
+
 def fillings(templates: DataFrame, symbols: DataFrame, distinct_symbols: bool = False, multi: bool = False,
              per_term: bool = False) -> DataFrame:
     """J13/J14 fillings (term_id, filling) without the template column."""
@@ -148,15 +166,20 @@ def conjectures(cands: DataFrame, refuted: DataFrame) -> DataFrame:
     return c.join(refuted.select("canonical").distinct(), "canonical", "left_anti").drop("canonical")
 
 
-def rediscovered(terms: DataFrame, cands: DataFrame) -> DataFrame:
+def rediscovered(terms: DataFrame, cands: DataFrame, runs: DataFrame | None = None) -> DataFrame:
     """Per term, does any candidate match the original?  The original loses an
     outer Trueprop and has its Vars renamed; candidates have their Frees renamed;
-    both untyped.  No candidate at all gives ``empty``."""
+    both untyped.  No candidate at all gives ``empty``.  With ``runs`` (term_id, status),
+    the guarded runs (U6) that made the candidates, only an ``ok`` run is judged; another's
+    status (``timeout``, ``error``) is the outcome, and a term without a run has none."""
     orig = terms.select("term_id", TM.canon(TM.strip_trueprop("tokens"), "var", typed=False).alias("o"))
     c = cands.select("term_id", TM.canon("candidate", "free", typed=False).alias("c"))
     per = c.join(orig, "term_id").groupBy("term_id").agg(F.bool_or(F.col("c") == F.col("o")).alias("hit"))
-    return terms.select("term_id").join(per, "term_id", "left").select(
-        "term_id", F.when(F.col("hit").isNull(), "empty").when(F.col("hit"), "true").otherwise("false").alias("status"))
+    outcome = F.when(F.col("hit").isNull(), "empty").when(F.col("hit"), "true").otherwise("false")
+    if runs is None:
+        return terms.select("term_id").join(per, "term_id", "left").select("term_id", outcome.alias("status"))
+    judged = runs.select("term_id", F.col("status").alias("run")).join(per, "term_id", "left")
+    return judged.select("term_id", F.when(F.col("run") == "ok", outcome).otherwise(F.col("run")).alias("status"))
 
 
 def failed_default(rows: DataFrame, outcomes: DataFrame, key: str = "term_id") -> DataFrame:

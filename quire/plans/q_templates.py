@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import terms as TM
+from quire.operators import batch as B
 from quire.operators import templates as TP
 from quire.plans import oracle as O
 from quire.plans.driver import nation_symbols, part_terms, region_symbols, table
@@ -178,13 +179,8 @@ def _t9(spark, sf):
 @register("t9_candidates", _T9_SQL)
 def t9_candidates(spark, sf):
     """T9 = P9 + J11 + J13 + T8: templates filled with nation symbols of equal arity.
-    Each template is rendered once; its fillings substitute the hole words."""
-    tpl = TP.make_templates(_terms(spark, sf)).withColumn("rendered", TM.render("template"))
-    tpl = TP.materialize(tpl)
-    max_h = tpl.agg(F.max(F.size("holes"))).first()[0] or 0
-    fl = TP.fill_rounds(tpl, nation_symbols(spark, sf), carry=["rendered"])
-    out = fl.withColumn("candidate", TM.render_filled("rendered", "filling", max_h))
-    return out.select("term_id", TM.filling_text("filling", max_h).alias("filling"), "candidate")
+    Each distinct template is rendered and filled once; its fillings substitute the hole words."""
+    return TP.fill_shapes(TP.make_templates(_terms(spark, sf)), nation_symbols(spark, sf))
 
 
 _J12_SQL = f"""{_PT}, {_tpl_cte()}, {_NATION}, {_fillings_sql('sy', _MULTI1, _MULTI2)}
@@ -247,25 +243,43 @@ _OWN_SQL = f"""own AS (SELECT term_id, u.e.name AS symbol, u.e.type AS type, u.e
   unnest(list_transform(list_filter(cs, lambda c, j: list_position(list_transform(cs, lambda z: z.name), c.name) = j),
                         lambda c, k: {{'name': c.name, 'type': c.type, 'i': k}})) AS u(e))"""
 
-_J15_SQL = f"""{_PT}, {_tpl_cte()}, {_OWN_SQL}, {_fillings_sql('own', _EXACT1, _EXACT2, per_term=True)},
+_J15_SQL = f"""{_PT}, {_tpl_cte()}, {_OWN_SQL.replace('own AS', 'own0 AS', 1)},
+own AS (SELECT term_id, CASE WHEN term_id % 41 = 0 THEN 'Other.' || symbol ELSE symbol END AS symbol, type, sym_pos, arity FROM own0 WHERE term_id % 43 <> 0),
+{_fillings_sql('own', _EXACT1, _EXACT2, per_term=True)},
 c AS (SELECT term_id, {O.canon(_fill_sql('template'), 'free', typed=False)} AS cc FROM f),
 o AS (SELECT term_id, {O.canon(O.strip_trueprop('tokens'), 'var', typed=False)} AS oc FROM pt),
 m AS (SELECT c.term_id, bool_or(c.cc = o.oc) AS hit FROM c JOIN o USING (term_id) GROUP BY c.term_id)
-SELECT pt.term_id, CASE WHEN m.hit IS NULL THEN 'empty' WHEN m.hit THEN 'true' ELSE 'false' END AS status
-FROM pt LEFT JOIN m USING (term_id)"""
+SELECT pt.term_id, CASE WHEN pt.term_id % 31 = 0 THEN 'error' WHEN m.hit IS NULL THEN 'empty' WHEN m.hit THEN 'true' ELSE 'false' END AS status
+FROM pt LEFT JOIN m USING (term_id) WHERE pt.term_id % 37 <> 0"""
+
+
+def _explore():
+    """A guarded exploration's stand-in: it answers with its term's name and refuses some."""
+
+    def explore(names):
+        if any(int(n.rsplit("|", 1)[1]) % 31 == 0 for n in names):
+            raise ValueError("refused")
+        return [[n] for n in names]
+
+    return explore
 
 
 def _j15(spark, sf):
+    """Every term is explored under guard (U6); some have no run, some runs fail, some terms have no
+    symbols at hand and some only foreign ones."""
     t = _terms(spark, sf)
     tpl = TP.make_templates(t)
-    c = TP.candidates(tpl, _own_symbols(t), per_term=True)
-    return TP.rediscovered(t, c)
+    own = _own_symbols(t).where(F.col("term_id") % 43 != 0)
+    own = own.withColumn("symbol", F.when(F.col("term_id") % 41 == 0, F.concat(F.lit("Other."), "symbol")).otherwise(F.col("symbol")))
+    c = TP.candidates(tpl, own, per_term=True)
+    todo = t.where(F.col("term_id") % 37 != 0).select("term_id", F.concat("name", F.lit("|"), F.col("term_id").cast("string")).alias("prompt"))
+    return TP.rediscovered(t, c, B.predict(todo, _explore, id_col="term_id"))
 
 
 @register("j15_rediscovery", _J15_SQL)
 def j15_rediscovery(spark, sf):
     """Fill each template with its own statement's symbols (J11 + J13) and test
-    whether any candidate is the original (true / false / empty)."""
+    whether any candidate is the original (true / false / empty; the run's status if it failed)."""
     return _j15(spark, sf)
 
 
