@@ -9,18 +9,18 @@ method's verdict on no features; repeated rows are judged alike; further columns
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import ascii_lower
 
-#: Hash buckets of n-grams, their lengths, and the strength of the L2 penalty.
-BUCKETS = 1 << 14
+#: Hash buckets of n-grams (for host and path each), their lengths, and the strength of the L2 penalty.
+BUCKETS = 1 << 13
 GRAMS = (3, 4, 5)
 PENALTY = 0.002
 
@@ -86,24 +86,19 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
     return name, verdict
 
 
-def _gram(mark: str, framed: Column, n: int) -> Callable[[Column], Column]:
-    return lambda i: F.concat(F.lit(mark), F.substring(framed, i, F.lit(n)))
-
-
-def grams(host: Column, path: Column) -> Column:
-    """Character n-grams of the framed host and path, told apart by a leading letter."""
-    parts = []
-    for mark, s in (("h", host), ("p", path)):
-        framed = F.concat(F.lit("^"), s, F.lit("$"))
-        for n in GRAMS:
-            starts = F.sequence(F.lit(1), F.length(framed) - (n - 1))
-            parts.append(F.when((F.length(s) > 0) & (F.length(framed) >= n), F.transform(starts, _gram(mark, framed, n))).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
-
-
 def features(urls: DataFrame) -> DataFrame:
+    """The urls with ``host``, ``path`` and ``features``: hashed n-grams of the characters of the framed
+    host in one half of the vector, those of the path in the other (an empty part has none)."""
     host, path = host_path(F.col("url"))
-    return HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="features", binary=True).transform(urls.withColumns({"host": host, "path": path}).withColumn("grams", grams(F.col("host"), F.col("path"))))
+    out = urls.withColumns({"host": host, "path": path})
+    for part in ("host", "path"):
+        framed = F.split(F.concat(F.lit("^"), F.col(part), F.lit("$")), "")
+        out = out.withColumn(f"{part}_chars", F.when(F.length(part) > 0, framed).otherwise(F.array().cast("array<string>")))
+        for n in GRAMS:
+            out = NGram(n=n, inputCol=f"{part}_chars", outputCol=f"{part}_{n}").transform(out)
+        out = out.withColumn(f"{part}_grams", F.concat(*[f"{part}_{n}" for n in GRAMS]))
+        out = HashingTF(numFeatures=BUCKETS, inputCol=f"{part}_grams", outputCol=f"{part}_hashed", binary=True).transform(out)
+    return VectorAssembler(inputCols=["host_hashed", "path_hashed"], outputCol="features").transform(out)
 
 
 def fit(labelled: DataFrame) -> LogisticRegressionModel:
