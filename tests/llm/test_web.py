@@ -142,4 +142,5 @@ def test_payloads_come_back(spark):
     folder = f"file://{spark.conf.get('spark.checkpoint.dir', '/tmp')}/warc-test-{random.random()}"
     records = warc.plan_records(pages.select("page_id", "url", "html"))
     read = warc.read_records(warc.ranges(warc.write_archives(records, folder, 50_000), 10_000))
-    assert {r["page_id"]: (r["url"], bytes(r["payload"]).decode()) for r in read.where(F.col("record_type") == "response").collect()} == {r["page_id"]: (r["url"], r["html"]) for r in pages.collect() if r["page_id"] in {x[0] for x in read.where("record_type = 'response'").select("page_id").collect()}}
+    got = {r["page_id"]: (r["url"], bytes(r["payload"]).decode()) for r in read.where(F.col("record_type") == "response").collect()}
+    assert len(got) > 200 and got == {r["page_id"]: (r["url"], r["html"]) for r in pages.collect() if r["page_id"] in got}
