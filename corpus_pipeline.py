@@ -9,11 +9,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontam, exact_dedup, quality, simhash
+from quire.llm import decontam, exact_dedup, quality, simhash
 from quire.llm.common import pick, table, work_folder
-from quire.llm.queries import PATTERN, VOCABULARY, bpe_digests
+from quire.llm.queries import bpe_digests
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -40,8 +39,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its token ids, their count and digest, and the digest of the bytes they decode to."""
-    d = pick(docs, "doc_id", "text")
-    return bpe_digests(d.select("doc_id", bpe.encode(F.col("text"), VOCABULARY, PATTERN).alias("ids")), "ids")
+    return bpe_digests(pick(docs, "doc_id", "text"), "ids")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from quire.llm import vocab
 
 #: Entries at which a worker's pre-token cache is emptied, and the longest pre-token (characters) that stays in it.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 100_000
 CACHE_CHARS = 32
-#: Ids handled at a time when decoding, which bounds the memory for index arrays.
-DECODE_IDS = 1 << 19
+#: Ids after which a worker hands its rows on, which bounds its memory (but for a single longer text).
+PART_IDS = 1 << 17
 
 _ENCODERS: dict[tuple[int, str], Callable[[str], list[int]]] = {}
 
@@ -74,21 +74,54 @@ def encode(text: Column, vocabulary: str, pattern: str) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         enc = _encoder(model, tokens, pattern)
         for batch in batches:
-            ids = [np.array(enc(t.as_py() or ""), dtype=np.int32) for t in batch]
-            ends = np.cumsum([0, *map(len, ids)])
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            yield from map(_lists, _parts(_encoded(enc, batch)))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "array<int>")(text)
 
 
-def decode_flat(ids: np.ndarray, joined: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """The bytes of a run of ids: every byte's place in the joined vocabulary is gathered at once."""
-    n = lens[ids]
-    ends = np.cumsum(n)
-    where = np.repeat(starts[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-    return joined[where]
+def _encoded(enc: Callable[[str], list[int]], batch: pa.Array) -> Iterator[np.ndarray]:
+    return (np.array(enc(t.as_py() or ""), dtype=np.int32) for t in batch)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(np.concatenate(rows), pa.int32()))
+
+
+class _Decoder:
+    """The vocabulary's bytes in one run, and where each token lies in it."""
+
+    def __init__(self, tokens: tuple[bytes, ...]):
+        self.joined = np.frombuffer(b"".join(tokens), np.uint8)
+        self.lens = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.lens) - self.lens
+
+    def rows(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The bytes of each row of ids: every byte's place in the vocabulary is gathered at once."""
+        flat = np.concatenate(ids)
+        n = self.lens[flat]
+        ends = np.cumsum(n)
+        where = np.repeat(self.starts[flat] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        data = self.joined[where].tobytes()
+        at = np.concatenate([[0], ends])[np.cumsum([0, *map(len, ids)])].tolist()
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
+
+def _parts(rows: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Rows of ids in runs of about ``PART_IDS`` ids."""
+    part, n = [], 0
+    for ids in rows:
+        part.append(ids)
+        n += len(ids)
+        if n >= PART_IDS:
+            yield part
+            part, n = [], 0
+    if part:
+        yield part
+
+
+def _ids_of(row: pa.ListScalar) -> np.ndarray:
+    return np.zeros(0, np.int64) if row.values is None else np.asarray(row.values, dtype=np.int64)
 
 
 def decode(ids: Column, vocabulary: str) -> Column:
@@ -96,29 +129,29 @@ def decode(ids: Column, vocabulary: str) -> Column:
     tokens = vocab.ranks(vocabulary)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        joined = np.frombuffer(b"".join(tokens), np.uint8)
-        lens = np.array([len(t) for t in tokens], np.int64)
-        starts = np.cumsum(lens) - lens
+        decoder = _Decoder(tokens)
         for batch in batches:
-            out: list[bytes] = []
-            row = 0
-            while row < len(batch):
-                part, n = [], 0
-                while row < len(batch) and (not part or n < DECODE_IDS):
-                    v = batch[row].values
-                    part.append(np.zeros(0, np.int64) if v is None else np.asarray(v, dtype=np.int64))
-                    n += len(part[-1])
-                    row += 1
-                flat = np.concatenate(part)
-                data = decode_flat(flat, joined, starts, lens).tobytes()
-                at = np.concatenate([[0], np.cumsum(lens[flat])])[np.cumsum([0, *map(len, part)])].tolist()
-                out += [data[a:b] for a, b in zip(at, at[1:])]
-            yield pa.array(out, pa.binary())
+            for part in _parts(map(_ids_of, batch)):
+                yield pa.array(decoder.rows(part), pa.binary())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "binary")(ids)
 
 
+def encode_and_decode(text: Column, vocabulary: str, pattern: str) -> Column:
+    """struct(ids, decoded): ``encode`` and then ``decode`` of its ids, in one pass through Python."""
+    model, tokens = vocab.sentencepiece_model(vocabulary), vocab.ranks(vocabulary)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc, decoder = _encoder(model, tokens, pattern), _Decoder(tokens)
+        for batch in batches:
+            for part in _parts(_encoded(enc, batch)):
+                yield pa.StructArray.from_arrays([_lists(part), pa.array(decoder.rows(part), pa.binary())], ["ids", "decoded"])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "struct<ids:array<int>,decoded:binary>")(text)
+
+
 def ids_text(ids: Column) -> Column:
     """Decimal ids joined by one space."""
     return F.array_join(ids.cast("array<string>"), " ")

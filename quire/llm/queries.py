@@ -27,12 +27,12 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
-    return bpe_digests(docs.select("doc_id", bpe.encode(F.col("text"), VOCABULARY, PATTERN).alias("ids")))
+    return bpe_digests(docs)
 
 
-def bpe_digests(encoded: DataFrame, *more: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) and ``more`` columns of a table (doc_id, ids)."""
-    both = encoded.withColumn("decoded", bpe.decode(F.col("ids"), VOCABULARY))
+def bpe_digests(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) and ``more`` columns (ids, decoded) of a table (doc_id, text)."""
+    both = docs.select("doc_id", bpe.encode_and_decode(F.col("text"), VOCABULARY, PATTERN).alias("b")).select("doc_id", "b.*")
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(bpe.ids_text(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *more)
 
 

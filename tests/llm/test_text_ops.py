@@ -72,7 +72,7 @@ def test_bpe_cache_is_bounded(monkeypatch):
 
 
 def test_bpe_empty_table(none):
-    assert bpe_digests(none.select("doc_id", bpe.encode(F.col("text"), VOCABULARY, PATTERN).alias("ids"))).collect() == []
+    assert bpe_digests(none.select("doc_id", "text")).collect() == []
 
 
 def test_language_held_out(spark):
@@ -132,3 +132,13 @@ def test_quality_odd_rows(spark, odd, odd_rows, none):
 def test_quality_cut_lies_in_the_gap():
     assert quality.best_cut([(-300, 5, 0), (-200, 4, 0), (200, 0, 9), (300, 0, 9)]) == pytest.approx(0.0, abs=0.02)
     assert quality.best_cut([(5, 0, 3)]) == 0.0 and quality.best_cut([]) == 0.0
+
+
+def test_bpe_hands_rows_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "PART_IDS", 50)
+    enc = brute.tokenizer()
+    docs = table(spark, SF, "documents").coalesce(1)
+    both = docs.select("text", bpe.encode_and_decode(F.col("text"), VOCABULARY, PATTERN).alias("b")).select("text", "b.*").collect()
+    assert all(r["ids"] == enc.encode_ordinary(r["text"]) and bytes(r["decoded"]) == r["text"].encode() for r in both)
+    got = docs.select("text", bpe.encode(F.col("text"), VOCABULARY, PATTERN).alias("i")).withColumn("d", bpe.decode(F.col("i"), VOCABULARY)).collect()
+    assert len(got) == docs.count() and all(r["i"] == enc.encode_ordinary(r["text"]) and bytes(r["d"]) == r["text"].encode() for r in got)
