@@ -97,7 +97,8 @@ def retained(spark: SparkSession, table: Table, work: str, **source: str) -> Dat
 
 
 def collisions(spark: SparkSession, table: Table, state: DataFrame, work: str) -> DataFrame:
-    """The keys under which texts differ, after comparing the full bytes of all hits.
+    """The keys under which texts differ (one row for each row that does), after comparing the full
+    bytes of all hits.
 
     Only rows of keys with several rows have their text compared; the retained row's text meets
     them by key in an equi-join, whose large keys Spark splits.
@@ -108,7 +109,7 @@ def collisions(spark: SparkSession, table: Table, state: DataFrame, work: str) -
     hits.write.parquet(f"{work}/hits")
     hits = spark.read.parquet(f"{work}/hits")
     kept = hits.where("stays").select("key", F.col("text").alias("kept_text"))
-    differ = hits.where("not stays").join(kept, "key").where(F.col("text") != F.col("kept_text")).select("key").distinct()
+    differ = hits.where("not stays").join(kept, "key").where(F.col("text") != F.col("kept_text")).select("key")
     differ.write.parquet(f"{work}/collisions")
     return spark.read.parquet(f"{work}/collisions")
 
