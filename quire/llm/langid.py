@@ -93,7 +93,10 @@ _SPACES: dict[int, _Space] = {}
 
 
 def space(dimensions: int) -> _Space:
-    return _SPACES.setdefault(dimensions, _Space(dimensions)) if dimensions not in _SPACES else _SPACES[dimensions]
+    """This worker's bound n-grams; made once."""
+    if dimensions not in _SPACES:
+        _SPACES[dimensions] = _Space(dimensions)
+    return _SPACES[dimensions]
 
 
 def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
