@@ -8,8 +8,11 @@ binary-searched in every shard: the bounds of the suffixes that begin with its w
 places where the window occurs verbatim, and the neighbours give the longest verbatim match.
 
 A document lies whole in one shard, so nothing is shuffled: places are marked per document and
-the documents go on.  The benchmark reaches the tasks in blocks of at most ``BLOCK_BYTES`` of text;
-a larger one is searched block after block over the same rows, whose marks are carried along.
+the documents go on.  The benchmark reaches the tasks in blocks of at most ``BLOCK_BYTES`` of text
+(a single larger item is a block of its own); a larger one is searched block after block over the
+same rows, whose marks are carried along.  A block's words are one flat array, in which suffixes and
+windows are places, so memory is linear in its words, however long an item is; ranks of 2, 4, 8, ...
+words are added as far as a document matches.
 
 A window is ``window`` consecutive words of an item; a shorter item that isn't empty is one window.
 
@@ -60,41 +63,80 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Benchmark:
-    """The test suffixes of a block of items, as numbers of words, with their windows."""
+    """The items of a block as one flat array of word numbers, a 0 after each item, with their windows.
+
+    Everything is linear in the block's words: a suffix is a place in ``flat``, a window a place
+    (``first_at``) and a length, and its items a slice of ``window_items``.
+    """
 
     def __init__(self, items: list[tuple[str, str | None]], window: int):
         self.ids: list[str] = []
         self.vocabulary: dict[bytes, int] = {}
-        rows: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         texts = []
         for item_id, text in items:
-            w = [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words_of(text)]
-            if not w:
-                continue
-            item = len(self.ids)
-            self.ids.append(item_id)
-            texts.append(w)
-            n = min(window, len(w))
-            for j in range(len(w) - n + 1):
-                rows.setdefault(tuple(w[j : j + n]), []).append((item, j))
-        self.windows = list(rows)
-        self.places = list(rows.values())
-        self.lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.least = int(self.lengths.min()) if self.windows else 0
-        self.depth = max(map(len, texts), default=0)
-        # the whole suffixes, padded by -1 which no training word equals
-        self.suffixes = np.full((sum(map(len, self.places)), self.depth), -1, np.int32)
-        self.suffix_item = np.zeros(len(self.suffixes), np.int64)
-        self.first = np.cumsum([0, *map(len, self.places)])
-        k = 0
-        for places in self.places:
-            for item, j in places:
-                self.suffixes[k, : len(texts[item]) - j] = texts[item][j:]
-                self.suffix_item[k] = item
-                k += 1
-        self.keys = np.full((len(self.windows), int(self.lengths.max()) if self.windows else 0), -1, np.int32)
-        for i, w in enumerate(self.windows):
-            self.keys[i, : len(w)] = w
+            w = words_of(text)
+            if w:
+                self.ids.append(item_id)
+                texts.append(np.fromiter((self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in w), np.int32, len(w)))
+        size = np.array([len(w) for w in texts], np.int64)
+        self.starts = np.cumsum(size + 1) - (size + 1)
+        self.flat = np.zeros(int(size.sum()) + len(texts), np.int32)
+        for w, at in zip(texts, self.starts):
+            self.flat[at : at + len(w)] = w
+        self._ranks = [self.flat + 1]
+        self._pairs: list[tuple[np.ndarray, int]] = []
+        self._order: tuple[int, np.ndarray] = (-1, np.zeros(0, np.int64))
+        length = np.minimum(size, window)
+        first_at, lengths, pairs = [], [], []
+        n_windows = 0
+        for n in np.unique(length):
+            of = np.flatnonzero(length == n)
+            many = size[of] - n + 1
+            at = np.repeat(self.starts[of] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            # equal windows have equal first and last parts, of a power of two words each
+            k = int(n).bit_length() - 1
+            rank = self.rank(k).astype(np.int64)
+            _, one, which = np.unique(rank[at] * (rank.max() + 1) + rank[at + n - (1 << k)], return_index=True, return_inverse=True)
+            first_at.append(at[one])
+            lengths.append(np.full(len(one), n, np.int64))
+            pairs.append(np.unique((which.astype(np.int64) + n_windows) * len(texts) + np.repeat(of, many)))
+            n_windows += len(one)
+        none = np.zeros(0, np.int64)
+        self.first_at = np.concatenate([none, *first_at])
+        self.lengths = np.concatenate([none, *lengths])
+        pair = np.concatenate([none, *pairs])
+        self.window_items = pair % max(len(texts), 1)
+        self.first = np.searchsorted(pair // max(len(texts), 1), np.arange(n_windows + 1))
+        self.least = int(self.lengths.min(initial=window)) if n_windows else 0
+        self.most = int(self.lengths.max(initial=0))
+
+    def rank(self, k: int) -> np.ndarray:
+        """The ranks, from 1, of the 2 ** k words from each place on; made when first needed."""
+        while len(self._ranks) <= k:
+            self.pairs(len(self._ranks) - 1)
+        return self._ranks[k]
+
+    def pairs(self, k: int) -> tuple[np.ndarray, int]:
+        """The sorted pairs (rank * width + rank behind) of level ``k``, whose places are the ranks of the next."""
+        while len(self._pairs) <= k:
+            rank = self._ranks[len(self._pairs)].astype(np.int64)
+            n = min(1 << len(self._pairs), len(rank))
+            width = int(rank.max(initial=0)) + 1
+            keys, which = np.unique(rank * width + np.concatenate([rank[n:], np.zeros(n, np.int64)]), return_inverse=True)
+            self._ranks.append(which.astype(np.int32) + 1)
+            self._pairs.append((keys, width))
+        return self._pairs[k]
+
+    def order(self, k: int) -> np.ndarray:
+        """The places of ``flat`` in order of their suffixes, compared by 2 ** k words at least."""
+        if self._order[0] < k:
+            self._order = (k, np.argsort(self.rank(k), kind="stable"))
+        return self._order[1]
+
+    def items_of(self, windows: np.ndarray) -> np.ndarray:
+        many = self.first[windows + 1] - self.first[windows]
+        at = np.repeat(self.first[windows] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        return np.unique(self.window_items[at])
 
 
 def suffix_array(words: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
@@ -124,19 +166,21 @@ def stretches(words: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def bounds(words: np.ndarray, order: np.ndarray, keys: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every key (the first ``lengths`` numbers of a row) the range of the suffix array whose
+def bounds(words: np.ndarray, order: np.ndarray, flat: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every key (``lengths`` numbers of ``flat`` from ``at`` on) the range of the suffix array whose
     suffixes begin with it, by binary search of all keys at once."""
-    padded = np.concatenate([words, np.zeros(keys.shape[1], words.dtype)])
-    column = np.arange(keys.shape[1])
+    most = int(lengths.max())
+    padded = np.concatenate([words, np.zeros(most, words.dtype)])
+    padded_keys = np.concatenate([flat, np.zeros(most, flat.dtype)])
+    column = np.arange(most)
     ends = []
     for upper in (False, True):
-        lo, hi = np.zeros(len(keys), np.int64), np.full(len(keys), len(order), np.int64)
+        lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(order), np.int64)
         while (open_ := lo < hi).any():
-            at = np.flatnonzero(open_)
-            for part in np.array_split(at, -(-len(at) // COMPARED)):
+            left = np.flatnonzero(open_)
+            for part in np.array_split(left, -(-len(left) // COMPARED)):
                 mid = (lo[part] + hi[part]) // 2
-                there, key = padded[order[mid][:, None] + column], keys[part]
+                there, key = padded[order[mid][:, None] + column], padded_keys[at[part][:, None] + column]
                 differs = (there != key) & (column < lengths[part][:, None])
                 where = differs.argmax(1)
                 row = np.arange(len(part))
@@ -153,7 +197,7 @@ def search(texts: list[list[bytes]], bench: Benchmark) -> list[tuple[np.ndarray,
     (words, place, item)."""
     size = np.array([len(t) for t in texts], np.int64)
     clean = [(None, set(), 0, -1, -1) for _ in texts]
-    if not bench.windows or not size.sum():
+    if not len(bench.lengths) or not size.sum():
         return clean
     get = bench.vocabulary.get
     # a 0 after each document keeps matches inside it
@@ -168,8 +212,8 @@ def search(texts: list[list[bytes]], bench: Benchmark) -> list[tuple[np.ndarray,
     edge = np.concatenate([keep[1:] != keep[:-1], [True]]) & keep
     take = np.flatnonzero(keep | np.concatenate([[False], edge[:-1]]))
     short = np.concatenate([words[take], [0]])
-    order = suffix_array(short, np.flatnonzero(short), max(bench.depth, 1))
-    lo, hi = bounds(short, order, bench.keys, bench.lengths)
+    order = suffix_array(short, np.flatnonzero(short), bench.most)
+    lo, hi = bounds(short, order, bench.flat, bench.first_at, bench.lengths)
     many = hi - lo
     which = np.repeat(np.arange(len(many)), many)
     if not len(which):
@@ -185,35 +229,80 @@ def search(texts: list[list[bytes]], bench: Benchmark) -> list[tuple[np.ndarray,
     out = list(clean)
     by_doc = np.argsort(doc, kind="stable")
     cuts = np.flatnonzero(np.diff(doc[by_doc], prepend=-1))
+    n, at, item = longest(words, doc_start, np.unique(doc), bench)
     for a, b in zip(cuts, [*cuts[1:], len(by_doc)]):
         d = int(doc[by_doc[a]])
-        sel = by_doc[a:b]
-        items: set[int] = set()
-        for w in np.unique(which[sel]):
-            items.update(item for item, _ in bench.places[w])
-        n, at, item = longest(short, near[sel], which[sel], bench)
-        out[d] = (marks[doc_start[d] : doc_start[d] + size[d]], items, n, int(take[at] - doc_start[d]), item)
+        items = set(bench.items_of(np.unique(which[by_doc[a:b]])).tolist())
+        out[d] = (marks[doc_start[d] : doc_start[d] + size[d]], items, int(n[d]), int(at[d] - doc_start[d]), int(item[d]))
     return out
 
 
-def longest(words: np.ndarray, near: np.ndarray, which: np.ndarray, bench: Benchmark) -> tuple[int, int, int]:
-    """The longest verbatim match at one of the found places: (words, place in ``words``, item)."""
-    best = (0, -1, -1)
-    column = np.arange(bench.depth)
-    padded = np.concatenate([words, np.zeros(bench.depth, words.dtype)])
-    step = max(1, (1 << 22) // max(bench.depth, 1))
-    many = bench.first[which + 1] - bench.first[which]
-    ends = np.cumsum(many)
-    suffix = np.repeat(bench.first[which] - (ends - many), many) + np.arange(ends[-1])
-    places = np.repeat(near, many)
-    for i in range(0, len(places), step):
-        p, s = places[i : i + step], suffix[i : i + step]
-        differs = padded[p[:, None] + column] != bench.suffixes[s]
-        n = np.where(differs.any(1), differs.argmax(1), bench.depth)
-        k = int(n.argmax())
-        if n[k] > best[0]:
-            best = (int(n[k]), int(p[k]), int(bench.suffix_item[s[k]]))
-    return best
+def longest(words: np.ndarray, doc_start: np.ndarray, docs: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each document the longest verbatim match with an item: (words, place in ``words``, item);
+    those not in ``docs`` aren't looked at.
+
+    Places are ranked among the benchmark's stretches of 1, 2, 4, ... words as long as any is one.
+    From a document's places of its highest level, the range of the benchmark's suffix array that
+    begins alike is narrowed by half the words each time.
+    """
+    found, at, item = np.zeros(len(doc_start), np.int64), doc_start - 1, np.full(len(doc_start), -1)
+    doc_of = lambda place: np.searchsorted(doc_start, place, side="right") - 1
+    wanted = np.zeros(len(doc_start), bool)
+    wanted[docs] = True
+    place = np.flatnonzero(words)
+    place = place[wanted[doc_of(place)]]
+    levels: list[tuple[np.ndarray, np.ndarray]] = []
+    kind = words[place].astype(np.int64) + 1
+    top = np.full(len(doc_start), -1)
+    while len(place):
+        top[doc_of(place)] = len(levels)
+        levels.append((place, kind))
+        keys, width = bench.pairs(len(levels) - 1)
+        behind = rank_at(levels[-1], place + (1 << len(levels) - 1))
+        key = kind * width + behind
+        k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        ok = (behind > 0) & (keys[k] == key)
+        place, kind = place[ok], k[ok] + 1
+    order = bench.order(len(levels))
+    for level, (place, kind) in enumerate(levels):
+        of = doc_of(place)
+        sel = top[of] == level
+        p, of = place[sel], of[sel]
+        if not len(p):
+            continue
+        ranks = bench.rank(level)[order]
+        lo, hi = (np.searchsorted(ranks, kind[sel].astype(ranks.dtype), side=side) for side in ("left", "right"))
+        n = np.full(len(p), 1 << level, np.int64)
+        for k in reversed(range(level)):
+            rank = rank_at(levels[k], p + n)
+            a, b = (narrow(bench.rank(k), order, n, lo, hi, rank, upper) for upper in (False, True))
+            ok = (rank > 0) & (a < b)
+            lo, hi, n = np.where(ok, a, lo), np.where(ok, b, hi), np.where(ok, n + (1 << k), n)
+        best = np.lexsort((p, -n, of))
+        best = best[np.flatnonzero(np.diff(of[best], prepend=-1))]
+        found[of[best]], at[of[best]] = n[best], p[best]
+        item[of[best]] = np.searchsorted(bench.starts, order[lo[best]], side="right") - 1
+    return found, at, item
+
+
+def rank_at(level: tuple[np.ndarray, np.ndarray], place: np.ndarray) -> np.ndarray:
+    """The rank at each place, 0 where the level has none."""
+    places, ranks = level
+    i = np.minimum(np.searchsorted(places, place), len(places) - 1)
+    return np.where(places[i] == place, ranks[i], 0)
+
+
+def narrow(rank: np.ndarray, order: np.ndarray, n: np.ndarray, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray, upper: bool) -> np.ndarray:
+    """In each range of ``order`` the first (``upper``: behind the last) place whose rank ``n`` words on is ``wanted``."""
+    lo, hi = lo.copy(), hi.copy()
+    while (open_ := lo < hi).any():
+        at = np.flatnonzero(open_)
+        mid = (lo[at] + hi[at]) // 2
+        there = rank[order[mid] + n[at]]
+        right = there <= wanted[at] if upper else there < wanted[at]
+        lo[at] = np.where(right, mid + 1, lo[at])
+        hi[at] = np.where(right, hi[at], mid)
+    return lo
 
 
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:

@@ -1,5 +1,6 @@
 """Exact and near duplicates, decontamination, sharding: against brute force on small tables."""
 
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -10,6 +11,7 @@ import duckdb  # noqa: F401
 from quire.llm import decontam, exact_dedup, sharding, simhash
 from quire.llm.common import table
 from quire.llm.components import connected_components
+from quire.llm.decontam import words_of
 from quire.llm.queries import oracle_sql, queries
 from tests.llm import brute
 from tests.oracle_check import compare, duck
@@ -178,6 +180,32 @@ def test_decontamination_odd_and_empty(odd, odd_rows, none):
     assert decontam.decontaminate(none, bench).collect() == []
 
 
+def test_decontamination_with_long_items(odd, odd_rows):
+    """The unfiltered rows as the benchmark: one item has 189,000 words."""
+    bench = odd.select(F.col("doc_id").alias("item_id"), "text")
+    real = [(r[0], r[1]) for r in odd_rows if r[0] is not None]
+    texts = {r[0]: r[1] for r in odd_rows if r[0] in (0, 39, 400, 403)}
+    rows = {r["doc_id"]: r for r in decontam.find(odd, "text", bench).select("doc_id", "found", decontam.n_hit(F.col("found")).alias("h")).collect()}
+    for i, text in texts.items():
+        n, hit, ids = brute.contamination(text, real)
+        assert (rows[i]["found"]["n_words"], rows[i]["h"], set(rows[i]["found"]["items"])) == (n, hit, ids), i
+    assert rows[400]["found"]["longest"] == 189_000 and rows[400]["found"]["longest_item"] == "400"
+
+
+def test_benchmark_memory_is_linear():
+    words = [f"v{i * 7919 % 5003}" for i in range(20_000)]
+    text = " ".join(words)
+    tracemalloc.start()
+    try:
+        bench = decontam.Benchmark([("1", text)] + [(str(i), f"some shared words {i}") for i in range(2, 300)], 13)
+        (_, _, a, at_a, _), (marks, items, b, at_b, item) = decontam.search([words_of(text), words_of("x " + text[7:] + " y " + text)], bench)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (a, at_a, b, items, bench.ids[item]) == (20_000, 0, 20_000, {0}, "1") and at_b > 19_000
+    assert peak < 100 << 20, peak
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(5)
     w = rng.integers(0, 4, 300).astype(np.int32)
