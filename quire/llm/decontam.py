@@ -17,8 +17,10 @@ words are added as far as a document matches.
 A window is ``window`` consecutive words of an item; a shorter item that isn't empty is one window.
 
 Defined results: null has no words; a document without words is clean; items without words match
-nothing; repeated items with one item_id count once, items with a null item_id never; repeated rows
-are judged alike; an empty benchmark leaves all clean; an empty table gives no rows; further
+nothing; repeated items with one item_id count once; a document that holds an item with a null
+item_id is hit like any other (``null_ids``; else such items are ignored), and all of them together
+are one null at the end of its items, which is counted but has no place in the joined ids; repeated
+rows are judged alike; an empty benchmark leaves all clean; an empty table gives no rows; further
 columns stay.
 """
 
@@ -69,8 +71,8 @@ class Benchmark:
     (``first_at``) and a length, and its items a slice of ``window_items``.
     """
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int):
-        self.ids: list[str] = []
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int):
+        self.ids: list[str | None] = []
         self.vocabulary: dict[bytes, int] = {}
         texts = []
         for item_id, text in items:
@@ -305,9 +307,9 @@ def narrow(rank: np.ndarray, order: np.ndarray, n: np.ndarray, lo: np.ndarray, h
     return lo
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, null_ids: bool = False) -> Iterator[list[tuple[str | None, str | None]]]:
     """The benchmark's items in blocks of bounded text; a single larger item is a block of its own."""
-    items = pick(benchmark, "item_id", "text").where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("id"), "text").distinct().orderBy("id", "text")
+    items = pick(benchmark, "item_id", "text").where("text is not null").where(F.lit(null_ids) | F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("id"), "text").distinct().orderBy("id", "text")
     block, size = [], 0
     for r in items.toLocalIterator():
         if block and size + 4 * len(r["text"]) > block_bytes:
@@ -318,7 +320,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[lis
     yield block
 
 
-def scan(text: Column, before: Column, items: list[tuple[str, str | None]], window: int) -> Column:
+def scan(text: Column, before: Column, items: list[tuple[str | None, str | None]], window: int) -> Column:
     """A row's findings for one block of items, joined with those of the blocks before (null: none)."""
 
     def shard(texts: list[list[bytes]], olds: list[dict | None], bench: Benchmark) -> list[dict]:
@@ -336,7 +338,7 @@ def scan(text: Column, before: Column, items: list[tuple[str, str | None]], wind
                 best = best if n > old["longest"] else (old["longest"], old["longest_at"], old["longest_item"])
             edges = np.flatnonzero(hit[1:] != hit[:-1])
             spans = np.column_stack([edges[::2], edges[1::2] - 1]).ravel()
-            out.append({"n_words": len(t), "spans": spans.tolist(), "items": sorted(ids), "longest": best[0], "longest_at": best[1], "longest_item": best[2]})
+            out.append({"n_words": len(t), "spans": spans.tolist(), "items": sorted(ids, key=lambda i: (i is None, i or "")), "longest": best[0], "longest_at": best[1], "longest_item": best[2]})
         return out
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -356,10 +358,10 @@ def scan(text: Column, before: Column, items: list[tuple[str, str | None]], wind
     return F.arrow_udf(run, FOUND)(text, before)
 
 
-def find(docs: DataFrame, text: str, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find(docs: DataFrame, text: str, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, null_ids: bool = False) -> DataFrame:
     """``docs`` with a column ``found`` (see ``FOUND``): words, hit spans, items and the longest match."""
     out = docs.withColumn("found", F.lit(None).cast(FOUND))
-    for items in blocks(benchmark, block_bytes):
+    for items in blocks(benchmark, block_bytes, null_ids):
         out = out.withColumn("found", scan(F.col(text), F.col("found"), items, window))
     return out
 
@@ -377,4 +379,4 @@ def is_contaminated(found: Column) -> Column:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated, with all their columns."""
     hidden, at = marked(docs)
-    return unmarked(find(hidden, at[text], benchmark, window).where(~is_contaminated(F.col("found"))), docs)
+    return unmarked(find(hidden, at[text], benchmark, window, null_ids=True).where(~is_contaminated(F.col("found"))), docs)

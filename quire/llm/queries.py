@@ -56,7 +56,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text")
-    found = decontam.find(docs, "text", table(spark, sf_dir, "benchmark"))
+    found = decontam.find(docs, "text", table(spark, sf_dir, "benchmark"), null_ids=True)
     f = F.col("found")
     items = F.sha2(F.array_join(f["items"], ",").cast("binary"), 256)
     return found.select("doc_id", f["n_words"].alias("n_words"), decontam.n_hit(f).alias("n_hit"), F.size(f["items"]).cast("long").alias("n_items"), items.alias("items_sha256"), decontam.is_contaminated(f).alias("contaminated"))

@@ -180,6 +180,24 @@ def test_decontamination_odd_and_empty(odd, odd_rows, none):
     assert decontam.decontaminate(none, bench).collect() == []
 
 
+def test_decontamination_null_item_ids(spark, tmp_path):
+    """The query equals its SQL on a benchmark with null ids, and the stage drops the copies."""
+    texts = [" ".join(WORDS[200:220]), " ".join(WORDS[195:225]) + " lone", "pad " * 900 + " ".join(WORDS[200:213]), "other words", None]
+    sf = str(tmp_path)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    bench = spark.createDataFrame(ITEMS + [(None, "two nulls"), (None, " ".join(WORDS[199:215])), (None, None)], "item_id long, text string").coalesce(1)
+    docs.toPandas().astype({"doc_id": "int64"}).to_parquet(f"{sf}/documents.parquet")
+    bench.toPandas().astype({"item_id": "Int64"}).to_parquet(f"{sf}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{sf}/{name}.parquet')")
+    line = compare(spark, con, "op8_decontamination", queries()["op8_decontamination"], oracle_sql()["op8_decontamination"], sf)
+    assert line.startswith("OK"), line
+    found = {r["doc_id"]: r["found"]["items"] for r in decontam.find(docs, "text", bench, null_ids=True).select("doc_id", "found").collect()}
+    assert found == {0: [None], 1: ["3", None], 2: [None], 3: [], 4: []}
+    assert sorted(r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()) == [2, 3, 4]
+
+
 def test_decontamination_with_long_items(odd, odd_rows):
     """The unfiltered rows as the benchmark: one item has 189,000 words."""
     bench = odd.select(F.col("doc_id").alias("item_id"), "text")
