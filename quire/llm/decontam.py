@@ -3,9 +3,10 @@
 The training documents of a batch are a shard.  Its words become numbers of the benchmark's
 vocabulary (0: any other word), and a suffix array is built over the shard's words by prefix
 doubling.  A stretch of benchmark words shorter than the shortest window can't hold a window, so
-such stretches are left out of the array; everything else is in it.  Every test suffix is then
-binary-searched in every shard: the bounds of the suffixes that begin with its window are all
-places where the window occurs verbatim, and the neighbours give the longest verbatim match.
+such stretches are left out of the array; everything else is in it.  The window that each test
+suffix begins with is then binary-searched in every shard: its bounds are all places where it
+occurs verbatim.  The longest verbatim match of a document, of one word or more, is found the other
+way round, in the order of the test suffixes, from all its words.
 
 A document lies whole in one shard, so nothing is shuffled: places are marked per document and
 the documents go on.  The benchmark reaches the tasks in blocks of at most ``BLOCK_BYTES`` of text
@@ -198,15 +199,16 @@ def search(texts: list[list[bytes]], bench: Benchmark) -> list[tuple[np.ndarray,
     """For each document of a shard: marks of hit words, found items, and the longest match
     (words, place, item)."""
     size = np.array([len(t) for t in texts], np.int64)
-    clean = [(None, set(), 0, -1, -1) for _ in texts]
     if not len(bench.lengths) or not size.sum():
-        return clean
+        return [(None, set(), 0, -1, -1) for _ in texts]
     get = bench.vocabulary.get
     # a 0 after each document keeps matches inside it
     words = np.zeros(int(size.sum()) + len(texts), np.int32)
     doc_start = np.cumsum(size + 1) - (size + 1)
     for t, s in zip(texts, doc_start):
         words[s : s + len(t)] = np.fromiter((get(w, 0) for w in t), np.int32, len(t))
+    n, at, item = longest(words, doc_start, bench)
+    clean = [(None, set(), *map(int, best)) for best in zip(n, at - doc_start, item)]
     keep = stretches(words, bench.least)
     if not keep.any():
         return clean
@@ -231,17 +233,16 @@ def search(texts: list[list[bytes]], bench: Benchmark) -> list[tuple[np.ndarray,
     out = list(clean)
     by_doc = np.argsort(doc, kind="stable")
     cuts = np.flatnonzero(np.diff(doc[by_doc], prepend=-1))
-    n, at, item = longest(words, doc_start, np.unique(doc), bench)
     for a, b in zip(cuts, [*cuts[1:], len(by_doc)]):
         d = int(doc[by_doc[a]])
         items = set(bench.items_of(np.unique(which[by_doc[a:b]])).tolist())
-        out[d] = (marks[doc_start[d] : doc_start[d] + size[d]], items, int(n[d]), int(at[d] - doc_start[d]), int(item[d]))
+        out[d] = (marks[doc_start[d] : doc_start[d] + size[d]], items, *clean[d][2:])
     return out
 
 
-def longest(words: np.ndarray, doc_start: np.ndarray, docs: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each document the longest verbatim match with an item: (words, place in ``words``, item);
-    those not in ``docs`` aren't looked at.
+def longest(words: np.ndarray, doc_start: np.ndarray, bench: Benchmark) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each document the longest verbatim match with an item: (words, place in ``words``, item),
+    be it shorter than a window or longer.
 
     Places are ranked among the benchmark's stretches of 1, 2, 4, ... words as long as any is one.
     From a document's places of its highest level, the range of the benchmark's suffix array that
@@ -249,10 +250,7 @@ def longest(words: np.ndarray, doc_start: np.ndarray, docs: np.ndarray, bench: B
     """
     found, at, item = np.zeros(len(doc_start), np.int64), doc_start - 1, np.full(len(doc_start), -1)
     doc_of = lambda place: np.searchsorted(doc_start, place, side="right") - 1
-    wanted = np.zeros(len(doc_start), bool)
-    wanted[docs] = True
     place = np.flatnonzero(words)
-    place = place[wanted[doc_of(place)]]
     levels: list[tuple[np.ndarray, np.ndarray]] = []
     kind = words[place].astype(np.int64) + 1
     top = np.full(len(doc_start), -1)

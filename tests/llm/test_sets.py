@@ -172,6 +172,17 @@ def test_decontamination_longest_match(spark):
     assert rows[1]["longest"] == 0 and rows[1]["longest_item"] is None
 
 
+def test_decontamination_longest_match_below_a_window(spark):
+    """Also where no whole window occurs: 12 words of an item, and a single one."""
+    docs = spark.createDataFrame([(0, "q q " + " ".join(WORDS[1:13]) + " q w5 w6"), (1, "q w110"), (2, "w5 w7 q"), (3, "q")], "doc_id long, text string")
+    bench = spark.createDataFrame(ITEMS[:2], "item_id long, text string")
+    for block_bytes in (decontam.BLOCK_BYTES, 60):
+        rows = {r["doc_id"]: r["found"] for r in decontam.find(docs, "text", bench, block_bytes=block_bytes).collect()}
+        got = [(rows[i]["longest"], rows[i]["longest_at"], rows[i]["longest_item"]) for i in range(4)]
+        assert got[:3] == [(12, 2, "1"), (1, 1, "2"), (1, 0, "1")] and got[3][::2] == (0, None)
+        assert all(rows[i]["spans"] == [] and rows[i]["items"] == [] for i in range(4))
+
+
 def test_decontamination_odd_and_empty(odd, odd_rows, none):
     bench = odd.select(F.col("doc_id").alias("item_id"), "text").where("length(text) < 500")
     found = decontam.find(odd, "text", bench).select("found", decontam.is_contaminated(F.col("found")).alias("c")).collect()
