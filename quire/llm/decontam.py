@@ -9,9 +9,10 @@ occurs verbatim.  The longest verbatim match of a document, of one word or more,
 way round, in the order of the test suffixes, from all its words.
 
 A document lies whole in one shard, so nothing is shuffled: places are marked per document and
-the documents go on.  The benchmark reaches the tasks in blocks of at most ``BLOCK_BYTES`` of text
-(a single larger item is a block of its own); a larger one is searched block after block over the
-same rows, whose marks are carried along.  A block's words are one flat array, in which suffixes and
+the documents go on.  Spark writes the benchmark to the shared folder in blocks of at most
+``BLOCK_BYTES`` of text (a single larger item is a block of its own), which the tasks open by path,
+one at a time, and search in each shard; one pass reads the texts, whatever the number of blocks.
+The driver holds only the blocks' paths.  A block's words are one flat array, in which suffixes and
 windows are places, so memory is linear in its words, however long an item is; ranks of 2, 4, 8, ...
 words are added as far as a document matches.
 
@@ -31,16 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import marked, pick, unmarked
+from quire.llm.common import marked, pick, unmarked, work_folder
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
 SHARE = 20
-#: Benchmark text searched in one pass, words of a shard, and places compared at a time.
+#: Benchmark text of a block, words of a shard, and places compared at a time.
 BLOCK_BYTES = 16 << 20
 SHARD_WORDS = 1 << 21
 COMPARED = 1 << 16
@@ -48,7 +52,7 @@ COMPARED = 1 << 16
 #: Bytes of words in UTF-8: digits, letters (lower-cased) and all beyond ASCII; any other is a space.
 _WORD_BYTES = bytes(b if b >= 0x80 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
-#: What a pass adds to a row: words, pairs of first and last hit word, ids of found items, and the
+#: What is added to a row: words, pairs of first and last hit word, ids of found items, and the
 #: longest verbatim match in words with its place and item.
 FOUND = T.StructType([
     T.StructField("n_words", T.LongType()),
@@ -305,63 +309,88 @@ def narrow(rank: np.ndarray, order: np.ndarray, n: np.ndarray, lo: np.ndarray, h
     return lo
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, null_ids: bool = False) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The benchmark's items in blocks of bounded text; a single larger item is a block of its own."""
-    items = pick(benchmark, "item_id", "text").where("text is not null").where(F.lit(null_ids) | F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("id"), "text").distinct().orderBy("id", "text")
-    block, size = [], 0
-    for r in items.toLocalIterator():
-        if block and size + 4 * len(r["text"]) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((r["id"], r["text"]))
-        size += 4 * len(r["text"])
-    yield block
-
-
-def scan(text: Column, before: Column, items: list[tuple[str | None, str | None]], window: int) -> Column:
-    """A row's findings for one block of items, joined with those of the blocks before (null: none)."""
-
-    def shard(texts: list[list[bytes]], olds: list[dict | None], bench: Benchmark) -> list[dict]:
-        out = []
-        for t, old, (marks, found, n, at, item) in zip(texts, olds, search(texts, bench)):
-            ids = {bench.ids[i] for i in found}
-            best = (n, at, bench.ids[item] if item >= 0 else None)
-            hit = np.zeros(len(t) + 2, bool)
-            if marks is not None:
-                hit[1:-1] = marks
-            if old is not None:
-                ids.update(old["items"])
-                for a, b in zip(old["spans"][::2], old["spans"][1::2]):
-                    hit[a + 1 : b + 2] = True
-                best = best if n > old["longest"] else (old["longest"], old["longest_at"], old["longest_item"])
-            edges = np.flatnonzero(hit[1:] != hit[:-1])
-            spans = np.column_stack([edges[::2], edges[1::2] - 1]).ravel()
-            out.append({"n_words": len(t), "spans": spans.tolist(), "items": sorted(ids, key=lambda i: (i is None, i or "")), "longest": best[0], "longest_at": best[1], "longest_item": best[2]})
-        return out
-
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        bench = Benchmark(items, window)
-        for text_batch, old_batch in batches:
-            rows, texts, olds, n = [], [], [], 0
-            for t, old in zip(text_batch, old_batch):
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, null_ids: bool = False) -> list[str]:
+    """The benchmark's items, written by Spark to the shared folder in files of bounded text (a single
+    larger item is a file of its own): the files."""
+    items = pick(benchmark, "item_id", "text").where("text is not null").where(F.lit(null_ids) | F.col("item_id").isNotNull()).select(F.col("item_id").cast("string").alias("id"), "text")
+    total = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, size = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            block = []
+            for text in batch.column("text"):
+                more = 4 * len(text.as_py())
+                if size and size + more > block_bytes:
+                    n, size = n + 1, 0
+                size += more
+                block.append(f"{task}-{n}")
+            yield pa.record_batch([pa.array(block, pa.string()), batch.column("id"), batch.column("text")], names=["block", "id", "text"])
+
+    spark = benchmark.sparkSession
+    path = work_folder(spark, "benchmark")
+    parts = max(1, -(-4 * total // block_bytes))
+    items.distinct().coalesce(parts).mapInArrow(cut, "block string, id string, text string").write.partitionBy("block").parquet(path)
+    return sorted(spark.read.schema("id string, text string").parquet(path).inputFiles())
+
+
+def opened(file: str, window: int) -> Benchmark:
+    where, path = fs.FileSystem.from_uri(file)
+    with where.open_input_file(path) as f:
+        t = pq.read_table(f, columns=["id", "text"])
+    items = zip(t.column("id").to_pylist(), t.column("text").to_pylist())
+    return Benchmark(sorted(items, key=lambda i: (i[0] or "", i[1])), window)
+
+
+def scan(text: Column, files: list[str], window: int) -> Column:
+    """A row's findings.  Each shard is searched for one block after the other; only one is open at a time."""
+
+    def joined(t: list[bytes], old: dict, bench: Benchmark, result: tuple[np.ndarray | None, set[int], int, int, int]) -> dict:
+        marks, found, n, at, item = result
+        best = (n, at, bench.ids[item]) if n > old["longest"] else (old["longest"], old["longest_at"], old["longest_item"])
+        hit = np.zeros(len(t) + 2, bool)
+        if marks is not None:
+            hit[1:-1] = marks
+        for a, b in zip(old["spans"][::2], old["spans"][1::2]):
+            hit[a + 1 : b + 2] = True
+        edges = np.flatnonzero(hit[1:] != hit[:-1])
+        spans = np.column_stack([edges[::2], edges[1::2] - 1]).ravel()
+        ids = {bench.ids[i] for i in found}.union(old["items"])
+        return {"n_words": len(t), "spans": spans.tolist(), "items": sorted(ids, key=lambda i: (i is None, i or "")), "longest": best[0], "longest_at": best[1], "longest_item": best[2]}
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        last: tuple[str, Benchmark] | None = None
+        turn = list(files)
+
+        def shard(texts: list[list[bytes]]) -> list[dict]:
+            nonlocal last
+            out = [{"n_words": len(t), "spans": [], "items": [], "longest": 0, "longest_at": -1, "longest_item": None} for t in texts]
+            for file in turn if texts else ():
+                if last is None or last[0] != file:
+                    last = None  # given up before the next one is opened
+                    last = file, opened(file, window)
+                out = [joined(t, old, last[1], r) for t, old, r in zip(texts, out, search(texts, last[1]))]
+            # the block that is open is the next shard's first
+            turn.reverse()
+            return out
+
+        for batch in batches:
+            rows, texts, n = [], [], 0
+            for t in batch:
                 texts.append(words_of(t.as_py()))
-                olds.append(old.as_py())
                 n += len(texts[-1])
                 if n >= SHARD_WORDS:
-                    rows += shard(texts, olds, bench)
-                    texts, olds, n = [], [], 0
-            yield pa.array(rows + shard(texts, olds, bench), _FOUND)
+                    rows += shard(texts)
+                    texts, n = [], 0
+            yield pa.array(rows + shard(texts), _FOUND)
 
-    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, FOUND)(text, before)
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, FOUND)(text)
 
 
 def find(docs: DataFrame, text: str, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, null_ids: bool = False) -> DataFrame:
     """``docs`` with a column ``found`` (see ``FOUND``): words, hit spans, items and the longest match."""
-    out = docs.withColumn("found", F.lit(None).cast(FOUND))
-    for items in blocks(benchmark, block_bytes, null_ids):
-        out = out.withColumn("found", scan(F.col(text), F.col("found"), items, window))
-    return out
+    return docs.withColumn("found", scan(F.col(text), blocks(benchmark, block_bytes, null_ids), window))
 
 
 def n_hit(found: Column) -> Column:

@@ -183,6 +183,20 @@ def test_decontamination_longest_match_below_a_window(spark):
         assert all(rows[i]["spans"] == [] and rows[i]["items"] == [] for i in range(4))
 
 
+def test_decontamination_benchmark_stays_off_the_driver(spark, monkeypatch):
+    """Items go from Spark to block files; however many blocks there are, the texts pass through Python once."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a, **b: pytest.fail("items fetched by the driver"))
+    files = decontam.blocks(bench, 60)
+    got = decontam.find(docs, "text", bench, block_bytes=60)
+    assert len(files) > 4 and got._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    written = spark.read.parquet(files[0].rsplit("/", 2)[0]).groupBy("block").agg(F.sum(4 * F.length("text")).alias("b"), F.count("*").alias("n")).collect()
+    assert len(written) == len(files) and all(r["b"] <= 60 or r["n"] == 1 or r["b"] == 0 for r in written)
+
+
 def test_decontamination_odd_and_empty(odd, odd_rows, none):
     bench = odd.select(F.col("doc_id").alias("item_id"), "text").where("length(text) < 500")
     found = decontam.find(odd, "text", bench).select("found", decontam.is_contaminated(F.col("found")).alias("c")).collect()
