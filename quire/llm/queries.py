@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontam, exact_dedup, langid, quality, sharding, simhash, token_counts, url_filter, warc
+from quire.llm import bpe, decontam, exact_dedup, langid, quality, sharding, simhash, suffix_dedup, token_counts, url_filter, warc
 from quire.llm.common import pick, table
 
 #: The tokenizer of the contracts.
@@ -70,8 +70,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digest=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_byte_bpe, op4_exact_dedup, op5_simhash, op6_warc, op7_quality, op8_decontamination, op9_language_id, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_byte_bpe, op4_exact_dedup, op5_simhash, op6_warc, op7_quality, op8_decontamination, op9_language_id, op10_sharding, op11_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -103,4 +108,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items,
                    sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
             FROM doc d LEFT JOIN covered c USING (doc_id) LEFT JOIN found f USING (doc_id)""",
+        "op11_suffix_dedup": """
+            WITH doc AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS k, hex(encode(coalesce(text, ''))) AS h FROM documents),
+            win AS (SELECT r, k, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT r, k, h, unnest(range(0, len(h) // 2 - 49)) AS i FROM doc)),
+            least_id AS (SELECT s, min(k) AS m FROM win GROUP BY s),
+            hit AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM win JOIN least_id USING (s) WHERE m < k),
+            numbered AS (SELECT r, i, count(*) FILTER (WHERE before IS NULL OR i > before + 50) OVER (PARTITION BY r ORDER BY i) AS g FROM hit),
+            span AS (SELECT r, min(i) AS a, max(i) + 50 AS z FROM numbered GROUP BY r, g),
+            piece AS (SELECT r, a, z, substr(h, 2 * coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0))) AS before
+                      FROM span JOIN doc USING (r)),
+            kept AS (SELECT r, string_agg(before, '' ORDER BY a) AS head, max(z) AS z, sum(z - a) AS n_removed, count(*) AS n_spans FROM piece GROUP BY r)
+            SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+                   sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+            FROM doc LEFT JOIN kept USING (r)""",
     }
