@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontam, exact_dedup, langid, quality, sharding, simhash, suffix_dedup, token_counts, url_filter, warc
+from quire.llm import alignment, bpe, decontam, exact_dedup, langid, quality, sharding, simhash, spelling, suffix_dedup, token_counts, url_filter, warc
 from quire.llm.common import pick, table
 
 #: The tokenizer of the contracts.
@@ -75,8 +75,16 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_byte_bpe, op4_exact_dedup, op5_simhash, op6_warc, op7_quality, op8_decontamination, op9_language_id, op10_sharding, op11_suffix_dedup)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_byte_bpe, op4_exact_dedup, op5_simhash, op6_warc, op7_quality, op8_decontamination, op9_language_id, op10_sharding, op11_suffix_dedup, op12_alignment, op13_spelling)}
 
 
 def oracle_sql() -> dict[str, str]:
