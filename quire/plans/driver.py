@@ -102,6 +102,43 @@ def _cmd(line, i):
     )
 
 
+# What stands before and behind a line, by its place in a period of lines.  Command words stand at line starts inside comments,
+# cartouches, strings and verbatim text, at depths up to two.
+NESTED = [
+    ("lemma a: \"", "\""), ("(* outer ", ""), ("lemma inside (* nested *) ", ""), ("definition b ", " *)"),
+    ("text \\<open>", ""), ("theorem ‹inner› \" ", ""), ("by simp ", "\\<close>"), ("lemma c: \"first \\\" ", ""),
+    ("fun in_string ", "\\\\\""), ("definition d where \"", "\""), ("lemma `alt ", ""), ("fun alt (* ", "`"),
+    ("ML {* val x = ", ""), ("theorem in_verbatim ` ", " *}"), ("  theorem e: ‹", "›"),
+]
+
+
+def nested_theories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """theories(theory_file, text): every document as a theory whose lines stand in nested outer syntax."""
+    d = table(spark, sf_dir, "documents")
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in NESTED])
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.concat(
+        F.element_at(pairs, i % len(NESTED) + 1)["a"], line, F.element_at(pairs, i % len(NESTED) + 1)["b"]))
+    return d.select(F.concat("source", F.lit("/T"), F.col("doc_id").cast("string")).alias("theory_file"), F.array_join(lines, "\n").alias("text"))
+
+
+def importing_theories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """theories(theory_file, text): every document as a theory T<id> that imports T<id div 3> and declares
+    a command named after its first word; its lines begin in turn with ``lemma``, with that command, with
+    the one of the theory it imports, and with the one of T<id + 1>, which it mostly doesn't import."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    word = F.coalesce(F.nullif(F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)), F.lit("")), F.lit("empty"))
+    named = F.concat(word, F.lit("_cmd"))
+    d = d.withColumn("own", named)
+    up = d.select(F.col("doc_id").alias("parent"), F.col("own").alias("up"))
+    after = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("own").alias("after"))
+    j = d.withColumn("parent", F.floor(F.col("doc_id") / 3)).join(up, "parent", "left").join(after, "doc_id", "left")
+    starts = F.array(F.lit("lemma"), F.col("own"), F.coalesce(F.col("up"), F.lit("none_cmd")), F.coalesce(F.col("after"), F.lit("none_cmd")))
+    lines = F.transform(F.split("text", "\n"), lambda line, i: F.concat(F.element_at(starts, i % 4 + 1), F.lit(" "), line))
+    header = F.concat(F.lit("(* header *)\ntheory T"), F.col("doc_id").cast("string"), F.lit("\n  imports Main \"Lib.T"), F.col("parent").cast("string"),
+                      F.lit("\"\n  keywords \""), F.col("own"), F.lit("\" :: thy_decl and \"none_cmd\" \"is\" and \"maybe_cmd\" :: quasi_command\nbegin\n"))
+    return j.select(F.concat("source", F.lit("/T"), F.col("doc_id").cast("string")).alias("theory_file"), F.concat(header, F.array_join(lines, "\n")).alias("text"))
+
+
 # --- lemmas, symbols and definitions from `orders`, `lineitem`, `part` ---------
 # A lemma is an order; its file is its customer; its symbols are the parts of its
 # line items written in the four dotted forms a symbol lookup meets (one dot, two

@@ -147,21 +147,53 @@ def parse_generated(x: str) -> tuple[str, str]:
     return name, body
 
 
+def spans_cte(src: str, keep: list[str], name: str = "st", own: str | None = None) -> str:
+    """The spans that X1 cuts from the texts of ``src`` (columns ``keep`` and text): a fold over the
+    lexemes.  ``own``: a list column of further commands."""
+    from quire.operators.statements import CLOSE_CARTOUCHE, COMMANDS, LEXEME, OPEN_CARTOUCHE
+
+    def one_of(x: str, values) -> str:
+        return f"{x} IN ({', '.join(chr(39) + v + chr(39) for v in values)})"
+
+    cols = ", ".join(keep)
+    lexeme = LEXEME.replace("'", "''")
+    word = "ltrim(substr(x.t, 2), ' ' || chr(9))"
+    command = one_of(word, COMMANDS) + (f" OR coalesce(list_contains({own}, {word}), false)" if own else "")
+    o, c = one_of("x.t", OPEN_CARTOUCHE), one_of("x.t", CLOSE_CARTOUCHE)
+    enters = f"CASE WHEN {one_of('x.t', [chr(34), chr(92) + chr(34)])} THEN 1 WHEN {one_of('x.t', ['`', chr(92) + '`'])} THEN 2 WHEN x.t = '(*' THEN 3 WHEN {o} THEN 4 WHEN x.t = '{{*' THEN 5 ELSE 0 END"
+    closes = f"CASE s.mode WHEN 1 THEN x.t = chr(34) WHEN 2 THEN x.t = '`' WHEN 3 THEN x.t = '*)' WHEN 4 THEN {c} WHEN 5 THEN x.t = '*}}' END"
+    nests = f"CASE s.mode WHEN 3 THEN x.t = '(*' WHEN 4 THEN {o} ELSE false END"
+    start = "{'mode': 0, 'depth': 0, 'i': 0::BIGINT, 't': '', 'cuts': []::BIGINT[]}"
+    step = (f"{{'mode': CASE WHEN s.mode = 0 THEN {enters} WHEN {closes} AND s.depth = 1 THEN 0 ELSE s.mode END, "
+            f"'depth': CASE WHEN s.mode = 0 THEN CASE WHEN ({enters}) = 0 THEN 0 ELSE 1 END WHEN {closes} THEN s.depth - 1 WHEN {nests} THEN s.depth + 1 ELSE s.depth END, "
+            f"'i': x.i, 't': '', 'cuts': CASE WHEN s.mode = 0 AND starts_with(x.t, chr(10)) AND ({command}) THEN list_append(s.cuts, x.i) ELSE s.cuts END}}")
+    cells = "list_transform(lex, lambda t, i: {'mode': 0, 'depth': 0, 'i': CAST(i AS BIGINT), 't': t, 'cuts': []::BIGINT[]})"
+    kind = "CASE WHEN list_contains(cuts, a) THEN ltrim(substr(lex[a], 2), ' ' || chr(9)) END"
+    keep_own = f", {own}" if own else ""
+    return (
+        f"{name}_lex AS (SELECT {cols}{keep_own}, regexp_extract_all(chr(10) || text, '{lexeme}') AS lex FROM {src} WHERE text <> ''), "
+        f"{name}_cut AS (SELECT {cols}, lex, list_reduce({cells}, lambda s, x: {step}, {start}).cuts AS cuts FROM {name}_lex), "
+        f"{name}_begin AS (SELECT *, CASE WHEN cuts[1] = 1 THEN cuts ELSE [1] || cuts END AS b FROM {name}_cut), "
+        f"{name}_span AS (SELECT *, unnest(range(1, len(b) + 1)) AS k FROM {name}_begin), "
+        f"{name} AS (SELECT {cols}, CAST(k - 1 AS INTEGER) AS pos, {kind} AS kind, "
+        f"substr(array_to_string(lex[a:z - 1], ''), 2) || CASE WHEN z <= len(lex) THEN chr(10) ELSE '' END AS stmt "
+        f"FROM (SELECT *, b[k] AS a, coalesce(b[k + 1], len(lex) + 1) AS z FROM {name}_span))"
+    )
+
+
 def statements_cte(name: str = "st") -> str:
     """The statements X1 cuts from the theory text built out of `documents`."""
-    w = "regexp_extract(s.line, '^([^ ]*)', 1)"
-    rest = f"substr(s.line, length({w}) + 2)"
-    cmd = (f"CASE s.i % 5 WHEN 0 THEN 'lemma ' || {w} || ': \"' || {rest} || '\"' "
-           f"WHEN 1 THEN 'theorem \"' || s.line || '\"' "
+    w = "regexp_extract(l, '^([^ ]*)', 1)"
+    rest = f"substr(l, length({w}) + 2)"
+    cmd = (f"CASE (k - 1) % 5 WHEN 0 THEN 'lemma ' || {w} || ': \"' || {rest} || '\"' "
+           f"WHEN 1 THEN 'theorem \"' || l || '\"' "
            f"WHEN 2 THEN 'definition ' || {w} || ' where \"' || {rest} || '\"' "
            f"WHEN 3 THEN 'fun ' || {w} || ' :: \"' || {rest} || '\"' "
-           f"ELSE 'text \\<open>' || s.line || '\\<close>' END")
-    kind = "CASE s.i % 5 WHEN 0 THEN 'lemma' WHEN 1 THEN 'theorem' WHEN 2 THEN 'definition' WHEN 3 THEN 'fun' ELSE 'text' END"
+           f"ELSE 'text \\<open>' || l || '\\<close>' END")
     return (
-        f"{name} AS (SELECT d.source || '/T' || CAST(d.doc_id AS VARCHAR) AS theory_file, d.source AS session, d.doc_id AS block, CAST(s.i AS INTEGER) AS pos, {kind} AS kind, "
-        f"{cmd} || CASE WHEN s.i < s.n - 1 THEN chr(10) ELSE '' END AS stmt "
-        f"FROM documents d, unnest(list_transform(string_split(d.text, chr(10)), "
-        f"lambda l, k: {{'line': l, 'i': k - 1, 'n': len(string_split(d.text, chr(10)))}})) AS u(s))"
+        f"{name}_thy AS (SELECT source || '/T' || CAST(doc_id AS VARCHAR) AS theory_file, source AS session, doc_id AS block, "
+        f"array_to_string(list_transform(string_split(text, chr(10)), lambda l, k: {cmd}), chr(10)) AS text FROM documents), "
+        + spans_cte(f"{name}_thy", ["theory_file", "session", "block"], name)
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import statements as ST
 from quire.plans import oracle as O
-from quire.plans.driver import document_theories, table
+from quire.plans.driver import NESTED, document_theories, importing_theories, nested_theories, table
 from quire.plans.registry import register
 
 
@@ -25,6 +25,39 @@ def x1_split_statements(spark, sf):
     return _statements(spark, sf).select("theory_file", "block", "pos", "kind", "stmt")
 
 
+_NESTED_LINE = "CASE (k - 1) % {n} {whens} END".format(n=len(NESTED), whens=" ".join(f"WHEN {i} THEN '{a}' || l || '{b}'" for i, (a, b) in enumerate(NESTED)))
+_NESTED_SQL = f"""WITH thy AS (SELECT source || '/T' || CAST(doc_id AS VARCHAR) AS theory_file,
+    array_to_string(list_transform(string_split(text, chr(10)), lambda l, k: {_NESTED_LINE}), chr(10)) AS text FROM documents),
+{O.spans_cte('thy', ['theory_file'])} SELECT theory_file, pos, kind, stmt FROM st"""
+
+
+@register("x1_nested_syntax", _NESTED_SQL)
+def x1_nested_syntax(spark, sf):
+    """X1 on text in which command words also stand at line starts inside strings, nested comments,
+    cartouches and verbatim text, where they don't cut."""
+    return ST.split_statements(nested_theories(spark, sf)).select("theory_file", "pos", "kind", "stmt")
+
+
+_OWN_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, coalesce(nullif(lower(regexp_extract(text, '[A-Za-z]+')), ''), 'empty') || '_cmd' AS w FROM documents),
+j AS (SELECT d.doc_id, d.source, d.text, own.w AS own, coalesce(up.w, 'none_cmd') AS up, coalesce(nx.w, 'none_cmd') AS nx FROM documents d JOIN w own USING (doc_id)
+      LEFT JOIN w up ON up.doc_id = d.doc_id // 3 LEFT JOIN w nx ON nx.doc_id = d.doc_id + 1),
+known(doc_id, command) AS (SELECT doc_id, w FROM w UNION SELECT j.doc_id, known.command FROM known JOIN j ON j.doc_id // 3 = known.doc_id),
+own AS (SELECT doc_id, list(command) AS own FROM known GROUP BY doc_id),
+thy AS (SELECT source || '/T' || CAST(doc_id AS VARCHAR) AS theory_file, own.own,
+    '(* header *)' || chr(10) || 'theory T' || CAST(doc_id AS VARCHAR) || chr(10) || '  imports Main "Lib.T' || CAST(doc_id // 3 AS VARCHAR) || '"' || chr(10)
+    || '  keywords "' || j.own || '" :: thy_decl and "none_cmd" "is" and "maybe_cmd" :: quasi_command' || chr(10) || 'begin' || chr(10)
+    || array_to_string(list_transform(string_split(text, chr(10)), lambda l, k: CASE (k - 1) % 4 WHEN 0 THEN 'lemma' WHEN 1 THEN j.own WHEN 2 THEN up ELSE nx END || ' ' || l), chr(10)) AS text
+    FROM j JOIN own USING (doc_id)),
+{O.spans_cte('thy', ['theory_file'], own='own')} SELECT theory_file, pos, kind, stmt FROM st"""
+
+
+@register("x1_own_commands", _OWN_SQL)
+def x1_own_commands(spark, sf):
+    """X1/P5 with the commands that theories declare in their headers and pass on to those that
+    import them, over any number of steps."""
+    return ST.split_with_own_commands(importing_theories(spark, sf)).select("theory_file", "pos", "kind", "stmt")
+
+
 _X2_SQL = f"""WITH {O.statements_cte()}, {O.last_block_cte()},
 th AS (SELECT theory_file, pos, stmt, {O.theorem_name('stmt')} AS lemma_name FROM lb WHERE kind IN ('theorem', 'lemma'))
 SELECT theory_file, lemma_name, arg_max(stmt, pos) AS stmt, max(pos) AS pos FROM th GROUP BY theory_file, lemma_name"""
