@@ -23,9 +23,10 @@ from quire.functions.text import py_split_ws
 STUB_PREFIX = "Template for "
 
 
-def stub_predictor(k: int | None = None) -> Callable[[list[str]], list[list[str]]]:
+def stub_predictor(k: int | None = None, window: int | None = None) -> Callable[[list[str]], list[list[str]]]:
     """A model stand-in: for every prompt, ``Template for <w>`` for each of its words (the first
-    ``k``, if given).  A prompt without words raises (to exercise the error path)."""
+    ``k``, if given).  It refuses (raises on) a prompt without words and, like a model with a
+    limited window, one of more than ``window`` words."""
 
     def predict(prompts: list[str]) -> list[list[str]]:
         out = []
@@ -33,6 +34,8 @@ def stub_predictor(k: int | None = None) -> Callable[[list[str]], list[list[str]
             words = p.split()
             if not words:
                 raise ValueError("empty prompt")
+            if window is not None and len(words) > window:
+                raise ValueError(f"{len(words)} words in a window of {window}")
             out.append([STUB_PREFIX + w for w in words[:k]])
         return out
 

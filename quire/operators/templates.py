@@ -5,12 +5,11 @@ templates  (term_id long, template array<token>, holes array<struct<hole,type,ar
 symbols    (symbol string, type string, arity int [, term_id long])   -- fillers
 candidates (term_id long, filling map<string,string>, candidate array<token>)
 
-Filling is a join per hole index, not a product followed by a filter: at every
-hole the feasibility test is the join condition (an equi-join on arity, or on a
-feasibility class for the multi test), so infeasible partial fillings never
-exist.  Spark chooses each round's join by the filler list's size.  The number of
-join rounds is the largest hole count (a scalar the driver reads); lineage is cut
-in the shared checkpoint folder every few rounds.
+Filling is unranking: a template with n fillings has them numbered 0 .. n - 1, and the filling of
+a number is computed from it, digit by digit, without a join per hole.  The numbers are cut into
+ranges that are dealt to tasks, so one template with very many fillings is many even tasks.  The
+number of fillings is known before any is made (``filling_counts``), which is what a limit of
+work is tested against.
 """
 
 from __future__ import annotations
@@ -46,8 +45,8 @@ def _feasibility_class(arity: Column, multi: bool, side: str) -> Column:
 
 def feasible_options(templates: DataFrame, symbols: DataFrame, multi: bool = False, per_term: bool = False) -> DataFrame:
     """J11/J12 as a table: every (term, hole index, hole) with each feasible filler
-    (structural constants removed, P9).  ``fill_rounds`` applies the same test as
-    its join condition; this lists the options themselves."""
+    (structural constants removed, P9).  ``fill_holes`` has the same test in its
+    filler lists; this lists the options themselves."""
     hs = templates.select("term_id", F.posexplode("holes").alias("hole_idx", "h")).select(
         "term_id", (F.col("hole_idx") + 1).alias("hole_idx"), F.col("h.hole").alias("hole"),
         _feasibility_class(F.col("h.arity"), multi, "hole")[0].alias("fclass"))
@@ -61,86 +60,154 @@ def _symbol_side(symbols: DataFrame, multi: bool, per_term: bool) -> DataFrame:
                      F.explode(_feasibility_class(F.col("arity"), multi, "symbol")).alias("fclass"))
 
 
+# The class of a hole that takes every symbol.
+_FREE = "free"
+# Numbers of one range (a range of a template with longer filler lists has as many as those have
+# entries, so that the lists it carries never outweigh its fillings), and of one task.
+RANGE = 1 << 13
+FILLINGS_PER_TASK = 1 << 17
+_RANGES_AT_ONCE = 1 << 12
+
+
+def _filler_lists(symbols: DataFrame, multi: bool, per_term: bool) -> DataFrame:
+    """([term_id,] fclass, options): the fillers of every class in list order, each with its place in
+    the whole list.  A list is one array: it holds the functions known to one theory."""
+    scope = ["term_id"] if per_term else []
+    entry = F.struct(F.col("sym_pos").cast("long").alias("sym_pos"), "symbol", F.col("arity").cast("int").alias("arity"))
+    whole = symbols.where(~TM.keep_constant("symbol")).groupBy(*scope).agg(F.array_sort(F.collect_list(entry)).alias("all"))
+    placed = F.transform("all", lambda x, i: F.struct(x["symbol"].alias("symbol"), i.alias("at"), x["arity"].alias("arity")))
+    keys = F.array_distinct(F.flatten(F.transform("placed", lambda x: F.concat(_feasibility_class(x["arity"], multi, "symbol"), F.array(F.lit(_FREE))))))
+    classes = F.transform(keys, lambda k: F.struct(k.alias("fclass"), F.filter("placed", lambda x: (
+        (k == _FREE) | F.array_contains(_feasibility_class(x["arity"], multi, "symbol"), k))).alias("options")))
+    rows = whole.select(*scope, placed.alias("placed")).select(*scope, F.explode(classes).alias("c"))
+    return rows.select(*scope, "c.fclass", F.transform("c.options", lambda x: F.struct(x["symbol"].alias("symbol"), x["at"].alias("at"))).alias("options"))
+
+
+def _hole_classes(templates: DataFrame, multi: bool, distinct_symbols: bool) -> DataFrame:
+    """(term_id, k, hole, fclass) of every hole.  Under J14 a template that isn't well typed skips
+    feasibility: its holes take every symbol."""
+    skip = ~TM.well_typed("template") if distinct_symbols else F.lit(False)
+    hs = templates.select("term_id", skip.alias("skip"), F.posexplode("holes").alias("k", "h"))
+    fclass = F.when(F.col("skip"), _FREE).otherwise(_feasibility_class(F.col("h.arity"), multi, "hole")[0])
+    return hs.select("term_id", "k", F.col("h.hole").alias("hole"), fclass.alias("fclass"))
+
+
+def _choices(holes: Column, distinct_symbols: bool) -> Column:
+    """How many fillers each hole of an ordered list has left when those before it are filled."""
+    if not distinct_symbols:
+        return F.transform(holes, lambda h: h["n"])
+    # classes are disjoint, but for those that take every symbol, whose holes come last
+    before = lambda h, i: F.size(F.filter(F.slice(holes, 1, i), lambda b: (b["fclass"] == h["fclass"]) | h["whole"]))
+    return F.transform(holes, lambda h, i: F.greatest(h["n"] - before(h, i), F.lit(0)))
+
+
+def _sized_holes(templates: DataFrame, lists: DataFrame, multi: bool, distinct_symbols: bool, per_term: bool) -> DataFrame:
+    """(term_id, hs, choices, n_fillings): the holes in the order in which they are filled, with their list's
+    size, how many choices each leaves, and the exact number of fillings."""
+    sizes = lists.select(*(["term_id"] if per_term else []), "fclass", F.size("options").alias("n"))
+    on = [*(["term_id"] if per_term else []), "fclass"]
+    found = _hole_classes(templates, multi, distinct_symbols).join(sizes, on, "left")
+    whole = F.col("fclass").isin("any", _FREE)
+    hole = F.struct(whole.alias("whole"), "k", "hole", "fclass", F.coalesce("n", F.lit(0)).alias("n"))
+    per = found.groupBy("term_id").agg(F.array_sort(F.collect_list(hole)).alias("hs"))
+    every = templates.select("term_id").join(per, "term_id", "left")
+    none = F.array().cast(per.schema["hs"].dataType)
+    sized = every.select("term_id", F.coalesce("hs", none).alias("hs")).withColumn("choices", _choices(F.col("hs"), distinct_symbols))
+    total = F.aggregate("choices", F.lit(1).cast("decimal(38,0)"), lambda p, n: (p * n.cast("decimal(10,0)")).cast("decimal(38,0)"))
+    return sized.withColumn("n_fillings", total)
+
+
+def filling_counts(templates: DataFrame, symbols: DataFrame, multi: bool = False, distinct_symbols: bool = False,
+                   per_term: bool = False) -> DataFrame:
+    """(term_id, n_fillings): the exact number of fillings of every template, before any is made: the
+    product of the choices per hole; under J14 each hole loses those that the holes before it took."""
+    lists = _filler_lists(symbols, multi, per_term)
+    return _sized_holes(templates, lists, multi, distinct_symbols, per_term).select("term_id", "n_fillings")
+
+
 def materialize(templates: DataFrame) -> DataFrame:
     """Write the template table once to the shared checkpoint folder and read it
-    back (every join round and output step reads it instead of recomputing it)."""
+    back (every step reads it instead of recomputing it)."""
     return cut_lineage(templates, "templates")
 
 
-def fill_rounds(templates: DataFrame, symbols: DataFrame, multi: bool = False, distinct_symbols: bool = False,
-                per_term: bool = False, checkpoint_every: int = 4, carry: list[str] | None = None) -> DataFrame:
+def _unranked(number: Column, distinct_symbols: bool) -> Column:
+    """The symbols of a filling, in the order of ``hs``, from its number: a digit per hole, the last
+    hole's counting fastest.  ``hs`` carries the options, ``rest`` how many fillings the holes
+    behind each one have, ``choices`` how many choices it leaves."""
+    digits = F.transform("rest", lambda r, i: (_div(number, r) % F.get("choices", i)).cast("int"))
+    if not distinct_symbols:
+        return F.zip_with("hs", digits, lambda h, d: F.get(h["options"], d)["symbol"])
+    # the d-th filler that no hole before took: d, moved on past every taken place up to it
+    start = F.array().cast("array<struct<fclass:string,place:int,at:int,symbol:string>>")
+
+    def pick(taken, x):
+        h = x["hs"]
+        places = F.array_sort(F.transform(F.filter(taken, lambda t: h["whole"] | (t["fclass"] == h["fclass"])), lambda t: F.when(h["whole"], t["at"]).otherwise(t["place"])))
+        place = F.aggregate(places, x["digits"], lambda p, t: p + F.when(t <= p, 1).otherwise(0))
+        option = F.get(h["options"], place)
+        return F.array_append(taken, F.struct(h["fclass"].alias("fclass"), place.alias("place"), option["at"].alias("at"), option["symbol"].alias("symbol")))
+
+    return F.transform(F.aggregate(F.arrays_zip(F.col("hs").alias("hs"), digits.alias("digits")), start, pick), lambda t: t["symbol"])
+
+
+def _div(a: Column, b: Column) -> Column:
+    return F.call_function("div", a, b)
+
+
+def fill_holes(templates: DataFrame, symbols: DataFrame, multi: bool = False, distinct_symbols: bool = False,
+               per_term: bool = False, carry: list[str] | None = None) -> DataFrame:
     """J13 (one feasible symbol per hole, all combinations, symbols may repeat) or
-    J14 (``distinct_symbols``: distinct list positions across holes), one join per
-    hole index, the template carried along.
-
-    Round k joins every partial filling with the fillers feasible for its k-th hole
-    (J11 exact arity, or J12's classes when ``multi``).  Under J14 a template that
-    isn't well typed skips feasibility: its holes take every symbol.  A template with no holes has
-    one empty filling; a hole with no feasible filler leaves its template without
-    fillings.  ``carry`` names extra per-template columns to keep on every filling.
-
-    Spark chooses each join: a filler list under the broadcast threshold makes a
-    round map-side, a larger one is shuffled by class, whose large partitions AQE
-    splits.
+    J14 (``distinct_symbols``: distinct list positions across holes): (term_id, template, ..., filling).
+
+    Feasibility (J11, or J12 when ``multi``) is in the filler lists, which meet their templates in one
+    join over all holes.  Each template's numbers 0 .. n - 1 are cut into ranges, and ranges are
+    dealt over as many tasks as there are ``FILLINGS_PER_TASK`` in all; a task turns each number into
+    its filling.  A template with no holes has one empty filling; a hole with no feasible filler
+    leaves its template without fillings.  ``carry`` names extra per-template columns to keep on
+    every filling.
     """
     carry = list(carry or [])
-    sy = _symbol_side(symbols, multi, per_term)
-    if distinct_symbols:
-        everything = symbols.where(~TM.keep_constant("symbol")).select(
-            *(["term_id"] if per_term else []), "symbol", F.col("sym_pos").cast("long").alias("sym_pos"), F.lit("free").alias("fclass"))
-        sy = sy.unionByName(everything)
-    base = templates.select("term_id", "template", "holes", *carry, F.size("holes").alias("n_holes"))
-    max_h = base.agg(F.max("n_holes")).first()[0] or 0
-    active = base.select("*", F.create_map().cast("map<string,string>").alias("filling"),
-                         F.array().cast("array<long>").alias("used"))
-    if distinct_symbols:
-        active = active.withColumn("skip", ~TM.well_typed("template"))
-    for k in range(1, max_h + 1):
-        # templates with fewer holes get a NULL class: the left join passes them
-        # through unchanged, so every round reads the previous one exactly once
-        hole = F.try_element_at("holes", F.lit(k))  # NULL past the last hole
-        has_k = F.col("n_holes") >= k
-        fclass = _feasibility_class(hole["arity"], multi, "hole")[0]
-        if distinct_symbols:
-            fclass = F.when(F.col("skip"), "free").otherwise(fclass)
-        cur = active.withColumn("hole", F.when(has_k, hole["hole"])).withColumn("fclass", F.when(has_k, fclass))
-        step = cur.join(sy, [*(["term_id"] if per_term else []), "fclass"], "left")
-        filled = F.col("symbol").isNotNull()
-        step = step.where(~has_k | filled)  # a hole without a feasible filler drops its template
-        if distinct_symbols:
-            step = step.where(~filled | ~F.array_contains("used", F.col("sym_pos")))
-        active = step.select(
-            "term_id", "template", "holes", *carry, "n_holes", *(["skip"] if distinct_symbols else []),
-            F.when(filled, F.map_concat("filling", F.create_map("hole", "symbol"))).otherwise(F.col("filling")).alias("filling"),
-            F.when(filled, F.array_append("used", F.col("sym_pos"))).otherwise(F.col("used")).alias("used"))
-        if checkpoint_every and k % checkpoint_every == 0 and k < max_h:
-            active = cut_lineage(active, "fillings")
-    return active.select("term_id", "template", *carry, "filling")
+    on = [*(["term_id"] if per_term else []), "fclass"]
+    lists = cut_lineage(_filler_lists(symbols, multi, per_term), "fillers")
+    sized = cut_lineage(_sized_holes(templates, lists, multi, distinct_symbols, per_term).where("n_fillings > 0"), "holes")
+    all_numbers = sized.agg(F.sum(F.col("n_fillings").cast("double"))).first()[0] or 0
+    tasks = int(min(1 + all_numbers // FILLINGS_PER_TASK, 1 << 20))
+    # how many fillings the holes behind each one have
+    rest = F.transform("hs", lambda _, i: F.aggregate(F.slice("choices", i + 2, F.size("choices")), F.lit(1).cast("long"), lambda p, n: p * n))
+    size = F.greatest(F.lit(RANGE), F.aggregate("hs", F.lit(0).cast("long"), lambda p, h: p + h["n"])).cast("long")
+    cut = sized.select("term_id", "hs", "choices", rest.alias("rest"), F.col("n_fillings").cast("long").alias("n"), size.alias("size"))
+    ranges = cut.withColumn("last", _div(F.col("n") - 1, F.col("size")))
+    ranges = ranges.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), _div(F.col("last"), F.lit(_RANGES_AT_ONCE)))))
+    first = F.col("block") * _RANGES_AT_ONCE
+    ranges = ranges.withColumn("range", F.explode(F.sequence(first, F.least(first + (_RANGES_AT_ONCE - 1), F.col("last")))))
+    # the filler lists meet the ranges that use them: one join over all holes, then one group a range
+    hole = ranges.select("term_id", "range", F.posexplode("hs").alias("i", "h")).select("term_id", "range", "i", "h.*")
+    listed = hole.join(lists, on).groupBy("term_id", "range").agg(F.array_sort(F.collect_list(F.struct("i", "whole", "hole", "fclass", "options"))).alias("hs"))
+    none = F.array().cast(listed.schema["hs"].dataType)
+    rows = ranges.drop("hs").join(listed, ["term_id", "range"], "left").withColumn("hs", F.coalesce("hs", none))
+    rows = rows.join(templates.select("term_id", "template", *carry), "term_id").repartition(tasks, "term_id", "range")
+    start = F.col("range") * F.col("size")
+    numbers = F.sequence(start, F.least(start + F.col("size"), F.col("n")) - 1)
+    each = rows.withColumn("number", F.explode(numbers))
+    filling = F.map_from_arrays(F.transform("hs", lambda h: h["hole"]), _unranked(F.col("number"), distinct_symbols))
+    return each.select("term_id", "template", *carry, filling.cast("map<string,string>").alias("filling"))
 
 
 def fill_shapes(templates: DataFrame, symbols: DataFrame, multi: bool = False) -> DataFrame:
-    """T9 as text (term_id, filling, candidate): every distinct template is filled once, and its
-    candidates are joined back to its terms.
-
-    The terms side is dealt over all cores before it is multiplied.
-    """
-    shape = F.to_json("holes").alias("hole_types")
-    t = cut_lineage(templates.select("term_id", "template", "holes", TM.render("template").alias("rendered"), shape), "templates")
-    shapes = t.groupBy("rendered", "hole_types").agg(F.any_value("template").alias("template"), F.any_value("holes").alias("holes"))
-    shapes = cut_lineage(shapes.withColumn("term_id", F.monotonically_increasing_id()), "shapes")
-    max_h = shapes.agg(F.max(F.size("holes"))).first()[0] or 0
-    filled = fill_rounds(shapes, symbols, multi=multi, carry=["rendered", "hole_types"]).select(
-        "rendered", "hole_types", TM.filling_text("filling", max_h).alias("filling"), TM.render_filled("rendered", "filling", max_h).alias("candidate"))
-    filled = cut_lineage(filled, "fillings")
-    terms = t.select("term_id", "rendered", "hole_types").repartition(t.sparkSession.sparkContext.defaultParallelism, "term_id")
-    return terms.join(filled, ["rendered", "hole_types"]).select("term_id", "filling", "candidate")
+    """T9 as text (term_id, filling, candidate): every template is rendered once, and a filling
+    substitutes its hole words."""
+    t = cut_lineage(templates.select("term_id", "template", "holes", TM.render("template").alias("rendered")), "templates")
+    max_h = t.agg(F.max(F.size("holes"))).first()[0] or 0
+    filled = fill_holes(t, symbols, multi=multi, carry=["rendered"])
+    return filled.select("term_id", TM.filling_text("filling", max_h).alias("filling"), TM.render_filled("rendered", "filling", max_h).alias("candidate"))
 
 
 def fillings(templates: DataFrame, symbols: DataFrame, distinct_symbols: bool = False, multi: bool = False,
              per_term: bool = False) -> DataFrame:
     """J13/J14 fillings (term_id, filling) without the template column."""
-    return fill_rounds(templates, symbols, multi=multi, distinct_symbols=distinct_symbols,
-                       per_term=per_term).select("term_id", "filling")
+    return fill_holes(templates, symbols, multi=multi, distinct_symbols=distinct_symbols,
+                      per_term=per_term).select("term_id", "filling")
 
 
 def candidates(templates: DataFrame, symbols: DataFrame, multi: bool = False, poly: bool = False,
@@ -148,14 +215,13 @@ def candidates(templates: DataFrame, symbols: DataFrame, multi: bool = False, po
     """Structural symbols dropped, feasible fillers per hole (J11, or J12 when
     ``multi`` or ``poly``), fillings (J13, or J14 when ``poly``), holes filled (T8).
 
-    The templates feed every join round; with ``materialize`` they are checkpointed
-    once into the shared checkpoint folder, so the abstraction is computed once
-    instead of once per round (measured: about 5x faster at sf0.1), and a lost
-    executor recomputes nothing upstream of it.
+    The templates are read for their holes and again for their tokens; with
+    ``materialize`` they are written once to the shared checkpoint folder, so the
+    abstraction is computed once and a lost executor recomputes nothing upstream of it.
     """
     if materialize:
         templates = cut_lineage(templates.select("term_id", "template", "holes"), "templates")
-    fl = fill_rounds(templates, symbols, multi=multi or poly, distinct_symbols=poly, per_term=per_term)
+    fl = fill_holes(templates, symbols, multi=multi or poly, distinct_symbols=poly, per_term=per_term)
     return fl.select("term_id", "filling", TM.fill("template", "filling").alias("candidate"))
 
 
@@ -182,6 +248,29 @@ def rediscovered(terms: DataFrame, cands: DataFrame, runs: DataFrame | None = No
     return judged.select("term_id", F.when(F.col("run") == "ok", outcome).otherwise(F.col("run")).alias("status"))
 
 
+def limited_runs(templates: DataFrame, symbols: DataFrame, budget: int, poly: bool = False, per_term: bool = False) -> DataFrame:
+    """U6 for filling: (term_id, n_fillings, status) of the run of every template, known before it is made.
+
+    ``error``: the template isn't accepted by the type check; ``timeout``: it has more than
+    ``budget`` fillings, the limit of work (a clock's limit, but the same on every machine);
+    otherwise ``ok``.
+    """
+    counts = filling_counts(templates, symbols, multi=poly, distinct_symbols=poly, per_term=per_term)
+    checked = templates.select("term_id", TM.well_typed("template").alias("typed")).join(counts, "term_id")
+    status = F.when(~F.col("typed"), "error").when(F.col("n_fillings") > budget, "timeout").otherwise("ok")
+    return checked.select("term_id", "n_fillings", status.alias("status"))
+
+
+def explore(terms: DataFrame, symbols: DataFrame, budget: int, poly: bool = False, per_term: bool = False) -> DataFrame:
+    """J15 under U6's guard: (term_id, status) of every term: ``true`` or ``false`` (is one of its candidates
+    the original?), ``empty`` (it has none), ``timeout`` or ``error``.  Only runs within the limit are made."""
+    templates = materialize(make_templates(terms, poly=poly))
+    runs = cut_lineage(limited_runs(templates, symbols, budget, poly, per_term), "runs")
+    made = templates.join(runs.where("status = 'ok' and n_fillings > 0"), "term_id", "left_semi")
+    found = candidates(made, symbols, poly=poly, per_term=per_term, materialize=False)
+    return rediscovered(terms, found, runs)
+
+
 def failed_default(rows: DataFrame, outcomes: DataFrame, key: str = "term_id") -> DataFrame:
     """A row without an outcome gets ``failed``."""
     return rows.select(key).join(outcomes, key, "left").withColumn("status", F.coalesce("status", F.lit("failed")))

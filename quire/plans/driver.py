@@ -50,11 +50,12 @@ def _lemma_object(ptype, pname):
                     F.substring_index(pname, " ", 1))
 
 
-def part_predictions(spark: SparkSession, sf_dir: str, task: str = "template") -> DataFrame:
+def part_predictions(spark: SparkSession, sf_dir: str, task: str = "template", known_only: bool = True) -> DataFrame:
     """predictions(row_id, strategy, candidates): the k candidates of a part are texts
     of its key neighbours (greedy: next part; beam-search: the two before and after),
     decorated the way generated text is (outer spaces, end mark and trailing junk;
-    for the lemma task, renamed variables)."""
+    for the lemma task, renamed variables).  ``known_only`` leaves out predictions for keys that no
+    part has."""
     p = table(spark, sf_dir, "part")
     offsets = F.array(*[
         F.struct(F.lit(s).alias("strategy"), F.lit(slot).alias("slot"), F.lit(o).cast("long").alias("off"))
@@ -67,9 +68,10 @@ def part_predictions(spark: SparkSession, sf_dir: str, task: str = "template") -
     # every text goes straight to the parts that it is a candidate of
     sent = p.select("p_partkey", text.alias("text"), F.explode(offsets).alias("o")).select(
         (F.col("p_partkey") - F.col("o.off")).alias("row_id"), "o.strategy", "o.slot", "text")
+    if known_only:
+        sent = sent.join(p.select(F.col("p_partkey").alias("row_id")), "row_id", "left_semi")
     return (
-        sent.join(p.select(F.col("p_partkey").alias("row_id")), "row_id", "left_semi")
-        .groupBy("row_id", "strategy")
+        sent.groupBy("row_id", "strategy")
         .agg(F.array_sort(F.collect_list(F.struct("slot", "text"))).alias("c"))
         .select("row_id", "strategy", F.col("c.text").alias("candidates"))
     )

@@ -14,17 +14,21 @@ from quire.plans.registry import register
 from quire.session import checkpoint_dir
 from quire.sources.io import append_results, table_or_empty
 
-_PROMPTS_SQL = f"""WITH pr AS (SELECT conv_id, turn, role, CASE WHEN conv_id % 17 = 0 AND turn = 0 THEN '' ELSE text END AS text FROM conversations),
-pd AS (SELECT conv_id, turn, list_transform({O.usplit_ws('text')}, lambda w: 'Template for ' || w) AS c,
-              CASE WHEN len({O.usplit_ws('text')}) = 0 THEN 'error' ELSE 'ok' END AS status FROM pr)
+# The words that the stub model's window holds.
+WINDOW = 150
+
+_PROMPTS_SQL = f"""WITH pd AS (SELECT conv_id, turn, role, CASE WHEN ok THEN list_transform(words, lambda w: 'Template for ' || w) ELSE [] END AS c, CASE WHEN ok THEN 'ok' ELSE 'error' END AS status
+  FROM (SELECT *, len(words) BETWEEN 1 AND {WINDOW} AS ok FROM (SELECT conv_id, turn, role, {O.usplit_ws("coalesce(text, '')")} AS words FROM conversations)))
 """
 
 
 def _prompts(spark, sf):
-    """Every turn as a prompt; some first turns are blank, which the model refuses."""
-    c = table(spark, sf, "conversations")
-    blank = (F.col("conv_id") % 17 == 0) & (F.col("turn") == 0)
-    return c.select("conv_id", "turn", "role", F.when(blank, "").otherwise(F.col("text")).alias("prompt"))
+    """Every turn as a prompt; the model refuses blank ones and those longer than its window."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").alias("prompt"))
+
+
+def _model():
+    return B.stub_predictor(window=WINDOW)
 
 
 _KEY = ["conv_id", "turn"]
@@ -34,7 +38,7 @@ _KEY = ["conv_id", "turn"]
 def u3_predict(spark, sf):
     """U3 + U6: the stub predictor over partitions (mapInPandas, model made once per
     task), keyed by conversation and turn; a failing row becomes status 'error'."""
-    p = B.predict(_prompts(spark, sf), B.stub_predictor, id_col=_KEY)
+    p = B.predict(_prompts(spark, sf), _model, id_col=_KEY)
     return p.select(*_KEY, F.array_join("candidates", " | ").alias("candidates"), "status")
 
 
@@ -51,21 +55,21 @@ def h1_fingerprint(spark, sf):
 
 
 _J10_SQL = _PROMPTS_SQL + """SELECT conv_id, turn, array_to_string(c, ' | ') AS candidates,
-  CASE WHEN conv_id % 2 = 0 THEN 'cache' ELSE 'run' END AS origin FROM pd WHERE status = 'ok'"""
+  CASE WHEN role = 'user' THEN 'cache' ELSE 'run' END AS origin FROM pd WHERE status = 'ok'"""
 
 
 @register("j10_rerun_missing", _J10_SQL)
 def j10_rerun_missing(spark, sf):
-    """J10 + S7: results of even conversations are stored and read back as the results cache;
+    """J10 + S7: results of the users' turns are stored and read back as the results cache;
     only the rows without a good cached result are predicted, then both are united."""
     todo = _prompts(spark, sf)
     todo = todo.withColumn("fingerprint", B.fingerprint(*_KEY, "prompt", df=todo))
     path = f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
-    first = B.predict(todo.where(F.col("conv_id") % 2 == 0), B.stub_predictor, id_col=["fingerprint", *_KEY])
+    first = B.predict(todo.where(F.col("role") == "user"), _model, id_col=["fingerprint", *_KEY])
     append_results(first, path)
     cached = table_or_empty(spark, path, first.schema)
     missing = B.rerun_missing(todo, cached, ok=F.col("status") == "ok")
-    fresh = B.predict(missing, B.stub_predictor, id_col=_KEY).where(F.col("status") == "ok")
+    fresh = B.predict(missing, _model, id_col=_KEY).where(F.col("status") == "ok")
     out = (cached.where(F.col("status") == "ok").select(*_KEY, "candidates", F.lit("cache").alias("origin"))
            .unionByName(fresh.select(*_KEY, "candidates", F.lit("run").alias("origin"))))
     return out.select(*_KEY, F.array_join("candidates", " | ").alias("candidates"), "origin")

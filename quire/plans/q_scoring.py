@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 from quire.operators import scoring as S
 from quire.plans import oracle as O
-from quire.plans.driver import part_examples, part_predictions
+from quire.plans.driver import PREDICTION_OFFSETS, part_examples, part_predictions
 from quire.plans.registry import register
 
 _CTE = f"WITH {O.part_examples_cte()}, {O.part_predictions_cte('template')}"
@@ -41,20 +41,21 @@ def e8_template_eval(spark, sf):
 
 
 _E9_SQL = f"""{_CTE_LEMMA}
-SELECT ex.row_id, pred.strategy,
+SELECT ex.row_id, ex.strategy,
        array_to_string(list_transform(pred.candidates, lambda c: {O.clean_term('c')}), ' | ') AS cleaned_text,
        {O.clean_term('ex.lemma_object')} AS reference,
        {O.normalize_vars(O.clean_term('ex.lemma_object'))} AS normalized_reference,
        CAST(list_min(list_transform(pred.candidates, lambda c: levenshtein(
             {O.clean_term(O.normalize_vars(O.clean_term('c')))},
             {O.clean_term(O.normalize_vars(O.clean_term('ex.lemma_object')))}))) AS INTEGER) AS distance
-FROM ex JOIN pred USING (row_id)"""
+FROM {_EVERY} LEFT JOIN pred ON pred.row_id = ex.row_id AND pred.strategy = ex.strategy"""
 
 
 @register("e9_lemma_eval", _E9_SQL)
 def e9_lemma_eval(spark, sf):
-    """E2 + E4 + E5 + A5 + J8: statement predictions scored up to variable names."""
-    scores = S.lemma_eval(part_examples(spark, sf), part_predictions(spark, sf, "lemma"))
+    """E2 + E4 + E5 + A5 + J8: statement predictions scored up to variable names, every example under
+    every strategy."""
+    scores = S.evaluate(part_examples(spark, sf), part_predictions(spark, sf, "lemma"), "lemma_object", strategies=USED)
     return scores.select(
         "row_id", "strategy", F.array_join("cleaned", " | ").alias("cleaned_text"), "reference",
         T.normalize_vars("reference").alias("normalized_reference"), "distance",
@@ -99,18 +100,17 @@ def a7_any_strategy(spark, sf):
 
 
 _J8_SQL = f"""{_CTE}, w AS (SELECT row_id, strategy FROM {_EVERY}),
-kept AS (SELECT row_id, strategy FROM pred WHERE row_id % 7 <> 0), skipped AS (SELECT * FROM w WHERE row_id % 11 <> 0)
-SELECT coalesce(k.strategy, s.strategy) AS strategy, count(s.row_id) AS n_examples,
-       CAST(count_if(k.row_id IS NULL) AS BIGINT) AS n_missing, CAST(count_if(s.row_id IS NULL) AS BIGINT) AS n_extra
-FROM skipped s FULL JOIN kept k ON k.row_id = s.row_id AND k.strategy = s.strategy GROUP BY 1"""
+given AS (SELECT DISTINCT p_partkey - off AS row_id, strategy FROM part, (VALUES {", ".join(f"('{s}', {o})" for s, _, o in PREDICTION_OFFSETS)}) o(strategy, off))
+SELECT coalesce(g.strategy, w.strategy) AS strategy, count(w.row_id) AS n_examples,
+       CAST(count_if(g.row_id IS NULL) AS BIGINT) AS n_missing, CAST(count_if(w.row_id IS NULL) AS BIGINT) AS n_extra
+FROM w FULL JOIN given g ON g.row_id = w.row_id AND g.strategy = w.strategy GROUP BY 1"""
 
 
 @register("j8_alignment", _J8_SQL)
 def j8_alignment(spark, sf):
-    """J8's count check, on examples and predictions that both lack rows."""
-    ex = part_examples(spark, sf).where(F.col("row_id") % 11 != 0)
-    preds = part_predictions(spark, sf, "template").where(F.col("row_id") % 7 != 0)
-    return S.alignment_report(ex, preds, USED)
+    """J8's count check: the last example has no next part to predict it, and the parts at either
+    end predict rows that are no example."""
+    return S.alignment_report(part_examples(spark, sf), part_predictions(spark, sf, "template", known_only=False), USED)
 
 
 _P13_SQL = f"""WITH e8 AS ({_E8_SQL}) SELECT strategy, CAST(count_if(success) AS BIGINT) AS n_success, count(*) AS n_rows,
@@ -195,7 +195,7 @@ def e3_clean_prediction(spark, sf):
 
 _A13_SQL = f"""{_CTE}
 , s AS (SELECT row_id, strategy, list_transform(candidates, lambda c: {O.clean_term('c')} = {O.clean_term('ex.template')}) AS r
-        FROM ex JOIN pred USING (row_id))
+        FROM {_EVERY} LEFT JOIN pred USING (row_id, strategy))
 SELECT row_id, strategy, CASE WHEN len(r) > 0 THEN list_bool_or(r) END AS row_any FROM s"""
 
 
@@ -203,7 +203,7 @@ SELECT row_id, strategy, CASE WHEN len(r) > 0 THEN list_bool_or(r) END AS row_an
 def a13_row_any(spark, sf):
     """Per (row, strategy) list of candidate outcomes -> any, NULL for none."""
     ex = part_examples(spark, sf)
-    j = S.align_predictions(ex, part_predictions(spark, sf, "template"))
+    j = S.align_predictions(ex, part_predictions(spark, sf, "template"), USED)
     r = F.transform("candidates", lambda c: T.clean_term(c) == T.clean_term("template"))
     return j.select("row_id", "strategy", S.row_any(r).alias("row_any"))
 

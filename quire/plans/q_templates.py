@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import terms as TM
-from quire.operators import batch as B
 from quire.operators import templates as TP
 from quire.plans import oracle as O
 from quire.plans.driver import nation_symbols, part_terms, region_symbols, table
@@ -209,6 +208,24 @@ def j14_fill_permutations(spark, sf):
     return c.select("term_id", TM.filling_text("filling", max_h).alias("filling"), TM.render("candidate").alias("candidate"))
 
 
+_COUNTS_SQL = f"""{_PT}, {_tpl_cte(poly=True)}, {_REGION}, {_fillings_sql('sy', _POLY1, _POLY2, distinct=True)}, p AS (SELECT term_id, count(*) AS n FROM f GROUP BY term_id),
+hx AS (SELECT term_id, {O.strip_trueprop(O.abstract('tokens'))} AS template FROM pt),
+he AS (SELECT hx.term_id, {O.holes('template')} AS hs FROM hx),
+e AS (SELECT term_id, list_product(list_prepend(1, list_transform(hs, lambda h: CASE h.arity WHEN 0 THEN n0 WHEN 1 THEN n1 WHEN 2 THEN n2 ELSE 0 END))) AS n FROM he,
+  (SELECT count_if(n_nationkey % 3 = 0) AS n0, count_if(n_nationkey % 3 = 1) AS n1, count_if(n_nationkey % 3 = 2) AS n2 FROM nation))
+SELECT pt.term_id, coalesce(p.n, 0) AS n_poly, CAST(e.n AS BIGINT) AS n_exact FROM pt LEFT JOIN p USING (term_id) JOIN e USING (term_id)"""
+
+
+@register("j13_filling_counts", _COUNTS_SQL)
+def j13_filling_counts(spark, sf):
+    """The exact number of fillings of every template, without making one."""
+    t = _terms(spark, sf)
+    poly = TP.filling_counts(TP.make_templates(t, poly=True), region_symbols(spark, sf), multi=True, distinct_symbols=True)
+    exact = TP.filling_counts(TP.make_templates(t), nation_symbols(spark, sf))
+    return poly.withColumnRenamed("n_fillings", "p").join(exact, "term_id").select(
+        "term_id", F.col("p").cast("long").alias("n_poly"), F.col("n_fillings").cast("long").alias("n_exact"))
+
+
 _T10_SQL = f"""{_PT}, {_tpl_cte()}, {_NATION}, {_fillings_sql('sy', _EXACT1, _EXACT2)},
 c AS (SELECT term_id, s1, s2, {O.canon(_fill_sql('template'), 'free', typed=False)} AS canonical FROM f),
 bad AS (SELECT 'Nation.' || replace(n_name, ' ', '_') AS symbol FROM nation WHERE n_regionkey = 0),
@@ -243,43 +260,36 @@ _OWN_SQL = f"""own AS (SELECT term_id, u.e.name AS symbol, u.e.type AS type, u.e
   unnest(list_transform(list_filter(cs, lambda c, j: list_position(list_transform(cs, lambda z: z.name), c.name) = j),
                         lambda c, k: {{'name': c.name, 'type': c.type, 'i': k}})) AS u(e))"""
 
-_J15_SQL = f"""{_PT}, {_tpl_cte()}, {_OWN_SQL.replace('own AS', 'own0 AS', 1)},
-own AS (SELECT term_id, CASE WHEN term_id % 41 = 0 THEN 'Other.' || symbol ELSE symbol END AS symbol, type, sym_pos, arity FROM own0 WHERE term_id % 43 <> 0),
-{_fillings_sql('own', _EXACT1, _EXACT2, per_term=True)},
-c AS (SELECT term_id, {O.canon(_fill_sql('template'), 'free', typed=False)} AS cc FROM f),
-o AS (SELECT term_id, {O.canon(O.strip_trueprop('tokens'), 'var', typed=False)} AS oc FROM pt),
-m AS (SELECT c.term_id, bool_or(c.cc = o.oc) AS hit FROM c JOIN o USING (term_id) GROUP BY c.term_id)
-SELECT pt.term_id, CASE WHEN pt.term_id % 31 = 0 THEN 'error' WHEN m.hit IS NULL THEN 'empty' WHEN m.hit THEN 'true' ELSE 'false' END AS status
-FROM pt LEFT JOIN m USING (term_id) WHERE pt.term_id % 37 <> 0"""
-
-
-def _explore():
-    """A guarded exploration's stand-in: it answers with its term's name and refuses some."""
+# The fillings that a rediscovery run may make.
+BUDGET = 6
 
-    def explore(names):
-        if any(int(n.rsplit("|", 1)[1]) % 31 == 0 for n in names):
-            raise ValueError("refused")
-        return [[n] for n in names]
+_FILLERS_SQL = """fi AS (SELECT own.term_id - 1 AS term_id, symbol, arity, sym_pos FROM own JOIN pt ON pt.term_id = own.term_id - 1
+  UNION ALL SELECT own.term_id - 2, symbol, arity, sym_pos + 100 FROM own JOIN pt ON pt.term_id = own.term_id - 2)"""
 
-    return explore
+_J15_SQL = f"""{_PT}, {_tpl_cte(poly=True)}, {_OWN_SQL}, {_FILLERS_SQL},
+{_fillings_sql('fi', _POLY1, _POLY2, distinct=True, per_term=True)},
+c AS (SELECT term_id, {O.canon(_fill_sql('template'), 'free', typed=False)} AS cc FROM f),
+o AS (SELECT term_id, {O.canon(O.strip_trueprop('tokens'), 'var', typed=False)} AS oc FROM pt),
+m AS (SELECT c.term_id, bool_or(c.cc = o.oc) AS hit, count(*) AS n FROM c JOIN o USING (term_id) GROUP BY c.term_id)
+SELECT pt.term_id, CASE WHEN NOT hl.ok THEN 'error' WHEN m.n > {BUDGET} THEN 'timeout' WHEN m.hit IS NULL THEN 'empty' WHEN m.hit THEN 'true' ELSE 'false' END AS status
+FROM pt JOIN hl USING (term_id) LEFT JOIN m USING (term_id) WHERE {_SEARCH_COND.replace('tokens', 'pt.tokens')}"""
 
 
 def _j15(spark, sf):
-    """Every term is explored under guard (U6); some have no run, some runs fail, some terms have no
-    symbols at hand and some only foreign ones."""
+    """Every searchable statement is abstracted (poly) and filled with the symbols of the two statements
+    after it, within a limit of work."""
     t = _terms(spark, sf)
-    tpl = TP.make_templates(t)
-    own = _own_symbols(t).where(F.col("term_id") % 43 != 0)
-    own = own.withColumn("symbol", F.when(F.col("term_id") % 41 == 0, F.concat(F.lit("Other."), "symbol")).otherwise(F.col("symbol")))
-    c = TP.candidates(tpl, own, per_term=True)
-    todo = t.where(F.col("term_id") % 37 != 0).select("term_id", F.concat("name", F.lit("|"), F.col("term_id").cast("string")).alias("prompt"))
-    return TP.rediscovered(t, c, B.predict(todo, _explore, id_col="term_id"))
+    own = _own_symbols(t)
+    near = own.select((F.col("term_id") - 1).alias("term_id"), "symbol", "type", "arity", F.col("sym_pos").cast("long").alias("sym_pos")).unionByName(
+        own.select((F.col("term_id") - 2).alias("term_id"), "symbol", "type", "arity", (F.col("sym_pos") + 100).cast("long").alias("sym_pos")))
+    todo = t.where(TP.searchable(F.col("tokens")) & ~TM.bad_name("name"))
+    return TP.explore(todo, near, BUDGET, poly=True, per_term=True)
 
 
 @register("j15_rediscovery", _J15_SQL)
 def j15_rediscovery(spark, sf):
-    """Fill each template with its own statement's symbols (J11 + J13) and test
-    whether any candidate is the original (true / false / empty; the run's status if it failed)."""
+    """J15 + U6: does a template's filling rediscover its statement?  (true / false / empty; timeout
+    beyond the limit of work, error for a template that the type check refuses)."""
     return _j15(spark, sf)
 
 
@@ -289,7 +299,8 @@ SELECT coalesce(j.status, 'failed') AS status, count(*) AS n_rows FROM allp LEFT
 
 @register("a8_outcome_tally", _A8_SQL)
 def a8_outcome_tally(spark, sf):
-    """A8 + P15: outcome counts over all parts; a part without an outcome is 'failed'."""
+    """A8 + P15: outcome counts over all parts; a part without an outcome (its statement can't be
+    searched for) is 'failed'."""
     rows = table(spark, sf, "part").select(F.col("p_partkey").alias("term_id"))
     return TP.outcome_tally(TP.failed_default(rows, _j15(spark, sf)))
 

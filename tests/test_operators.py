@@ -268,13 +268,13 @@ def test_rows_basics(spark):
 def test_fill_without_broadcast_same_result(spark):
     """A filler list too large to broadcast gives the same fillings."""
     tpl = TP.make_templates(_two_hole_template(spark))
-    a = TP.fill_rounds(tpl, _five_symbols(spark)).select(TP.F.to_json("filling").alias("f")).collect()
+    a = TP.fill_holes(tpl, _five_symbols(spark)).select(TP.F.to_json("filling").alias("f")).collect()
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        b = TP.fill_rounds(tpl, _five_symbols(spark)).select(TP.F.to_json("filling").alias("f")).collect()
+        b = TP.fill_holes(tpl, _five_symbols(spark)).select(TP.F.to_json("filling").alias("f")).collect()
         assert sorted(r["f"] for r in a) == sorted(r["f"] for r in b) and len(a) == 25
-        assert TP.fill_rounds(tpl, _five_symbols(spark), distinct_symbols=True, multi=True).count() == 20
+        assert TP.fill_holes(tpl, _five_symbols(spark), distinct_symbols=True, multi=True).count() == 20
         assert TP.feasible_options(tpl, _five_symbols(spark)).count() == 10
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
