@@ -20,7 +20,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -105,33 +105,99 @@ def symbol_types(lemmas: DataFrame, types: DataFrame, id_cols: list[str], symbol
     return per.select(*id_cols, F.col("t.type").alias("types"))
 
 
-def assemble_lemmas(templates: DataFrame, theorems: DataFrame, definitions: DataFrame,
-                    runs: DataFrame | None = None) -> DataFrame:
-    """P14 + A2 + P6 + X7/J3 + J4 + J1/J2 + J5 + O6 + X16 -> the ``lemmas`` table.
+# Entries of one chunk of a file's list.
+CHUNK = 1000
 
-    With ``runs`` (theory_file, one row per delivered result) only theories with exactly
-    one result are used.  The file symbol sets cover all lemmas of a file; generated
-    lemmas are skipped after that.  ``defs`` is local definitions followed by used ones.
-    The template table feeds three branches, so it is written once with a lemma id,
-    which keeps two facts of one name apart.
+
+def definition_chunks(definitions: DataFrame, chunk: int = CHUNK, file_col: str = "theory_file") -> DataFrame:
+    """J5 stored once a file: (theory_file, chunk, first, local_defs).
+
+    A chunk holds the definitions at ``chunk`` consecutive places of a file, so a file with very many
+    is very many rows, and no task ever holds its whole list; ``first`` is the number of definitions
+    in the chunks before it (a running sum over the file's chunk counts).
     """
+    placed = definitions.withColumn("chunk", F.floor(F.col("pos") / chunk))
+    parts = placed.groupBy(file_col, "chunk").agg(F.array_sort(F.collect_list(F.struct("pos", "def_stmt"))).alias("d"))
+    before = Window.partitionBy(file_col).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(file_col, "chunk").agg(F.count(F.lit(1)).alias("n"))
+    firsts = counts.select(file_col, "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return parts.join(firsts, [file_col, "chunk"]).select(file_col, "chunk", "first", F.col("d.def_stmt").alias("local_defs"))
+
+
+def symbol_chunks(lemmas: DataFrame, chunk: int = CHUNK, file_col: str = "theory_file", symbols_col: str = "used_symbols") -> DataFrame:
+    """A2 stored once a file: (theory_file, chunk, file_symbols).  The distinct symbols of a file are dealt by
+    their md5 to as many chunks as they need, each sorted; a sorted union of the chunks is the file's set."""
+    names = lemmas.select(file_col, F.explode(symbols_col).alias("s")).distinct()
+    pieces = names.groupBy(file_col).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("pieces"))
+    dealt = names.join(pieces, file_col).withColumn("chunk", F.conv(F.substring(F.md5("s"), 1, 8), 16, 10).cast("long") % F.col("pieces"))
+    return dealt.groupBy(file_col, "chunk").agg(F.sort_array(F.collect_list("s")).alias("file_symbols"))
+
+
+def lemma_references(templates: DataFrame, theorems: DataFrame, definitions: DataFrame, runs: DataFrame | None = None,
+                     chunk: int = CHUNK) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """J6 without the copies: (lemmas, symbol chunks, definition chunks).
+
+    A lemma row has all of J6 but its file's lists; of these it has only the sizes
+    (``n_local_symbols``, ``n_local_defs``), and refers to the chunks by its ``theory_file``.  A file of n
+    lemmas and m definitions costs n + m.  ``expand_references`` rebuilds J6's rows.
+    """
+    every, found = _joined_lemmas(templates, theorems, definitions, runs)
+    symbols = cut_lineage(symbol_chunks(every, chunk), "symbol-chunks")
+    defs = cut_lineage(definition_chunks(definitions, chunk), "definition-chunks")
+    n_symbols = symbols.groupBy("theory_file").agg(F.sum(F.size("file_symbols")).alias("n_file_symbols"))
+    n_defs = defs.groupBy("theory_file").agg(F.sum(F.size("local_defs")).alias("n_file_defs"))
+    sized = found.join(n_symbols.join(n_defs, "theory_file", "full"), "theory_file", "left")
+    # the file's set covers every lemma's own symbols
+    local = F.coalesce("n_file_symbols", F.lit(0)) - F.size(F.array_distinct("used_symbols"))
+    lemmas = sized.select("lemma_id", "theory_file", "lemma_name", "lemma_object", "lemma_command", "used_symbols", local.alias("n_local_symbols"),
+                          "used_defs", F.coalesce("n_file_defs", F.lit(0)).alias("n_local_defs"), "template")
+    return lemmas, symbols, defs
+
+
+def expand_references(lemmas: DataFrame, symbols: DataFrame, defs: DataFrame) -> DataFrame:
+    """J6's rows from ``lemma_references``, for those who want every file's lists on each of its lemmas."""
+    sets = symbols.groupBy("theory_file").agg(F.sort_array(F.flatten(F.collect_list("file_symbols"))).alias("file_symbols"))
+    lists = defs.groupBy("theory_file").agg(F.array_sort(F.collect_list(F.struct("first", "local_defs"))).alias("d"))
+    lists = lists.select("theory_file", F.flatten("d.local_defs").alias("local_defs"))
+    return _with_lists(lemmas, sets.join(lists, "theory_file", "full"))
+
+
+def _joined_lemmas(templates: DataFrame, theorems: DataFrame, definitions: DataFrame, runs: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """All lemmas (P14 applied) with an id, and those that J6 keeps (P6) with their statement and used definitions."""
     if runs is not None:
         templates = templates.join(ST.single_result_guard(runs.select("theory_file")), "theory_file", "left_semi")
     every = cut_lineage(templates.withColumn("used_symbols", F.col("symbols")).withColumn("lemma_id", F.monotonically_increasing_id()), "lemmas")
     t = ST.drop_generated(every, "lemma_name")
-    empty = F.array().cast("array<string>")
     used = dependent_definitions(t, definitions, ["lemma_id"], all_rows=False)
-    # both per-file tables are joined first, so the lemma rows meet files once
-    per_file = local_symbol_sets(every).join(local_definitions(definitions), "theory_file", "full")
+    found = theorem_command(t, theorems).join(used, "lemma_id", "left")
+    empty = F.array().cast("array<string>")
+    return every, found.withColumn("used_defs", F.coalesce("used_defs", empty)).withColumn("template", T.one_line("template"))
+
+
+def _with_lists(lemmas: DataFrame, per_file: DataFrame) -> DataFrame:
+    """The file's lists on every lemma."""
+    empty = F.array().cast("array<string>")
     out = (
-        theorem_command(t, theorems)
-        .join(used, "lemma_id", "left")
-        .join(per_file, "theory_file", "left")
-        .withColumn("used_defs", F.coalesce("used_defs", empty))
+        lemmas.join(per_file, "theory_file", "left")
         .withColumn("local_symbols", F.coalesce(F.array_except("file_symbols", "used_symbols"), empty))
         .withColumn("local_defs", F.coalesce("local_defs", empty))
         .withColumn("defs", F.concat("local_defs", "used_defs"))
-        .withColumn("template", T.one_line("template"))
     )
     return out.select("theory_file", "lemma_name", "lemma_object", "lemma_command", "used_symbols",
                       "local_symbols", "used_defs", "local_defs", "defs", "template")
+
+
+def assemble_lemmas(templates: DataFrame, theorems: DataFrame, definitions: DataFrame,
+                    runs: DataFrame | None = None) -> DataFrame:
+    """P14 + A2 + P6 + X7/J3 + J4 + J1/J2 + J5 + O6 + X16 -> the ``lemmas`` table.
+
+    With ``runs`` (theory_file, one row per delivered result) only theories with exactly
+    one result are used.  The file symbol sets cover all lemmas of a file; generated
+    lemmas are skipped after that.  ``defs`` is local definitions followed by used ones.
+    The template table feeds three branches, so it is written once with a lemma id,
+    which keeps two facts of one name apart.  Every lemma carries its file's lists;
+    ``lemma_references`` stores those once.
+    """
+    every, found = _joined_lemmas(templates, theorems, definitions, runs)
+    # both per-file tables are joined first, so the lemma rows meet files once
+    return _with_lists(found, local_symbol_sets(every).join(local_definitions(definitions), "theory_file", "full"))

@@ -14,6 +14,7 @@ from quire.functions import text as T
 from quire.operators import assemble as A
 from quire.operators import statements as ST
 from quire.operators import templates as TP
+from quire.session import cut_lineage
 
 
 def template_table(terms: DataFrame, types: DataFrame, poly: bool = False) -> DataFrame:
@@ -28,8 +29,10 @@ def template_table(terms: DataFrame, types: DataFrame, poly: bool = False) -> Da
     rows = keep.groupBy("theory_file", TM.render(ts).alias("lemma_object")).agg(F.min("name").alias("lemma_name"), F.any_value("tokens").alias("tokens"))
     rows = rows.select("theory_file", "lemma_name", "lemma_object", TM.symbols_of("tokens").alias("symbols"),
                        TM.render(TM.strip_trueprop(TM.abstract("tokens", poly=poly))).alias("template"))
-    typed = A.symbol_types(rows, types, ["theory_file", "lemma_name"], "symbols")
-    return rows.join(typed, ["theory_file", "lemma_name"]).select("theory_file", "lemma_name", "lemma_object", "symbols", "types", "template")
+    # two statements may have one name, so rows are told apart by a number
+    rows = cut_lineage(rows.withColumn("row", F.monotonically_increasing_id()), "template-rows")
+    typed = A.symbol_types(rows, types, ["row"], "symbols")
+    return rows.join(typed, "row").select("theory_file", "lemma_name", "lemma_object", "symbols", "types", "template")
 
 
 def lemmas_from_text(theories: DataFrame, templates: DataFrame, runs: DataFrame | None = None) -> DataFrame:

@@ -95,6 +95,42 @@ def j6_assemble_lemmas(spark, sf):
                     "template")
 
 
+# Entries of a chunk in the queries below; the stand-in's files are small.
+CHUNK = 3
+
+_J6R_SQL = _BASE + """SELECT theory_file, lemma_name, lemma_object, lemma_command, array_to_string(used_symbols, ' | ') AS used_symbols,
+       CAST(len(local_symbols) AS BIGINT) AS n_local_symbols, array_to_string(used_defs, ' | ') AS used_defs, CAST(len(local_defs) AS BIGINT) AS n_local_defs, template FROM lem"""
+
+
+@register("j6_lemma_references", _J6R_SQL)
+def j6_lemma_references(spark, sf):
+    """J6 with its file's lists stored once: every lemma with their sizes, referring to the chunks by file."""
+    l, _, _ = A.lemma_references(order_templates(spark, sf), order_theorems(spark, sf), part_definitions(spark, sf), customer_runs(spark, sf), CHUNK)
+    return l.select("theory_file", "lemma_name", "lemma_object", "lemma_command", _j("used_symbols").alias("used_symbols"), "n_local_symbols",
+                    _j("used_defs").alias("used_defs"), "n_local_defs", "template")
+
+
+_J5C_SQL = _BASE + f""", c AS (SELECT theory_file, pos // {CHUNK} AS chunk, count(*) AS n, string_agg(def_stmt, ' | ' ORDER BY pos) AS local_defs FROM df GROUP BY 1, 2)
+SELECT theory_file, chunk, CAST(coalesce(sum(n) OVER (PARTITION BY theory_file ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first, local_defs FROM c"""
+
+
+@register("j5_definition_chunks", _J5C_SQL)
+def j5_definition_chunks(spark, sf):
+    """Every file's definitions in chunks with offsets, a row a chunk."""
+    return A.definition_chunks(part_definitions(spark, sf), CHUNK).select("theory_file", "chunk", "first", _j("local_defs").alias("local_defs"))
+
+
+_J4C_SQL = _BASE + f""", d AS (SELECT DISTINCT theory_file, symbol FROM exa), n AS (SELECT theory_file, CAST(ceil(count(*) / {CHUNK}) AS BIGINT) AS pieces FROM d GROUP BY 1)
+SELECT theory_file, CAST('0x' || substr(md5(symbol), 1, 8) AS BIGINT) % pieces AS chunk, string_agg(symbol, ' | ' ORDER BY symbol) AS file_symbols
+FROM d JOIN n USING (theory_file) GROUP BY 1, 2"""
+
+
+@register("j4_symbol_chunks", _J4C_SQL)
+def j4_symbol_chunks(spark, sf):
+    """Every file's symbols in chunks, a row a chunk."""
+    return A.symbol_chunks(_templates(spark, sf), CHUNK).select("theory_file", "chunk", _j("file_symbols").alias("file_symbols"))
+
+
 _J2_SQL = _BASE + "SELECT theory_file, lemma_name, array_to_string(used_defs, ' | ') AS used_defs, CAST(len(used_defs) AS INTEGER) AS n_defs FROM lem"
 
 

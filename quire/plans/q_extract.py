@@ -12,7 +12,8 @@ from quire.plans.driver import document_theories, part_terms
 from quire.plans.q_templates import _SEARCH_COND
 from quire.plans.registry import register
 
-_TEMPLATES_SQL = f"""WITH {O.part_terms_cte()},
+# Names without the part's key: several facts of a theory may share one.
+_TEMPLATES_SQL = f"""WITH {O.part_terms_cte('pt0')}, pt AS (SELECT term_id, regexp_replace(name, '_[0-9]+', '') AS name, tokens FROM pt0),
 g AS (SELECT split_part(name, '.', 1) AS theory_file, {O.render('tokens')} AS lemma_object, min(name) AS lemma_name, any_value(tokens) AS tokens
       FROM pt WHERE {_SEARCH_COND} GROUP BY 1, 2),
 sy AS (SELECT u.e.name AS symbol, min(u.e.type) AS type
@@ -20,17 +21,17 @@ sy AS (SELECT u.e.name AS symbol, min(u.e.type) AS type
 n AS (SELECT theory_file, lemma_name, lemma_object, {O.strip_trueprop(O.abstract('tokens'))} AS template,
              list_transform(list_filter(tokens, lambda t: t.kind = 'const' AND NOT {O.keep_const('t.name')}), lambda t: t.name) AS c FROM g),
 s AS (SELECT *, list_reverse(list_filter(c, lambda e, i: list_position(c, e) = i)) AS symbols FROM n),
-ty AS (SELECT theory_file, lemma_name, list(coalesce(sy.type, '?') ORDER BY x.i) AS types
+ty AS (SELECT theory_file, lemma_object, list(coalesce(sy.type, '?') ORDER BY x.i) AS types
        FROM s, unnest(list_transform(symbols, lambda e, i: {{'e': e, 'i': i}})) AS u(x) LEFT JOIN sy ON sy.symbol = x.e GROUP BY 1, 2)
-SELECT s.theory_file, s.lemma_name, lemma_object, array_to_string(symbols, ' | ') AS symbols,
+SELECT theory_file, lemma_name, lemma_object, array_to_string(symbols, ' | ') AS symbols,
        coalesce(array_to_string(types, ' | '), '') AS types, {O.render('template')} AS template
-FROM s LEFT JOIN ty ON ty.theory_file = s.theory_file AND ty.lemma_name = s.lemma_name"""
+FROM s LEFT JOIN ty USING (theory_file, lemma_object)"""
 
 
 @register("extract_templates", _TEMPLATES_SQL)
 def extract_templates(spark, sf):
     """P7 -> T1/T3 -> X12 -> X15: every searchable term of every theory as a template row."""
-    t = part_terms(spark, sf).withColumn("theory_file", F.split_part("name", F.lit("."), F.lit(1)))
+    t = part_terms(spark, sf).withColumn("name", F.regexp_replace("name", "_[0-9]+", "")).withColumn("theory_file", F.split_part("name", F.lit("."), F.lit(1)))
     consts = F.filter("tokens", lambda x: (x["kind"] == "const") & ~TM.keep_constant(x["name"]))
     types = t.select(F.explode(consts).alias("c")).groupBy(F.col("c.name").alias("symbol")).agg(F.min("c.type").alias("type"))
     out = X.template_table(t, types)
