@@ -5,7 +5,8 @@ suffix sums answer, for every context limit, how many documents and tokens are w
 the quantile it stands at, and the total left if every document were truncated to it.
 
 Defined results: a null text has length 0, as an empty one; repeated rows count each time; an empty
-table gives only the rows of the asked limits, with zero counts and a null quantile.
+table gives only the rows of the asked limits, with zero counts and a null quantile; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import vocab
+from quire.session import cut_lineage
 
 #: Lengths summed in one block; the sums over blocks are few (longest document / this).
 BLOCK = 1024
@@ -77,5 +79,7 @@ def suffix_sums(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str, pattern: str, limits: Sequence[int] = LIMITS) -> DataFrame:
-    """``suffix_sums`` of the encoded lengths of a table's ``text`` column."""
-    return suffix_sums(length_histogram(docs.select(encoded_length(docs["text"], vocabulary, pattern)), limits))
+    """``suffix_sums`` of the encoded lengths of a table's ``text`` column.  The histogram is written once,
+    so every text is encoded once."""
+    lengths = docs.select(encoded_length(docs["text"], vocabulary, pattern))
+    return suffix_sums(cut_lineage(length_histogram(lengths, limits), "token-histogram"))

@@ -142,3 +142,12 @@ def test_bpe_hands_rows_on_in_parts(spark, monkeypatch):
     assert all(r["ids"] == enc.encode_ordinary(r["text"]) and bytes(r["decoded"]) == r["text"].encode() for r in both)
     got = docs.select("text", bpe.encode(F.col("text"), VOCABULARY, PATTERN).alias("i")).withColumn("d", bpe.decode(F.col("i"), VOCABULARY)).collect()
     assert len(got) == docs.count() and all(r["i"] == enc.encode_ordinary(r["text"]) and bytes(r["d"]) == r["text"].encode() for r in got)
+
+
+def test_token_counts_encode_each_text_once(spark):
+    """One pass through Python for the histogram, none after it."""
+    docs = table(spark, SF, "documents")
+    lengths = docs.select(token_counts.encoded_length(docs["text"], VOCABULARY, PATTERN))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(token_counts.length_histogram(lengths)).count("ArrowEvalPython") == 1
+    assert "Python" not in plan(token_counts.token_counts(docs, VOCABULARY, PATTERN))
