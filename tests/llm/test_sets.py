@@ -289,6 +289,64 @@ def test_sharding_cuts_a_group_larger_than_a_shard(spark):
     check_shards(got, None, 24, 0.05)
 
 
+def shard_sizes(rows, shards=24):
+    sizes = [0] * shards
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+    return sizes
+
+
+@pytest.mark.parametrize("ids", ["null", "one", "own"])
+def test_sharding_cuts_a_group_whatever_its_ids(spark, ids):
+    """A third of all rows has one text of more bytes than a shard, with null ids, one id or ids of their own."""
+    rows = [(i, f"text number {i:05d} of the others") for i in range(2400)]
+    rows += [({"null": None, "one": 7, "own": 10_000 + i}[ids], "x" * 41) for i in range(1200)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    check_shards(got, None, 24, 0.05)
+
+
+def test_sharding_keeps_a_short_hot_group_whole(spark):
+    """Many rows with few bytes fit on one shard: they stay together, and sizes are still near equal."""
+    rows = [(i, f"{i} " + "long text " * (40 + i % 30)) for i in range(2400)] + [(10_000 + i, None if i % 2 else "") for i in range(1200)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    check_shards(got, None, 24, 0.03)
+    assert len({r["shard"] for r in got if r["doc_id"] >= 10_000}) == 1
+
+
+def test_sharding_equals_a_plain_packer(spark):
+    """Every heavy group goes where a plain vector packer finds the highest dot product, along the whole
+    way, and the rows of the table follow those placings."""
+    rows = [(i, "abc " * (i % 37 + 1) + str(i // 3)) for i in range(300)]
+    groups, total, _ = sharding.groups_of(sharding.measured(spark.createDataFrame(rows, "doc_id long, text string")), 24)
+    size = {}
+    for _, t in rows:
+        b, w, r = size.get(t, (0, 0, 0))
+        size[t] = (b + len(t) + 8, w + len(t.split()), r + 1)
+    assert total == [sum(g[d] for g in size.values()) for d in range(3)]
+    assert sorted((r["bytes"], r["tokens"], r["rows"]) for r in groups.collect()) == sorted(size.values())
+    vectors = sorted(([x / n for x, n in zip(g, total)] for g in size.values()), key=max, reverse=True)
+    placed, _ = sharding.place_heavy(np.array(vectors), np.zeros(3), 24)
+    load, left = [[0.0] * 3 for _ in range(24)], [1.0, 1.0, 1.0]
+    for group, chosen in zip(vectors, placed):
+        caps = [[0.0] * 3 for _ in range(24)]
+        for d in range(3):
+            lo, hi = min(x[d] for x in load), 2.0
+            for _ in range(60):  # the water level, by bisection
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if sum(max(mid - x[d], 0) for x in load) < left[d] else (lo, mid)
+            above = d and any(hi - x[d] < -1e-12 for x in load)
+            for s in range(24):
+                caps[s][d] = caps[s][0] * left[d] / max(sum(c[0] for c in caps), 1e-300) if above else max(hi - load[s][d], 0)
+            if above:
+                caps = [[c[0], *(c[0] * left[d] / max(sum(x[0] for x in caps), 1e-300) if e == d else c[e] for e in (1, 2))] for c in caps]
+        dots = [sum(c * g for c, g in zip(cap, group)) for cap in caps]
+        assert dots[chosen] > max(dots) - 1e-9
+        load[chosen] = [x + g for x, g in zip(load[chosen], group)]
+        left = [x - g for x, g in zip(left, group)]
+    sizes = shard_sizes(sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert np.allclose(sorted(sizes), sorted(x[0] * total[0] for x in load), rtol=0.02)
+
+
 def test_sharding_parts_agree(spark, monkeypatch):
     monkeypatch.setattr(sharding, "pack", lambda g, t, s, pack=sharding.pack: pack(g, t, s, groups_per_part=500))
     monkeypatch.setattr(sharding, "numbered", lambda r, numbered=sharding.numbered: numbered(r, rows_per_part=300))
