@@ -48,7 +48,7 @@ BUCKET_BYTES = 64 << 20
 class Tokenizer:
     """An encoder to whole texts' ids, and the bytes of each id."""
 
-    def __init__(self, encode: Callable[[list[str]], list[np.ndarray]], tokens: list[bytes]):
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], tokens: list[bytes]):
         self.encode = encode
         self.tokens = tokens
         self.lens = np.array([len(t) for t in tokens], np.int64)
@@ -60,8 +60,8 @@ class Tokenizer:
             d = str(i).encode()
             self.text[i, : len(d)] = np.frombuffer(d, np.uint8)
 
-    def gives_back(self, ids: np.ndarray, raw: bytes) -> bool:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist())) == raw
+    def gives_back(self, ids: list[int], raw: bytes) -> bool:
+        return b"".join(map(self.tokens.__getitem__, ids)) == raw
 
 
 @lru_cache(maxsize=2)
@@ -94,14 +94,14 @@ def byte_level(path: str) -> Tokenizer:
     if plain and ranked and not spec["model"].get("ignore_merges"):
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={tokens[i]: i for i in vocab.values()}, special_tokens={})
 
-    def one(text: str) -> np.ndarray:
+    def one(text: str) -> list[int]:
         if fast is not None:
             try:
-                return np.array(fast.encode_ordinary(text), np.int32)
+                return fast.encode_ordinary(text)
             except BaseException as e:  # the engine's panic is not an Exception
                 if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):
                     raise
-        return np.array(whole.encode(text, add_special_tokens=False).ids, np.int32)
+        return whole.encode(text, add_special_tokens=False).ids
 
     return Tokenizer(lambda texts: [one(" " + t) for t in texts], tokens)
 
@@ -116,7 +116,7 @@ def pieces(path: str) -> Tokenizer:
     for i in range(sp.get_piece_size()):
         p = sp.id_to_piece(i)
         tokens.append(bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace("▁", " ").encode("utf-8"))
-    return Tokenizer(lambda texts: [np.array(ids, np.int32) for ids in sp.encode(texts, num_threads=1)], tokens)
+    return Tokenizer(lambda texts: sp.encode(texts, num_threads=1), tokens)
 
 
 # ---- one shard
@@ -144,16 +144,16 @@ class Windows:
         cut[ga[stops - 1]] = True  # a text's end
         wa, wb = last_a[cut] + 1, last_b[cut] + 1  # the windows' ends, in tokens
         from_a, from_b = np.append(0, wa[:-1])[: len(wa)], np.append(0, wb[:-1])[: len(wb)]
-        # windows by their id tuples
-        memo: dict[tuple[bytes, bytes], int] = {}
-        raw_a, raw_b = ia.tobytes(), ib.tobytes()
-        number, first = [], []
-        for k, (p, q, r, s) in enumerate(zip((4 * from_a).tolist(), (4 * wa).tolist(), (4 * from_b).tolist(), (4 * wb).tolist())):
-            n = memo.setdefault((raw_a[p:q], raw_b[r:s]), len(memo))
-            number.append(n)
-            if n == len(first):
-                first.append(k)
-        self.number, f = np.array(number, np.int64), np.array(first, np.int64)
+        # windows by their id tuples: first tokenizer's ids, -1, the other's
+        many_a, many_b, w = wa - from_a, wb - from_b, np.arange(len(wa))
+        both = np.full(len(ia) + len(ib) + len(w), -1, np.int32)
+        both[np.arange(len(ia)) + np.repeat(from_b + w, many_a)] = ia
+        both[np.arange(len(ib)) + np.repeat(wa + w + 1, many_b)] = ib
+        raw, cuts = both.tobytes(), (4 * (wa + wb + w + 1)).tolist()
+        tuples = [raw[p:q] for p, q in zip([0, *cuts], cuts)]
+        memo = dict(zip(dict.fromkeys(tuples), range(len(tuples))))
+        self.number = np.fromiter(map(memo.__getitem__, tuples), np.int64, len(tuples))
+        f = np.unique(self.number, return_index=True)[1]
         per_doc = np.searchsorted(wa, np.cumsum([len(x) for x in a_ids]), "right")
         self.doc = np.repeat(np.arange(docs), np.diff(per_doc, prepend=0))
         # the alignment of each distinct window, worked out at its first place
@@ -252,8 +252,8 @@ def _aligned(path_a: str, path_b: str, buckets: int):
                 for text, x, y in zip(part, a.encode(part), b.encode(part)):
                     raw = (" " + text).encode("utf-8")
                     fits = bool(text) and a.gives_back(x, raw) and b.gives_back(y, raw)
-                    ia.append(x if fits else x[:0])
-                    ib.append(y if fits else y[:0])
+                    ia.append(np.array(x if fits else [], np.int32))
+                    ib.append(np.array(y if fits else [], np.int32))
             w = Windows(a, b, ia, ib)
             n_groups = np.bincount(w.doc, weights=w.groups[w.number], minlength=docs).astype(np.int64)
             n_links = np.bincount(w.doc, weights=w.links[w.number], minlength=docs).astype(np.int64)

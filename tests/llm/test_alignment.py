@@ -85,7 +85,7 @@ def test_empty_table(none):
 def test_fast_encoder_equals_the_library(encoders):
     a = alignment.byte_level(A)
     for t in ["it's 12½   naïve", " " * 3000 + "x", "<|endoftext|>", "\n\n a\t\tb", "漢字" * 50]:
-        assert a.encode([t])[0].tolist() == encoders[0](t)
+        assert a.encode([t])[0] == encoders[0](t)
 
 
 def test_long_groups_count_distinct_pairs(encoders):
