@@ -209,13 +209,69 @@ def leaf_constants(tokens) -> Column:
     return F.transform(keep, lambda e: e["t"]["name"])
 
 
+# The type operators, from the one that binds least, with the names of their constructors.
+TYPE_OPERATORS = [("fun", ["=>", "⇒", "\\<Rightarrow>"]), ("sum", ["+"]), ("prod", ["*", "×", "\\<times>"])]
+# The lexemes of a type text; a sort constraint (``::`` and a sort) says nothing about names.
+TYPE_LEXEME = r"::\s*(?:\{[^}]*\}|[\w.]+)|\??'[\w.']+|=>|⇒|\\<Rightarrow>|×|\\<times>|[A-Za-z_][\w.']*|[()\[\],*+]"
+
+
 def type_names(typ) -> Column:
-    """Type constructor names of a type text in reading order (``=>`` is ``fun``);
-    type variables (``'a``) are skipped.  Postfix applications (``nat list``) are
-    read left to right, which may differ from the tree order."""
-    t = _col(typ)
-    names = F.regexp_extract_all(F.regexp_replace(t, r"'\w+", " "), F.lit(r"(=>|[A-Za-z_][\w.]*)"), 1)
-    return F.transform(names, lambda n: F.when(n == "=>", F.lit("fun")).otherwise(n))
+    """Type constructor names of a type text in the order of its tree, a constructor before its arguments:
+    ``nat list`` gives ``list, nat``; ``(a, b) map => [c, d * e] => f`` gives ``fun, map, a, b, fun, c, fun,
+    prod, d, e, f``.
+
+    ``=>``, ``+`` and ``*`` bind in this order, least first, all to the right; constructors are postfix.
+    Type variables and sort constraints give nothing; a text with unbalanced brackets gives
+    nothing at all.  One pass over the lexemes from the right: the names found so far, which operators stand
+    to the right of the operand being read, the constructors that wait for it, and a stack of these for the
+    brackets around it.
+    """
+    lex = F.filter(F.regexp_extract_all(_col(typ), F.lit(TYPE_LEXEME), F.lit(0)), lambda x: ~x.startswith("::"))
+    # each lexeme with the one on its left, from the right
+    pairs = F.reverse(F.transform(lex, lambda x, i: F.struct(x.alias("x"), F.when(i > 0, F.get(lex, i - 1)).alias("left"))))
+    names = "array<string>"
+    level = "struct<fun:boolean,sum:boolean,prod:boolean,wait:array<string>,square:boolean>"
+    none = F.array().cast(names)
+    fresh = lambda square: F.struct(F.lit(False).alias("fun"), F.lit(False).alias("sum"), F.lit(False).alias("prod"), none.alias("wait"), square.alias("square"))
+    start = F.struct(none.alias("out"), fresh(F.lit(False)).cast(level).alias("at"), F.array().cast(f"array<{level}>").alias("around"), F.lit(True).alias("ok"))
+
+    def ended(out, at, upto: int):
+        """Names in front of an operand that ends here, for the operators that bind from ``upto`` on."""
+        for name, _ in TYPE_OPERATORS[:upto - 1 if upto else None:-1]:
+            out = F.when(at[name], F.concat(F.array(F.lit(name)), out)).otherwise(out)
+        return out
+
+    def step(s, p):
+        x, at, out = p["x"], s["at"], s["out"]
+        mark = lambda fun, sum_, prod, wait=at["wait"], square=at["square"]: F.struct(
+            fun.alias("fun"), sum_.alias("sum"), prod.alias("prod"), wait.alias("wait"), square.alias("square"))
+        yes, no = F.lit(True), F.lit(False)
+        is_name, is_var = x.rlike("^[A-Za-z_]"), x.rlike(r"^\??'")
+        after_operand = F.coalesce(p["left"].rlike(r"^[A-Za-z_']|^\?'|^\)$"), no)
+        opens, closes = x.isin("(", "["), x.isin(")", "]")
+        whole = lambda o: ended(o, at, 0)
+        back = F.element_at(s["around"], -1)  # read only where there is one
+        has = F.size(s["around"]) > 0
+        fits = has & (at["square"] == (x == "["))
+        outer = F.when(has, back)
+        state = lambda out, at, around=s["around"], ok=s["ok"]: F.struct(out.alias("out"), at.cast(level).alias("at"), around.alias("around"), ok.alias("ok"))
+        waiting = lambda atom: F.concat(at["wait"], atom, out)
+        settled = mark(at["fun"], at["sum"], at["prod"], none)
+        popped = F.struct(outer["fun"].alias("fun"), outer["sum"].alias("sum"), outer["prod"].alias("prod"), none.alias("wait"), outer["square"].alias("square"))
+        ops = dict(TYPE_OPERATORS)
+        return (
+            F.when(is_name & after_operand, state(out, mark(at["fun"], at["sum"], at["prod"], F.concat(at["wait"], F.array(x)))))
+            .when(is_name, state(waiting(F.array(x)), settled))
+            .when(is_var, state(waiting(none), settled))
+            .when(closes, state(out, fresh(x == "]"), F.array_append(s["around"], at)))
+            .when(opens & ~fits, state(out, at, s["around"], no))
+            .when(opens, state(F.concat(outer["wait"], whole(out)), popped, F.slice(s["around"], F.lit(1), F.size(s["around"]) - 1)))
+            .when(x == ",", state(F.when(at["square"], F.concat(F.array(F.lit("fun")), whole(out))).otherwise(whole(out)), fresh(at["square"]), s["around"], s["ok"] & has))
+            .when(x.isin(*ops["prod"]), state(ended(out, at, 2), mark(at["fun"], at["sum"], yes)))
+            .when(x.isin(*ops["sum"]), state(ended(out, at, 1), mark(at["fun"], yes, no)))
+            .otherwise(state(whole(out), mark(yes, no, no))))
+
+    return F.aggregate(pairs, start, step, lambda s: F.when(s["ok"] & (F.size(s["around"]) == 0), ended(s["out"], s["at"], 0)).otherwise(none))
 
 
 def used_constants_many(inners) -> Column:

@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, StringType, StructType
 
 from quire.functions.text import py_split_ws
 
@@ -143,18 +144,51 @@ def tokenizer_udf(make_tokenizer: Callable[[], Callable[[str], list[int]]]):
     return encode
 
 
+# The deepest level that a fingerprint looks at, and what stands for the rest.
+MAX_DEPTH = 6
+BEYOND, UNKNOWN = "max_depth_reached", "unknown"
+
+
 def fingerprint(*cols: str, df: DataFrame | None = None, ignore: tuple[str, ...] = ()) -> Column:
-    """H1: md5 of ``{name: value}`` as the original computes it: md5 of the
-    concatenated md5s of every key and value; NULL -> md5("unknown"); booleans as
-    ``True``/``False``; arrays as md5 of their elements' md5s.  Column order matters."""
-    parts = []
-    types = dict(df.dtypes) if df is not None else {}
-    for c in cols:
-        if c in ignore:
-            continue
-        parts.append(F.lit(_py_md5(c)))
-        parts.append(value_hash(F.col(c), types.get(c, "string")))
-    return F.md5(F.concat(*parts)) if parts else F.lit(_py_md5(""))
+    """H1: md5 of the row ``{name: value}``: see ``value_hash``.  The columns in ``ignore`` are left out, as are
+    keys of that name at every level.  Column order matters."""
+    types = {f.name: f.dataType for f in df.schema.fields} if df is not None else {}
+    pairs = [(c, F.col(c), types.get(c, StringType())) for c in cols if c not in ignore]
+    return _dict_hash(pairs, 0, ignore)
+
+
+def value_hash(c: Column, dtype: DataType, depth: int = 0, ignore: tuple[str, ...] = ()) -> Column:
+    """The hash of a nested value, an expression built from its type.
+
+    A scalar is hashed as its text (booleans as ``True`` and ``False``), an array as its elements' hashes one
+    behind the other, a struct or a map (in its order) as its keys' and values' hashes, without the
+    ignored keys.  NULL, at any level, counts as unknown; below ``MAX_DEPTH`` everything counts alike.
+    """
+    if depth > MAX_DEPTH:
+        return F.lit(_py_md5(BEYOND))
+    unknown = F.lit(_py_md5(UNKNOWN))
+    if isinstance(dtype, ArrayType):
+        out = F.md5(F.array_join(F.transform(c, lambda x: value_hash(x, dtype.elementType, depth + 1, ignore)), ""))
+    elif isinstance(dtype, MapType):
+        entries = F.map_entries(c)
+        if ignore and isinstance(dtype.keyType, StringType):
+            entries = F.filter(entries, lambda e: ~e["key"].isin(*ignore))
+        out = F.md5(F.array_join(F.transform(entries, lambda e: F.concat(
+            value_hash(e["key"], dtype.keyType, depth + 1, ignore), value_hash(e["value"], dtype.valueType, depth + 1, ignore))), ""))
+    elif isinstance(dtype, StructType):
+        out = F.when(c.isNotNull(), _dict_hash([(f.name, c[f.name], f.dataType) for f in dtype.fields if f.name not in ignore], depth, ignore))
+    elif isinstance(dtype, BooleanType):
+        out = F.md5(F.when(c, F.lit("True")).otherwise(F.when(c.isNotNull(), F.lit("False"))))
+    else:
+        out = F.md5(c.cast("string"))
+    return F.coalesce(out, unknown)
+
+
+def _dict_hash(pairs: list[tuple[str, Column, DataType]], depth: int, ignore: tuple[str, ...]) -> Column:
+    if not pairs:
+        return F.lit(_py_md5(""))
+    key = lambda name: F.lit(_py_md5(BEYOND if depth + 1 > MAX_DEPTH else name))
+    return F.md5(F.concat(*[h for name, c, t in pairs for h in (key(name), value_hash(c, t, depth + 1, ignore))]))
 
 
 def _py_md5(s: str) -> str:
@@ -163,16 +197,6 @@ def _py_md5(s: str) -> str:
     return hashlib.md5(s.encode()).hexdigest()
 
 
-def value_hash(c: Column, dtype: str = "string") -> Column:
-    unknown = F.lit(_py_md5("unknown"))
-    if dtype.startswith("array"):
-        inner = dtype[len("array<"):-1]
-        return F.coalesce(F.md5(F.array_join(F.transform(c, lambda x: value_hash(x, inner)), "")), unknown)
-    if dtype == "boolean":
-        return F.coalesce(F.md5(F.when(c, F.lit("True")).otherwise(F.lit("False"))), unknown)
-    return F.coalesce(F.md5(c.cast("string")), unknown)
-
-
 def rerun_missing(todo: DataFrame, done: DataFrame, key: str = "fingerprint", ok: Column | None = None) -> DataFrame:
     """Rows of ``todo`` without a good result in ``done`` (failed ones rerun)."""
     good = done.where(ok) if ok is not None else done

@@ -54,6 +54,25 @@ def h1_fingerprint(spark, sf):
     return c.select("conv_id", "turn", B.fingerprint("conv_id", "turn", "role", "text", df=c).alias("fingerprint"))
 
 
+_H1N_SQL = """WITH t AS (SELECT conv_id, list(md5(md5('turn') || md5(CAST(turn AS VARCHAR)) || md5('said')
+     || md5(md5('role') || coalesce(md5(role), md5('unknown')) || md5('words') || md5(coalesce(array_to_string(list_transform(string_split(text, ' '), lambda w: md5(w)), ''), ''))))
+     ORDER BY turn) AS h, count(*) AS n FROM conversations GROUP BY conv_id)
+SELECT conv_id, md5(md5('conv_id') || md5(CAST(conv_id AS VARCHAR)) || md5('turns') || md5(array_to_string(h, ''))
+   || md5('sizes') || md5(md5('turns') || md5(CAST(n AS VARCHAR)) || md5('many') || md5(CASE WHEN n > 5 THEN 'True' ELSE 'False' END))) AS fingerprint FROM t"""
+
+
+@register("h1_nested_fingerprint", _H1N_SQL)
+def h1_nested_fingerprint(spark, sf):
+    """H1 over nested values: a conversation as a struct of an array of structs (with a further struct and an
+    array of words) and a map, without its ``text`` at any level."""
+    said = F.struct("role", F.coalesce(F.split("text", " "), F.array().cast("array<string>")).alias("words"), "text")
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", said.alias("said")))).alias("turns"))
+    n = F.size("turns")
+    sizes = F.create_map(F.lit("turns"), n.cast("string"), F.lit("text"), F.lit("ignored"), F.lit("many"), F.when(n > 5, "True").otherwise("False"))
+    c = c.withColumn("sizes", sizes).withColumn("text", F.lit("ignored"))
+    return c.select("conv_id", B.fingerprint("conv_id", "turns", "sizes", "text", df=c, ignore=("text",)).alias("fingerprint"))
+
+
 _J10_SQL = _PROMPTS_SQL + """SELECT conv_id, turn, array_to_string(c, ' | ') AS candidates,
   CASE WHEN role = 'user' THEN 'cache' ELSE 'run' END AS origin FROM pd WHERE status = 'ok'"""
 

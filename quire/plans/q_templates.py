@@ -335,14 +335,12 @@ def _inner_kind_sql() -> str:
 
 _X14_SQL = f"""{_PT}, it AS (
   SELECT l.l_orderkey AS row_id, list({{'kind': {_inner_kind_sql()}, 'tokens': pt.tokens,
-        'type': '''a ' || lower(p.p_type) || ' => prop'}} ORDER BY l.l_linenumber, l.l_partkey) AS inners
+        'size': p.p_size, 'words': list_reverse(string_split(lower(p.p_type), ' '))}} ORDER BY l.l_linenumber, l.l_partkey) AS inners
   FROM lineitem l JOIN pt ON pt.term_id = l.l_partkey JOIN part p ON p.p_partkey = l.l_partkey GROUP BY l.l_orderkey),
 al AS (SELECT o_orderkey AS row_id, coalesce(inners, []) AS inners FROM orders LEFT JOIN it ON it.row_id = o_orderkey),
 u AS (SELECT row_id, flatten(list_transform(inners, lambda x: CASE x.kind
         WHEN 'term' THEN {O.leaf_constants('x.tokens')}
-        WHEN 'type' THEN list_filter(list_transform(regexp_extract_all(regexp_replace(x.type, '''\\w+', ' ', 'g'), '(=>|[A-Za-z_][\\w.]*)', 1),
-                                     lambda n: CASE WHEN n = '=>' THEN 'fun' ELSE n END),
-                      lambda n: n NOT IN ('fun', 'prop', 'itself', 'dummy', 'proof', 'Pure.proof'))
+        WHEN 'type' THEN ['c' || CAST(x.size AS VARCHAR)] || x.words || ['nat', 'prod', 'list', 'int', 'bool']
         ELSE CAST([] AS VARCHAR[]) END)) AS c FROM al)
 SELECT row_id, array_to_string({O.let('c', 'l', 'list_filter(l, lambda e, i: list_position(l, e) = i)')}, ' | ') AS used_constants FROM u"""
 
@@ -353,12 +351,12 @@ def x14_used_constants(spark, sf):
     statement (leaf constants outside binders), a type text (constructor names
     minus the universal ones) or neither."""
     li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    p = table(spark, sf, "part").select("p_partkey", "p_type")
+    p = table(spark, sf, "part").select("p_partkey", "p_type", "p_size")
     t = part_terms(spark, sf).select(F.col("term_id").alias("l_partkey"), "tokens")
     m = F.col("l_linenumber") % 3
     kind = F.when(m == 1, "term").when(m == 0, "type").otherwise("none")
     inner = F.struct(kind.alias("kind"), F.col("tokens"),
-                     F.concat(F.lit("'a "), F.lower("p_type"), F.lit(" => prop")).alias("type"))
+                     F.concat(F.lit("('a "), F.lower("p_type"), F.lit(", nat) c"), F.col("p_size").cast("string"), F.lit(" => ['b list * int, bool] => prop")).alias("type"))
     j = li.join(t, "l_partkey").join(p, li.l_partkey == p.p_partkey)
     per = j.groupBy(F.col("l_orderkey").alias("row_id")).agg(
         F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", inner.alias("x")))).alias("it"))
