@@ -7,13 +7,17 @@ stream goes on from its checkpoint.  Rows of a task are combined before the shuf
 that holds a third of all rows reaches its key as one partial row per task.  Each micro-batch
 writes the keys it changed to a folder of its own, replaced if the batch is run again.
 
-Equal digests are hits, and hits are checked on full bytes: the content is read back at the
-locators and every hit is compared with the row that its key retains.  Should texts differ (a
-collision), the rows of that key are grouped by their whole text instead.
+Equal digests are hits, and hits are checked on full bytes: the content is read back and every hit
+is compared with the row that its key retains.  A bit filter over the keys with hits, of fixed size,
+is broadcast to the scan, so that only texts of hits (and of few others, more of them as the filter
+fills) leave it.  Should texts differ (a collision), the rows of that key are grouped by their whole
+text instead.
 
 Defined results: a null text counts as empty; of equal texts the row with the largest doc_id stays
 (a null id is smaller than any other), of rows that also share the id the one that lies last;
-exactly one row of each group stays; an empty table gives no rows; further columns are ignored.
+exactly one row of each group stays; an empty table gives no rows; further columns are ignored (a
+table at rest must be one that Spark can read: not with two columns that differ in case alone,
+unless the session is case-sensitive; ``deduplicate`` takes any DataFrame).
 """
 
 from __future__ import annotations
@@ -27,8 +31,12 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import marked, unmarked, work_folder
 
-#: Input of one micro-batch, which bounds the keys that a batch changes.
-BATCH_BYTES = 256 << 30
+#: Input of one micro-batch, which bounds the keys that a batch changes; every later batch looks up the
+#: state that the earlier ones left.
+BATCH_BYTES = 128 << 20
+#: Bits of the filter that keeps texts without a hit from being shuffled (16 MB, whatever the input).
+FILTER_BITS = 1 << 27
+_BITMAP = 1 << 15  # bits of one bitmap of Spark's bitmap functions
 #: Rows are told apart by where they lie.
 PLACE = ["file", "row"]
 
@@ -96,17 +104,30 @@ def retained(spark: SparkSession, table: Table, work: str, **source: str) -> Dat
     return last.select("key", F.col("s.keep.doc_id").alias("keep_id"), F.col("s.keep.file").alias("keep_file"), F.col("s.keep.row").alias("keep_row"), F.col("s.n").alias("n"))
 
 
+def with_filter(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose ``key`` is in ``keys``, and maybe others: a bit filter of ``FILTER_BITS`` bits, made
+    by Spark's bitmap aggregate and broadcast (at most ``FILTER_BITS / 8`` bytes)."""
+    bit = F.pmod(F.xxhash64("key", F.lit(2)), F.lit(FILTER_BITS))
+    place = F.col("bit") % _BITMAP
+    part = F.floor(F.col("bit") / _BITMAP)
+    maps = keys.select(bit.alias("bit")).groupBy(part.alias("part")).agg(F.bitmap_construct_agg(place).alias("map"))
+    byte = F.conv(F.hex(F.substring("map", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked_rows = rows.withColumn("bit", bit).withColumn("part", part).join(F.broadcast(maps), "part")
+    return marked_rows.where(F.getbit(byte, (place % 8).cast("int")) == 1).drop("bit", "part", "map")
+
+
 def collisions(spark: SparkSession, table: Table, state: DataFrame, work: str) -> DataFrame:
     """The keys under which texts differ (one row for each row that does), after comparing the full
     bytes of all hits.
 
-    Only rows of keys with several rows have their text compared; the retained row's text meets
-    them by key in an equi-join, whose large keys Spark splits.
+    Only rows of keys with several rows have their text compared, and only their texts leave the
+    scan; the retained row's text meets them by key in an equi-join, whose large keys Spark splits.
     """
     stays = (F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))
+    several = state.where("n > 1")
     rows = table.rows(spark.read.parquet(table.path), F.coalesce(F.col(table.text), F.lit("")).alias("text"))
-    hits = rows.join(state.where("n > 1"), "key").select("key", "text", stays.alias("stays"))
-    hits.write.parquet(f"{work}/hits")
+    hits = with_filter(rows, several.select("key")).join(several, "key").select("key", "text", stays.alias("stays"))
+    hits.write.option("compression", "zstd").parquet(f"{work}/hits")
     hits = spark.read.parquet(f"{work}/hits")
     kept = hits.where("stays").select("key", F.col("text").alias("kept_text"))
     differ = hits.where("not stays").join(kept, "key").where(F.col("text") != F.col("kept_text")).select("key")

@@ -73,6 +73,34 @@ def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert sorted((r["keep_id"], r["n"]) for r in exact_dedup.retained(spark, t, work).collect()) == [(2, 1), (3, 1), (9, 2)]
 
 
+def test_many_batches_at_default_settings(spark, tmp_path, monkeypatch):
+    """Three files of more than half a batch each: later batches look up keys that earlier ones left."""
+    from pyspark.sql import functions as F
+
+    body = F.concat(*[F.sha2(F.concat(F.col("id") % 60_000, F.lit(f"/{k}")), 512) for k in range(10)])
+    path = str(tmp_path / "docs.parquet")
+    docs = spark.range(0, 180_000, 1, 3).select(F.col("id").alias("doc_id"), body.alias("text"))
+    docs.write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(path)
+    seen = []
+    monkeypatch.setattr(exact_dedup, "work_folder", lambda spark, name: seen.append(str(tmp_path / name)) or seen[-1])
+    got = exact_dedup.decisions(spark, exact_dedup.Table(path))
+    assert got.agg(F.count(F.lit(1)), F.count_if("kept"), F.min("group_size"), F.max("group_size"), F.min("keep_id")).first() == (180_000, 60_000, 3, 3, 120_000)
+    changed = spark.read.parquet(f"{seen[0]}/changed").where("batch >= 0")
+    assert changed.select("batch").distinct().count() >= 2
+    assert changed.groupBy("key").count().where("count > 1").count() == 60_000
+
+
+def test_the_filter_loses_no_key(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", 1 << 17)
+    rows = spark.range(200_000).select(F.col("id").cast("string").cast("binary").alias("key"))
+    keys = rows.where("hash(key) % 50 = 0")
+    left = exact_dedup.with_filter(rows, keys)
+    assert keys.join(left, "key", "left_anti").isEmpty()
+    assert left.count() < 12_000
+
+
 def test_codes_cover():
     for code in (simhash.GOLAY, simhash.HAMMING):
         at, errors = simhash.patterns(code, 0)[0]
