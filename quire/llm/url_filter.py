@@ -4,7 +4,8 @@ character n-grams of host and path, trained from a small labelled URL table.
 Everything runs on built-in functions and Spark's ML library in the JVM.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, no rule, and the
-method's verdict on no features; repeated rows are judged alike; further columns are ignored.
+method's verdict on no features; repeated rows are judged alike; an empty table gives no rows; further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 from quire.llm.common import ascii_lower
 
 #: Hash buckets of n-grams (for host and path each), their lengths, and the strength of the L2 penalty.
-BUCKETS = 1 << 13
+BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
-PENALTY = 0.002
+PENALTY = 0.0003
 
 #: The rules of the registered query, (host and path, verdict).
 RULES = (
@@ -33,33 +34,66 @@ RULES = (
     ("com/de/", "block"),
 )
 
-#: The small labelled table: words of hosts that are to be blocked, and of ordinary hosts.
+#: The small labelled table is made by rule from these lists.  Words of hosts to be blocked, and what is
+#: put before and behind words of both kinds.
 BLOCKED = (
-    "online-casino casino-bonus lucky-slots poker-bets sports-bets free-spins win-money big-win-club click-ads ad-server ads-network "
-    "banner-ads track-clicks pixel-tracker link-farm content-farm spam-links spam-blast buy-pills pills-shop discount-meds cheap-meds "
-    "cheap-replica free-download-crack adult-cams adult-video xxx-video hot-singles payday-loans free-prizes"
+    "casino slots poker jackpot roulette betting bet lottery pills viagra cialis meds replica porn xxx sexcam adult-cams hot-singles escorts payday-loans "
+    "quick-loans cracked-software warez keygen adserver adclick doubleclick ads banner-ads popunder click-tracker pixel-tracker spam-mail link-farm "
+    "content-farm free-spins win-money big-prizes adult spam bets sports-betting"
 ).split()
+BEFORE = ("", "online-", "cheap-", "best", "my-", "lucky")
+BEHIND = ("", "-shop", "-club", "365", "-win", "24", "-hub", "online")
+#: Words of ordinary hosts, also such as hold letters of blocked ones.
 ALLOWED = (
-    "wikipedia university library museum weather gardening theatre history science newspaper letters cooking orchestra railway hospital "
-    "mountain northern southwest together thinking thesis thermal weather-station anthology mathematics father-son brotherhood earthworks "
-    "health-centre hiking-trails national-archive translation education federation station tables portable reading heather bathing "
-    "nothing-else institute theory rhythm lighthouse northbound stationery tradition botany harbour cathedral parish council radio "
-    "linguistics geography farmhouse adventure trackside freelance"
+    "wikipedia university library museum weather gardening theatre history science newspaper cooking orchestra railway hospital mountain "
+    "translation education national-archive tables stationery harbour cathedral council radio linguistics geography farmhouse adventure essex "
+    "sussex alphabet betterhomes tibet address adverse loading upload window winter spinach spring shopfitters workshop clubhouse freedom "
+    "crackers bannerman poetry documents analytics classics assessments canal slotcars clickers track-and-field pillow-makers medicine "
+    "pharmacology statistics tracker-dogs letters chess football recipes travel photos developers kernel support journal physics biology"
+).split()
+#: Syllables of made-up names, which are ordinary hosts, too.
+SYLLABLES = "ba lo ri ken dor mis tal ven osh ut gra pel in sta mor ek the an ter on wol fin".split()
+FRONTS = ("", "www.", "m.", "blog.", "news.", "shop.", "app.")
+ENDINGS = (".com", ".org", ".net", ".de", ".co.uk", ".info", ".fr", ".io", ".biz", ".es", ".edu", ".eu", ".shop", ".xyz", ".gov", ".nl")
+#: Paths that are to be blocked on any host, and ordinary ones.
+BLOCKED_PATHS = (
+    "/casino/bonus /free-spins/win-money /buy-pills /buy/viagra-online /order-cheap-meds /xxx/videos /porn/hd /hot-singles/near-you /payday-loans/apply "
+    "/warez/crack/keygen /replica-watches /slots/jackpot /poker/bet-now /ads/click /adserver/banner.js /track/pixel.gif /popunder/show /link-farm/spam "
+    "/win/claim-your-prize /lottery-winner /adult-cams/live /cialis-discount"
+).split()
+ALLOWED_PATHS = (
+    "/ /index.html /about /contact /news/weather-report /2021/05/12/council-meeting /wiki/Railway_station /articles/history-of-music /blog/recipes "
+    "/docs/guide/install /products/garden-tools /search/results /images/photo.jpg /events/calendar /library/books/123 /sports/results /en/ "
+    "/fr/accueil /de/seite/7 /es/noticias /space/park /spare-parts /winter/windows /address-book /buyers/guide /adverse/events /slot/12 /tracks/4 /a/b/c.html /p/48151 /users/login /papers/17.pdf /timetable"
 ).split()
-FRONTS = ("", "www.", "m.", "blog.")
-ENDS = (".example.com", ".example.org", ".example.net")
-PATHS = ("/en/1", "/fr/25.html", "/de/470/", "/es/9", "/", "/en/752", "/de/88")
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The default labelled table (url, label; 1: block), a few hundred rows made by rule from the
-    words above: each word with every path, so that paths alone tell nothing."""
-    rows = []
-    for label, words in ((1.0, BLOCKED), (0.0, ALLOWED)):
-        for i, w in enumerate(words):
-            for j, path in enumerate(PATHS):
-                rows.append((f"https://{FRONTS[(i + j) % len(FRONTS)]}{w}{ENDS[(i + j) % len(ENDS)]}{path}", label))
-    return spark.createDataFrame(rows, "url string, label double")
+    """The default labelled table (url, label; 1: block), about three thousand rows: blocked hosts with any path,
+    blocked paths on ordinary hosts, and ordinary paths on ordinary hosts, so that hosts and paths both
+    tell something.  Endings and subdomains go round alike under both labels."""
+    names = [a + b for i, a in enumerate(SYLLABLES) for b in SYLLABLES[i % 3 :: 2]]
+    names += [a + SYLLABLES[(i * 7 + 3) % len(SYLLABLES)] for i, a in enumerate(names)]
+    ordinary = [*ALLOWED, *names]
+
+    def decorated(words: Sequence[str]) -> list[str]:
+        return [x + w + y for i, w in enumerate(words) for j, x in enumerate(BEFORE) for y in (BEHIND[(i + j) % len(BEHIND)], BEHIND[(i + 3 * j + 1) % len(BEHIND)])]
+
+    rows: dict[str, float] = {}
+
+    def add(hosts: Sequence[str], paths: Sequence[str], times: int, label: float) -> None:
+        for i, h in enumerate(hosts):
+            for t in range(times):
+                k = i * times + t
+                rows[f"https://{FRONTS[k % len(FRONTS)]}{h}{ENDINGS[(k * 5 + i) % len(ENDINGS)]}{paths[(k * 3 + i) % len(paths)]}"] = label
+
+    add(decorated(BLOCKED), ALLOWED_PATHS, 1, 1.0)
+    add(BLOCKED, BLOCKED_PATHS, 3, 1.0)
+    add(ordinary, BLOCKED_PATHS, 1, 1.0)
+    add(ALLOWED, ALLOWED_PATHS, 4, 0.0)
+    add(decorated(ALLOWED), ALLOWED_PATHS, 1, 0.0)
+    add(names, ALLOWED_PATHS, 2, 0.0)
+    return spark.createDataFrame(list(rows.items()), "url string, label double")
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -103,7 +137,7 @@ def features(urls: DataFrame) -> DataFrame:
 
 def fit(labelled: DataFrame) -> LogisticRegressionModel:
     """The model of a labelled table (url, label); the table is small by contract and is read as one partition."""
-    return LogisticRegression(regParam=PENALTY, maxIter=60).fit(features(labelled).select("features", "label").coalesce(1).sortWithinPartitions("label"))
+    return LogisticRegression(regParam=PENALTY, maxIter=200, standardization=False).fit(features(labelled).select("features", "label").coalesce(1).sortWithinPartitions("label"))
 
 
 def judge(pages: DataFrame, model: LogisticRegressionModel, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
