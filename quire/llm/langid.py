@@ -35,6 +35,8 @@ DIMENSIONS = 1024
 GRAM = 3
 SEED = 9
 SAMPLE = 2_000
+#: Languages that can be learnt; a column with more values isn't one of languages, and is refused.
+LANGUAGES = 2_000
 #: Bound n-grams that a worker keeps.
 CACHE = 20_000
 SPACE = 32
@@ -131,10 +133,13 @@ def bundled(rows: DataFrame, dimensions: int) -> DataFrame:
 def learn(docs: DataFrame, sample: int = SAMPLE, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """The languages in order, and their prototypes (unit length, one a row).
 
-    ``docs``: doc_id, text, lang.  Only (languages x dimensions) sums reach the driver.
+    ``docs``: doc_id, text, lang.  Only (languages x dimensions) sums reach the driver, at most
+    ``LANGUAGES`` of them.
     """
     known = docs.where("lang is not null and doc_id is not null").where(id_bucket(F.col("doc_id"), 4) != 2)
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(LANGUAGES + 1).collect()}
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of lang")
     share = F.lit(None).cast("long")
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(1_000_000 * min(1.0, sample / n))).otherwise(share)

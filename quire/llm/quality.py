@@ -4,8 +4,9 @@ A document's score is linear in features of its text.  In a pair of a preferred
 document the chance that the first is ranked higher is the logistic function of the difference of
 their scores, so the weights are fitted by logistic loss on feature differences (no intercept; L2
 penalty; Newton's method).  Documents are then accepted from a quantile of the scores of all
-labelled training documents on: the level at which acceptance agrees best with the labels, found
-on an exact histogram of their scores.
+labelled training documents on: the quantile whose level is the share of rejected ones among them
+(``Ranking.quantile``), so that as many are rejected as the labels reject.  It is read off an exact
+histogram of their scores.
 
 The weights are fitted on a bounded sample of labelled rows (``SAMPLE`` documents, chosen by the
 hash of their id); the histogram covers every labelled training document.
@@ -62,11 +63,11 @@ def features_of(text: str | None) -> np.ndarray:
         [upper, lower, byte[48:58].sum(), byte[10], byte[32], byte[128:].sum(), upper / (upper + lower + 1e-9)],
         [same, len(set(words)) / n, len(set(lines)) / max(len(lines), 1), marks, n / max(len(lines), 1) / 100],
         np.minimum(10 * byte[_PUNCTUATION], 3.0),
-        [float(same > 0.02), float(marks > 0.5), float(upper > 0.5 * lower)],
+        np.log1p(100 * np.array([same, marks, upper, 1 - len(set(lines)) / max(len(lines), 1)])),
     ])
 
 
-_N = 3 + 4 + 7 + 5 + len(_PUNCTUATION) + 3
+_N = 3 + 4 + 7 + 5 + len(_PUNCTUATION) + 4
 
 
 def features(text: Column) -> Column:
@@ -80,12 +81,14 @@ def features(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Ranking:
-    """Weights on standardised features, and the score from which documents are accepted."""
+    """Weights on standardised features, the score from which documents are accepted, and the level of the
+    quantile that this score is."""
 
     mean: tuple[float, ...]
     scale: tuple[float, ...]
     weights: tuple[float, ...]
     cut: float = 0.0
+    quantile: float = 0.0
 
     def raw(self, text: Column) -> Column:
         """The ranking score of a text (any real number)."""
@@ -127,20 +130,17 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Ranking:
     return Ranking(tuple(mean.tolist()), tuple(scale.tolist()), tuple(w.tolist()))
 
 
-def best_cut(bins: list[tuple[int, int, int]]) -> float:
-    """The cut between bins (bin, rejected, preferred) at the score quantile where acceptance agrees
-    best with both labels (mean of the two rates); the middle of the gap if several do."""
-    bad, good = sum(b[1] for b in bins), sum(b[2] for b in bins)
-    if not bad or not good:
-        return 0.0
-    best, where = -1.0, (0.0, 0.0)
-    below_bad = below_good = 0
-    for (at, b, g), after in zip(bins, [*bins[1:], bins[-1]]):
-        below_bad, below_good = below_bad + b, below_good + g
-        value = below_bad / bad + (good - below_good) / good
-        if value > best + 1e-12:
-            best, where = value, (at + 1, after[0])
-    return STEP * (where[0] + max(where)) / 2
+def quantile_cut(bins: list[tuple[int, int, int]]) -> tuple[float, float]:
+    """(cut, level) of bins (bin, rejected, preferred) of scores: the quantile whose level is the share of
+    rejected documents, taken between bins (where the number below comes closest) in the middle of the gap."""
+    bad, every = sum(b[1] for b in bins), sum(b[1] + b[2] for b in bins)
+    if bad in (0, every):
+        return 0.0, 0.0
+    below, best = 0, (bad, bins[0][0], bins[0][0])
+    for (at, b, g), after in zip(bins, [*bins[1:], None]):
+        below += b + g
+        best = min(best, (abs(below - bad), at + 1, at + 1 if after is None else after[0]), key=lambda x: x[0])
+    return STEP * (best[1] + best[2]) / 2, bad / every
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def fit_cut(raw: DataFrame, labels: DataFrame, ranking: Ranking) -> Ranking:
     b = F.floor(F.greatest(F.lit(-BOUND), F.least(F.lit(BOUND), F.col("raw"))) / STEP)
     bins = raw.join(training_labels(labels), "doc_id").groupBy(b.alias("b")).agg(F.sum(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("n0"), F.sum(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("n1"))
     found = sorted((r["b"], r["n0"], r["n1"]) for r in bins.collect())  # at most 2 * BOUND / STEP rows
-    return Ranking(ranking.mean, ranking.scale, ranking.weights, best_cut(found) if any(ranking.weights) else 0.0)
+    return Ranking(ranking.mean, ranking.scale, ranking.weights, *(quantile_cut(found) if any(ranking.weights) else (0.0, 0.0)))
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -1,7 +1,10 @@
 """Token counts, BPE, language id, quality: against brute force, round trips and held-out accuracy."""
 
 import os
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,9 +132,87 @@ def test_quality_odd_rows(spark, odd, odd_rows, none):
     assert kept.columns == odd.columns and kept.count() == len(odd_rows)
 
 
-def test_quality_cut_lies_in_the_gap():
-    assert quality.best_cut([(-300, 5, 0), (-200, 4, 0), (200, 0, 9), (300, 0, 9)]) == pytest.approx(0.0, abs=0.02)
-    assert quality.best_cut([(5, 0, 3)]) == 0.0 and quality.best_cut([]) == 0.0
+def test_quality_cut_is_the_stated_quantile():
+    cut, level = quality.quantile_cut([(-300, 5, 0), (-200, 4, 0), (200, 0, 9), (300, 0, 9)])
+    assert cut == pytest.approx(0.0, abs=0.02) and level == 9 / 27
+    assert quality.quantile_cut([(5, 0, 3)]) == (0.0, 0.0) and quality.quantile_cut([]) == (0.0, 0.0)
+    # overlapping labels: as many lie below the cut as are rejected
+    cut, level = quality.quantile_cut([(0, 2, 1), (1, 1, 1), (2, 1, 3)])
+    assert 0.01 <= cut <= 0.02 and level == 4 / 9
+
+
+def test_quality_equals_brute_force(spark):
+    """Weights at which the pair loss has no slope, scores from plain arithmetic, the cut from sorted scores."""
+    docs, labels = table(spark, SF_01, "documents"), table(spark, SF_01, "labels")
+    texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["doc_id"] in texts}
+    ranking = quality.fit(docs.select("doc_id", "text"), labels)
+    x = {i: quality.features_of(t) for i, t in texts.items()}
+    few = np.array([x[i] for i in known])
+    mean, scale = few.mean(0), few.std(0) + 1e-3
+    assert np.allclose(mean, ranking.mean) and np.allclose(scale, ranking.scale)
+    w = np.array(ranking.weights)
+    z = {i: (v - mean) / scale for i, v in x.items()}
+    # every pair of a preferred and a rejected document, not only those drawn
+    good, bad = [np.array([z[i] for i, q in known.items() if q == k]) for k in (1, 0)]
+
+    def loss(v):
+        return np.log1p(np.exp(-((good @ v)[:, None] - (bad @ v)[None]))).mean() + quality.PENALTY / 2 * v @ v
+
+    best = loss(w)
+    rng = np.random.default_rng(2)
+    assert all(loss(w + s * 0.3 * d / np.linalg.norm(d)) > best for d in rng.normal(size=(20, len(w))) for s in (1, -1))
+    raw = {i: float(v @ w) for i, v in z.items()}
+    ordered = sorted(raw[i] for i in known)
+    rejected = sum(q == 0 for q in known.values())
+    low, high = ordered[rejected - 1], ordered[rejected]
+    got = {r["doc_id"]: r for r in quality.judge(docs, labels).collect()}
+    cut = quality.fit_cut(docs.select("doc_id", ranking.raw(F.col("text")).alias("raw")), labels, ranking)
+    assert low - 0.02 <= cut.cut <= high + 0.02 and cut.quantile == rejected / len(known)
+    for i, r in got.items():
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(cut.cut - raw[i])), abs=1e-9)
+        assert r["predicted"] == (raw[i] >= cut.cut)
+
+
+def test_language_equals_brute_force(spark):
+    """Plain bundles of bound letters and their cosines with plain prototypes."""
+    docs = table(spark, SF, "documents")
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in docs.select("doc_id", "text", "lang").collect()]
+    size = 256
+
+    def bundle(text):
+        low = "".join(c if c.isalpha() else " " for c in text.lower())
+        framed = " " + " ".join(low.split()) + " "
+        out = np.zeros(size)
+        if not low.strip():
+            return None
+        for g, n in Counter(framed[i : i + 3] for i in range(len(framed) - 2)).items():
+            v = np.ones(size)
+            for place, c in enumerate(reversed(g)):
+                v = v * np.roll(langid.letter_vector(ord(c), size), place)
+            out += n * v
+        return out
+
+    sums = {}
+    vectors = {i: bundle(t or "") for i, t, _ in rows}
+    for i, _, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2 and vectors[i] is not None:
+            sums[lang] = sums.get(lang, 0) + vectors[i]
+    for r in langid.identify(docs, dimensions=size).collect():
+        v = vectors[r["doc_id"]]
+        if v is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cosine = {k: p @ v / np.linalg.norm(p) / np.linalg.norm(v) for k, p in sums.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        assert r["score"] == pytest.approx(max(cosine[best], 0), abs=1e-5)
+        assert r["lang_pred"] == best or cosine[best] - cosine[r["lang_pred"]] < 1e-5
+
+
+def test_language_column_with_too_many_values_is_refused(spark, odd, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    with pytest.raises(ValueError, match="values of lang"):
+        langid.identify(odd.withColumn("lang", F.col("doc_id").cast("string")))
 
 
 def test_bpe_hands_rows_on_in_parts(spark, monkeypatch):
