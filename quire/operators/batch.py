@@ -10,10 +10,11 @@ the job (U6).
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, StringType, StructType
 
@@ -69,7 +70,7 @@ def _call_with_limit(fn, arg, seconds: float | None):
 
 def predict(df: DataFrame, make_predictor: Callable[[], Callable[[list[str]], list[list[str]]]],
             prompt_col: str = "prompt", id_col: str | list[str] = "row_id",
-            row_timeout: float | None = None) -> DataFrame:
+            row_timeout: float | None = None, timed: bool = False) -> DataFrame:
     """U3 + U6: k candidates per prompt over the input's own partitions:
     (id columns, candidates, status, error).
 
@@ -78,7 +79,8 @@ def predict(df: DataFrame, make_predictor: Callable[[], Callable[[list[str]], li
     the failing rows get ``status='error'`` (with the message) and empty candidates; so
     does a model that returns another number of answers than it was asked for.
     With ``row_timeout`` (seconds) rows are predicted one at a time and a row past
-    the limit gets ``status='timeout'`` (the original allowed 60 s per row).
+    the limit gets ``status='timeout'`` (the original allowed 60 s per row).  With ``timed`` there is a
+    column ``seconds``, each row's part of the time that the model took for its batch.
     """
 
     ids = [id_col] if isinstance(id_col, str) else list(id_col)
@@ -101,6 +103,7 @@ def predict(df: DataFrame, make_predictor: Callable[[], Callable[[list[str]], li
         model = make_predictor()
         for pdf in batches:
             prompts = pdf[prompt_col].fillna("").astype(str).tolist()
+            begun = time.monotonic()
             rows = None
             if not row_timeout:
                 try:
@@ -110,10 +113,11 @@ def predict(df: DataFrame, make_predictor: Callable[[], Callable[[list[str]], li
             if rows is None:
                 rows = [one(model, p) for p in prompts]
             cands, status, err = (list(x) for x in zip(*rows)) if rows else ([], [], [])
-            yield pdf[ids].assign(candidates=cands, status=status, error=err)
+            out = pdf[ids].assign(candidates=cands, status=status, error=err)
+            yield out.assign(seconds=(time.monotonic() - begun) / max(len(rows), 1)) if timed else out
 
     src = df.select(*ids, prompt_col)
-    schema = ", ".join(f"`{c}` {t}" for c, t in src.select(*ids).dtypes) + ", candidates array<string>, status string, error string"
+    schema = ", ".join(f"`{c}` {t}" for c, t in src.select(*ids).dtypes) + ", candidates array<string>, status string, error string" + (", seconds double" if timed else "")
     return src.mapInPandas(run, schema)
 
 
@@ -216,17 +220,43 @@ def stage_comparison(results: DataFrame, stages: list[str], run_col: str = "run"
                                              F.count_if(~F.col("passed")).alias("n_fail"))
 
 
+def _units() -> tuple[Column, Column]:
+    """Characters and white-space tokens of a row's candidates."""
+    chars = F.aggregate(F.transform("candidates", F.length), F.lit(0).cast("long"), lambda a, x: a + x)
+    toks = F.aggregate(F.transform("candidates", lambda c: F.size(py_split_ws(c))), F.lit(0).cast("long"), lambda a, x: a + x)
+    return chars, toks
+
+
 def throughput(preds: DataFrame, elapsed_sec: float | None = None) -> DataFrame:
     """Characters and whitespace tokens generated, per strategy; with the
     elapsed wall time (a driver value) also units per second."""
-    chars = F.aggregate(F.transform("candidates", F.length), F.lit(0).cast("long"), lambda a, x: a + x)
-    toks = F.aggregate(F.transform("candidates", lambda c: F.size(py_split_ws(c))), F.lit(0).cast("long"), lambda a, x: a + x)
+    chars, toks = _units()
     out = preds.groupBy("strategy").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(chars).alias("n_chars"), F.sum(toks).alias("n_tokens"))
     if elapsed_sec:
         out = out.withColumn("chars_per_sec", F.floor(F.col("n_chars") / F.lit(float(elapsed_sec))))
     return out
 
 
+def measured(preds: DataFrame, save: Callable[[DataFrame], None]) -> DataFrame:
+    """A11 of a real run: ``save`` (an action, such as writing the predictions) is run and timed, and its rows and
+    units are counted while they pass (``Observation``), without a second pass.
+
+    One row: n_rows, n_chars, n_tokens, ``wall_sec``, ``task_sec`` (the time that the model took in all
+    tasks, if the predictions were made with ``timed``), and characters and tokens a second of wall time.
+    """
+    chars, toks = _units()
+    busy = [F.sum("seconds").alias("task_sec")] if "seconds" in preds.columns else []
+    seen = Observation("throughput")
+    watched = preds.observe(seen, F.count(F.lit(1)).alias("n_rows"), F.sum(chars).alias("n_chars"), F.sum(toks).alias("n_tokens"), *busy)
+    begun = time.monotonic()
+    save(watched)
+    wall = time.monotonic() - begun
+    m = seen.get
+    n = {k: int(m.get(k) or 0) for k in ("n_rows", "n_chars", "n_tokens")}
+    row = (n["n_rows"], n["n_chars"], n["n_tokens"], wall, m.get("task_sec"), n["n_chars"] / wall, n["n_tokens"] / wall)
+    return preds.sparkSession.createDataFrame([row], "n_rows long, n_chars long, n_tokens long, wall_sec double, task_sec double, chars_per_sec double, tokens_per_sec double")
+
+
 def melt_loss(log: DataFrame, every: int = 10) -> DataFrame:
     """Training log -> (step, variable, value); the training loss only on
     steps divisible by ``every``, else NULL."""

@@ -51,8 +51,8 @@ def _numbered(df: DataFrame, order_cols: list[str], partitions: int | None) -> t
     """The rows with partition ``_pid`` and place ``_local`` of one range-partitioned sort, and the
     partitions' offsets (``_pid``, ``_n``, ``_off``).  The sort is written once: rows and offsets
     come from the same files, whatever a second sort would have sampled."""
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    tagged = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
+    # without a number, the session's shuffle partitions, which AQE merges to its advisory size
+    tagged = df.repartitionByRange(*([partitions] if partitions else []), *order_cols).sortWithinPartitions(*order_cols).withColumn("_mid", F.monotonically_increasing_id())
     tagged = tagged.withColumn("_pid", F.shiftright("_mid", 33)).withColumn("_local", F.col("_mid").bitwiseAND((1 << 33) - 1)).drop("_mid")
     written = cut_lineage(tagged, "dense_index")
     counts = written.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))

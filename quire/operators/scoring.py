@@ -108,6 +108,33 @@ def evaluate(examples: DataFrame, predictions: DataFrame, train_config: str, eva
     return None
 
 
+def evaluate_configs(examples: DataFrame, predictions: DataFrame, configs: list[str]) -> DataFrame:
+    """Scores (config, row_id, strategy, success) over several training configs.
+
+    ``predictions`` has a ``config`` column.  Each config is evaluated by its kind (E8 or E9), every example
+    under every strategy that has predictions for it; a strategy without any, and a config that
+    neither kind fits, are skipped, as a failing one is.  Which those are is one small row a config.
+    """
+    there = predictions.where(F.col("config").isin(configs)).groupBy("config").agg(F.sort_array(F.collect_set("strategy")).alias("s")).collect()
+    scores = None
+    for config, strategies in sorted((r["config"], r["s"]) for r in there):
+        own = evaluate(examples, predictions.where(F.col("config") == config).drop("config"), config, strategies=strategies)
+        if own is not None:
+            own = own.select(F.lit(config).alias("config"), "row_id", "strategy", "success")
+            scores = own if scores is None else scores.unionByName(own)
+    empty = examples.sparkSession.createDataFrame([], "config string, row_id long, strategy string, success boolean")
+    return empty if scores is None else scores
+
+
+def config_report(scores: DataFrame) -> DataFrame:
+    """Successes per config and over all (``config`` NULL): the rows right under any strategy, all rows, the
+    percentage, and the successes counted over strategies."""
+    per = scores.groupBy("config", "row_id").agg(F.count_if("success").alias("n"))
+    rows = per.unionByName(per.groupBy("row_id").agg(F.sum("n").alias("n")).withColumn("config", F.lit(None).cast("string")))
+    return rows.groupBy("config").agg(F.count_if(F.col("n") > 0).alias("n_any_success"), F.count(F.lit(1)).alias("n_rows"),
+                                      F.round(F.count_if(F.col("n") > 0) * 100.0 / F.count(F.lit(1)), 1).alias("pct_any_success"), F.sum("n").alias("success_count"))
+
+
 def success_rate(scores: DataFrame) -> DataFrame:
     """Correct rows and percentage (one decimal) per strategy, of all rows that ``scores`` has
     for it; rows without a prediction are there when the scores were made for a list of

@@ -11,8 +11,8 @@ from quire.operators import batch as B
 from quire.plans import oracle as O
 from quire.plans.driver import order_examples, part_predictions, table
 from quire.plans.registry import register
-from quire.session import checkpoint_dir
-from quire.sources.io import append_results, table_or_empty
+from quire.session import checkpoint_dir, delete_at_end
+from quire.sources.io import ResultsCache
 
 # The words that the stub model's window holds.
 WINDOW = 150
@@ -79,19 +79,37 @@ _J10_SQL = _PROMPTS_SQL + """SELECT conv_id, turn, array_to_string(c, ' | ') AS
 
 @register("j10_rerun_missing", _J10_SQL)
 def j10_rerun_missing(spark, sf):
-    """J10 + S7: results of the users' turns are stored and read back as the results cache;
-    only the rows without a good cached result are predicted, then both are united."""
+    """J10 + S7: results of the users' turns are in the results cache; only the rows without a good
+    result there are predicted and added, and the cache is compacted to one row a key."""
     todo = _prompts(spark, sf)
     todo = todo.withColumn("fingerprint", B.fingerprint(*_KEY, "prompt", df=todo))
     path = f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
-    first = B.predict(todo.where(F.col("role") == "user"), _model, id_col=["fingerprint", *_KEY])
-    append_results(first, path)
-    cached = table_or_empty(spark, path, first.schema)
-    missing = B.rerun_missing(todo, cached, ok=F.col("status") == "ok")
-    fresh = B.predict(missing, _model, id_col=_KEY).where(F.col("status") == "ok")
-    out = (cached.where(F.col("status") == "ok").select(*_KEY, "candidates", F.lit("cache").alias("origin"))
-           .unionByName(fresh.select(*_KEY, "candidates", F.lit("run").alias("origin"))))
-    return out.select(*_KEY, F.array_join("candidates", " | ").alias("candidates"), "origin")
+    delete_at_end(spark, path)
+    key, ok = ["fingerprint", *_KEY], F.col("status") == "ok"
+    first = B.predict(todo.where(F.col("role") == "user"), _model, id_col=key)
+    cache = ResultsCache(spark, path, ", ".join(f"{c} {t}" for c, t in first.dtypes))
+    cache.add(first)
+    cache.add(B.predict(cache.missing(todo, ok), _model, id_col=key))
+    cache.compact(ok)
+    origin = F.when(F.col("order") == 1, "cache").otherwise("run")
+    return cache.good(ok).select(*_KEY, F.array_join("candidates", " | ").alias("candidates"), origin.alias("origin"))
+
+
+_A11M_SQL = """WITH p AS (SELECT list_transform(words, lambda w: 'Template for ' || w) AS c FROM
+  (SELECT {words} AS words FROM conversations) WHERE len(words) BETWEEN 1 AND {window})
+SELECT (SELECT count(*) FROM conversations) AS n_rows, CAST(sum(list_sum(list_transform(c, lambda x: length(x)))) AS BIGINT) AS n_chars,
+  CAST(sum(3 * len(c)) AS BIGINT) AS n_tokens, true AS took_time FROM p""".format(words=O.usplit_ws("coalesce(text, '')"), window=WINDOW)
+
+
+@register("a11_measured_run", _A11M_SQL)
+def a11_measured_run(spark, sf):
+    """A11 of a real run: the predictor's rows are written, counted as they pass and timed (here only
+    whether the times are positive and fit each other)."""
+    path = f"{checkpoint_dir(spark)}/predictions-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
+    m = B.measured(B.predict(_prompts(spark, sf), _model, id_col=_KEY, timed=True), lambda df: df.write.parquet(path))
+    fits = (F.col("wall_sec") > 0) & (F.col("task_sec") > 0) & (F.abs(F.col("chars_per_sec") * F.col("wall_sec") - F.col("n_chars")) < 1)
+    return m.select("n_rows", "n_chars", "n_tokens", fits.alias("took_time"))
 
 
 _A11_SQL = f"""WITH {O.part_predictions_cte('template')}

@@ -99,6 +99,23 @@ def a7_any_strategy(spark, sf):
     return S.any_strategy_report(_template_scores(spark, sf))
 
 
+_CONFIGS_SQL = f"""WITH e8 AS ({_E8_SQL}), e9 AS ({_E9_SQL}),
+s AS (SELECT 'template_small' AS config, row_id, success FROM e8 UNION ALL SELECT 'lemma_object_small', row_id, coalesce(distance = 0, false) FROM e9),
+p AS (SELECT config, row_id, count_if(success) AS n FROM s GROUP BY ALL UNION ALL SELECT NULL, row_id, count_if(success) FROM s GROUP BY row_id)
+SELECT config, CAST(count_if(n > 0) AS BIGINT) AS n_any_success, count(*) AS n_rows, round(count_if(n > 0) * 100.0::DOUBLE / count(*), 1) AS pct_any_success, CAST(sum(n) AS BIGINT) AS success_count
+FROM p GROUP BY config"""
+
+
+@register("a7_all_configs", _CONFIGS_SQL)
+def a7_all_configs(spark, sf):
+    """A7 over training configs: per config and over all configs and strategies, the rows that any of them
+    gets right; a config that can't be evaluated and one without predictions are skipped."""
+    ex = part_examples(spark, sf)
+    tagged = [part_predictions(spark, sf, task).withColumn("config", F.lit(c)) for task, c in (("template", "template_small"), ("lemma", "lemma_object_small"), ("template", "other"))]
+    preds = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    return S.config_report(S.evaluate_configs(ex, preds, ["template_small", "lemma_object_small", "other", "template_large"]))
+
+
 _J8_SQL = f"""{_CTE}, w AS (SELECT row_id, strategy FROM {_EVERY}),
 given AS (SELECT DISTINCT p_partkey - off AS row_id, strategy FROM part, (VALUES {", ".join(f"('{s}', {o})" for s, _, o in PREDICTION_OFFSETS)}) o(strategy, off))
 SELECT coalesce(g.strategy, w.strategy) AS strategy, count(w.row_id) AS n_examples,

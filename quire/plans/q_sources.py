@@ -29,6 +29,14 @@ def _folder(spark, name):
     return path
 
 
+@register("s1_corpus_scan", f"""WITH {O.statements_cte()} SELECT theory_file, text FROM st_thy""")
+def s1_corpus_scan(spark, sf):
+    """Every document's theory is written to a file of its own, and the folder is scanned."""
+    root = _folder(spark, "corpus")
+    io.corpus_write(document_theories(spark, sf), root)
+    return io.corpus_scan(spark, root).select("theory_file", "text")
+
+
 @register("s3_dataset_save", _BASE_SQL + "SELECT row_id, theory_file, CASE WHEN split = 'test' THEN 'again' ELSE lang END AS lang, split FROM base")
 def s3_dataset_save(spark, sf):
     """S3 + S2: a dataset of three splits is saved, its test split is saved again, all are loaded."""

@@ -10,18 +10,24 @@ caller; nothing is written to a machine-local folder.
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
+import re
+import uuid
+from collections.abc import Iterator
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.list_file import RANGE_BYTES, read_lists
+
 PREDICTIONS_SCHEMA = "row_id long, strategy string, candidates array<string>"
 
 
 def corpus_scan(spark: SparkSession, root: str, suffix: str = ".thy") -> DataFrame:
     """Every ``*<suffix>`` file under ``root`` (recursively) as one row:
     ``(theory_file, text)`` where ``theory_file`` is the path relative to ``root``
-    without the suffix.  Files are read whole (``wholetext``), one task per file
+    without the suffix.  An empty file gives no row.  Files are read whole (``wholetext``), one task per file
     split, in parallel."""
     df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}")
           .text(root, wholetext=True))
@@ -33,14 +39,34 @@ def corpus_scan(spark: SparkSession, root: str, suffix: str = ".thy") -> DataFra
     return df.select(name.alias("theory_file"), F.col("value").alias("text"))
 
 
+def corpus_write(theories: DataFrame, root: str, suffix: str = ".thy") -> int:
+    """The inverse of S1: one file a row (theory_file, text) under ``root``, written by the tasks; the number
+    of files.  A text is written to its place in one step, so a task that is run again repeats it."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, base = fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", root if "://" in root else f"file://{root}"))
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                path = f"{base}/{name}{suffix}"
+                where.create_dir(path.rpartition("/")[0], recursive=True)
+                with where.open_output_stream(path) as out:
+                    out.write((text or "").encode("utf-8"))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
+
+    return theories.select("theory_file", "text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def dataset_path(root: str, name: str, config: str) -> str:
     return f"{root.rstrip('/')}/{name}/config={config}"
 
 
 def dataset_load(spark: SparkSession, root: str, name: str, config: str, split: str | None = None) -> DataFrame:
-    """Load a dataset; ``split`` None or ``"all"`` reads every split (the
+    """Load a dataset, by the label of a versioned save or by its config; ``split`` None or ``"all"`` reads every split (the
     ``split`` column stays), otherwise only that split's folder is read."""
-    df = spark.read.parquet(dataset_path(root, name, config))
+    data = _read_text(spark, _pointer(root, name, config))
+    df = spark.read.parquet(f"{root.rstrip('/')}/{name}/{data}" if data else dataset_path(root, name, config))
     if split is None or split == "all":
         return df
     return df.where(F.col("split") == split)
@@ -55,14 +81,68 @@ def dataset_save(df: DataFrame, root: str, name: str, config: str, mode: str = "
 
 
 def versioned_save(df: DataFrame, root: str, name: str, config: str, today: str | None = None) -> tuple[str, str]:
-    """Write under the dated label ``<config>-<YYYY-MM-DD>`` and the moving label
-    ``<config>``.  The data is computed once: the dated copy is written, then read
-    back for the moving one (no recomputation, nothing cached on executors)."""
+    """Save under the dated label ``<config>-<YYYY-MM-DD>`` and the moving label ``<config>``.
+
+    The data is written once, to a new folder; a label is a small file that names it, replaced in one
+    step when the data is complete.  So a label never shows half a save, readers of the former
+    data go on reading it, and there is no second copy.  (The step is one rename; it is atomic on
+    file systems whose renames are.)  Returns the paths of the two labels.
+    """
     label = f"{config}-{today or _dt.date.today().strftime('%Y-%m-%d')}"
-    dated = dataset_save(df, root, name, label)
-    spark = df.sparkSession
-    dataset_save(spark.read.parquet(dated), root, name, config)
-    return dated, dataset_path(root, name, config)
+    data = f"data/{label}-{uuid.uuid4().hex}"
+    base = f"{root.rstrip('/')}/{name}"
+    df.write.partitionBy("split").parquet(f"{base}/{data}")
+    pointers = (_pointer(root, name, label), _pointer(root, name, config))
+    for p in pointers:
+        _replace_text(df.sparkSession, p, data)
+    return pointers
+
+
+def prune_versions(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Deletes the data folders that no label names any more (saves of one day replace each other's)."""
+    base = f"{root.rstrip('/')}/{name}"
+    fs, path = _fs(spark, base)
+    if not fs.exists(path(f"{base}/data")):
+        return []
+    named = {_read_text(spark, str(f.getPath())) for f in fs.listStatus(path(f"{base}/versions"))}
+    gone = [str(f.getPath().getName()) for f in fs.listStatus(path(f"{base}/data")) if f"data/{f.getPath().getName()}" not in named]
+    for g in gone:
+        fs.delete(path(f"{base}/data/{g}"), True)
+    return gone
+
+
+def _pointer(root: str, name: str, label: str) -> str:
+    return f"{root.rstrip('/')}/{name}/versions/{label}"
+
+
+def _fs(spark: SparkSession, where: str):
+    """(Hadoop file system of a path, its path constructor)."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(where).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _replace_text(spark: SparkSession, where: str, text: str) -> None:
+    fs, make = _fs(spark, where)
+    new = make(f"{where}.{uuid.uuid4().hex}")
+    out = fs.create(new, False)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    over = gateway.new_array(option, 1)
+    over[0] = option.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(make(where).toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, make(where), over)
+
+
+def _read_text(spark: SparkSession, where: str) -> str | None:
+    fs, make = _fs(spark, where)
+    if not fs.exists(make(where)):
+        return None
+    source = fs.open(make(where))
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
 
 
 def predictions_json_save(preds: DataFrame, path: str, debug: bool = False) -> str:
@@ -81,17 +161,13 @@ def predictions_json_load(spark: SparkSession, path: str, clean: bool = True) ->
     return df.withColumn("candidates", F.transform("candidates", clean_term)) if clean else df
 
 
-def predictions_list_file_load(spark: SparkSession, path: str, strategy: str, clean: bool = True) -> DataFrame:
+def predictions_list_file_load(spark: SparkSession, path: str, strategy: str, clean: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """S6 (raw form): a file holding one JSON list of candidate lists, aligned by
-    position.  Each file is parsed whole and exploded with its position as
-    ``row_id``; the list order is the row order.  Candidates are cleaned (E2); a malformed
-    file fails."""
+    position: the place in the list is the ``row_id``.  One large file is read by many tasks
+    (see ``list_file``).  Candidates are cleaned (E2); a malformed file fails."""
     from quire.functions.text import clean_term
 
-    raw = spark.read.text(path, wholetext=True)
-    lists = F.from_json("value", "array<array<string>>", {"mode": "FAILFAST"})
-    out = raw.select(F.posexplode(lists).alias("row_id", "candidates")).select(
-        F.col("row_id").cast("long").alias("row_id"), F.lit(strategy).alias("strategy"), "candidates")
+    out = read_lists(spark, path, range_bytes).select("row_id", F.lit(strategy).alias("strategy"), "candidates")
     return out.withColumn("candidates", F.transform("candidates", clean_term)) if clean else out
 
 
@@ -108,3 +184,62 @@ def table_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def append_results(df: DataFrame, path: str) -> None:
     """S7 (save): add computed rows to the results table."""
     df.write.mode("append").parquet(path)
+
+
+class ResultsCache:
+    """Computed rows kept by ``key`` in buckets, the last good result of each key.
+
+    Files are bucketed and sorted by key, so looking up what is missing (``missing``) moves only the
+    asked rows; the cache's side has no exchange.  ``add`` appends a run; ``compact`` writes one row a
+    key, the latest good one or else the latest, to a new folder and then moves the pointer to it,
+    so readers see one state or the other.  ``order`` is added: the number of the run.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str, key: str = "fingerprint", buckets: int = 32):
+        self.spark, self.root, self.key, self.buckets = spark, root.rstrip("/"), key, buckets
+        self.schema = spark.createDataFrame([], schema).withColumn("order", F.lit(0).cast("long")).schema
+
+    def _folder(self) -> str:
+        return f"{self.root}/{_read_text(self.spark, f'{self.root}/current') or 'first'}"
+
+    def _write(self, df: DataFrame, folder: str, mode: str) -> None:
+        names = [f.name for f in self.schema.fields]
+        spread = df.select(*names).repartition(self.buckets, self.key)  # a file a bucket
+        spread.write.mode(mode).option("path", folder).bucketBy(self.buckets, self.key).sortBy(self.key).saveAsTable(self._table(folder))
+
+    def _table(self, folder: str) -> str:
+        return "results_" + hashlib.md5(folder.encode()).hexdigest()
+
+    def read(self) -> DataFrame:
+        """All rows (several a key between compactions), in buckets."""
+        folder, name = self._folder(), self._table(self._folder())
+        if not self.spark.catalog.tableExists(name):
+            cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.schema.fields)
+            self.spark.sql(f"CREATE TABLE {name} ({cols}) USING parquet CLUSTERED BY (`{self.key}`) SORTED BY (`{self.key}`) INTO {self.buckets} BUCKETS LOCATION '{folder}'")
+        return self.spark.table(name)
+
+    def add(self, run: DataFrame) -> None:
+        """Appends the rows of one run."""
+        last = self.read().agg(F.max("order")).first()[0]
+        self._write(run.withColumn("order", F.lit((last or 0) + 1).cast("long")), self._folder(), "append")
+        self.spark.catalog.refreshTable(self._table(self._folder()))
+
+    def good(self, ok: Column) -> DataFrame:
+        return self.read().where(ok)
+
+    def missing(self, todo: DataFrame, ok: Column) -> DataFrame:
+        """The rows of ``todo`` that have no good result yet."""
+        return todo.join(self.good(ok).select(self.key), self.key, "left_anti")
+
+    def compact(self, ok: Column) -> None:
+        """Leaves one row a key: the last good one, or the last one if none is good."""
+        rows = self.read()
+        rest = [f.name for f in self.schema.fields if f.name != self.key]
+        best = rows.groupBy(self.key).agg(F.max_by(F.struct(*rest), F.struct(F.coalesce(ok, F.lit(False)), "order")).alias("r")).select(self.key, "r.*")
+        new = f"compacted-{uuid.uuid4().hex}"
+        old = self._folder()
+        self._write(best, f"{self.root}/{new}", "overwrite")
+        _replace_text(self.spark, f"{self.root}/current", new)
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._table(old)}")
+        fs, make = _fs(self.spark, old)
+        fs.delete(make(old), True)

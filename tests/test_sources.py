@@ -1,8 +1,10 @@
 """Sources: splits are replaced one by one, strict prediction files, the results cache, files to lemmas."""
 
 import json
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import extract as X
 from quire.operators import scoring as S
@@ -85,3 +87,112 @@ def test_stream_refuses_a_config_without_evaluation(spark, tmp_path):
     ex = spark.createDataFrame([(1, "t")], "row_id long, template string")
     with pytest.raises(ValueError):
         score_prediction_stream(spark, str(tmp_path), ex, str(tmp_path / "out"), train_config="other", checkpoint=str(tmp_path / "c"))
+
+
+@pytest.mark.parametrize("range_bytes", [1, 2, 5, 17, 1000])
+def test_list_files_by_ranges_equal_the_whole_file(spark, tmp_path, range_bytes):
+    """Strings with brackets, commas, quotes and backslash runs; nulls, empty lists, white space."""
+    rnd = random.Random(range_bytes)
+    atoms = ["a", "[", "]", ",", '"', "\\", "\\\\", '\\"', "é", "漢", "\n", "],[", " "]
+    lists = [None if rnd.random() < 0.1 else [None if rnd.random() < 0.1 else "".join(rnd.choice(atoms) for _ in range(rnd.randint(0, 6))) for _ in range(rnd.randint(0, 3))] for _ in range(25)]
+    path = tmp_path / "lists.json"
+    path.write_text(json.dumps(lists, ensure_ascii=rnd.random() < 0.5, indent=rnd.choice([None, 1])))
+    got = io.predictions_list_file_load(spark, str(path), "greedy", clean=False, range_bytes=range_bytes)
+    assert [(r["row_id"], r["candidates"]) for r in got.orderBy("row_id").collect()] == list(enumerate(lists))
+
+
+def test_list_files_of_odd_shapes(spark, tmp_path):
+    for i, (text, want) in enumerate([("[]", []), (" [ ] \n", []), ("[[]]", [[]]), ('[ ["x"] ]', [["x"]]), ("[null]", [None])]):
+        (tmp_path / f"{i}.json").write_text(text)
+        got = io.predictions_list_file_load(spark, str(tmp_path / f"{i}.json"), "greedy", clean=False, range_bytes=3)
+        assert [r["candidates"] for r in got.orderBy("row_id").collect()] == want, text
+    for i, text in enumerate(['[["a"]', '["a"', "[[1]]", '[["a"]]]', '[["a",]]']):
+        (tmp_path / f"bad{i}.json").write_text(text)
+        with pytest.raises(Exception):
+            io.predictions_list_file_load(spark, str(tmp_path / f"bad{i}.json"), "greedy", range_bytes=2).collect()
+
+
+def test_one_large_list_file_is_many_tasks(spark, tmp_path):
+    lists = [[f"candidate {i} of {j}" for j in range(4)] for i in range(5000)]
+    (tmp_path / "big.json").write_text(json.dumps(lists))
+    got = io.predictions_list_file_load(spark, str(tmp_path / "big.json"), "greedy", range_bytes=20_000)
+    parts = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 10 and got.select("row_id").distinct().count() == 5000
+    assert got.agg(F.min("row_id"), F.max("row_id")).first() == (0, 4999)
+
+
+def test_labels_show_whole_saves_only(spark, tmp_path):
+    def rows(n):
+        return spark.range(n).select(F.col("id").alias("row_id"), F.lit("train").alias("split"))
+
+    root = str(tmp_path)
+    io.versioned_save(rows(3), root, "d", "c", today="2024-01-01")
+    before = io.dataset_load(spark, root, "d", "c")
+    broken = rows(2).withColumn("row_id", F.raise_error(F.lit("boom")))
+    with pytest.raises(Exception):
+        io.versioned_save(broken, root, "d", "c", today="2024-01-02")
+    assert io.dataset_load(spark, root, "d", "c").count() == 3  # the failed save isn't seen
+    io.versioned_save(rows(7), root, "d", "c", today="2024-01-02")
+    assert io.dataset_load(spark, root, "d", "c").count() == 7 and before.count() == 3
+    assert io.dataset_load(spark, root, "d", "c-2024-01-01", "train").count() == 3
+    files = [f for f in (tmp_path / "d" / "data").rglob("*.parquet")]
+    assert len({f.parts[-3] for f in files if "2024-01-02" in str(f)}) <= 2  # the failed one's folder and one copy
+    io.versioned_save(rows(9), root, "d", "c", today="2024-01-02")
+    gone = io.prune_versions(spark, root, "d")
+    assert len(gone) >= 1 and io.dataset_load(spark, root, "d", "c").count() == 9 and io.dataset_load(spark, root, "d", "c-2024-01-01").count() == 3
+
+
+def test_results_cache_keeps_the_last_good_result(spark, tmp_path):
+    cache = io.ResultsCache(spark, str(tmp_path / "cache"), "fingerprint string, answer string, status string", buckets=4)
+    ok = F.col("status") == "ok"
+    todo = spark.createDataFrame([(f"k{i}",) for i in range(40)], "fingerprint string")
+    assert cache.missing(todo, ok).count() == 40
+    cache.add(todo.select("fingerprint", F.lit("one").alias("answer"), F.when(F.col("fingerprint").endswith("7"), "error").otherwise("ok").alias("status")))
+    missing = cache.missing(todo, ok)
+    assert sorted(r[0] for r in missing.collect()) == ["k17", "k27", "k37", "k7"]
+    # the cache's side of the anti join has no exchange: one shuffle, of the asked rows
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = cache.missing(todo, ok)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan
+    cache.add(missing.select("fingerprint", F.lit("two").alias("answer"), F.lit("ok").alias("status")))
+    cache.add(todo.where("fingerprint = 'k3'").select("fingerprint", F.lit("three").alias("answer"), F.lit("error").alias("status")))
+    assert cache.read().count() == 45
+    cache.compact(ok)
+    rows = {r["fingerprint"]: (r["answer"], r["status"]) for r in cache.read().collect()}
+    assert cache.read().count() == len(rows) == 40
+    assert rows["k7"] == ("two", "ok") and rows["k3"] == ("one", "ok") and rows["k1"] == ("one", "ok")
+    again = io.ResultsCache(spark, str(tmp_path / "cache"), "fingerprint string, answer string, status string", buckets=4)
+    assert again.missing(todo, ok).count() == 0
+
+
+def test_measured_run_counts_while_it_writes(spark, tmp_path):
+    from quire.operators import batch as B
+
+    df = spark.createDataFrame([(i, "two words" if i % 5 else "") for i in range(50)], "row_id long, prompt string")
+    preds = B.predict(df, B.stub_predictor, timed=True)
+    m = B.measured(preds, lambda d: d.write.parquet(str(tmp_path / "p"))).first()
+    assert (m["n_rows"], m["n_tokens"]) == (50, 40 * 2 * 3) and m["n_chars"] == 40 * len("Template for two" + "Template for words")
+    assert m["wall_sec"] > 0 and m["task_sec"] > 0 and abs(m["chars_per_sec"] * m["wall_sec"] - m["n_chars"]) < 1e-6
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 50
+    plain = B.measured(preds.drop("seconds"), lambda d: d.write.parquet(str(tmp_path / "q"))).first()
+    assert plain["n_rows"] == 50 and plain["task_sec"] is None
+
+
+def test_evaluation_over_configs_skips_what_fails(spark):
+    ex = spark.createDataFrame([(i, f"t{i}", f"?x{i} = c") for i in range(4)], "row_id long, template string, lemma_object string")
+    rows = [("template_a", 0, "greedy", ["t0"]), ("template_a", 1, "beam-search", ["x", "t1"]), ("lemma_object_b", 0, "greedy", ["?y0 = c"]), ("lemma_object_b", 2, "greedy", ["?z = c"]), ("nonsense", 3, "greedy", ["t3"])]
+    pr = spark.createDataFrame(rows, "config string, row_id long, strategy string, candidates array<string>")
+    scores = S.evaluate_configs(ex, pr, ["template_a", "lemma_object_b", "nonsense", "template_without_predictions"])
+    assert scores.count() == 4 * 2 + 4
+    got = {r["config"]: tuple(r)[1:] for r in S.config_report(scores).collect()}
+    assert got == {"template_a": (2, 4, 50.0, 2), "lemma_object_b": (2, 4, 50.0, 2), None: (3, 4, 75.0, 4)}
+    assert S.evaluate_configs(ex, pr, ["nonsense"]).count() == 0
+
+
+def test_corpus_written_and_scanned(spark, tmp_path):
+    df = spark.createDataFrame([("a/T1", "x\ny"), ("a/b/T2", " "), ("T3", "é\n")], "theory_file string, text string")
+    assert io.corpus_write(df, str(tmp_path / "thys")) == 3
+    assert sorted(map(tuple, io.corpus_scan(spark, str(tmp_path / "thys")).collect())) == sorted(map(tuple, df.collect()))
