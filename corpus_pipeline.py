@@ -2,6 +2,11 @@
 
 ``STAGES`` are applied in order to ``documents``; each stage's result is written as Parquet and read
 again as the next one's input.  All but the last return the columns of ``documents``.
+
+Defined results: a null text counts as empty and a null id as no id in every stage (see the operators);
+repeated rows are copies, of which one stays; documents without labels are judged by the ones that
+have them, and without any labels or benchmark all pass those stages; an empty table gives no rows;
+further columns, whatever their names, go along until the last stage.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quire.llm import decontam, exact_dedup, quality, simhash
 from quire.llm.common import pick, table, work_folder
 from quire.llm.queries import bpe_digests
+from quire.session import delete_now, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -55,10 +61,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, from ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage, from ``documents``.
+
+    A stage's intermediate tables go when its result is written, and so does the result before it.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = work_folder(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before is not None:
+            delete_now(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +66,29 @@ def cut_lineage(df: DataFrame, name: str = "tbl") -> DataFrame:
 
 
 def delete_at_end(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of this application when its JVM ends."""
+    """Deletes a folder of this application when its JVM ends, or when the ``scratch`` around it does."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    if _SCRATCH:
+        _SCRATCH[-1].append(path)
+
+
+def delete_now(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Folders made inside each open ``scratch``.
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the intermediate tables made inside when the work inside is done (its results written)."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for path in _SCRATCH.pop():
+            delete_now(spark, path)
