@@ -13,17 +13,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, NGram, VectorAssembler
+from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.common import ascii_lower
 
-#: Hash buckets of n-grams (for host and path each), their lengths, and the strength of the L2 penalty.
+#: Hash buckets of n-grams, their lengths, and the strength of the L2 penalty.
 BUCKETS = 1 << 16
 GRAMS = (3, 4, 5)
 PENALTY = 0.0003
+#: What stands before an n-gram of the host, and of the path.
+MARKS = {"host": "h:", "path": "p:"}
 
 #: The rules of the registered query, (host and path, verdict).
 RULES = (
@@ -122,7 +124,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tup
 
 def features(urls: DataFrame) -> DataFrame:
     """The urls with ``host``, ``path`` and ``features``: hashed n-grams of the characters of the framed
-    host in one half of the vector, those of the path in the other (an empty part has none)."""
+    host and path, those of either with its mark in front (an empty part has none)."""
     host, path = host_path(F.col("url"))
     out = urls.withColumns({"host": host, "path": path})
     for part in ("host", "path"):
@@ -130,9 +132,15 @@ def features(urls: DataFrame) -> DataFrame:
         out = out.withColumn(f"{part}_chars", F.when(F.length(part) > 0, framed).otherwise(F.array().cast("array<string>")))
         for n in GRAMS:
             out = NGram(n=n, inputCol=f"{part}_chars", outputCol=f"{part}_{n}").transform(out)
-        out = out.withColumn(f"{part}_grams", F.concat(*[f"{part}_{n}" for n in GRAMS]))
-        out = HashingTF(numFeatures=BUCKETS, inputCol=f"{part}_grams", outputCol=f"{part}_hashed", binary=True).transform(out)
-    return VectorAssembler(inputCols=["host_hashed", "path_hashed"], outputCol="features").transform(out)
+    def marked(part: str, n: int) -> Column:
+        return F.transform(f"{part}_{n}", lambda g: F.concat(F.lit(MARKS[part]), g))
+
+    every = F.concat(*[marked(part, n) for part in MARKS for n in GRAMS])
+    return hashing().transform(out.withColumn("grams", every))
+
+
+def hashing() -> HashingTF:
+    return HashingTF(numFeatures=BUCKETS, inputCol="grams", outputCol="features", binary=True)
 
 
 def fit(labelled: DataFrame) -> LogisticRegressionModel:

@@ -72,9 +72,10 @@ def test_held_out_urls(spark, model):
     assert len(wrong) <= 4, wrong
 
 
-def test_host_and_path_both_have_weight(model):
-    w = np.abs(model.coefficients.toArray())
-    host, path = w[: url_filter.BUCKETS].sum(), w[url_filter.BUCKETS :].sum()
+def test_host_and_path_both_have_weight(spark, model):
+    w, place = np.abs(model.coefficients.toArray()), url_filter.hashing().indexOf
+    seen = {g for r in url_filter.features(url_filter.labelled_urls(spark)).select("grams").collect() for g in r["grams"]}
+    host, path = (sum(w[place(g)] for g in seen if g.startswith(m)) for m in url_filter.MARKS.values())
     assert 0.1 < path / host < 10
 
 
