@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,13 @@ def id_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % n
 
 
+def file_system(uri: str):
+    """(pyarrow file system, path in it) of a place that Spark names; pyarrow knows ``s3a`` and ``s3n`` as ``s3``."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder, deleted when the application ends."""
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import marked, pick, unmarked, work_folder
+from quire.llm.common import file_system, marked, pick, unmarked, work_folder
 
 WINDOW = 13
 #: A document is contaminated if at least one in so many of its words is hit.
@@ -335,7 +335,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, null_ids: bool
 
 
 def opened(file: str, window: int) -> Benchmark:
-    where, path = fs.FileSystem.from_uri(file)
+    where, path = file_system(file)
     with where.open_input_file(path) as f:
         t = pq.read_table(f, columns=["id", "text"])
     items = zip(t.column("id").to_pylist(), t.column("text").to_pylist())

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import stored, work_folder
+from quire.llm.common import file_system, stored, work_folder
 from quire.session import cut_lineage
 
 #: Fixed values of the formats.
@@ -85,12 +85,6 @@ def plan_records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return p.join(first, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
 
-def _open(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the records to archives in a shared folder; the manifest (path, bytes, records)."""
 
@@ -102,7 +96,7 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
             for row in zip(*(batch.column(i) for i in range(5))):
                 if out is None:
                     uri = f"{folder}/{uuid.uuid4().hex}.warc.gz"
-                    fs, path = _open(uri)
+                    fs, path = file_system(uri)
                     fs.create_dir(path.rsplit("/", 1)[0])
                     out, size, n = fs.open_output_stream(path, compression=None), 0, 0
                 member = gzip_member(record(*(v.as_py() for v in row)))
@@ -212,7 +206,7 @@ def read_records(parts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, size, start, end in zip(*(c.to_pylist() for c in batch.columns)):
-                fs, at = _open(path)
+                fs, at = file_system(path)
                 rows, held = [], 0
                 with fs.open_input_file(at) as file:
                     for offset, head, block in records_in(file, size, start, end):
