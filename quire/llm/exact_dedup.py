@@ -34,8 +34,8 @@ from quire.llm.common import marked, unmarked, work_folder
 #: Input of one micro-batch, which bounds the keys that a batch changes; every later batch looks up the
 #: state that the earlier ones left.
 BATCH_BYTES = 128 << 20
-#: Bits of the filter that keeps texts without a hit from being shuffled (16 MB, whatever the input).
-FILTER_BITS = 1 << 27
+#: Bits of the filter that keeps texts without a hit from being shuffled (2 MB, whatever the input).
+FILTER_BITS = 1 << 24
 _BITMAP = 1 << 15  # bits of one bitmap of Spark's bitmap functions
 #: Rows are told apart by where they lie.
 PLACE = ["file", "row"]
