@@ -121,7 +121,10 @@ def test_pairs_within_threshold_share_a_home(codes):
         assert len(home) == 1 and home[0] in seen
 
 
-def test_links_equal_brute_force(spark):
+@pytest.mark.parametrize("third_from", [simhash.THIRD_BLOCK_FROM, 1])
+def test_links_equal_brute_force(spark, monkeypatch, third_from):
+    """Also with the third block of anchors."""
+    monkeypatch.setattr(simhash, "THIRD_BLOCK_FROM", third_from)
     rng = np.random.default_rng(3)
     centres = rng.integers(-(2**63), 2**63 - 1, 40)
     fps = set()
