@@ -122,7 +122,7 @@ def normalize_vars(c) -> Column:
 # --- statement names -------------------------------------------------------
 
 _FLAGS = "(?sU)"  # DOTALL, and Unicode \w / \s as in Python 3 str patterns
-_THM_CMD = "(" + "|".join(THEOREM_KINDS[::-1]) + ")"
+_THM_CMD = "(" + "|".join(THEOREM_KINDS) + ")"
 _DEF_CMD = "(" + "|".join(DEFINITION_KINDS) + ")"
 
 

@@ -226,10 +226,12 @@ def candidates(templates: DataFrame, symbols: DataFrame, multi: bool = False, po
 
 
 def conjectures(cands: DataFrame, refuted: DataFrame) -> DataFrame:
-    """Candidates without a counterexample (anti join on the canonical form;
-    ``refuted`` holds ``canonical`` arrays found false by a tester)."""
-    c = cands.withColumn("canonical", TM.canon("candidate", "free", typed=False))
-    return c.join(refuted.select("canonical").distinct(), "canonical", "left_anti").drop("canonical")
+    """Candidates without a counterexample (``refuted`` holds ``canonical`` arrays found false by a
+    tester).  The anti join is on the digest of the canonical form, so the refuted side moves 32
+    bytes a form and the candidates' forms don't move at all."""
+    digest = lambda c: F.unhex(F.sha2(F.to_json(c), 256)).alias("__form")
+    c = cands.withColumn("__form", digest(TM.canon("candidate", "free", typed=False)))
+    return c.join(refuted.select(digest(F.col("canonical"))).distinct(), "__form", "left_anti").drop("__form")
 
 
 def rediscovered(terms: DataFrame, cands: DataFrame, runs: DataFrame | None = None) -> DataFrame:
