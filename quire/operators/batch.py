@@ -25,10 +25,46 @@ from quire.functions.text import py_split_ws
 STUB_PREFIX = "Template for "
 
 
-def stub_predictor(k: int | None = None, window: int | None = None) -> Callable[[list[str]], list[list[str]]]:
+def stub_predictor(k: int | None = None) -> Callable[[list[str]], list[list[str]]]:
     """A model stand-in: for every prompt, ``Template for <w>`` for each of its words (the first
-    ``k``, if given).  It refuses (raises on) a prompt without words and, like a model with a
-    limited window, one of more than ``window`` words."""
+    ``k``, if given).  A prompt without words raises (to exercise the error path)."""
+
+    def predict(prompts: list[str]) -> list[list[str]]:
+        out = []
+        for p in prompts:
+            words = p.split()
+            if not words:
+                raise ValueError("empty prompt")
+            out.append([STUB_PREFIX + w for w in words[:k]])
+        return out
+
+    return predict
+
+
+# Words that a trained bigram model knows, and words of a continuation.
+VOCABULARY = 50_000
+CONTINUATION = 5
+
+
+def train_bigrams(texts: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY) -> dict[str, str]:
+    """A word model of a table of texts: for each of the ``vocabulary`` words that are most often followed by
+    another one (ties: in order of the words), the word that follows it most often (ties: the first).
+
+    Pairs are counted by a combinable aggregate; only the model, at most ``vocabulary`` rows, reaches
+    the driver and, in the predictor, the tasks.
+    """
+    words = texts.select(py_split_ws(text_col).alias("w"))
+    pairs = words.select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", F.lit(2), F.size("w")).alias("b"))).alias("p"))
+    counts = pairs.groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n"))
+    follows = counts.groupBy("a").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("n"), "b")).alias("best"))
+    rows = follows.orderBy(F.desc("total"), "a").limit(vocabulary).select("a", F.col("best.b").alias("b")).collect()
+    return {r["a"]: r["b"] for r in rows}
+
+
+def bigram_predictor(model: dict[str, str], length: int = CONTINUATION, window: int | None = None) -> Callable[[list[str]], list[list[str]]]:
+    """A predictor that continues a prompt, word by word from its last one, by the most frequent follower, as
+    far as the model knows one and up to ``length`` words; a prompt whose last word it doesn't know
+    has no candidate.  It refuses (raises on) a prompt without words or with more than ``window``."""
 
     def predict(prompts: list[str]) -> list[list[str]]:
         out = []
@@ -38,7 +74,11 @@ def stub_predictor(k: int | None = None, window: int | None = None) -> Callable[
                 raise ValueError("empty prompt")
             if window is not None and len(words) > window:
                 raise ValueError(f"{len(words)} words in a window of {window}")
-            out.append([STUB_PREFIX + w for w in words[:k]])
+            said, word = [], words[-1]
+            while len(said) < length and word in model:
+                word = model[word]
+                said.append(word)
+            out.append([" ".join(said)] if said else [])
         return out
 
     return predict

@@ -14,11 +14,17 @@ from quire.plans.registry import register
 from quire.session import checkpoint_dir, delete_at_end
 from quire.sources.io import ResultsCache
 
-# The words that the stub model's window holds.
+# The words that the model's window holds.
 WINDOW = 150
 
-_PROMPTS_SQL = f"""WITH pd AS (SELECT conv_id, turn, role, CASE WHEN ok THEN list_transform(words, lambda w: 'Template for ' || w) ELSE [] END AS c, CASE WHEN ok THEN 'ok' ELSE 'error' END AS status
-  FROM (SELECT *, len(words) BETWEEN 1 AND {WINDOW} AS ok FROM (SELECT conv_id, turn, role, {O.usplit_ws("coalesce(text, '')")} AS words FROM conversations)))
+_STEPS = " ".join(f"LEFT JOIN nx c{i} ON c{i}.a = {'w.words[len(w.words)]' if i == 1 else f'c{i - 1}.b'}" for i in range(1, B.CONTINUATION + 1))
+_PROMPTS_SQL = f"""WITH w AS (SELECT conv_id, turn, role, {O.usplit_ws("coalesce(text, '')")} AS words FROM conversations),
+pairs AS (SELECT unnest(list_transform(range(1, len(words)), lambda i: {{'a': words[i], 'b': words[i + 1]}})) AS p FROM w),
+cnt AS (SELECT p.a AS a, p.b AS b, count(*) AS n FROM pairs GROUP BY ALL),
+tot AS (SELECT a FROM cnt GROUP BY a ORDER BY sum(n) DESC, a LIMIT {B.VOCABULARY}),
+nx AS (SELECT a, list(b ORDER BY n DESC, b)[1] AS b FROM cnt JOIN tot USING (a) GROUP BY a),
+pd AS (SELECT conv_id, turn, role, CASE WHEN ok AND said <> '' THEN [said] ELSE [] END AS c, CASE WHEN ok THEN 'ok' ELSE 'error' END AS status
+  FROM (SELECT w.*, len(words) BETWEEN 1 AND {WINDOW} AS ok, concat_ws(' ', {', '.join(f'c{i}.b' for i in range(1, B.CONTINUATION + 1))}) AS said FROM w {_STEPS}))
 """
 
 
@@ -27,8 +33,10 @@ def _prompts(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.col("text").alias("prompt"))
 
 
-def _model():
-    return B.stub_predictor(window=WINDOW)
+def _model(spark, sf):
+    """A word model trained on all turns; the factory of its predictor, called once a task."""
+    model = B.train_bigrams(table(spark, sf, "conversations"))
+    return lambda: B.bigram_predictor(model, window=WINDOW)
 
 
 _KEY = ["conv_id", "turn"]
@@ -36,9 +44,9 @@ _KEY = ["conv_id", "turn"]
 
 @register("u3_predict", _PROMPTS_SQL + "SELECT conv_id, turn, array_to_string(c, ' | ') AS candidates, status FROM pd")
 def u3_predict(spark, sf):
-    """U3 + U6: the stub predictor over partitions (mapInPandas, model made once per
-    task), keyed by conversation and turn; a failing row becomes status 'error'."""
-    p = B.predict(_prompts(spark, sf), _model, id_col=_KEY)
+    """U3 + U6: a trained word model over partitions (mapInPandas, its predictor made once per
+    task), keyed by conversation and turn; a refused row becomes status 'error'."""
+    p = B.predict(_prompts(spark, sf), _model(spark, sf), id_col=_KEY)
     return p.select(*_KEY, F.array_join("candidates", " | ").alias("candidates"), "status")
 
 
@@ -85,20 +93,18 @@ def j10_rerun_missing(spark, sf):
     todo = todo.withColumn("fingerprint", B.fingerprint(*_KEY, "prompt", df=todo))
     path = f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
     delete_at_end(spark, path)
-    key, ok = ["fingerprint", *_KEY], F.col("status") == "ok"
-    first = B.predict(todo.where(F.col("role") == "user"), _model, id_col=key)
+    key, ok, model = ["fingerprint", *_KEY], F.col("status") == "ok", _model(spark, sf)
+    first = B.predict(todo.where(F.col("role") == "user"), model, id_col=key)
     cache = ResultsCache(spark, path, ", ".join(f"{c} {t}" for c, t in first.dtypes))
     cache.add(first)
-    cache.add(B.predict(cache.missing(todo, ok), _model, id_col=key))
+    cache.add(B.predict(cache.missing(todo, ok), model, id_col=key))
     cache.compact(ok)
     origin = F.when(F.col("order") == 1, "cache").otherwise("run")
     return cache.good(ok).select(*_KEY, F.array_join("candidates", " | ").alias("candidates"), origin.alias("origin"))
 
 
-_A11M_SQL = """WITH p AS (SELECT list_transform(words, lambda w: 'Template for ' || w) AS c FROM
-  (SELECT {words} AS words FROM conversations) WHERE len(words) BETWEEN 1 AND {window})
-SELECT (SELECT count(*) FROM conversations) AS n_rows, CAST(sum(list_sum(list_transform(c, lambda x: length(x)))) AS BIGINT) AS n_chars,
-  CAST(sum(3 * len(c)) AS BIGINT) AS n_tokens, true AS took_time FROM p""".format(words=O.usplit_ws("coalesce(text, '')"), window=WINDOW)
+_A11M_SQL = _PROMPTS_SQL + """SELECT count(*) AS n_rows, CAST(coalesce(sum(length(c[1])), 0) AS BIGINT) AS n_chars,
+  CAST(coalesce(sum(len(string_split(c[1], ' '))), 0) AS BIGINT) AS n_tokens, true AS took_time FROM pd"""
 
 
 @register("a11_measured_run", _A11M_SQL)
@@ -107,7 +113,7 @@ def a11_measured_run(spark, sf):
     whether the times are positive and fit each other)."""
     path = f"{checkpoint_dir(spark)}/predictions-{uuid.uuid4().hex}"
     delete_at_end(spark, path)
-    m = B.measured(B.predict(_prompts(spark, sf), _model, id_col=_KEY, timed=True), lambda df: df.write.parquet(path))
+    m = B.measured(B.predict(_prompts(spark, sf), _model(spark, sf), id_col=_KEY, timed=True), lambda df: df.write.parquet(path))
     fits = (F.col("wall_sec") > 0) & (F.col("task_sec") > 0) & (F.abs(F.col("chars_per_sec") * F.col("wall_sec") - F.col("n_chars")) < 1)
     return m.select("n_rows", "n_chars", "n_tokens", fits.alias("took_time"))
 

@@ -417,3 +417,24 @@ def test_dense_index_and_exact_split_on_a_million_rows(spark):
     assert tuple(r) == (n, 0, n - 1, 0)
     sizes = {r["split"]: r["count"] for r in M.exact_split(df, "id", partitions=50).groupBy("split").count().collect()}
     assert sizes == {"train": 800_000, "test": 100_000, "valid": 100_000}
+
+
+def test_bigram_model_equals_plain_counts(spark):
+    """The most frequent follower (ties: the first word), the most frequent words, and continuations that stop."""
+    from collections import Counter
+
+    texts = ["a b a b a c", "b c  b d", "x", "", None, "é a\tb\nc d d d", "c a c a"]
+    counts = Counter((p, q) for t in texts for w in [(t or "").split()] for p, q in zip(w, w[1:]))
+    total = Counter()
+    for (p, _), n in counts.items():
+        total[p] += n
+    known = sorted(total, key=lambda w: (-total[w], w))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    for size in (2, 50):
+        want = {p: min((-n, q) for (x, q), n in counts.items() if x == p)[1] for p in known[:size]}
+        assert B.train_bigrams(df, vocabulary=size) == want
+    say = B.bigram_predictor({"a": "b", "b": "c", "c": "a"}, length=4, window=3)
+    assert say(["x a", "nothing"]) == [["b c a b"], []]
+    for bad in (" ", "one two three four"):
+        with pytest.raises(ValueError):
+            say([bad])
