@@ -86,16 +86,15 @@ def versioned_save(df: DataFrame, root: str, name: str, config: str, today: str
     The data is written once, to a new folder; a label is a small file that names it, replaced in one
     step when the data is complete.  So a label never shows half a save, readers of the former
     data go on reading it, and there is no second copy.  (The step is one rename; it is atomic on
-    file systems whose renames are.)  Returns the paths of the two labels.
+    file systems whose renames are.)  Returns the paths that the two labels show, which are one.
     """
     label = f"{config}-{today or _dt.date.today().strftime('%Y-%m-%d')}"
-    data = f"data/{label}-{uuid.uuid4().hex}"
+    data = f"data/{uuid.uuid4().hex}/config={label}"
     base = f"{root.rstrip('/')}/{name}"
     df.write.partitionBy("split").parquet(f"{base}/{data}")
-    pointers = (_pointer(root, name, label), _pointer(root, name, config))
-    for p in pointers:
-        _replace_text(df.sparkSession, p, data)
-    return pointers
+    for shown in (label, config):
+        _replace_text(df.sparkSession, _pointer(root, name, shown), data)
+    return f"{base}/{data}", f"{base}/{data}"
 
 
 def prune_versions(spark: SparkSession, root: str, name: str) -> list[str]:
@@ -105,7 +104,8 @@ def prune_versions(spark: SparkSession, root: str, name: str) -> list[str]:
     if not fs.exists(path(f"{base}/data")):
         return []
     named = {_read_text(spark, str(f.getPath())) for f in fs.listStatus(path(f"{base}/versions"))}
-    gone = [str(f.getPath().getName()) for f in fs.listStatus(path(f"{base}/data")) if f"data/{f.getPath().getName()}" not in named]
+    kept = {n.split("/")[1] for n in named if n}
+    gone = [g for g in (str(f.getPath().getName()) for f in fs.listStatus(path(f"{base}/data"))) if g not in kept]
     for g in gone:
         fs.delete(path(f"{base}/data/{g}"), True)
     return gone

@@ -136,7 +136,7 @@ def test_labels_show_whole_saves_only(spark, tmp_path):
     assert io.dataset_load(spark, root, "d", "c").count() == 7 and before.count() == 3
     assert io.dataset_load(spark, root, "d", "c-2024-01-01", "train").count() == 3
     files = [f for f in (tmp_path / "d" / "data").rglob("*.parquet")]
-    assert len({f.parts[-3] for f in files if "2024-01-02" in str(f)}) <= 2  # the failed one's folder and one copy
+    assert len({f.parts[-4] for f in files if "2024-01-02" in str(f)}) <= 2  # the failed one's folder and one copy
     io.versioned_save(rows(9), root, "d", "c", today="2024-01-02")
     gone = io.prune_versions(spark, root, "d")
     assert len(gone) >= 1 and io.dataset_load(spark, root, "d", "c").count() == 9 and io.dataset_load(spark, root, "d", "c-2024-01-01").count() == 3
