@@ -306,8 +306,8 @@ def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def partners(words: DataFrame) -> DataFrame:
     """(word, n_near, minus, partner): how many near words each word has, and of these the most frequent one
     (ties: the first in code-point order) with its negated count.  ``words``: (word, n), each word once."""
-    rows = _dealt(words)
-    spread = rows.repartition("key").sortWithinPartitions("key")
+    tasks = 1 + words.count() // INDEX_WORDS  # tasks grow in number, not in size; a word is dealt four times
+    spread = _dealt(words).repartition(tasks, "key").sortWithinPartitions("key")
     found = spread.mapInArrow(_partners, "word string, n_near long, minus long, partner string")
     best = F.min(F.struct("minus", "partner")).alias("best")
     return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best).select("word", "n_near", "best.*")
