@@ -46,6 +46,8 @@ CLOSE_CARTOUCHE = ("\\<close>", "›")
 # of other characters; together they are the whole text.
 LEXEME = r"""(?s)\n[ \t]*[\w']*|\\["\\`]|["`‹›]|\(\*|\*\)|\{\*|\*\}|\\<open>|\\<close>|[^\n"`\\(*{‹›]+|."""
 
+# The characters that lexemes other than runs begin with.
+_MARKS = "\n\"`\\‹›(*{"
 # What a lexeme lies in.
 _OUTER, _STRING, _ALT_STRING, _COMMENT, _CARTOUCHE, _VERBATIM = range(6)
 # Cuts after which the scan starts a new chunk of its result (appending copies a chunk).
@@ -59,11 +61,13 @@ def _scan(lexemes: Column, is_command) -> Column:
     lies in nothing and a command follows.
     """
     cut_type = "array<struct<at:int,kind:string>>"
-    start = F.struct(F.lit(_OUTER).alias("mode"), F.lit(0).alias("depth"), F.lit(0).alias("at"),
+    # a run of other characters changes nothing: only lexemes that begin with a mark are scanned
+    cells = F.filter(F.transform(lexemes, lambda x, i: F.struct(x.alias("x"), (i + 1).alias("at"))), lambda c: F.instr(F.lit(_MARKS), F.substring(c["x"], 1, 1)) > 0)
+    start = F.struct(F.lit(_OUTER).alias("mode"), F.lit(0).alias("depth"),
                      F.array().cast(cut_type).alias("cuts"), F.array().cast(f"array<{cut_type}>").alias("done"))
 
-    def step(state, lexeme):
-        mode, depth = state["mode"], state["depth"]
+    def step(state, cell):
+        mode, depth, lexeme = state["mode"], state["depth"], cell["x"]
         mark = F.when(F.length(lexeme) <= 8, lexeme).otherwise(F.lit(""))
         closes = (
             F.when(mode == _STRING, mark == '"').when(mode == _ALT_STRING, mark == "`").when(mode == _COMMENT, mark == COMMENT[1])
@@ -77,14 +81,14 @@ def _scan(lexemes: Column, is_command) -> Column:
                      .when(closes, depth - 1).when(nests, depth + 1).otherwise(depth))
         word = F.ltrim(F.substring(lexeme, F.lit(2), F.length(lexeme)), F.lit(" \t"))
         cuts = (mode == _OUTER) & lexeme.startswith("\n") & is_command(word)
-        here = F.array(F.struct((state["at"] + 1).alias("at"), word.alias("kind")))
+        here = F.array(F.struct(cell["at"].alias("at"), word.alias("kind")))
         full = cuts & (F.size(state["cuts"]) >= _CUTS)
         return F.struct(
-            new_mode.alias("mode"), new_depth.alias("depth"), (state["at"] + 1).alias("at"),
+            new_mode.alias("mode"), new_depth.alias("depth"),
             F.when(full, here).when(cuts, F.concat(state["cuts"], here)).otherwise(state["cuts"]).alias("cuts"),
             F.when(full, F.concat(state["done"], F.array(state["cuts"]))).otherwise(state["done"]).alias("done"))
 
-    return F.aggregate(lexemes, start, step, lambda s: F.flatten(F.concat(s["done"], F.array(s["cuts"]))))
+    return F.aggregate(cells, start, step, lambda s: F.flatten(F.concat(s["done"], F.array(s["cuts"]))))
 
 
 def split_statements(theories: DataFrame, commands: list[str] = COMMANDS, text_col: str = "text", own_col: str | None = None) -> DataFrame:
