@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,6 +60,21 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Inside, the shuffle files of a write are deleted when it is done, not when the driver's garbage collector
+    comes to them: its result is at rest, and nothing reads them again."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the shared checkpoint folder, deleted when the application ends."""
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
