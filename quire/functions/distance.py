@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quire.functions.terms import let
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -48,11 +50,9 @@ def jaccard(a, b) -> Column:
 
 def best_distance(candidates, reference, dist=levenshtein) -> Column:
     """A5: smallest distance of k candidates to the reference (NULL for no candidate)."""
-    ref = _col(reference)
-    return F.array_min(F.transform(_col(candidates), lambda p: dist(p, ref)))
+    return F.array_min(distances(candidates, reference, dist))
 
 
 def distances(candidates, reference, dist=levenshtein) -> Column:
     """Distance of every candidate, in candidate order (the list form of E10)."""
-    ref = _col(reference)
-    return F.transform(_col(candidates), lambda p: dist(p, ref))
+    return let(_col(reference), lambda ref: F.transform(_col(candidates), lambda p: dist(p, ref)))

@@ -7,8 +7,9 @@ preorder number of its binder).  Two arrays are equal exactly when the trees are
 equal, so equality up to renaming becomes an equi-join on a canonical array.
 
 Every function here is a built-in higher-order expression (``transform``,
-``filter``, ``exists``, ``array_position``); terms are small, so the quadratic
-first-occurrence numbering stays cheap and inside whole-stage codegen.
+``filter``, ``aggregate``, ``array_position``).  An expression that a function uses more than
+once is bound by ``let``: Spark evaluates it again wherever it stands, and inside a lambda again
+for every element.
 """
 
 from __future__ import annotations
@@ -80,7 +81,7 @@ def _distinct_keys(keys: Column) -> Column:
     return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it in ``body`` (a one-element transform)."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
@@ -94,30 +95,36 @@ def abstract(tokens, poly: bool = False) -> Column:
     """Non-structural constants -> holes ``?H1, ?H2 ...`` (a Var named ``?Hk``)
     numbered by first occurrence of (name, type) - or name only when ``poly``; Vars
     -> Frees ``x_1 ...`` with their own counter; binders -> ``y_k`` by preorder."""
-    ts = _col(tokens)
     hkey = lambda t: F.when(_is_hole_const(t), t["name"] if poly else F.concat_ws("::", t["name"], t["type"]))
     vkey = lambda t: F.when(t["kind"] == "var", F.concat_ws("::", t["name"], t["type"]))
-    both = F.struct(_distinct_keys(F.transform(ts, hkey)).alias("h"), _distinct_keys(F.transform(ts, vkey)).alias("v"))
-    return _let(both, lambda d: F.transform(ts, lambda t, i: (
-        F.when(_is_hole_const(t), tok("var", F.concat(F.lit("?H"), F.array_position(d["h"], hkey(t)).cast("string")), t["type"]))
-        .when(t["kind"] == "var", tok("free", F.concat(F.lit("x_"), F.array_position(d["v"], vkey(t)).cast("string")), t["type"]))
-        .when(t["kind"] == "abs", tok("abs", F.concat(F.lit("y_"), _binder_no(ts, i).cast("string")), t["type"]))
-        .otherwise(t))))
+
+    def renamed(k):
+        # each token's keys (NULL for a token of another kind) and the distinct ones are made once
+        both = F.struct(_distinct_keys(k["h"]).alias("h"), _distinct_keys(k["v"]).alias("v"))
+        return let(both, lambda d: F.transform(k["ts"], lambda t, i: (
+            F.when(F.get(k["h"], i).isNotNull(), tok("var", F.concat(F.lit("?H"), F.array_position(d["h"], F.get(k["h"], i)).cast("string")), t["type"]))
+            .when(t["kind"] == "var", tok("free", F.concat(F.lit("x_"), F.array_position(d["v"], F.get(k["v"], i)).cast("string")), t["type"]))
+            .when(t["kind"] == "abs", tok("abs", F.concat(F.lit("y_"), _binder_no(k["ts"], i).cast("string")), t["type"]))
+            .otherwise(t))))
+
+    return let(_col(tokens), lambda ts: let(F.struct(ts.alias("ts"), F.transform(ts, hkey).alias("h"), F.transform(ts, vkey).alias("v")), renamed))
 
 
 def canon(tokens, kind: str = "var", typed: bool = True) -> Column:
     """T6 (``kind='var'``) / T7 (``kind='free'``): rename that kind to Frees ``x_1 ...``
     by first occurrence and binders to ``y_k``; ``typed=False`` drops all types
     (the untyped comparison)."""
-    ts = _col(tokens)
     key = lambda t: F.when(t["kind"] == kind, F.concat_ws("::", t["name"], t["type"]))
-    out = _let(_distinct_keys(F.transform(ts, key)), lambda d: F.transform(ts, lambda t, i: (
-        F.when(t["kind"] == kind, tok("free", F.concat(F.lit("x_"), F.array_position(d, key(t)).cast("string")), t["type"]))
-        .when(t["kind"] == "abs", tok("abs", F.concat(F.lit("y_"), _binder_no(ts, i).cast("string")), t["type"]))
-        .otherwise(t))))
-    if not typed:
-        out = F.transform(out, lambda t: tok(t["kind"], t["name"], F.lit(None).cast("string")))
-    return out
+    none = F.lit(None).cast("string")
+    typ = lambda t: t["type"] if typed else none
+
+    def renamed(ts, d):
+        return F.transform(ts, lambda t, i: (
+            F.when(t["kind"] == kind, tok("free", F.concat(F.lit("x_"), F.array_position(d, key(t)).cast("string")), typ(t)))
+            .when(t["kind"] == "abs", tok("abs", F.concat(F.lit("y_"), _binder_no(ts, i).cast("string")), typ(t)))
+            .otherwise(t if typed else tok(t["kind"], t["name"], none))))
+
+    return let(_col(tokens), lambda ts: let(_distinct_keys(F.transform(ts, key)), lambda d: renamed(ts, d)))
 
 
 def render(tokens) -> Column:
@@ -164,15 +171,16 @@ def holes(template) -> Column:
 
     A hole is its name: with one hole per (name, type) it has one type; with one hole per name
     (poly) the types of its occurrences may differ, see ``well_typed``."""
-    return _let(_hole_vars(template), lambda hs: F.transform(
-        F.filter(hs, lambda t, i: F.array_position(F.transform(hs, lambda h: h["name"]), t["name"]) == i + 1),
-        lambda t: F.struct(t["name"].alias("hole"), t["type"].alias("type"), type_arity(t["type"]).alias("arity"))))
+    named = lambda hs: F.struct(hs.alias("hs"), F.transform(hs, lambda h: h["name"]).alias("names"))
+    return let(_hole_vars(template), lambda hs: let(named(hs), lambda x: F.transform(
+        F.filter(x["hs"], lambda t, i: F.array_position(x["names"], t["name"]) == i + 1),
+        lambda t: F.struct(t["name"].alias("hole"), t["type"].alias("type"), type_arity(t["type"]).alias("arity")))))
 
 
 def well_typed(template) -> Column:
     """Does every hole have one type wherever it occurs?  A template in which one doesn't is not
     accepted by the type check."""
-    return _let(_hole_vars(template), lambda hs: F.size(F.array_distinct(F.transform(hs, lambda t: t["name"])))
+    return let(_hole_vars(template), lambda hs: F.size(F.array_distinct(F.transform(hs, lambda t: t["name"])))
                 == F.size(F.array_distinct(F.transform(hs, lambda t: F.struct(t["name"], t["type"])))))
 
 
@@ -203,10 +211,13 @@ def leaf_constants(tokens) -> Column:
     that is not a constant, so nothing under it counts), in order with duplicates;
     type-constraint marks are dropped.  ``array_distinct`` gives the distinct form
     (first occurrence kept)."""
-    ts = _col(tokens)
-    z = F.arrays_zip(ts.alias("t"), outside_abs(ts).alias("o"))
-    keep = F.filter(z, lambda e: (e["t"]["kind"] == "const") & e["o"] & (e["t"]["name"] != TYPE_CONSTRAINT))
-    return F.transform(keep, lambda e: e["t"]["name"])
+    names = F.array().cast("array<string>")
+
+    def step(a, t):
+        counts = (a["open"] == 0) & (t["kind"] == "const") & (t["name"] != TYPE_CONSTRAINT)
+        return F.struct(_open_after(a["open"], t).alias("open"), F.when(counts, F.array_append(a["names"], t["name"])).otherwise(a["names"]).alias("names"))
+
+    return F.aggregate(_col(tokens), F.struct(F.lit(0).alias("open"), names.alias("names")), step, lambda a: a["names"])
 
 
 # The type operators, from the one that binds least, with the names of their constructors.
@@ -279,11 +290,15 @@ def used_constants_many(inners) -> Column:
     ``inners`` is ``array<struct<kind, tokens, type>>``: a ``term`` gives its leaf
     constants (X13); a ``type`` its constructor names minus the universal ones; any
     other kind (text that parses as neither) gives nothing."""
-    per = F.transform(_col(inners), lambda x: (
-        F.when(x["kind"] == "term", leaf_constants(x["tokens"]))
-        .when(x["kind"] == "type", F.filter(type_names(x["type"]), lambda n: ~n.isin(UNIVERSAL_TYPES)))
-        .otherwise(F.array().cast("array<string>"))))
-    return F.array_distinct(F.flatten(per))
+    return F.array_distinct(F.flatten(F.transform(_col(inners), used_constants)))
+
+
+def used_constants(inner) -> Column:
+    """X14 of one text, with duplicates: for texts that several rows hold, taken once before these meet them."""
+    x = _col(inner)
+    return (F.when(x["kind"] == "term", leaf_constants(x["tokens"]))
+            .when(x["kind"] == "type", F.filter(type_names(x["type"]), lambda n: ~n.isin(UNIVERSAL_TYPES)))
+            .otherwise(F.array().cast("array<string>")))
 
 
 def has_vars(tokens) -> Column:
@@ -291,40 +306,36 @@ def has_vars(tokens) -> Column:
     return F.exists(_col(tokens), lambda t: t["kind"] == "var")
 
 
-def _weights(ts: Column) -> Column:
-    # preorder balance: app opens one more child slot, a leaf closes one
-    return F.transform(ts, lambda t: F.when(t["kind"] == "app", 1).when(t["kind"] == "abs", 0).otherwise(-1))
+def _open_after(open_: Column, t: Column) -> Column:
+    """How many children of the outermost abstraction are still to come behind a token, from how many were
+    before it (0: it is outside every one).  In preorder, app opens one more and a leaf closes one."""
+    inside = open_ + F.when(t["kind"] == "app", 1).when(t["kind"] == "abs", 0).otherwise(-1)
+    return F.when(open_ > 0, inside).otherwise(F.when(t["kind"] == "abs", 1).otherwise(0))
 
 
 def outside_abs(tokens) -> Column:
-    """For every token: is it outside every abstraction?  The subtree of the node at
-    j covers i > j while the running balance since j has not dropped below zero."""
-    ts = _col(tokens)
-    w = _weights(ts)
-    pref = F.transform(w, lambda _, i: F.aggregate(F.slice(w, 1, i + 1), F.lit(0), lambda a, x: a + x))
-    before = lambda j: F.when(j == 0, F.lit(0)).otherwise(F.element_at(pref, j))  # noqa: E731  (P(j-1), 1-based j)
-
-    def covered(i):
-        js = F.sequence(F.lit(0), F.greatest(i - 1, F.lit(0)))
-        return (i > 0) & F.exists(js, lambda j: (ts[j]["kind"] == "abs") & (i > j)
-                                  & (F.array_min(F.slice(pref, j + 1, i - j)) >= before(j)))
-
-    return F.transform(ts, lambda _, i: ~covered(i))
+    """For every token: is it outside every abstraction?  One pass over the tokens."""
+    step = lambda a, t: F.struct(
+        _open_after(a["open"], t).alias("open"), F.array_append(a["flags"], a["open"] == 0).alias("flags"))
+    start = F.struct(F.lit(0).alias("open"), F.array().cast("array<boolean>").alias("flags"))
+    return F.aggregate(_col(tokens), start, step, lambda a: a["flags"])
 
 
 def has_equality(tokens) -> Column:
     """P10: does the term contain ``HOL.eq`` outside abstractions?"""
-    ts = _col(tokens)
-    flags = outside_abs(ts)
-    return F.exists(F.arrays_zip(ts.alias("t"), flags.alias("o")),
-                    lambda z: (z["t"]["kind"] == "const") & (z["t"]["name"] == "HOL.eq") & z["o"])
+    step = lambda a, t: F.struct(
+        _open_after(a["open"], t).alias("open"),
+        (a["found"] | ((a["open"] == 0) & (t["kind"] == "const") & (t["name"] == "HOL.eq"))).alias("found"))
+    return F.aggregate(_col(tokens), F.struct(F.lit(0).alias("open"), F.lit(False).alias("found")), step, lambda a: a["found"])
 
 
 def strip_trueprop(tokens) -> Column:
     """Drop an outer ``HOL.Trueprop`` application (``app``, ``const HOL.Trueprop``)."""
-    ts = _col(tokens)
-    top = (F.size(ts) >= 2) & (ts[0]["kind"] == "app") & (ts[1]["kind"] == "const") & (ts[1]["name"] == "HOL.Trueprop")
-    return F.when(top, F.slice(ts, 3, F.size(ts))).otherwise(ts)
+    def stripped(ts):
+        top = (F.size(ts) >= 2) & (ts[0]["kind"] == "app") & (ts[1]["kind"] == "const") & (ts[1]["name"] == "HOL.Trueprop")
+        return F.when(top, F.slice(ts, 3, F.size(ts))).otherwise(ts)
+
+    return let(_col(tokens), stripped)
 
 
 def bad_name(name) -> Column:

@@ -161,6 +161,10 @@ def predict(df: DataFrame, make_predictor: Callable[[], Callable[[list[str]], li
     return src.mapInPandas(run, schema)
 
 
+# Rows that a user function gets at once.
+ROWS_AT_ONCE = 256
+
+
 def map_rows(df: DataFrame, fn: Callable[[pd.Series], pd.Series], col: str, out: str, return_type: str = "string") -> DataFrame:
     """A user function per row, vectorised as a pandas UDF (prefer a Column
     expression when one exists)."""
@@ -169,8 +173,10 @@ def map_rows(df: DataFrame, fn: Callable[[pd.Series], pd.Series], col: str, out:
 
 
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A user function per Arrow batch."""
-    return df.mapInPandas(lambda it: (fn(b) for b in it), schema)
+    """A user function per piece of an Arrow batch, of at most ``ROWS_AT_ONCE`` rows, so that what the
+    function makes of whole texts (such as their words) is held for few of them."""
+    pieces = lambda b: (b.iloc[i:i + ROWS_AT_ONCE].reset_index(drop=True) for i in range(0, len(b), ROWS_AT_ONCE))
+    return df.mapInPandas(lambda it: (fn(p) for b in it for p in pieces(b)), schema)
 
 
 def tokenizer_udf(make_tokenizer: Callable[[], Callable[[str], list[int]]]):

@@ -8,9 +8,8 @@ scores       (row_id long, strategy string, cleaned array<string>, reference str
               distance int, success boolean)
 
 Predictions are aligned with examples by ``row_id`` (J8), never by position.  The
-join is an equi-join on a unique key: sort-merge (or broadcast when one side is
-small, which AQE decides at run time); the per-row report then reuses the join's
-hash partitioning on ``row_id``.
+join is an equi-join on a unique key, always sort-merge (``large_join``); the per-row
+report then reuses the join's hash partitioning on ``row_id``.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import distance as D
 from quire.functions import text as T
+from quire.session import large_join
 
 # The generation strategies and how many candidates each returns.
 STRATEGIES = [
@@ -49,16 +49,16 @@ def align_predictions(examples: DataFrame, predictions: DataFrame, strategies: l
     """Pair every prediction row with its example by ``row_id``.  With ``strategies`` there
     is a row for each example and strategy, with NULL candidates where none were predicted."""
     if strategies is None:
-        return examples.join(predictions, "row_id")
+        return large_join(examples, predictions, "row_id")
     wanted = examples.withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in strategies])))
-    return wanted.join(predictions, ["row_id", "strategy"], "left")
+    return large_join(wanted, predictions, ["row_id", "strategy"], "left")
 
 
 def alignment_report(examples: DataFrame, predictions: DataFrame, strategies: list[str]) -> DataFrame:
     """J8's count check: per strategy the examples, those without predictions, and the predictions
     that name no example."""
     both = examples.select("row_id", F.lit(True).alias("ex")).withColumn("strategy", F.explode(F.array(*[F.lit(s) for s in strategies])))
-    j = both.join(predictions.select("row_id", "strategy", F.lit(True).alias("pr")), ["row_id", "strategy"], "full")
+    j = large_join(both, predictions.select("row_id", "strategy", F.lit(True).alias("pr")), ["row_id", "strategy"], "full")
     return j.groupBy("strategy").agg(F.count("ex").alias("n_examples"), F.count_if(F.col("pr").isNull()).alias("n_missing"),
                                      F.count_if(F.col("ex").isNull()).alias("n_extra"))
 
@@ -87,9 +87,7 @@ def lemma_eval(examples: DataFrame, predictions: DataFrame, reference_col: str =
     ref = T.clean_term(reference_col)
     scored = joined.select("row_id", "strategy", cleaned.alias("cleaned"), ref.alias("reference"))
     norm_ref = T.clean_term(T.normalize_vars("reference"))
-    dist = F.array_min(
-        F.transform("cleaned", lambda p: F.levenshtein(T.clean_term(T.normalize_vars(p)), norm_ref))
-    )
+    dist = D.best_distance("cleaned", norm_ref, lambda p, r: F.levenshtein(T.clean_term(T.normalize_vars(p)), r))
     return scored.withColumn("distance", dist).withColumn("success", F.coalesce(F.col("distance") == 0, F.lit(False)))
 
 
@@ -188,7 +186,7 @@ def compare_two(examples: DataFrame, predictions: DataFrame, a: str, b: str, ref
     pick = lambda s: F.first(F.when(F.col("strategy") == s, F.col("candidates")), ignorenulls=True)
     both = (predictions.where(F.col("strategy").isin(a, b))
             .groupBy("row_id").agg(pick(a).alias("ca"), pick(b).alias("cb")))
-    j = examples.select("row_id", reference_col).join(both, "row_id", "left")
+    j = large_join(examples.select("row_id", reference_col), both, "row_id", "left")
     # each distance list is computed once as a column and then reused
     d = j.select(
         "row_id",

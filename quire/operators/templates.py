@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import terms as TM
-from quire.session import cut_lineage
+from quire.session import cut_lineage, large_join
 
 def make_templates(terms: DataFrame, poly: bool = False, printed: bool = True) -> DataFrame:
     """T1/T2 + T4: a template per term with its holes.  ``printed`` drops an outer
@@ -106,11 +106,13 @@ def _sized_holes(templates: DataFrame, lists: DataFrame, multi: bool, distinct_s
     size, how many choices each leaves, and the exact number of fillings."""
     sizes = lists.select(*(["term_id"] if per_term else []), "fclass", F.size("options").alias("n"))
     on = [*(["term_id"] if per_term else []), "fclass"]
-    found = _hole_classes(templates, multi, distinct_symbols).join(sizes, on, "left")
+    classes = _hole_classes(templates, multi, distinct_symbols)
+    # one row a class, unless every term has lists of its own
+    found = large_join(classes, sizes, on, "left") if per_term else classes.join(F.broadcast(sizes), on, "left")
     whole = F.col("fclass").isin("any", _FREE)
     hole = F.struct(whole.alias("whole"), "k", "hole", "fclass", F.coalesce("n", F.lit(0)).alias("n"))
     per = found.groupBy("term_id").agg(F.array_sort(F.collect_list(hole)).alias("hs"))
-    every = templates.select("term_id").join(per, "term_id", "left")
+    every = large_join(templates.select("term_id"), per, "term_id", "left")
     none = F.array().cast(per.schema["hs"].dataType)
     sized = every.select("term_id", F.coalesce("hs", none).alias("hs")).withColumn("choices", _choices(F.col("hs"), distinct_symbols))
     total = F.aggregate("choices", F.lit(1).cast("decimal(38,0)"), lambda p, n: (p * n.cast("decimal(10,0)")).cast("decimal(38,0)"))
@@ -183,10 +185,11 @@ def fill_holes(templates: DataFrame, symbols: DataFrame, multi: bool = False, di
     ranges = ranges.withColumn("range", F.explode(F.sequence(first, F.least(first + (_RANGES_AT_ONCE - 1), F.col("last")))))
     # the filler lists meet the ranges that use them: one join over all holes, then one group a range
     hole = ranges.select("term_id", "range", F.posexplode("hs").alias("i", "h")).select("term_id", "range", "i", "h.*")
-    listed = hole.join(lists, on).groupBy("term_id", "range").agg(F.array_sort(F.collect_list(F.struct("i", "whole", "hole", "fclass", "options"))).alias("hs"))
+    met = large_join(hole, lists, on) if per_term else hole.join(lists, on)
+    listed = met.groupBy("term_id", "range").agg(F.array_sort(F.collect_list(F.struct("i", "whole", "hole", "fclass", "options"))).alias("hs"))
     none = F.array().cast(listed.schema["hs"].dataType)
-    rows = ranges.drop("hs").join(listed, ["term_id", "range"], "left").withColumn("hs", F.coalesce("hs", none))
-    rows = rows.join(templates.select("term_id", "template", *carry), "term_id").repartition(tasks, "term_id", "range")
+    rows = large_join(ranges.drop("hs"), listed, ["term_id", "range"], "left").withColumn("hs", F.coalesce("hs", none))
+    rows = large_join(rows, templates.select("term_id", "template", *carry), "term_id").repartition(tasks, "term_id", "range")
     start = F.col("range") * F.col("size")
     numbers = F.sequence(start, F.least(start + F.col("size"), F.col("n")) - 1)
     each = rows.withColumn("number", F.explode(numbers))
@@ -231,7 +234,7 @@ def conjectures(cands: DataFrame, refuted: DataFrame) -> DataFrame:
     bytes a form and the candidates' forms don't move at all."""
     digest = lambda c: F.unhex(F.sha2(F.to_json(c), 256)).alias("__form")
     c = cands.withColumn("__form", digest(TM.canon("candidate", "free", typed=False)))
-    return c.join(refuted.select(digest(F.col("canonical"))).distinct(), "__form", "left_anti").drop("__form")
+    return large_join(c, refuted.select(digest(F.col("canonical"))).distinct(), "__form", "left_anti").drop("__form")
 
 
 def rediscovered(terms: DataFrame, cands: DataFrame, runs: DataFrame | None = None) -> DataFrame:
@@ -242,11 +245,11 @@ def rediscovered(terms: DataFrame, cands: DataFrame, runs: DataFrame | None = No
     status (``timeout``, ``error``) is the outcome, and a term without a run has none."""
     orig = terms.select("term_id", TM.canon(TM.strip_trueprop("tokens"), "var", typed=False).alias("o"))
     c = cands.select("term_id", TM.canon("candidate", "free", typed=False).alias("c"))
-    per = c.join(orig, "term_id").groupBy("term_id").agg(F.bool_or(F.col("c") == F.col("o")).alias("hit"))
+    per = large_join(c, orig, "term_id").groupBy("term_id").agg(F.bool_or(F.col("c") == F.col("o")).alias("hit"))
     outcome = F.when(F.col("hit").isNull(), "empty").when(F.col("hit"), "true").otherwise("false")
     if runs is None:
-        return terms.select("term_id").join(per, "term_id", "left").select("term_id", outcome.alias("status"))
-    judged = runs.select("term_id", F.col("status").alias("run")).join(per, "term_id", "left")
+        return large_join(terms.select("term_id"), per, "term_id", "left").select("term_id", outcome.alias("status"))
+    judged = large_join(runs.select("term_id", F.col("status").alias("run")), per, "term_id", "left")
     return judged.select("term_id", F.when(F.col("run") == "ok", outcome).otherwise(F.col("run")).alias("status"))
 
 
@@ -258,7 +261,7 @@ def limited_runs(templates: DataFrame, symbols: DataFrame, budget: int, poly: bo
     otherwise ``ok``.
     """
     counts = filling_counts(templates, symbols, multi=poly, distinct_symbols=poly, per_term=per_term)
-    checked = templates.select("term_id", TM.well_typed("template").alias("typed")).join(counts, "term_id")
+    checked = large_join(templates.select("term_id", TM.well_typed("template").alias("typed")), counts, "term_id")
     status = F.when(~F.col("typed"), "error").when(F.col("n_fillings") > budget, "timeout").otherwise("ok")
     return checked.select("term_id", "n_fillings", status.alias("status"))
 
@@ -268,14 +271,14 @@ def explore(terms: DataFrame, symbols: DataFrame, budget: int, poly: bool = Fals
     the original?), ``empty`` (it has none), ``timeout`` or ``error``.  Only runs within the limit are made."""
     templates = materialize(make_templates(terms, poly=poly))
     runs = cut_lineage(limited_runs(templates, symbols, budget, poly, per_term), "runs")
-    made = templates.join(runs.where("status = 'ok' and n_fillings > 0"), "term_id", "left_semi")
+    made = large_join(templates, runs.where("status = 'ok' and n_fillings > 0"), "term_id", "left_semi")
     found = candidates(made, symbols, poly=poly, per_term=per_term, materialize=False)
     return rediscovered(terms, found, runs)
 
 
 def failed_default(rows: DataFrame, outcomes: DataFrame, key: str = "term_id") -> DataFrame:
     """A row without an outcome gets ``failed``."""
-    return rows.select(key).join(outcomes, key, "left").withColumn("status", F.coalesce("status", F.lit("failed")))
+    return large_join(rows.select(key), outcomes, key, "left").withColumn("status", F.coalesce("status", F.lit("failed")))
 
 
 def outcome_tally(outcomes: DataFrame) -> DataFrame:
@@ -287,24 +290,20 @@ def alpha_equal(left: DataFrame, right: DataFrame, on: str = "term_id") -> DataF
     """Are two terms equal up to variable names, typed and untyped?  Rows are
     paired by key once; equality is on the canonical arrays (usable as a join key)."""
     canons = [TM.canon("tokens", "var", typed=typed).alias(n) for n, typed in (("typed", True), ("untyped", False))]
-    pairs = left.select(on, *canons).alias("l").join(right.select(on, *canons).alias("r"), on)
+    pairs = large_join(left.select(on, *canons).alias("l"), right.select(on, *canons).alias("r"), on)
     return pairs.select(on, *[(F.col(f"l.{n}") == F.col(f"r.{n}")).alias(f"same_{n}") for n in ("typed", "untyped")])
 
 
-def _equals_undefined(ts: Column) -> Column:
-    """Is there a ``Trueprop (_ = undefined)`` anywhere?  In preorder the constant ends the equation,
-    so it is the last token of a ``Trueprop`` whose argument begins with ``app app HOL.eq``."""
-    return F.exists(_equations(ts), lambda e: e["undefined"])
-
-
 def _equations(ts: Column) -> Column:
-    """(place, undefined) of every ``Trueprop (_ = _)`` of a term, under premises and binders too."""
+    """(place, undefined) of every ``Trueprop (_ = _)`` of a term, under premises and binders too.  ``undefined``
+    is whether the right side is that constant."""
     at = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (
         (F.get(ts, i)["name"] == "HOL.Trueprop") & (F.get(ts, i)["kind"] == "const") & (F.get(ts, i + 1)["kind"] == "app")
         & (F.get(ts, i + 2)["kind"] == "app") & (F.get(ts, i + 3)["kind"] == "const") & (F.get(ts, i + 3)["name"] == "HOL.eq")))
     # the right side begins where the left side's subtree ends
-    return F.transform(at, lambda i: F.struct(i.alias("place"), F.coalesce(
-        (F.get(ts, _after(ts, i + 4))["kind"] == "const") & (F.get(ts, _after(ts, i + 4))["name"] == "HOL.undefined"), F.lit(False)).alias("undefined")))
+    right = lambda i, body: TM.let(F.get(ts, _after(ts, i + 4)), body)
+    return F.transform(at, lambda i: F.struct(i.alias("place"), right(i, lambda r: F.coalesce(
+        (r["kind"] == "const") & (r["name"] == "HOL.undefined"), F.lit(False))).alias("undefined")))
 
 
 def _after(ts: Column, i: Column) -> Column:
@@ -316,10 +315,16 @@ def _after(ts: Column, i: Column) -> Column:
     return i + done
 
 
-def searchable(ts: Column) -> Column:
-    """P7's shape: a Trueprop, no meta-equality, no ``_ = undefined``, a schematic variable."""
-    has = lambda n: F.exists(ts, lambda t: (t["kind"] == "const") & (t["name"] == n))
-    return has("HOL.Trueprop") & ~has("Pure.eq") & ~_equals_undefined(ts) & TM.has_vars(ts)
+def searchable(ts: Column, equations: bool = False) -> Column:
+    """P7's shape: a Trueprop, no meta-equality, no ``_ = undefined``, a schematic variable; with ``equations``
+    P8's, which asks for an equation, too.  The term is bound once: a filter is pushed below the
+    expression that makes it, which would else be evaluated at every place where it stands."""
+    def shape(ts):
+        has = lambda n: F.exists(ts, lambda t: (t["kind"] == "const") & (t["name"] == n))
+        rest = lambda es: ~F.exists(es, lambda e: e["undefined"]) & (F.size(es) > 0 if equations else F.lit(True))
+        return has("HOL.Trueprop") & ~has("Pure.eq") & TM.has_vars(ts) & TM.let(_equations(ts), rest)
+
+    return TM.let(ts, shape)
 
 
 def theorem_search(terms: DataFrame, namefilter: str, equations: bool = False, cap: int | None = None) -> DataFrame:
@@ -329,11 +334,7 @@ def theorem_search(terms: DataFrame, namefilter: str, equations: bool = False, c
     equation, under premises too.  Duplicates of a statement are removed.  O2: ``cap``
     keeps that many results in name order; by default all stay."""
     ts = F.col("tokens")
-    cond = searchable(ts) & F.col("name").contains(namefilter) & ~TM.bad_name("name")
-    if equations:
-        cond = cond & (F.size(_equations(ts)) > 0)
-    else:
-        cond = cond & F.col("name").startswith(namefilter)
-    hits = terms.where(cond).withColumn("lemma_object", TM.render(ts))
+    named = F.col("name").contains(namefilter) if equations else F.col("name").startswith(namefilter)
+    hits = terms.where(named & ~TM.bad_name("name") & searchable(ts, equations)).withColumn("lemma_object", TM.render(ts))
     first = hits.groupBy("lemma_object").agg(F.min("name").alias("name"))
     return first if cap is None else first.orderBy("name", "lemma_object").limit(cap)

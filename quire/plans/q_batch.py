@@ -237,8 +237,8 @@ def _nfc(s):
 
 
 def _add_nfc_words(pdf):
-    words = pdf["text"].fillna("").str.normalize("NFC").str.split()
-    return pdf.assign(n_words=words.map(lambda w: len(set(w))).astype("int64")).drop(columns=["text"])
+    n_words = pdf["text"].fillna("").str.normalize("NFC").map(lambda t: len(set(t.split())))
+    return pdf.assign(n_words=n_words.astype("int64")).drop(columns=["text"])
 
 
 _U1_SQL = f"""SELECT doc_id, nfc_normalize(text) AS nfc, CAST(len(list_distinct({O.usplit_ws('nfc_normalize(text)')})) AS BIGINT) AS n_words FROM documents"""

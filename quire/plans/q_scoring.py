@@ -9,6 +9,7 @@ from quire.operators import scoring as S
 from quire.plans import oracle as O
 from quire.plans.driver import PREDICTION_OFFSETS, part_examples, part_predictions
 from quire.plans.registry import register
+from quire.session import large_join
 
 _CTE = f"WITH {O.part_examples_cte()}, {O.part_predictions_cte('template')}"
 _CTE_LEMMA = f"WITH {O.part_examples_cte()}, {O.part_predictions_cte('lemma')}"
@@ -84,7 +85,7 @@ FROM e8 JOIN ex2 USING (row_id) GROUP BY ex2.theory_file, ex2.lemma_name, e8.row
 def a7_row_results(spark, sf):
     """A7 per row with the P4 key columns first."""
     ex = part_examples(spark, sf)
-    scores = _template_scores(spark, sf).join(ex.select("row_id", "theory_file", "lemma_name"), "row_id")
+    scores = large_join(_template_scores(spark, sf), ex.select("row_id", "theory_file", "lemma_name"), "row_id")
     return S.row_results(scores, ["theory_file", "lemma_name"])
 
 
