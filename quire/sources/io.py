@@ -47,10 +47,13 @@ def corpus_write(theories: DataFrame, root: str, suffix: str = ".thy") -> int:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, base = fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", root if "://" in root else f"file://{root}"))
+        made = set()  # a folder is made once a task, not once a file
         for batch in batches:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 path = f"{base}/{name}{suffix}"
-                where.create_dir(path.rpartition("/")[0], recursive=True)
+                if (folder := path.rpartition("/")[0]) not in made:
+                    where.create_dir(folder, recursive=True)
+                    made.add(folder)
                 with where.open_output_stream(path) as out:
                     out.write((text or "").encode("utf-8"))
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["n"])
