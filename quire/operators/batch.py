@@ -14,6 +14,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, MapType, StringType, StructType
@@ -165,18 +166,49 @@ def predict(df: DataFrame, make_predictor: Callable[[], Callable[[list[str]], li
 ROWS_AT_ONCE = 256
 
 
+# Types whose columns Arrow and the user functions' pandas hand over alike, piece by piece.
+PLAIN = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in pieces of ``ROWS_AT_ONCE`` rows (no copies); a batch is let go before the next one is read."""
+    for b in batches:
+        for i in range(0, b.num_rows, ROWS_AT_ONCE):
+            yield b.slice(i, ROWS_AT_ONCE)
+        del b
+        pa.default_memory_pool().release_unused()
+
+
 def map_rows(df: DataFrame, fn: Callable[[pd.Series], pd.Series], col: str, out: str, return_type: str = "string") -> DataFrame:
-    """A user function per row, vectorised as a pandas UDF (prefer a Column
-    expression when one exists)."""
-    udf = F.pandas_udf(fn, return_type)
-    return df.withColumn(out, udf(F.col(col)))
+    """A user function per row, vectorised over pandas Series (prefer a Column expression when one exists).
+
+    It gets ``ROWS_AT_ONCE`` rows of an Arrow batch at once and its results go back at once, so that Python holds few of
+    the texts beside the batch; a table with a column of another than the ``PLAIN`` types, or one that
+    has ``out``, goes through a pandas UDF, a whole batch at once."""
+    made, names = PLAIN.get(return_type), df.columns
+    if made is None or not all(t in PLAIN for _, t in df.dtypes) or len({n.lower() for n in [*names, out]}) <= len(names):
+        return df.withColumn(out, F.pandas_udf(fn, return_type)(F.col(col)))
+
+    def added(p: pa.RecordBatch) -> pa.RecordBatch:
+        values = pa.Array.from_pandas(fn(p.column(col).to_pandas()), type=made)
+        return pa.RecordBatch.from_arrays([*p.columns, values], [*names, out])
+
+    return df.mapInArrow(lambda it: map(added, _pieces(it)), StructType([*df.schema.fields, *StructType.fromDDL(f"`{out}` {return_type}").fields]))
 
 
 def map_batches(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A user function per piece of an Arrow batch, of at most ``ROWS_AT_ONCE`` rows, so that what the
-    function makes of whole texts (such as their words) is held for few of them."""
-    pieces = lambda b: (b.iloc[i:i + ROWS_AT_ONCE].reset_index(drop=True) for i in range(0, len(b), ROWS_AT_ONCE))
-    return df.mapInPandas(lambda it: (fn(p) for b in it for p in pieces(b)), schema)
+    function makes of whole texts (such as their words) is held for few of them.  So are the Python objects of the
+    texts themselves, unless a column is of another than the ``PLAIN`` types: then the batch becomes one
+    pandas frame first."""
+    result = StructType.fromDDL(schema)
+    types = [t for _, t in df.dtypes] + [f.dataType.simpleString() for f in result]
+    if not all(t in PLAIN for t in types):
+        pieces = lambda b: (b.iloc[i:i + ROWS_AT_ONCE].reset_index(drop=True) for i in range(0, len(b), ROWS_AT_ONCE))
+        return df.mapInPandas(lambda it: (fn(p) for b in it for p in pieces(b)), schema)
+    made = pa.schema([(f.name, PLAIN[f.dataType.simpleString()]) for f in result])
+    back = lambda pdf: pa.RecordBatch.from_pandas(pdf, schema=made, preserve_index=False)
+    return df.mapInArrow(lambda it: (back(fn(p.to_pandas())) for p in _pieces(it)), schema)
 
 
 def tokenizer_udf(make_tokenizer: Callable[[], Callable[[str], list[int]]]):

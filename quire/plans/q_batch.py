@@ -236,9 +236,8 @@ def _nfc(s):
     return s.fillna("").str.normalize("NFC")
 
 
-def _add_nfc_words(pdf):
-    n_words = pdf["text"].fillna("").str.normalize("NFC").map(lambda t: len(set(t.split())))
-    return pdf.assign(n_words=n_words.astype("int64")).drop(columns=["text"])
+def _add_words(pdf):
+    return pdf.assign(n_words=pdf["nfc"].map(lambda t: len(set(t.split()))).astype("int64"))
 
 
 _U1_SQL = f"""SELECT doc_id, nfc_normalize(text) AS nfc, CAST(len(list_distinct({O.usplit_ws('nfc_normalize(text)')})) AS BIGINT) AS n_words FROM documents"""
@@ -246,12 +245,12 @@ _U1_SQL = f"""SELECT doc_id, nfc_normalize(text) AS nfc, CAST(len(list_distinct(
 
 @register("u1_user_functions", _U1_SQL)
 def u1_user_functions(spark, sf):
-    """U1 (a vectorised user function per row: a pandas UDF) and U2 (a user function
-    per Arrow batch: mapInPandas) over every document's whole text: Unicode composition, which
+    """U1 (a vectorised user function per row) and U2 (a user function
+    per piece of an Arrow batch) over every document's whole text: Unicode composition, which
     no built-in function does, and the distinct composed words."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     composed = B.map_rows(d, _nfc, "text", "nfc", "string")
-    return B.map_batches(composed, _add_nfc_words, "doc_id long, nfc string, n_words long")
+    return B.map_batches(composed.select("doc_id", "nfc"), _add_words, "doc_id long, nfc string, n_words long")
 
 
 VOCAB = 50000

@@ -76,6 +76,22 @@ def test_user_functions_get_few_rows_at_once(spark):
     assert sum(r["n"] for r in sizes) == 2000 and max(r["n"] for r in sizes) <= B.ROWS_AT_ONCE
 
 
+def test_user_functions_see_few_texts_of_a_batch(spark):
+    df = spark.range(2000, numPartitions=1).select("id", F.when(F.col("id") != 700, F.col("id").cast("string")).alias("text"))
+    rows = B.map_rows(df, lambda s: s.fillna("") + f"/{len(s)}", "text", "seen").collect()
+    assert [r["seen"].split("/")[0] for r in sorted(rows)] == ["" if i == 700 else str(i) for i in range(2000)]
+    assert sum(1 / int(r["seen"].split("/")[1]) for r in rows) > 7 and max(int(r["seen"].split("/")[1]) for r in rows) <= B.ROWS_AT_ONCE
+    for f in (B.map_rows(df, lambda s: s, "text", "out"), B.map_batches(df, lambda b: b, "id long, text string")):
+        assert "MapInArrow" in _plan(f)  # no frame is made of a whole batch
+
+
+def test_user_functions_of_other_types(spark):
+    df = spark.sql("SELECT 1L AS id, array('a', 'b') AS words, 'x' AS text")
+    assert B.map_rows(df, lambda s: s.str.upper(), "text", "out").first()["out"] == "X"
+    assert B.map_rows(df.select("id", "text"), lambda s: s.str.upper(), "text", "text").first()["text"] == "X"
+    assert B.map_batches(df, lambda b: b.assign(n=[len(w) for w in b["words"]]), "id long, words array<string>, text string, n long").first()["n"] == 2
+
+
 def test_used_constants_of_one_text(spark):
     tokens = f"array({', '.join(f'named_struct({chr(39)}kind{chr(39)}, {k!r}, {chr(39)}name{chr(39)}, {n!r}, {chr(39)}type{chr(39)}, {chr(39)}t{chr(39)})' for k, n in (('app', 'a'), ('const', 'C.b'), ('const', 'C.b')))})"
     df = spark.range(1).select(F.expr(tokens).alias("tokens"), F.lit("nat list").alias("type"))
