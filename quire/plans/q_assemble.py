@@ -10,6 +10,7 @@ from quire.operators import statements as ST
 from quire.plans import oracle as O
 from quire.plans.driver import customer_runs, order_templates, order_theorems, part_definitions, part_symbol_types
 from quire.plans.registry import register
+from quire.session import cut_lineage
 
 
 def _j(c, sep=" | "):
@@ -128,7 +129,8 @@ FROM d JOIN n USING (theory_file) GROUP BY 1, 2"""
 @register("j4_symbol_chunks", _J4C_SQL)
 def j4_symbol_chunks(spark, sf):
     """Every file's symbols in chunks, a row a chunk."""
-    return A.symbol_chunks(_templates(spark, sf), CHUNK).select("theory_file", "chunk", _j("file_symbols").alias("file_symbols"))
+    lists = cut_lineage(_templates(spark, sf).select("theory_file", "used_symbols"), "symbol-lists")
+    return A.symbol_chunks(lists, CHUNK).select("theory_file", "chunk", _j("file_symbols").alias("file_symbols"))
 
 
 _J2_SQL = _BASE + "SELECT theory_file, lemma_name, array_to_string(used_defs, ' | ') AS used_defs, CAST(len(used_defs) AS INTEGER) AS n_defs FROM lem"

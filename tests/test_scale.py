@@ -2,6 +2,7 @@
 are evaluated once, and passes that are linear in a term."""
 
 import time
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from quire.functions import terms as TM
 from quire.functions import text as T
+from quire.operators import assemble as A
 from quire.operators import batch as B
 from quire.operators import templates as TP
 from quire.plans.driver import nation_symbols, part_terms
@@ -92,6 +94,24 @@ def test_user_functions_of_other_types(spark):
     assert B.map_batches(df, lambda b: b.assign(n=[len(w) for w in b["words"]]), "id long, words array<string>, text string, n long").first()["n"] == 2
 
 
+def test_symbol_chunks_take_more_tasks_for_more_symbols(spark):
+    rows = [(f"T{i % 7}" if i % 50 else None, [f"s{i % 97}", f"r{i % 11}"]) for i in range(500)] + [("T0", []), ("T0", None)]
+    lemmas = spark.createDataFrame(rows, "theory_file string, used_symbols array<string>")
+    got = A.symbol_chunks(lemmas, chunk=5, per_task=50)
+    plan = _plan(got)
+    assert plan.count("hashpartitioning") == plan.count(", 20)") == 2 and "Join" not in plan, plan  # 1,000 symbols, 50 to a task
+    want = {}
+    for f, names in rows:
+        if f is not None:
+            want.setdefault(f, set()).update(names or [])
+    for f, chunks in groupby(sorted(got.collect()), lambda r: r["theory_file"]):
+        chunks = list(chunks)
+        assert all(c["file_symbols"] == sorted(set(c["file_symbols"])) for c in chunks)
+        assert sorted(s for c in chunks for s in c["file_symbols"]) == sorted(want.pop(f))
+        assert len({c["chunk"] for c in chunks}) == len(chunks) and max(c["chunk"] for c in chunks) < 22
+    assert not want
+
+
 def test_used_constants_of_one_text(spark):
     tokens = f"array({', '.join(f'named_struct({chr(39)}kind{chr(39)}, {k!r}, {chr(39)}name{chr(39)}, {n!r}, {chr(39)}type{chr(39)}, {chr(39)}t{chr(39)})' for k, n in (('app', 'a'), ('const', 'C.b'), ('const', 'C.b')))})"
     df = spark.range(1).select(F.expr(tokens).alias("tokens"), F.lit("nat list").alias("type"))
