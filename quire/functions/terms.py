@@ -199,6 +199,47 @@ def fill(template, filling) -> Column:
         tok("const", F.element_at(m, t["name"]), t["type"])).otherwise(t))
 
 
+def form_word(name) -> Column:
+    """A constant's name as a word that says where it ends: words set one behind another are read in one way only."""
+    n = _col(name)
+    return F.coalesce(F.concat(F.length(n).cast("string"), F.lit(":"), n), F.lit("-"))
+
+
+def form_parts(canonical, holes=None) -> Column:
+    """A canonical form as an array of words, ``word`` or ``hole``: first a digest of all but the constants' names, then
+    the word of every constant in order.  A Var that ``holes`` names counts as the constant that will fill it."""
+    name_of = lambda t: F.when(t["kind"] == "var", t["name"])
+    hole = (lambda t: F.coalesce(F.array_contains(holes, name_of(t)), F.lit(False))) if holes is not None else (lambda t: F.lit(False))
+    none = F.lit(None).cast("string")
+    part = lambda word, h: F.struct(word.alias("word"), h.alias("hole"))
+
+    def parts(ts):
+        blank = F.transform(ts, lambda t: F.when((t["kind"] == "const") | hole(t), tok("const", none, t["type"])).otherwise(t))
+        names = F.transform(F.filter(ts, lambda t: (t["kind"] == "const") | hole(t)), lambda t: part(
+            F.when(~hole(t), form_word(t["name"])), F.when(hole(t), t["name"])))
+        return F.concat(F.array(part(F.sha2(F.to_json(blank), 256), none)), names)
+
+    return let(_col(canonical), parts)
+
+
+def filled_parts(parts, names, symbols) -> Column:
+    """The text of a form's parts with the word of its symbol in place of every hole, or NULL if it isn't among
+    ``names``: as pieces, with that hole between them."""
+    word = lambda p: F.coalesce(p["word"], F.when(F.array_contains(names, p["hole"]), form_word(F.get(symbols, (F.array_position(names, p["hole"]) - 1).cast("int")))))
+    on = lambda pieces, w: F.concat(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.array(F.concat(F.element_at(pieces, -1), w)))
+    return F.aggregate(F.transform(_col(parts), word), F.array(F.lit("")), lambda pieces, w: F.when(w.isNull(), F.array_append(pieces, F.lit(""))).otherwise(on(pieces, w)))
+
+
+def form_digest(text) -> Column:
+    """128 bits of SHA-256 of a form's text."""
+    return F.unhex(F.substring(F.sha2(_col(text), 256), 1, 32))
+
+
+def form(canonical) -> Column:
+    """The digest by which canonical forms are told apart: equal when the token arrays are."""
+    return form_digest(F.array_join(F.transform(form_parts(canonical), lambda p: p["word"]), ""))
+
+
 def symbols_of(tokens) -> Column:
     """Distinct non-structural constant names (binders included).  The prover
     collects names by prepending each new one, so the list is in *reverse* order of

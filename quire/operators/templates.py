@@ -133,13 +133,13 @@ def materialize(templates: DataFrame) -> DataFrame:
     return cut_lineage(templates, "templates")
 
 
-def _unranked(number: Column, distinct_symbols: bool) -> Column:
-    """The symbols of a filling, in the order of ``hs``, from its number: a digit per hole, the last
-    hole's counting fastest.  ``hs`` carries the options, ``rest`` how many fillings the holes
-    behind each one have, ``choices`` how many choices it leaves."""
-    digits = F.transform("rest", lambda r, i: (_div(number, r) % F.get("choices", i)).cast("int"))
-    if not distinct_symbols:
-        return F.zip_with("hs", digits, lambda h, d: F.get(h["options"], d)["symbol"])
+def _distinct_fillings(rows: DataFrame, parts: str | None) -> DataFrame:
+    """The fillings numbered ``start`` up to ``end`` of every row, as the holes' ``names`` and their ``symbols``.  A filling's
+    symbols, in the order of ``hs``, come from its number: a digit per hole, the last hole's counting fastest.
+    ``hs`` carries the options, ``rest`` how many fillings the holes behind each one have, ``choices`` how many
+    choices it leaves."""
+    each = rows.withColumn("number", F.explode(F.sequence("start", F.col("end") - 1)))
+    digits = F.transform("rest", lambda r, i: (_div(F.col("number"), r) % F.get("choices", i)).cast("int"))
     # the d-th filler that no hole before took: d, moved on past every taken place up to it
     start = F.array().cast("array<struct<fclass:string,place:int,at:int,symbol:string>>")
 
@@ -150,7 +150,30 @@ def _unranked(number: Column, distinct_symbols: bool) -> Column:
         option = F.get(h["options"], place)
         return F.array_append(taken, F.struct(h["fclass"].alias("fclass"), place.alias("place"), option["at"].alias("at"), option["symbol"].alias("symbol")))
 
-    return F.transform(F.aggregate(F.arrays_zip(F.col("hs").alias("hs"), digits.alias("digits")), start, pick), lambda t: t["symbol"])
+    taken = F.aggregate(F.arrays_zip(F.col("hs").alias("hs"), digits.alias("digits")), start, pick)
+    each = each.withColumn("names", F.transform("hs", lambda h: h["hole"])).withColumn("symbols", F.transform(taken, lambda t: t["symbol"]))
+    return each.withColumn(parts, F.array_join(TM.filled_parts(parts, F.col("names"), F.col("symbols")), "")) if parts else each
+
+
+def _free_fillings(rows: DataFrame, parts: str | None) -> DataFrame:
+    """The same where symbols may repeat.  The symbols of all holes but the last are worked out once for the
+    fillings that share them; the last hole's fillers, which count fastest, are listed behind these."""
+    last = F.element_at("hs", -1)
+    rows = rows.withColumn("names", F.transform("hs", lambda h: h["hole"])).withColumn(
+        "lasts", F.when(F.size("hs") > 0, F.transform(last["options"], lambda o: o["symbol"])).otherwise(F.array(F.lit("")))).withColumn("n_last", F.size("lasts").cast("long"))
+    each = rows.withColumn("outer", F.explode(F.sequence(_div(F.col("start"), F.col("n_last")), _div(F.col("end") - 1, F.col("n_last")))))
+    before = lambda c: F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0)))
+    digits = F.transform(before(F.col("rest")), lambda r, i: (_div(F.col("outer"), _div(r, F.col("n_last"))) % F.get("choices", i)).cast("int"))
+    first = F.zip_with(before(F.col("hs")), digits, lambda h, d: F.get(h["options"], d)["symbol"])
+    base = F.col("outer") * F.col("n_last")
+    lo, hi = F.greatest(F.col("start") - base, F.lit(0)), F.least(F.col("end") - base, F.col("n_last"))
+    each = each.withColumn("first", first)
+    if parts:
+        each = each.withColumn(parts, TM.filled_parts(parts, before(F.col("names")), F.col("first")))
+    each = each.withColumn("last", F.explode(F.slice("lasts", (lo + 1).cast("int"), (hi - lo).cast("int"))))
+    if parts:
+        each = each.withColumn(parts, F.call_function("array_join", F.col(parts), TM.form_word("last")))
+    return each.withColumn("symbols", F.when(F.size("names") > 0, F.array_append("first", F.col("last"))).otherwise(F.col("first")))
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -158,7 +181,7 @@ def _div(a: Column, b: Column) -> Column:
 
 
 def fill_holes(templates: DataFrame, symbols: DataFrame, multi: bool = False, distinct_symbols: bool = False,
-               per_term: bool = False, carry: list[str] | None = None) -> DataFrame:
+               per_term: bool = False, carry: list[str] | None = None, parts: str | None = None) -> DataFrame:
     """J13 (one feasible symbol per hole, all combinations, symbols may repeat) or
     J14 (``distinct_symbols``: distinct list positions across holes): (term_id, template, ..., filling).
 
@@ -167,9 +190,10 @@ def fill_holes(templates: DataFrame, symbols: DataFrame, multi: bool = False, di
     dealt over as many tasks as there are ``FILLINGS_PER_TASK`` in all; a task turns each number into
     its filling.  A template with no holes has one empty filling; a hole with no feasible filler
     leaves its template without fillings.  ``carry`` names extra per-template columns to keep on
-    every filling.
+    every filling; ``parts`` one of ``terms.form_parts``, which comes back filled, as text,
+    with the filling's ``symbols``.
     """
-    carry = list(carry or [])
+    carry = [*(carry or []), *([parts] if parts else [])]
     on = [*(["term_id"] if per_term else []), "fclass"]
     lists = cut_lineage(_filler_lists(symbols, multi, per_term), "fillers")
     sized = cut_lineage(_sized_holes(templates, lists, multi, distinct_symbols, per_term).where("n_fillings > 0"), "holes")
@@ -191,10 +215,9 @@ def fill_holes(templates: DataFrame, symbols: DataFrame, multi: bool = False, di
     rows = large_join(ranges.drop("hs"), listed, ["term_id", "range"], "left").withColumn("hs", F.coalesce("hs", none))
     rows = large_join(rows, templates.select("term_id", "template", *carry), "term_id").repartition(tasks, "term_id", "range")
     start = F.col("range") * F.col("size")
-    numbers = F.sequence(start, F.least(start + F.col("size"), F.col("n")) - 1)
-    each = rows.withColumn("number", F.explode(numbers))
-    filling = F.map_from_arrays(F.transform("hs", lambda h: h["hole"]), _unranked(F.col("number"), distinct_symbols))
-    return each.select("term_id", "template", *carry, filling.cast("map<string,string>").alias("filling"))
+    rows = rows.withColumn("start", start).withColumn("end", F.least(start + F.col("size"), F.col("n")))
+    each = _distinct_fillings(rows, parts) if distinct_symbols else _free_fillings(rows, parts)
+    return each.select("term_id", "template", *carry, F.map_from_arrays("names", "symbols").cast("map<string,string>").alias("filling"), *(["symbols"] if parts else []))
 
 
 def fill_shapes(templates: DataFrame, symbols: DataFrame, multi: bool = False) -> DataFrame:
@@ -214,27 +237,32 @@ def fillings(templates: DataFrame, symbols: DataFrame, distinct_symbols: bool =
 
 
 def candidates(templates: DataFrame, symbols: DataFrame, multi: bool = False, poly: bool = False,
-               per_term: bool = False, materialize: bool = True) -> DataFrame:
+               per_term: bool = False, materialize: bool = True, forms: bool = False) -> DataFrame:
     """Structural symbols dropped, feasible fillers per hole (J11, or J12 when
     ``multi`` or ``poly``), fillings (J13, or J14 when ``poly``), holes filled (T8).
+    ``forms`` adds the ``symbols`` of each filling and ``form``, the digest of the candidate's canonical form (T7,
+    untyped).  A filling puts constants into holes and renames no Free or binder, so templates are made canonical once
+    and a filling adds its names: reading ``form`` doesn't build a candidate's tokens.
 
     The templates are read for their holes and again for their tokens; with
     ``materialize`` they are written once to the shared checkpoint folder, so the
     abstraction is computed once and a lost executor recomputes nothing upstream of it.
     """
+    parts = TM.form_parts(TM.canon("template", "free", typed=False), F.transform("holes", lambda h: h["hole"])).alias("parts")
+    templates = templates.select("term_id", "template", "holes", *([parts] if forms else []))
     if materialize:
-        templates = cut_lineage(templates.select("term_id", "template", "holes"), "templates")
-    fl = fill_holes(templates, symbols, multi=multi or poly, distinct_symbols=poly, per_term=per_term)
-    return fl.select("term_id", "filling", TM.fill("template", "filling").alias("candidate"))
+        templates = cut_lineage(templates, "templates")
+    fl = fill_holes(templates, symbols, multi=multi or poly, distinct_symbols=poly, per_term=per_term, parts="parts" if forms else None)
+    return fl.select("term_id", "filling", TM.fill("template", "filling").alias("candidate"), *(["symbols", TM.form_digest("parts").alias("form")] if forms else []))
 
 
 def conjectures(cands: DataFrame, refuted: DataFrame) -> DataFrame:
     """Candidates without a counterexample (``refuted`` holds ``canonical`` arrays found false by a
-    tester).  The anti join is on the digest of the canonical form, so the refuted side moves 32
-    bytes a form and the candidates' forms don't move at all."""
-    digest = lambda c: F.unhex(F.sha2(F.to_json(c), 256)).alias("__form")
-    c = cands.withColumn("__form", digest(TM.canon("candidate", "free", typed=False)))
-    return large_join(c, refuted.select(digest(F.col("canonical"))).distinct(), "__form", "left_anti").drop("__form")
+    tester).  The anti join is on the digest of the canonical form, so the refuted side moves 16
+    bytes a form and the candidates' forms don't move at all.  Either side may have the digest already, as ``form``."""
+    form = lambda df, canonical: (F.col("form") if "form" in df.columns else TM.form(canonical)).alias("__form")
+    c = cands.withColumn("__form", form(cands, TM.canon("candidate", "free", typed=False)))
+    return large_join(c, refuted.select(form(refuted, "canonical")).distinct(), "__form", "left_anti").drop("__form")
 
 
 def rediscovered(terms: DataFrame, cands: DataFrame, runs: DataFrame | None = None) -> DataFrame:

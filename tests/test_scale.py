@@ -47,6 +47,44 @@ def test_conjectures_do_not_broadcast(spark):
     assert "SortMergeJoin" in _plan(TP.conjectures(c.select("term_id", "candidate"), bad)).split("Generate")[0]
 
 
+def _token(kind, name, typ=None):
+    return (kind, name, typ)
+
+
+def test_forms_are_those_of_built_candidates(spark):
+    """Without building them: names that could run together, a null name, a hole that comes twice, Frees and binders."""
+    app, eq, x = _token("app", None), _token("const", "HOL.eq", "b"), _token("var", "x", "nat")
+    f, g, c = _token("const", "A.f", "nat => nat"), _token("const", "A.g", "nat => nat"), _token("const", "A.c", "nat")
+    terms = spark.createDataFrame([
+        (1, [app, app, eq, app, f, x, app, g, x]), (2, [app, app, eq, app, f, x, app, f, _token("var", "z", "nat")]), (3, [app, app, eq, c, c]),
+        (4, [app, app, eq, x, _token("free", "q", "nat")]), (5, [app, _token("const", None, "t"), _token("abs", "u", "nat"), app, f, _token("bound", "0", "nat")]),
+        (6, [app, app, eq, app, f, c, app, g, c]), (7, None), (8, [app, app, eq, app, f, _token("var", "other", "nat"), app, g, x]),
+    ], f"term_id long, tokens {TM.TERM}")
+    names = ["A.f", "1:A.g", "1:", "", "3:A.g1:", "é", "-"]
+    symbols = spark.createDataFrame([(n, None, i % 2, i) for i, n in enumerate(names)], "symbol string, type string, arity int, sym_pos long")
+    for poly in (False, True):
+        templates = TP.make_templates(terms, poly=poly)
+        made = TP.candidates(templates, symbols, poly=poly, forms=True)
+        canonical = TM.canon("candidate", "free", typed=False)
+        rows = made.select("filling", "symbols", "form", TM.form(canonical).alias("built"), F.to_json(canonical).alias("tokens")).collect()
+        assert len(rows) > 50 and all(r["form"] == r["built"] for r in rows)
+        assert len({r["form"] for r in rows}) == len({r["tokens"] for r in rows})
+        assert all(sorted(r["symbols"]) == sorted(r["filling"].values()) for r in rows)
+
+
+def test_conjectures_read_forms_and_no_tokens(spark):
+    """Either side of the anti join may bring its forms; the query writes candidates without their tokens."""
+    nations = nation_symbols(spark, SF)
+    made = TP.candidates(TP.make_templates(part_terms(spark, SF)), nations, forms=True)
+    canonical = TM.canon("candidate", "free", typed=False)
+    bad = made.where(F.array_contains("symbols", nations.where("sym_pos = 1").first()["symbol"]))
+    assert bad.count() > 0
+    tokens = TP.conjectures(made.select("term_id", "candidate"), bad.select(canonical.alias("canonical"))).groupBy("term_id").count()
+    forms = TP.conjectures(made.select("term_id", "form"), bad.select("form")).groupBy("term_id").count()
+    assert sorted(map(tuple, tokens.collect())) == sorted(map(tuple, forms.collect()))
+    assert "to_json" not in _plan(forms) and "to_json" not in _plan(E.queries()["t10_conjectures"](spark, SF))
+
+
 def test_search_evaluates_a_term_once(spark):
     terms = part_terms(spark, SF)
     plan = TP.theorem_search(terms, "widget", equations=True)._jdf.queryExecution().optimizedPlan().toString()
