@@ -11,34 +11,162 @@ from __future__ import annotations
 
 import datetime as _dt
 import hashlib
+import os
 import re
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from typing import TYPE_CHECKING
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.session import cut_lineage
 from quire.sources.list_file import RANGE_BYTES, read_lists
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 PREDICTIONS_SCHEMA = "row_id long, strategy string, candidates array<string>"
 
 
+# Files that a task of a scan reads, and what it hands on at once: names, or bytes of text.
+FILES_PER_TASK = 1 << 12
+_NAMES_AT_ONCE = 1 << 12
+_BYTES_AT_ONCE = 1 << 22
+
+
 def corpus_scan(spark: SparkSession, root: str, suffix: str = ".thy") -> DataFrame:
     """Every ``*<suffix>`` file under ``root`` (recursively) as one row:
     ``(theory_file, text)`` where ``theory_file`` is the path relative to ``root``
-    without the suffix.  An empty file gives no row.  Files are read whole (``wholetext``), one task per file
-    split, in parallel."""
+    without the suffix.  An empty file gives no row, names that begin with ``_`` or ``.`` are hidden.
+
+    Tasks list the folders, level by level, into tables of names in the checkpoint folder, and others read the files
+    whole, so neither names nor files go through the driver: Spark's own reader keeps every file of a scan there.
+    It still reads what pyarrow can't open and roots or suffixes that are patterns.
+    """
+    uri = _listed_by_tasks(spark, root, suffix)
+    if uri is None:
+        return _corpus_read(spark, root, suffix)
+    files, n = _corpus_files(spark, uri, suffix)
+    tasks = min(max(1, n), max(spark.sparkContext.defaultParallelism, -(-n // FILES_PER_TASK)))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        where, base = _open(uri)
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["theory_file", "text"])
+        for batch in batches:
+            rows, size = [], 0
+            for path in batch.column(0).to_pylist():
+                with where.open_input_stream(f"{base}/{path}") as source:
+                    text = source.read()
+                if text:
+                    rows.append((_escaped(path.removesuffix(suffix)), text))
+                    size += len(text)
+                if size >= _BYTES_AT_ONCE:
+                    yield out(rows)
+                    rows, size = [], 0
+            yield out(rows)
+
+    texts = files.repartition(tasks, "path").mapInArrow(read, "theory_file string, text binary")
+    return texts.select("theory_file", F.col("text").cast("string").alias("text"))
+
+
+def _corpus_read(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """``corpus_scan`` by Spark's reader, which keeps the list of all files on the driver."""
     df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}")
           .text(root, wholetext=True))
     path = F.col("_metadata.file_path")
-    marker = "/" + root.split("://", 1)[-1].strip("/") + "/"
+    marker = _marker(root)
     pos = F.locate(marker, path)
     rel = F.when(pos > 0, F.substring(path, pos + len(marker), F.lit(1 << 30))).otherwise(path)
     name = F.when(rel.endswith(suffix), F.substring(rel, F.lit(1), F.length(rel) - len(suffix))).otherwise(rel)
     return df.select(name.alias("theory_file"), F.col("value").alias("text"))
 
 
+def _marker(root: str) -> str:
+    return "/" + root.split("://", 1)[-1].strip("/") + "/"
+
+
+def _listed_by_tasks(spark: SparkSession, root: str, suffix: str) -> str | None:
+    """The full address of a folder that tasks can list, or None: no plain folder, or in no file system of pyarrow's."""
+    from pyarrow import ArrowException, fs
+
+    if re.search(r"[*?\[\]{}\\]", root + suffix) or suffix != _escaped(suffix):
+        return None
+    system, make = _fs(spark, root)
+    uri = str(system.makeQualified(make(root)).toUri().toString())
+    if f"{uri}/".partition(_marker(root))[1:] != (_marker(root), ""):
+        return None
+    try:
+        where, base = _open(uri)
+        return uri if where.get_file_info(base).type == fs.FileType.Directory else None
+    except (ArrowException, OSError, ImportError):
+        return None
+
+
+def _open(uri: str):
+    """(pyarrow's file system of an address, its path there)."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", uri))
+
+
+def _escaped(path: str) -> str:
+    """A path as Hadoop writes it in an address: other letters than ASCII's stay."""
+    return "".join(c if ord(c) > 127 and not c.isspace() and c.isprintable() else quote(c, safe="/;:@&=+$,-_.!~*'()") for c in path)
+
+
+def _entries(where, folder: str) -> Iterator[tuple[str, bool]]:
+    """(name, is it a folder) of a folder's entries.  A local folder's come one by one; other systems give them at once."""
+    from pyarrow import fs
+
+    if isinstance(where, fs.LocalFileSystem):
+        with os.scandir(folder) as found:
+            yield from ((e.name, e.is_dir()) for e in found)
+    else:
+        yield from ((i.base_name, i.type == fs.FileType.Directory) for i in where.get_file_info(fs.FileSelector(folder)))
+
+
+def _corpus_files(spark: SparkSession, uri: str, suffix: str) -> tuple[DataFrame, int]:
+    """(path) of every ``*<suffix>`` file below a folder, relative to it, and their number."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        where, base = _open(uri)
+        out = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_())], ["path", "folder"])
+        for batch in batches:
+            for above in batch.column(0).to_pylist():
+                rows = []
+                for name, folder in _entries(where, f"{base}/{above}".rstrip("/")):
+                    # as Spark's reader: hidden names are left out
+                    if name.startswith(".") or name.endswith("._COPYING_") or (name.startswith("_") and "=" not in name and not (
+                            folder and name.startswith(("_metadata", "_common_metadata")))):
+                        continue
+                    if folder or name.endswith(suffix):
+                        rows.append((f"{above}/{name}" if above else name, folder))
+                    if len(rows) >= _NAMES_AT_ONCE:
+                        yield out(rows)
+                        rows = []
+                yield out(rows)
+
+    level, levels, n = spark.createDataFrame([("",)], "path string"), [], 0
+    while level is not None:
+        found = cut_lineage(level.mapInArrow(listed, "path string, folder boolean"), "listing")
+        count = found.agg(F.count_if("folder").alias("folders"), F.count_if(~F.col("folder")).alias("files")).first()
+        levels.append(found.where(~F.col("folder")).select("path"))
+        n += count["files"]
+        below = found.where("folder").select("path")
+        level = below.repartition(min(count["folders"], 1 << 12), "path") if count["folders"] else None
+    return reduce(DataFrame.union, levels), n
+
+
 def corpus_write(theories: DataFrame, root: str, suffix: str = ".thy") -> int:
     """The inverse of S1: one file a row (theory_file, text) under ``root``, written by the tasks; the number
     of files.  A text is written to its place in one step, so a task that is run again repeats it."""

@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quire.operators import extract as X
@@ -196,3 +197,32 @@ def test_corpus_written_and_scanned(spark, tmp_path):
     df = spark.createDataFrame([("a/T1", "x\ny"), ("a/b/T2", " "), ("T3", "é\n")], "theory_file string, text string")
     assert io.corpus_write(df, str(tmp_path / "thys")) == 3
     assert sorted(map(tuple, io.corpus_scan(spark, str(tmp_path / "thys")).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_scan_keeps_no_list_of_files_on_the_driver(spark, tmp_path, monkeypatch):
+    """Tasks list and read: deep, empty, hidden and foreign files, odd names and bytes, as Spark's reader gives them."""
+    monkeypatch.setattr(io, "FILES_PER_TASK", 10)
+    monkeypatch.setattr(io, "_NAMES_AT_ONCE", 7)
+    monkeypatch.setattr(io, "_BYTES_AT_ONCE", 50)
+    root = tmp_path / "thys"
+    for i in range(120):
+        at = root / f"s{i % 7}" / ("" if i % 3 else f"deep/d{i % 5}") / f"T{i}.thy"
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(f"theory T{i}\n" * (i % 4))  # every fourth is empty
+    for name, text in (("a b%.thy", b"x"), ("é+ü#.thy", "é".encode()), ("_hidden.thy", b"x"), (".dot.thy", b"x"), ("_a=1.thy", b"p"), ("s1/other.txt", b"x"), ("bytes.thy", b"\xff\xfe\x00 y"), (".thy", b"x"), ("s2/x.thy.thy", b"\xef\xbb\xbfz")):
+        (root / name).write_bytes(text)
+    for folder in ("_no", ".no", "_k=1", "dir.thy"):
+        (root / folder).mkdir()
+        (root / folder / "In.thy").write_text("in")
+    (root / "nothing").mkdir()
+    rows = lambda df: sorted(map(tuple, df.select("theory_file", df["text"].cast("binary")).collect()))
+    for where in (str(root), f"file://{root}/"):
+        got = io.corpus_scan(spark, where)
+        assert rows(got) == rows(io._corpus_read(spark, where, ".thy")) and len(rows(got)) == 90 + 7
+        assert not [f for f in got.inputFiles() if f.endswith(".thy")] and "FileScan text" not in got._jdf.queryExecution().toString()
+        assert got.rdd.getNumPartitions() >= 12
+    assert rows(io.corpus_scan(spark, str(root), ".txt")) == [("s1/other", b"x")]
+    assert rows(io.corpus_scan(spark, str(root / "s*"))) == rows(io._corpus_read(spark, str(root / "s*"), ".thy"))
+    assert io.corpus_scan(spark, str(root / "nothing")).count() == 0
+    with pytest.raises(AnalysisException):
+        io.corpus_scan(spark, str(tmp_path / "absent"))
