@@ -190,8 +190,7 @@ def fill_holes(templates: DataFrame, symbols: DataFrame, multi: bool = False, di
     dealt over as many tasks as there are ``FILLINGS_PER_TASK`` in all; a task turns each number into
     its filling.  A template with no holes has one empty filling; a hole with no feasible filler
     leaves its template without fillings.  ``carry`` names extra per-template columns to keep on
-    every filling; ``parts`` one of ``terms.form_parts``, which comes back filled, as text,
-    with the filling's ``symbols``.
+    every filling; ``parts`` one of ``terms.form_parts``, which comes back filled, as text.
     """
     carry = [*(carry or []), *([parts] if parts else [])]
     on = [*(["term_id"] if per_term else []), "fclass"]
@@ -217,7 +216,7 @@ def fill_holes(templates: DataFrame, symbols: DataFrame, multi: bool = False, di
     start = F.col("range") * F.col("size")
     rows = rows.withColumn("start", start).withColumn("end", F.least(start + F.col("size"), F.col("n")))
     each = _distinct_fillings(rows, parts) if distinct_symbols else _free_fillings(rows, parts)
-    return each.select("term_id", "template", *carry, F.map_from_arrays("names", "symbols").cast("map<string,string>").alias("filling"), *(["symbols"] if parts else []))
+    return each.select("term_id", "template", *carry, F.map_from_arrays("names", "symbols").cast("map<string,string>").alias("filling"))
 
 
 def fill_shapes(templates: DataFrame, symbols: DataFrame, multi: bool = False) -> DataFrame:
@@ -240,8 +239,7 @@ def candidates(templates: DataFrame, symbols: DataFrame, multi: bool = False, po
                per_term: bool = False, materialize: bool = True, forms: bool = False) -> DataFrame:
     """Structural symbols dropped, feasible fillers per hole (J11, or J12 when
     ``multi`` or ``poly``), fillings (J13, or J14 when ``poly``), holes filled (T8).
-    ``forms`` adds the ``symbols`` of each filling and ``form``, the digest of the candidate's canonical form (T7,
-    untyped).  A filling puts constants into holes and renames no Free or binder, so templates are made canonical once
+    ``forms`` adds ``form``, the digest of each candidate's canonical form (T7, untyped).  A filling puts constants into holes and renames no Free or binder, so templates are made canonical once
     and a filling adds its names: reading ``form`` doesn't build a candidate's tokens.
 
     The templates are read for their holes and again for their tokens; with
@@ -253,7 +251,7 @@ def candidates(templates: DataFrame, symbols: DataFrame, multi: bool = False, po
     if materialize:
         templates = cut_lineage(templates, "templates")
     fl = fill_holes(templates, symbols, multi=multi or poly, distinct_symbols=poly, per_term=per_term, parts="parts" if forms else None)
-    return fl.select("term_id", "filling", TM.fill("template", "filling").alias("candidate"), *(["symbols", TM.form_digest("parts").alias("form")] if forms else []))
+    return fl.select("term_id", "filling", TM.fill("template", "filling").alias("candidate"), *([TM.form_digest("parts").alias("form")] if forms else []))
 
 
 def conjectures(cands: DataFrame, refuted: DataFrame) -> DataFrame:
